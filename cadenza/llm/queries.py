@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
+from cadenza.llm.simhash import near_duplicates
 from cadenza.llm.token_count import count_tokens
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -32,8 +34,18 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_encode": op1_piece_encode,
     "op3_token_count": op3_token_count,
+    "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
 }
 ORACLES: dict[str, str] = {}
