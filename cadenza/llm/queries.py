@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
 from cadenza.llm.simhash import near_duplicates
+from cadenza.llm.substrings import drop_repeats
 from cadenza.llm.token_count import count_tokens
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -42,10 +43,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_MODEL))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_encode": op1_piece_encode,
     "op3_token_count": op3_token_count,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op8_substrings": op8_substrings,
 }
 ORACLES: dict[str, str] = {}
