@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import language, quality
 from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
 from cadenza.llm.simhash import near_duplicates
@@ -47,11 +48,23 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_encode": op1_piece_encode,
     "op3_token_count": op3_token_count,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op8_substrings": op8_substrings,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
