@@ -1,7 +1,7 @@
 """Operator 6: document quality by a linear-chain conditional random field over lines.
 
-Every line is labelled good or bad. Its features are shares of character classes, its length and its ending, its own
-and those of the lines before and after. The field is fitted on the lines of a bounded, hash-chosen sample of
+Every line is labelled good or bad. Its features are shares of character classes and of words
+repeated at once, its length and its ending, its own and those of the lines before and after. The field is fitted on the lines of a bounded, hash-chosen sample of
 labelled documents (at most `per_label` of each label), each line carrying its document's label, by gradient
 ascent on the conditional likelihood. Forward-backward gives each line's marginal; their average weighted
 by line length, turned into log odds and calibrated on the sample, is the document's score.
@@ -26,7 +26,6 @@ UPPER, LETTER, DIGIT, SPACE, SHOUT, BAR, SIGN, STOP = range(8)
 CLASS = np.full(256, SIGN, np.uint8)
 for kind, chars in ((UPPER, range(65, 91)), (LETTER, [*range(97, 123), *range(128, 256)]), (DIGIT, range(48, 58)), (SPACE, b" \t\r\x0b\x0c"), (SHOUT, b"!"), (BAR, b"|"), (STOP, b".,;:?'\"()-")):
     CLASS[list(chars)] = kind
-N_OWN = 11
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +41,16 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         n[k] = upto[ends] - upto[starts]
     some = size + 1
     words = n[SPACE] + 1
+    # words equal to the word before in the same line, told by length and byte sum
+    gaps = np.flatnonzero((kinds == SPACE) | (raw == 10))
+    begin = np.concatenate(([0], gaps[:-1] + 1))
+    total = np.concatenate(([0], np.cumsum(raw, dtype=np.int64)))
+    span, mass = gaps - begin, total[gaps] - total[begin]
+    line_of = np.searchsorted(ends, gaps)
+    again = (span[1:] == span[:-1]) & (mass[1:] == mass[:-1]) & (span[1:] > 0) & (line_of[1:] == line_of[:-1])
+    same = np.bincount(line_of[1:][again], minlength=len(ends))
     full = (size > 0) & (raw[np.maximum(ends - 1, 0)] == ord("."))
-    own = [np.log1p(size) / 5, n[UPPER] / (n[UPPER] + n[LETTER] + 1), (n[UPPER] + n[LETTER]) / some, n[DIGIT] / some, n[SPACE] / some, np.minimum(1, 3 * n[SHOUT] / words), np.minimum(1, 3 * n[BAR] / words), np.minimum(1, 3 * n[SIGN] / words), np.minimum(1, n[STOP] / words), full, size == 0]
+    own = [np.log1p(size) / 5, n[UPPER] / (n[UPPER] + n[LETTER] + 1), (n[UPPER] + n[LETTER]) / some, n[DIGIT] / some, n[SPACE] / some, np.minimum(1, 3 * n[SHOUT] / words), np.minimum(1, 3 * n[BAR] / words), np.minimum(1, 3 * n[SIGN] / words), np.minimum(1, n[STOP] / words), np.minimum(1, 2 * same / words), full, size == 0]
     lines = np.array([t.count(b"\n") + 1 for t in texts])
     return np.stack(own, 1).astype(float), size, lines
 
