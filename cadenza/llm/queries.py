@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm import language, quality
+from cadenza.llm.neighbours import search
 from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
 from cadenza.llm.simhash import near_duplicates
 from cadenza.llm.substrings import drop_repeats
 from cadenza.llm.token_count import count_tokens
+from cadenza.llm.vector_dedup import near_vectors
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -32,6 +35,10 @@ def op1_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
@@ -58,13 +65,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_encode": op1_piece_encode,
+    "op2_neighbours": op2_neighbours,
     "op3_token_count": op3_token_count,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {}
