@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,30 +52,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
-        self.words, self.stems = Memo(None, 500_000), Memo(None, 800_000)
-
-    def fill(self, texts: list[list[str]]) -> None:
-        """Learn the new words of some texts, their new parts encoded in one call."""
-        words = set().union(*texts)
-        new = {w for w in words if w not in self.words}
-        if len(self.words) + len(new) > self.words.limit:
-            self.words.clear()
-            new = words
-        parts = {w: [w] if WHOLE.search(w) else WITHIN.split(w) for w in new}
-        fresh = list({x for p in parts.values() for x in p if x not in self.stems})
-        if len(self.stems) + len(fresh) > self.stems.limit:
-            self.stems.clear()
-            fresh = list({x for p in parts.values() for x in p})
-        for part, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.stems[part] = np.array(found.ids, "<u4").tobytes()
-        for word, p in parts.items():
-            self.words[word] = self.stems[p[0]] if len(p) == 1 else b"".join(map(self.stems.__getitem__, p))
+        self.model = self.tokenizer.model
+        byte_level = [b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)]
+        spare = iter(range(256, 512))  # bytes without a printable character of their own, in order
+        self.letters = {b: chr(next(spare) if c is None else c) for b, c in enumerate(byte_level)}
+        self.stems, self.words = Memo(self._part, 800_000), Memo(self._word, 500_000)
+        self.words[""] = b""
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and max(part) < "\u0250" and "\u0130" not in part and unicodedata.is_normalized("NFC", part):
+            low = part.lower()  # letters only: what the tokenizer's model gets after normalising and splitting
+            if not low.isascii():
+                low = "".join(map(self.letters.__getitem__, low.encode()))
+            return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha() or WHOLE.search(word):
+            return self.stems[word]
+        return b"".join(map(self.stems.__getitem__, WITHIN.split(word)))
 
     def encode_all(self, texts: list[str], end: bytes) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.fill(split)
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words)) + end
+        for text in texts:
+            yield b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + end
 
 
 _ready: dict[int, WordIds] = {}
