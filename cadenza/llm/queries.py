@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, quality
+from cadenza.llm import language, line_dedup, quality
 from cadenza.llm.neighbours import search
 from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
@@ -60,6 +60,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -76,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
     "op10_vector_dedup": op10_vector_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
