@@ -1,13 +1,16 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries of the domain by name, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from cadenza.plans import engagement
+
 FLAGSHIP = "insights_by_platform"
+MODULES = [engagement]
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
