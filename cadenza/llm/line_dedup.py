@@ -37,13 +37,13 @@ def words_of(line: Column) -> Column:
     return F.split(F.lower(line), " ")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """An array literal: for each counter twice the binary logarithm of the tokens counted there."""
-    token = F.explode(words_of(F.translate("text", "\n", " "))).alias("token")
-    counted = docs.select(token).where("token <> ''").groupBy(F.pmod(F.xxhash64("token"), F.lit(COUNTERS)).alias("k")).count()
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row with an array of COUNTERS numbers: twice the binary logarithm of the tokens counted in each."""
+    token = F.explode(words_of(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("token")
+    counted = docs.select(token).where("token <> ''").groupBy(F.xxhash64("token").bitwiseAND(COUNTERS - 1).alias("k")).count()
     found = {r[0]: r[1] for r in counted.collect()}  # at most COUNTERS rows
-    classes = ",".join(str(int(2 * math.log2(found[k] + 1))) if k in found else "0" for k in range(COUNTERS))
-    return F.from_json(F.lit(f"[{classes}]"), "array<tinyint>")
+    classes = bytearray(int(2 * math.log2(found[k] + 1)) if k in found else 0 for k in range(COUNTERS))
+    return checkpointed(docs.sparkSession.createDataFrame([(list(classes),)], "classes array<tinyint>"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -54,16 +54,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
     """A row for each line with tokens: its place, the hashes of its set, size, signature and prefix keys."""
-    classes = rarity(docs)
+    classes = F.col("classes")
 
-    def key(token: Column) -> Column:
-        h = F.xxhash64(token)
-        return F.shiftleft(classes[F.pmod(h, F.lit(COUNTERS)).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def key(h: Column) -> Column:
+        return F.shiftleft(classes[h.bitwiseAND(COUNTERS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    keyed = lines_of(docs).select("doc_id", "text_key", "line_no", F.sort_array(F.transform(F.array_distinct(F.array_remove(words_of("line"), "")), key)).alias("keys")).where(F.size("keys") > 0)
+    none = F.xxhash64(F.lit(""))  # of no word
+    hashed = F.array_remove(F.array_distinct(F.transform(words_of("line"), lambda t: F.xxhash64(t))), none)
+    counters = rarity(docs).scalar().alias("classes")  # a scalar subquery: evaluated once, and no part of the rows
+    keyed = lines_of(docs).select("*", counters).select("doc_id", "text_key", "line_no", F.sort_array(F.transform(hashed, key)).alias("keys"))
     n = F.size("keys")
     prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    signature = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))))
+    signature = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     return keyed.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("size"), signature.alias("sig"), F.slice("keys", 1, prefix).alias("prefix"))
 
 
@@ -88,10 +90,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go; docs has doc_id and text."""
-    lines = stored(sets_of(docs, threshold), "lines")
+    lines = stored(sets_of(docs, threshold), "lines").where("size > 0")
     grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     light = grouped.select("at.doc_id", "at.line_no", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
-    other = F.col("x.doc_id").isNotNull() & ((F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no")))
+    other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no"))
     met = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
     met = stored(met, "met")
 

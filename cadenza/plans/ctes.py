@@ -42,7 +42,7 @@ beats AS (SELECT conv_id * 1000 + turn AS id, conv_id AS ticket_id, turn AS orde
     CASE WHEN turn % 4 = 0 THEN 'note' ELSE ' ' END AS on_screen_text,
     CASE WHEN turn % 3 = 0 THEN substr(text, 1, 30) WHEN turn % 5 = 4 THEN ' ' ELSE text END AS caption,
     CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN 'clip' || turn ELSE '' END AS clip_path, CASE WHEN turn % 3 = 0 THEN 'vo' || turn END AS voiceover_path,
-    regexp_matches(text, '[0-9]') AS is_proof_beat FROM conversations)""",
+    regexp_matches(text, '[0-9]') OR turn % 6 = 5 AS is_proof_beat FROM conversations)""",
     "tickets": """
 tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id % 4 + 1] AS brand,
     ['outlier', 'scripted', 'staged', 'sourced', 'assembled', 'ready', 'scheduled', 'posted'][conv_id % 8 + 1] AS stage, 'angle ' || conv_id % 6 AS angle,
@@ -53,6 +53,11 @@ tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id % 4 + 1] AS b
     CASE WHEN conv_id % 8 = 7 THEN TIMESTAMP '2024-01-01' + to_hours((conv_id * 2)::INT) END AS posted_at, conv_id % 2 = 0 AS autopilot,
     CASE WHEN conv_id % 6 = 0 THEN 'awaiting_review' WHEN conv_id % 6 = 2 THEN 'needs_footage' END AS gate, conv_id % 4 AS tries
   FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id))""",
+    "intake": """
+intake AS (SELECT doc_id AS id, 'take' || doc_id || '.mov' AS filename, n_chars AS mtime, text AS transcript,
+    ['uploaded', 'transcribing', 'matched', 'unmatched', 'discarded', 'assigned', 'error'][doc_id % 7 + 1] AS status,
+    CASE WHEN doc_id % 7 IN (2, 5) THEN doc_id % 90 END AS ticket_id, CASE WHEN doc_id % 7 IN (2, 5) THEN doc_id % 90 * 1000 + doc_id % 5 END AS beat_id,
+    (doc_id % 100) / 100.0 AS confidence FROM documents)""",
     "sents": """
 flagged AS (SELECT *, lead(start_ms) OVER p - end_ms AS gap, row_number() OVER p AS rn,
     sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY project_id) AS terminals, count(*) OVER (PARTITION BY project_id) AS total

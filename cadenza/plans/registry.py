@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.plans import engagement
+from cadenza.plans import engagement, lifecycle
 
 FLAGSHIP = "insights_by_platform"
-MODULES = [engagement]
+MODULES = [engagement, lifecycle]
 
 
 def queries() -> dict:

@@ -114,7 +114,7 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn % 3 == 0, F.substring(t, 1, 30)).otherwise(F.when(turn % 5 == 4, " ").otherwise(t)).alias("caption"),
         F.when((F.col("role") == "user") | (F.col("conv_id") % 3 == 0), F.concat(F.lit("clip"), turn)).otherwise("").alias("clip_path"),
         F.when(turn % 3 == 0, F.concat(F.lit("vo"), turn)).alias("voiceover_path"),
-        t.rlike("[0-9]").alias("is_proof_beat"),
+        (t.rlike("[0-9]") | (turn % 6 == 5)).alias("is_proof_beat"),
     )
 
 
@@ -153,3 +153,19 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in order, a track for each label."""
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("frame"), F.col("embedding").alias("hist"))
+
+
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded take for each document."""
+    i = F.col("doc_id")
+    assigned = (i % 7).isin(2, 5)
+    return table(spark, sf_dir, "documents").select(
+        i.alias("id"),
+        F.concat(F.lit("take"), i, F.lit(".mov")).alias("filename"),
+        F.col("n_chars").alias("mtime"),
+        F.col("text").alias("transcript"),
+        pick(["uploaded", "transcribing", "matched", "unmatched", "discarded", "assigned", "error"], i).alias("status"),
+        F.when(assigned, i % 90).alias("ticket_id"),
+        F.when(assigned, i % 90 * 1000 + i % 5).alias("beat_id"),
+        ((i % 100) / 100.0).alias("confidence"),
+    )
