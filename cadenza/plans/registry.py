@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.plans import engagement, lifecycle
+from cadenza.plans import engagement, lifecycle, transcripts
 
 FLAGSHIP = "insights_by_platform"
-MODULES = [engagement, lifecycle]
+MODULES = [engagement, lifecycle, transcripts]
 
 
 def queries() -> dict:
