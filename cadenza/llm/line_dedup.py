@@ -9,7 +9,7 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
 2. Equal sets become one, represented by their first line; later ones are decided there.
 3. Each set has rows for its prefix: size - ceil(t * size) + 1 of its rarest tokens. Sets that reach the threshold share
    a prefix token. Rows that have a partner under a token's key within the length filter, the positional filter and a
-   64-bit signature's lower bound of the difference are kept by one semi-join, which writes no pairs.
+   96-bit signature's lower bound of the difference are kept by one semi-join, which writes no pairs.
 4. Among these few, each set is first compared with the first set of its key and size, so a group of near copies is
    decided by pairs as many as its rows; the sets still open are compared with all earlier partners. Both
    verify Jaccard on the words themselves.
@@ -65,8 +65,14 @@ def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
     keyed = lines_of(docs).select("*", counters).select("doc_id", "text_key", "line_no", F.sort_array(F.transform(hashed, key)).alias("keys"))
     n = F.size("keys")
     prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    signature = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    return keyed.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("size"), signature.alias("sig"), F.slice("keys", 1, prefix).alias("prefix"))
+
+    # 96 bits: a quarter of the keys set one of 32, the others one of 64
+    fourth = lambda k: k.bitwiseAND(192) == 0
+    bit = lambda k, most: F.call_function("shiftleft", F.lit(1).cast("long" if most == 63 else "int"), k.bitwiseAND(most).cast("int"))
+    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(fourth(k), a).otherwise(a.bitwiseOR(bit(k, 63))))
+    sig2 = F.aggregate("keys", F.lit(0).cast("int"), lambda a, k: F.when(fourth(k), a.bitwiseOR(bit(k, 31))).otherwise(a))
+    keys32 = F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return keyed.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("size"), sig.alias("sig"), sig2.alias("sig2"), keys32.alias("prefix"))
 
 
 def partners(x: str, y: str, threshold: float) -> Column:
@@ -74,7 +80,7 @@ def partners(x: str, y: str, threshold: float) -> Column:
     a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
     need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
     room = F.lit(1) + F.least(a - F.col(f"{x}.pos") - 1, b - F.col(f"{y}.pos") - 1)
-    differ = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
+    differ = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) + F.bit_count(F.col(f"{x}.sig2").bitwiseXOR(F.col(f"{y}.sig2")).cast("long").bitwiseAND(0xFFFFFFFF))
     return (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (room >= need) & (differ <= a + b - 2 * need)
 
 
@@ -91,27 +97,28 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go; docs has doc_id and text."""
     lines = stored(sets_of(docs, threshold), "lines").where("size > 0")
-    grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    light = grouped.select("at.doc_id", "at.line_no", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
+    grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
+    light = grouped.select("at.doc_id", "at.line_no", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
     other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no"))
     met = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
     met = stored(met, "met")
 
     places = checkpointed(met.select("doc_id", "line_no").distinct())
     wanted = small(places, broadcast_rows)
-    words = F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")
-    sets = stored(lines_of(docs).join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", words).dropDuplicates(["doc_id", "line_no"]), "words")
+    whose = small(checkpointed(places.select("doc_id").distinct()), broadcast_rows)
+    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").dropDuplicates(["doc_id", "line_no"]), "words")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """(doc_id, line_no) of the pairs' x whose words reach the threshold."""
-        left = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("words").alias("x_words"))
-        right = sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("words").alias("y_words"))
+        left = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("line").alias("x_text"))
+        right = sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y_text"))
         both = pairs.distinct().join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"])
-        shared = F.size(F.array_intersect("x_words", "y_words"))
-        return both.where(shared >= (F.size("x_words") + F.size("y_words") - shared) * threshold - 1e-9).select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
+        x, y = (F.array_distinct(F.array_remove(words_of(c), "")) for c in ("x_text", "y_text"))
+        shared, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+        return both.where(shared >= union * threshold - 1e-9).select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
 
     names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
-    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "pos", "sig")).alias("h")).select("key", "size", "h.*")
+    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "pos", "sig", "sig2")).alias("h")).select("key", "size", "h.*")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
     first = checkpointed(similar(met.alias("x").join(heads.alias("y"), same & earlier("x", "y") & partners("x", "y", threshold)).select(names)))
     still = met.join(first, ["doc_id", "line_no"], "left_anti")
