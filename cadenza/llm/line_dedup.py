@@ -133,27 +133,29 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int =
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs and `_lines`, `_removed`, `_kept`: line numbers that go, and the text without them."""
+    """All rows of docs: their columns in a struct `row`, the line numbers that go in `gone`, and the text without them in `kept`."""
     gone = removed_lines(id_and_text(docs, id_col, text_col), threshold, broadcast_rows)
-    by_doc = stored(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("_gone")), "gone").withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(small(by_doc, broadcast_rows), (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_gone", k)), "\n")
-    return joined.withColumn("_kept", F.when(F.col("_gone").isNull(), text).otherwise(kept))
+    by_doc = stored(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    joined = rows.join(small(by_doc, broadcast_rows), (F.col("row")[id_col].cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("gone", k)), "\n")
+    return joined.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept"))
 
 
 def drop_similar_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with texts without the lines that go; an untouched text stays as it is."""
     out = deduplicated(docs, threshold, broadcast_rows, id_col, text_col)
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.col("_kept")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    row = F.col("row")
+    return out.select(*[F.when(F.col("gone").isNull(), row[c]).otherwise(F.col("kept")).alias(c) if c == text_col else row[c].alias(c) for c in docs.columns])
 
 
 def line_digests(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, n_lines, n_removed and kept_sha256."""
     plain = id_and_text(docs, id_col, text_col)
     out = deduplicated(plain, threshold, broadcast_rows)
-    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return out.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    n = F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1
+    return out.select("row.doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: The same rows in DuckDB: equal sets by their sorted tokens, candidates by prefixes in order of document frequency.

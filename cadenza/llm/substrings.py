@@ -166,8 +166,8 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     every, found = repeated_windows(docs, window, id_col, text_col)
     emptied = every.where(F.col("is_copy") & (F.col("n_words") >= window)).select("doc_id", *KEYS, F.lit("").alias("kept_text"))
     changed = rewritten(found, window).select("doc_id", *KEYS, "kept_text").unionByName(emptied).dropDuplicates(["doc_id", *KEYS])
-    own = {"doc_id": "_id", "kept_text": "_kept", **{k: f"_{k}" for k in KEYS}}
-    changed = changed.withColumnsRenamed(own)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    on = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_h1")) & (F.hash(text) == F.col("_h2")) & (F.octet_length(text) == F.col("_n_bytes"))
-    return docs.join(changed, on, "left").select(*[F.coalesce("_kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    row = F.col("row")
+    text = F.coalesce(row[text_col].cast("string"), F.lit(""))
+    on = (row[id_col].cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("h1")) & (F.hash(text) == F.col("h2")) & (F.octet_length(text) == F.col("n_bytes"))
+    joined = docs.select(F.struct("*").alias("row")).join(changed, on, "left")
+    return joined.select(*[F.coalesce("kept_text", row[c]).alias(c) if c == text_col else row[c].alias(c) for c in docs.columns])

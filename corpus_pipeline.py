@@ -7,7 +7,6 @@ one's docs. All but the last keep the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadenza.llm import line_dedup, packing, quality, simhash, substrings
 from cadenza.llm.queries import WORD_MODEL, table, tokenizer_file
@@ -26,8 +25,8 @@ def drop_similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the row with the smallest doc_id; rows without a doc_id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    found = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
