@@ -12,9 +12,13 @@ blocks is compared in one task, with counts written, not pairs. Every pair found
 Ranks in the order come from range partitions and their sizes (a row each at the driver). Passes are parts of
 one sort, and a label that a third of the rows have is ranges of that sort like any other.
 
+Equal vectors of a label are one from the start, with the number of their ids, so copies aren't compared with each
+other; each id gets what its vector gets.
+
 Vectors that are null, zero, hold null or non-finite components, or have a null label link with nothing, and so do vectors of
-different lengths. Null ids are returned with no links and a null component. Rows that repeat an id link as rows; each gets its links
-to rows of other ids, and the component of its id.
+different lengths. Null ids are returned with no links and a null component. Rows that repeat id, label and vector
+count once. An id with several vectors links as each of them, never with itself; its rows get the largest number of
+links and the smallest component of these.
 """
 
 from __future__ import annotations
@@ -129,11 +133,11 @@ def links(rows: DataFrame, threshold: float, passes: int, window: int, bits: int
 
 
 def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """(id, n_links): exact numbers of close pairs inside each component; members has component, label, id and v."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("id"), "n").cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
-    dealt = members.join(sizes, "component").withColumn("own", own).withColumn("pair", F.explode(pairs)).select("component", "label", "id", "v", "own", "pair.i", "pair.j")
+    """(id, n_links): exact numbers of close pairs inside each component; members has component, label, id, v and n, the ids it stands for."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
+    dealt = members.join(sizes, "component").withColumn("own", own).withColumn("pair", F.explode(pairs)).select("component", "label", "id", "v", "n", "own", "pair.i", "pair.j")
 
     def compare(key, frame):
         import pandas as pd
@@ -144,20 +148,28 @@ def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> Data
             near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
             if key[1] != key[2]:  # pairs within a block are counted where i = j
                 near &= own_block[:, None] != own_block[None, :]
-            counts.append(pd.DataFrame({"id": ids, "n": near.sum(1)}))
-        return pd.concat(counts).astype({"id": "int64", "n": "int64"})
+            counts.append(pd.DataFrame({"id": ids, "links": near @ part["n"].to_numpy()}))
+        return pd.concat(counts).astype({"id": "int64", "links": "int64"})
 
-    found = dealt.groupBy("component", "i", "j").applyInPandas(compare, "id long, n long")
-    return found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    found = dealt.groupBy("component", "i", "j").applyInPandas(compare, "id long, links long")
+    return found.groupBy("id").agg(F.sum("links").alias("n_links"))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, window: int = 64, bits: int = 24, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row vec_id, n_links, component_id and kept."""
-    fine = usable(rows, id_col, vec_col, (F.col(label_col).alias("label"),)).where("label is not null")
-    fine = fine.select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dims"), "label")
-    found = components(checkpointed(links(fine, threshold, passes, window, bits, seed)))
-    members = fine.join(found.withColumnRenamed("node", "id"), "id").select("component", "label", "id", "v")
-    told = found.join(link_counts(members, threshold).withColumnRenamed("id", "node"), "node", "left").withColumnsRenamed({"node": "_node", "component": "_component"})
-    out = rows.select(F.col(id_col).cast("long").alias("vec_id")).join(told, F.col("vec_id") == F.col("_node"), "left")
-    component = F.coalesce("_component", "vec_id")
+    key = ["label", "dims", "h1", "h2"]  # equal for equal vectors of a label only, but for a chance below 2 to the -96 for any two
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"dims": F.size("v"), "h1": F.xxhash64("v"), "h2": F.hash("v")})
+
+    plain = usable(rows, id_col, vec_col, (F.col(label_col).alias("label"),)).where("label is not null")
+    fine = keyed(plain.select(F.col("vec_id").alias("id"), "label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))  # no -0.0
+    distinct = stored(fine.groupBy(key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count_distinct("id").alias("n")), "vectors")
+    found = components(checkpointed(links(distinct.select("id", "v", "dims", "label"), threshold, passes, window, bits, seed))).withColumnRenamed("node", "id")
+    others = link_counts(distinct.join(found, "id").select("component", "label", "id", "v", "n"), threshold)
+    told = distinct.select(*key, "id", "n").join(found, "id", "left").join(others, "id", "left")
+    told = checkpointed(told.select(*key, (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    each = fine.select("id", *key).join(told, key).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
+    out = rows.select(F.col(id_col).cast("long").alias("vec_id")).join(each, F.col("vec_id") == F.col("id"), "left")
+    component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
