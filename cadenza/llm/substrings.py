@@ -105,6 +105,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
     anchored = id_and_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(anchors, "doc_id long, hash long")
     shared = anchored.groupBy("hash").count().where("count > 1").select("hash")  # of one document only: harmless
+    shared = stored(shared, "shared")  # apart from the join, whose hot hashes can be split then
     marked = anchored.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     sources = firsts.select(*KEYS, F.col("first_id").alias("doc_id"))
     wanted = stored(marked.join(sources, "doc_id"), "anchors")
@@ -122,6 +123,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
     placed = candidates.select("row", "text", "doc_id", "hashes").mapInArrow(windows, "row long, pos int, hash long, doc_id long")
     smallest = placed.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+    smallest = stored(smallest, "smallest")
     repeats = placed.join(smallest, "hash").where("least < doc_id").groupBy("row").agg(F.collect_list("pos").alias("starts"))
     return every, candidates.join(repeats, "row").select("doc_id", *KEYS, "text", "starts")
 
