@@ -134,7 +134,8 @@ def links(rows: DataFrame, threshold: float, passes: int, window: int, bits: int
 
 def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """(id, n_links): exact numbers of close pairs inside each component; members has component, label, id, v and n, the ids it stands for."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # stored apart from the join, so a hot component's rows can be split there
+    sizes = checkpointed(members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
     dealt = members.join(sizes, "component").withColumn("own", own).withColumn("pair", F.explode(pairs)).select("component", "label", "id", "v", "n", "own", "pair.i", "pair.j")
