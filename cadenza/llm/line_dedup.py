@@ -11,8 +11,8 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
    a prefix token. Rows that have a partner under a token's key within the length filter, the positional filter and a
    96-bit signature's lower bound of the difference are kept by one semi-join, which writes no pairs.
 4. Among these few, each set is first compared with the first set of its key and size, so a group of near copies is
-   decided by pairs as many as its rows; the sets still open are compared with all earlier partners. Both
-   verify Jaccard on the words themselves.
+   decided by pairs as many as its rows; the sets still open are compared with all earlier partners,
+   by the hashes of all their words inside the join. What passes is verified on the words themselves.
 
 Hashes choose candidates and tell equal sets (96 bits); similarity is always verified on words. Small sides are
 broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
@@ -122,7 +122,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int =
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
     first = checkpointed(similar(met.alias("x").join(heads.alias("y"), same & earlier("x", "y") & partners("x", "y", threshold)).select(names)))
     still = met.join(first, ["doc_id", "line_no"], "left_anti")
-    rest = similar(still.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)).select(names))
+    # the words' hashes go with both sides, so only pairs that all but surely reach the threshold leave the join
+    words = sets.select("doc_id", "line_no", F.transform(F.array_distinct(F.array_remove(words_of("line"), "")), lambda w: F.xxhash64(w)).alias("words"))
+    x, y = still.join(words, ["doc_id", "line_no"]).alias("x"), met.join(words, ["doc_id", "line_no"]).alias("y")
+    reached = F.size(F.array_intersect("x.words", "y.words")) * (1 + threshold) >= (F.size("x.words") + F.size("y.words")) * threshold - 1e-6
+    rest = similar(x.join(y, (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold) & reached).select(names))
     gone = checkpointed(first.unionByName(rest))
 
     at = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("h1", "h2", "size", "at")
