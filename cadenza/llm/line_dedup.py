@@ -12,7 +12,7 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
    96-bit signature's lower bound of the difference are kept by one semi-join, which writes no pairs.
 4. Among these few, each set is first compared with the first set of its key and size, so a group of near copies is
    decided by pairs as many as its rows; the sets still open are compared with all earlier partners,
-   by the hashes of all their words inside the join. What passes is verified on the words themselves.
+   by the hashes of all their words. What passes is verified on the words themselves.
 
 Hashes choose candidates and tell equal sets (96 bits); similarity is always verified on words. Small sides are
 broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
@@ -106,27 +106,26 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int =
     places = checkpointed(met.select("doc_id", "line_no").distinct())
     wanted = small(places, broadcast_rows)
     whose = small(checkpointed(places.select("doc_id").distinct()), broadcast_rows)
-    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").dropDuplicates(["doc_id", "line_no"]), "words")
+    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")).dropDuplicates(["doc_id", "line_no"]), "words")
+
+    def close(pairs: DataFrame, value: Column) -> DataFrame:
+        """The pairs whose values, arrays without repeats, reach the threshold."""
+        sides = [sets.select(F.col("doc_id").alias(f"{c}_doc"), F.col("line_no").alias(f"{c}_line"), value.alias(c)) for c in "xy"]
+        both = pairs.join(sides[0], ["x_doc", "x_line"]).join(sides[1], ["y_doc", "y_line"])
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.withColumn("shared", shared).where(F.col("shared") >= (F.size("x") + F.size("y") - F.col("shared")) * threshold - 1e-9).select(*pairs.columns)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """(doc_id, line_no) of the pairs' x whose words reach the threshold."""
-        left = sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("line").alias("x_text"))
-        right = sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y_text"))
-        both = pairs.distinct().join(left, ["x_doc", "x_line"]).join(right, ["y_doc", "y_line"])
-        x, y = (F.array_distinct(F.array_remove(words_of(c), "")) for c in ("x_text", "y_text"))
-        shared, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-        return both.where(shared >= union * threshold - 1e-9).select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
+        """(doc_id, line_no) of the pairs' x that reach the threshold: by the hashes of all words, and what passes by the words."""
+        likely = close(pairs.distinct(), F.transform("words", lambda w: F.xxhash64(w)))
+        return close(likely, F.col("words")).select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
 
     names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
     heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "pos", "sig", "sig2")).alias("h")).select("key", "size", "h.*")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
     first = checkpointed(similar(met.alias("x").join(heads.alias("y"), same & earlier("x", "y") & partners("x", "y", threshold)).select(names)))
     still = met.join(first, ["doc_id", "line_no"], "left_anti")
-    # the words' hashes go with both sides, so only pairs that all but surely reach the threshold leave the join
-    words = sets.select("doc_id", "line_no", F.transform(F.array_distinct(F.array_remove(words_of("line"), "")), lambda w: F.xxhash64(w)).alias("words"))
-    x, y = still.join(words, ["doc_id", "line_no"]).alias("x"), met.join(words, ["doc_id", "line_no"]).alias("y")
-    reached = F.size(F.array_intersect("x.words", "y.words")) * (1 + threshold) >= (F.size("x.words") + F.size("y.words")) * threshold - 1e-6
-    rest = similar(x.join(y, (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold) & reached).select(names))
+    rest = similar(still.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)).select(names))
     gone = checkpointed(first.unionByName(rest))
 
     at = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("h1", "h2", "size", "at")
