@@ -111,7 +111,7 @@ QUERIES = {
     "vocab_containment": lambda s, d: m.bounded_pairs(takes(s, d), lines(s, d), 0.0).where("containment >= 0.5").select("take_id", "line_id", "containment"),
     "match_score": scores,
     "assign_takes": lambda s, d: m.assign(scores(s, d), batch()),
-    "leftover_beats": lambda s, d: m.leftovers(takes(s, d), m.bounded_pairs(takes(s, d), lines(s, d)), batch()),
+    "leftover_beats": lambda s, d: m.leftovers(takes(s, d), m.assign(scores(s, d), batch()), batch()),
     "align_words": align,
     "shot_cuts": lambda s, d: m.shot_cuts(b.frames(s, d)),
     "text_em": lambda s, d: b.beats(s, d).select("id", layout.text_em(F.col("spoken_line")).cast("long").alias("em")),
