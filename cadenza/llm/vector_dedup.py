@@ -5,6 +5,10 @@ ordered lexicographically by it. Each vector is compared with the `window` vecto
 reaches the threshold are verified in double precision, and of each block of neighbours only a forest of them is written.
 The union over all passes gives the components.
 
+The number of passes grows with the vectors of the largest label, as the leading bits that a pair must share to come
+within a window do. It is set so that an isolated pair at the threshold itself is expected to be found with
+probability `recall` at any size, where the label's vectors are spread evenly over directions; `passes` is the least.
+
 The window bounds candidates, so a vector with more near copies than that would miss links in its count. Therefore
 a second step counts links exactly inside each component: its members are dealt into blocks, and each pair of
 blocks is compared in one task, with counts written, not pairs. Every pair found in a pass is inside a component.
@@ -23,6 +27,7 @@ links and the smallest component of these.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +46,16 @@ def unit_rows(vectors: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def needed_passes(size: int, threshold: float, window: int, recall: float) -> int:
+    """Passes in which a pair at the threshold, alone among `size` spread vectors, comes within a window with probability `recall`.
+
+    The two agree in a bit with 1 - angle / pi, and share a window once they agree in the leading bits that leave `window` vectors.
+    """
+    leading = math.log2(max(size / window, 1.0))
+    once = (1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi) ** leading
+    return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log(1 - once))
+
+
 def projected(rows: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     """(pass, label, dims, code, id, v): a row for each vector and pass."""
 
@@ -156,8 +171,8 @@ def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> Data
     return found.groupBy("id").agg(F.sum("links").alias("n_links"))
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, window: int = 64, bits: int = 24, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """Per row vec_id, n_links, component_id and kept."""
+def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, window: int = 64, bits: int = 24, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.99) -> DataFrame:
+    """Per row vec_id, n_links, component_id and kept; `recall` below 1 is that of isolated pairs at the threshold."""
     key = ["label", "dims", "h1", "h2"]  # equal for equal vectors of a label only, but for a chance below 2 to the -96 for any two
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -166,6 +181,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, win
     plain = usable(rows, id_col, vec_col, (F.col(label_col).alias("label"),)).where("label is not null")
     fine = keyed(plain.select(F.col("vec_id").alias("id"), "label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))  # no -0.0
     distinct = stored(fine.groupBy(key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count_distinct("id").alias("n")), "vectors")
+    largest = distinct.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
+    passes = max(passes, needed_passes(largest, threshold, window, recall))
+    bits = min(max(bits, math.ceil(math.log2(max(largest / window, 1.0))) + 8), 62)  # enough to tell windows apart
     found = components(checkpointed(links(distinct.select("id", "v", "dims", "label"), threshold, passes, window, bits, seed))).withColumnRenamed("node", "id")
     others = link_counts(distinct.join(found, "id").select("component", "label", "id", "v", "n"), threshold)
     told = distinct.select(*key, "id", "n").join(found, "id", "left").join(others, "id", "left")
