@@ -18,7 +18,7 @@ Hashes choose candidates and tell equal sets (96 bits); similarity is always ver
 broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
 
 Null text: empty, one line without tokens. A null doc_id's lines all stay and remove none. Rows that repeat an id count as one
-document: lines at the same place aren't compared. Other columns aren't read.
+document: lines at the same place aren't compared, but where their texts differ, each line is decided by its own words. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -97,41 +97,45 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go; docs has doc_id and text."""
     lines = stored(sets_of(docs, threshold), "lines").where("size > 0")
-    grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
-    light = grouped.select("at.doc_id", "at.line_no", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
+    grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("at"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
+    light = grouped.select("at.doc_id", "at.text_key", "at.line_no", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
     other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no"))
     met = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
     met = stored(met, "met")
 
-    places = checkpointed(met.select("doc_id", "line_no").distinct())
+    place = ["doc_id", "text_key", "line_no"]
+    places = checkpointed(met.select(place).distinct())
     wanted = small(places, broadcast_rows)
     whose = small(checkpointed(places.select("doc_id").distinct()), broadcast_rows)
-    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")).dropDuplicates(["doc_id", "line_no"]), "words")
+    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, place).select(*place, F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")).dropDuplicates(place), "words")
 
     def close(pairs: DataFrame, value: Column) -> DataFrame:
         """The pairs whose values, arrays without repeats, reach the threshold."""
-        sides = [sets.select(F.col("doc_id").alias(f"{c}_doc"), F.col("line_no").alias(f"{c}_line"), value.alias(c)) for c in "xy"]
-        both = pairs.join(sides[0], ["x_doc", "x_line"]).join(sides[1], ["y_doc", "y_line"])
+        sides = [sets.select(F.col("doc_id").alias(f"{c}_doc"), F.col("text_key").alias(f"{c}_text"), F.col("line_no").alias(f"{c}_line"), value.alias(c)) for c in "xy"]
+        both = pairs.join(sides[0], ["x_doc", "x_text", "x_line"]).join(sides[1], ["y_doc", "y_text", "y_line"])
         shared = F.size(F.array_intersect("x", "y"))
         return both.withColumn("shared", shared).where(F.col("shared") >= (F.size("x") + F.size("y") - F.col("shared")) * threshold - 1e-9).select(*pairs.columns)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """(doc_id, line_no) of the pairs' x that reach the threshold: by the hashes of all words, and what passes by the words."""
+        """(doc_id, text_key, line_no) of the pairs' x that reach the threshold: by the hashes of all words, and what passes by the words."""
         likely = close(pairs.distinct(), F.transform("words", lambda w: F.xxhash64(w)))
-        return close(likely, F.col("words")).select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
+        return close(likely, F.col("words")).select(F.col("x_doc").alias("doc_id"), F.col("x_text").alias("text_key"), F.col("x_line").alias("line_no")).distinct()
 
-    names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
-    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "pos", "sig", "sig2")).alias("h")).select("key", "size", "h.*")
+    names = [F.col(f"{c}.{k}").alias(f"{c}_{n}") for c in "xy" for k, n in zip(place, ("doc", "text", "line"), strict=True)]
+    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key", "pos", "sig", "sig2")).alias("h")).select("key", "size", "h.*")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
     first = checkpointed(similar(met.alias("x").join(heads.alias("y"), same & earlier("x", "y") & partners("x", "y", threshold)).select(names)))
-    still = met.join(first, ["doc_id", "line_no"], "left_anti")
+    still = met.join(first, place, "left_anti")
     rest = similar(still.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)).select(names))
     gone = checkpointed(first.unionByName(rest))
 
-    at = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("h1", "h2", "size", "at")
-    told = lines.select("doc_id", "text_key", "line_no", "h1", "h2", "size").join(at, ["h1", "h2", "size"])
-    later = told.where(F.struct("doc_id", "line_no") != F.col("at")).select("doc_id", "text_key", "line_no")
-    own = told.where(F.struct("doc_id", "line_no") == F.col("at")).select("doc_id", "text_key", "line_no").join(gone, ["doc_id", "line_no"]).select("doc_id", "text_key", "line_no")
+    at = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("at")).select("h1", "h2", "size", "at")
+    told = lines.select(*place, "h1", "h2", "size").join(at, ["h1", "h2", "size"])
+    foremost = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("line_no") == F.col("at.line_no"))
+    later = told.where(~foremost).select(place)
+    # equal lines at one place of several texts of an id are decided as their representative
+    decided = gone.select(F.struct("doc_id", "line_no", "text_key").alias("at"))
+    own = told.where(foremost).join(decided, "at").select(place)
     return later.unionByName(own)
 
 
