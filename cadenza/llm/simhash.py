@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
+from cadenza.llm.line_dedup import small
 from cadenza.llm.shared import checkpointed, id_and_text, stored
 
 
@@ -143,3 +144,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, blocks:
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(labels, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int = 6, bucket_rows: int = 20_000, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near copies the row with the smallest id, and all rows without an id; columns as in docs.
+
+    Rows are told by 96-bit hashes, fingerprints are the nodes: an id's rows with different texts are decided apart. Of
+    rows equal in id the one with the smallest hash stays, of wholly equal rows one.
+    """
+    key = ["doc_id", "h1", "h2"]
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"h1": F.xxhash64("row"), "h2": F.hash("row")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(t, width) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], [*key, "fp"])
+
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    given = rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), "h1", "h2", text.alias("text")).where("doc_id is not null")
+    prints = stored(given.mapInArrow(run, "doc_id long, h1 long, h2 int, fp long"), "prints")
+    nodes = checkpointed(prints.select("fp").distinct().withColumn("node", F.col("fp")))
+    found = components(links(nodes, distance, blocks, bucket_rows)).withColumnRenamed("node", "fp")
+    mine = prints.join(found, "fp", "left").select(*key, F.coalesce("component", "fp").alias("component"))
+    # stored apart from the join, so a hot component's rows can be split there
+    best = stored(mine.groupBy("component").agg(F.min(F.struct(*key)).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best"), "best")
+    told = mine.join(small(best, broadcast_rows), "component").groupBy(*key).agg(F.first(F.struct(*key) == F.col("best")).alias("first"), F.count("*").alias("n"))
+    told = stored(told.where("not first or n > 1").select(F.struct(*key).alias("key"), "first"), "told")
+    near = F.struct(F.col("row")[id_col].cast("long").alias("doc_id"), "h1", "h2") == F.col("key")
+    out = rows.join(small(told, broadcast_rows), near, "left_anti").select("row")
+    equal = told.where("first")
+    if not equal.isEmpty():
+        out = out.unionByName(rows.join(small(equal, broadcast_rows), near).groupBy("key").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
