@@ -8,14 +8,16 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
    so it may go to every task). A token's rarity is its counter; the order is by rarity, then hash.
 2. Equal sets become one, represented by their first line; later ones are decided there.
 3. Each set has rows for its prefix: size - ceil(t * size) + 1 of its rarest tokens. Sets that reach the threshold share
-   a prefix token. Rows that have a partner under a token's key within the length filter, the positional filter and a
-   96-bit signature's lower bound of the difference are kept by one semi-join, which writes no pairs.
-4. Among these few, each set is first compared with the first set of its key and size, so a group of near copies is
-   decided by pairs as many as its rows; the sets still open are compared with all earlier partners,
-   by the hashes of all their words. What passes is verified on the words themselves.
+   a prefix token. Rows that have a partner under a token's key within the length filter, the positional filter and
+   the parity bound below are kept by one semi-join of a table with itself, which writes no pairs and reads one shuffle twice.
+   The parity of a set has one bit for each of 64 classes of tokens, set where the set has an odd number of them, so two
+   sets differ in at least as many tokens as their parities do in bits.
+4. Only the sets among these few are looked up in the texts again. Each is first compared with one partner, the
+   likeliest of the first sets of its keys and sizes, so a group of near copies is decided by as many pairs as it has sets.
+   Sets still open are compared with all earlier partners. Every comparison is of the words themselves.
 
-Hashes choose candidates and tell equal sets (96 bits); similarity is always verified on words. Small sides are
-broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
+Hashes choose candidates and tell equal sets (64 bits of a hash, 64 of parity, and the size); similarity is always verified
+on words. Small sides are broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
 
 Null text: empty, one line without tokens. A null doc_id's lines all stay and remove none. Rows that repeat an id count as one
 document: lines at the same place aren't compared, but where their texts differ, each line is decided by its own words. Other columns aren't read.
@@ -23,14 +25,14 @@ document: lines at the same place aren't compared, but where their texts differ,
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import checkpointed, id_and_text, stored
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
+PLACE = ["doc_id", "text_key", "line_no"]
+SET = ["sid", "size", "parity"]
 
 
 def words_of(line: Column) -> Column:
@@ -41,47 +43,44 @@ def rarity(docs: DataFrame) -> DataFrame:
     """One row with an array of COUNTERS numbers: twice the binary logarithm of the tokens counted in each."""
     token = F.explode(words_of(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("token")
     counted = docs.select(token).where("token <> ''").groupBy(F.xxhash64("token").bitwiseAND(COUNTERS - 1).alias("k")).count()
-    found = {r[0]: r[1] for r in counted.collect()}  # at most COUNTERS rows
-    classes = bytearray(int(2 * math.log2(found[k] + 1)) if k in found else 0 for k in range(COUNTERS))
-    return checkpointed(docs.sparkSession.createDataFrame([(list(classes),)], "classes array<tinyint>"))
+    every = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("k")).join(counted, "k", "left")
+    ranked = every.select("k", F.floor(2 * F.log2(F.coalesce("count", F.lit(0)) + 1)).cast("tinyint").alias("c"))
+    in_order = F.sort_array(F.collect_list(F.struct("k", "c")))  # of COUNTERS entries, whatever the documents
+    return checkpointed(ranked.agg(F.transform(in_order, lambda x: x["c"]).alias("classes")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line) of texts with ids."""
-    split = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
-    """A row for each line with tokens: its place, the hashes of its set, size, signature and prefix keys."""
+    """A row for each line with its place, its set's hash, size and parity, and its prefix's keys."""
     classes = F.col("classes")
-
-    def key(h: Column) -> Column:
-        return F.shiftleft(classes[h.bitwiseAND(COUNTERS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
     none = F.xxhash64(F.lit(""))  # of no word
     hashed = F.array_remove(F.array_distinct(F.transform(words_of("line"), lambda t: F.xxhash64(t))), none)
+    ranked = lambda h: F.shiftleft(classes[h.bitwiseAND(COUNTERS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     counters = rarity(docs).scalar().alias("classes")  # a scalar subquery: evaluated once, and no part of the rows
-    keyed = lines_of(docs).select("*", counters).select("doc_id", "text_key", "line_no", F.sort_array(F.transform(hashed, key)).alias("keys"))
+    keyed = lines_of(docs).select("*", counters).select(*PLACE, F.sort_array(F.transform(hashed, ranked)).alias("keys"))
     n = F.size("keys")
-    prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    prefix = F.slice("keys", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    short = F.transform(prefix, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return keyed.select(*PLACE, F.xxhash64("keys").alias("sid"), n.alias("size"), parity.alias("parity"), short.alias("prefix"))
+
 
-    # 96 bits: a quarter of the keys set one of 32, the others one of 64
-    fourth = lambda k: k.bitwiseAND(192) == 0
-    bit = lambda k, most: F.call_function("shiftleft", F.lit(1).cast("long" if most == 63 else "int"), k.bitwiseAND(most).cast("int"))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(fourth(k), a).otherwise(a.bitwiseOR(bit(k, 63))))
-    sig2 = F.aggregate("keys", F.lit(0).cast("int"), lambda a, k: F.when(fourth(k), a.bitwiseOR(bit(k, 31))).otherwise(a))
-    keys32 = F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return keyed.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("h1"), F.hash("keys").alias("h2"), n.alias("size"), sig.alias("sig"), sig2.alias("sig2"), keys32.alias("prefix"))
+def differing(x: str, y: str) -> Column:
+    """At least so many tokens are in one of the two sets only."""
+    return F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
 
 
 def partners(x: str, y: str, threshold: float) -> Column:
-    """Length filter, positional filter and the signatures' bound, symmetric in x and y."""
+    """Length filter, positional filter and the parities' bound, symmetric in x and y."""
     a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
     need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
     room = F.lit(1) + F.least(a - F.col(f"{x}.pos") - 1, b - F.col(f"{y}.pos") - 1)
-    differ = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) + F.bit_count(F.col(f"{x}.sig2").bitwiseXOR(F.col(f"{y}.sig2")).cast("long").bitwiseAND(0xFFFFFFFF))
-    return (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (room >= need) & (differ <= a + b - 2 * need)
+    return (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (room >= need) & (differing(x, y) <= a + b - 2 * need)
 
 
 def earlier(x: str, y: str) -> Column:
@@ -90,62 +89,74 @@ def earlier(x: str, y: str) -> Column:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; df is a stored table, so counting is cheap."""
+    """df, to be broadcast if it has at most so many rows, all of fixed width; df is a stored table, so counting is cheap."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def similar_sets(sets: DataFrame, docs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
+    """SET and PLACE of the sets that are similar to an earlier one; `sets` has a row for each set with its first place."""
+    light = sets.select(*SET, F.posexplode("prefix").alias("pos", "key"))
+    other = (F.col("x.sid") != F.col("y.sid")) | (F.col("x.parity") != F.col("y.parity"))
+    found = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
+    found = stored(found, "met")
+
+    among = small(checkpointed(found.select(SET).distinct()), broadcast_rows)
+    placed = checkpointed(sets.select(*SET, *PLACE).join(among, SET, "left_semi"))
+    wanted = small(placed, broadcast_rows)
+    met = found.join(wanted, SET)
+    whose = small(checkpointed(placed.select("doc_id").distinct()), broadcast_rows)
+    words = F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")
+    looked_up = lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, PLACE).select(*SET, words)
+    values = stored(looked_up.dropDuplicates(SET), "words")
+
+    def sides(name: str) -> DataFrame:
+        return values.select(*[F.col(c).alias(f"{name}_{c}") for c in SET], F.col("words").alias(name))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """SET of the pairs' x whose words reach the threshold with y's."""
+        both = pairs.join(sides("x"), [f"x_{c}" for c in SET]).join(sides("y"), [f"y_{c}" for c in SET])
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = shared >= (F.size("x") + F.size("y") - shared) * threshold - 1e-9
+        return both.where(alike).select([F.col(f"x_{c}").alias(c) for c in SET]).distinct()
+
+    of = lambda side: [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in SET]
+    candidate = (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)
+    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "sid", "parity", "pos")).alias("h")).select("key", "size", "h.*")
+    likely = met.alias("x").join(heads.alias("y"), candidate & (F.col("x.size") == F.col("y.size")))
+    best = F.min(F.struct(differing("x", "y").alias("d"), *of("y"))).alias("y")
+    one = likely.groupBy(of("x")).agg(best).select([f"x_{c}" for c in SET] + [f"y.y_{c}" for c in SET])
+    first = checkpointed(similar(one))
+    still = met.join(first, SET, "left_anti")
+    rest = similar(still.alias("x").join(met.alias("y"), candidate).select(*of("x"), *of("y")).distinct())
+    return placed.join(first.unionByName(rest), SET, "left_semi")
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go; docs has doc_id and text."""
     lines = stored(sets_of(docs, threshold), "lines").where("size > 0")
-    grouped = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("at"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
-    light = grouped.select("at.doc_id", "at.text_key", "at.line_no", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
-    other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no"))
-    met = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
-    met = stored(met, "met")
-
-    place = ["doc_id", "text_key", "line_no"]
-    places = checkpointed(met.select(place).distinct())
-    wanted = small(places, broadcast_rows)
-    whose = small(checkpointed(places.select("doc_id").distinct()), broadcast_rows)
-    sets = stored(lines_of(docs.join(whose, "doc_id", "left_semi")).join(wanted, place).select(*place, F.array_distinct(F.array_remove(words_of("line"), "")).alias("words")).dropDuplicates(place), "words")
-
-    def close(pairs: DataFrame, value: Column) -> DataFrame:
-        """The pairs whose values, arrays without repeats, reach the threshold."""
-        sides = [sets.select(F.col("doc_id").alias(f"{c}_doc"), F.col("text_key").alias(f"{c}_text"), F.col("line_no").alias(f"{c}_line"), value.alias(c)) for c in "xy"]
-        both = pairs.join(sides[0], ["x_doc", "x_text", "x_line"]).join(sides[1], ["y_doc", "y_text", "y_line"])
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.withColumn("shared", shared).where(F.col("shared") >= (F.size("x") + F.size("y") - F.col("shared")) * threshold - 1e-9).select(*pairs.columns)
+    at = F.min(F.struct("doc_id", "line_no", "text_key")).alias("at")
+    sets = stored(lines.groupBy(SET).agg(at, F.count("*").alias("n"), F.first("prefix").alias("prefix")).select(*SET, "at.*", "n", "prefix"), "sets")
+    gone = checkpointed(similar_sets(sets, docs, threshold, broadcast_rows))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """(doc_id, text_key, line_no) of the pairs' x that reach the threshold: by the hashes of all words, and what passes by the words."""
-        likely = close(pairs.distinct(), F.transform("words", lambda w: F.xxhash64(w)))
-        return close(likely, F.col("words")).select(F.col("x_doc").alias("doc_id"), F.col("x_text").alias("text_key"), F.col("x_line").alias("line_no")).distinct()
-
-    names = [F.col(f"{c}.{k}").alias(f"{c}_{n}") for c in "xy" for k, n in zip(place, ("doc", "text", "line"), strict=True)]
-    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key", "pos", "sig", "sig2")).alias("h")).select("key", "size", "h.*")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
-    first = checkpointed(similar(met.alias("x").join(heads.alias("y"), same & earlier("x", "y") & partners("x", "y", threshold)).select(names)))
-    still = met.join(first, place, "left_anti")
-    rest = similar(still.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)).select(names))
-    gone = checkpointed(first.unionByName(rest))
-
-    at = lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("at")).select("h1", "h2", "size", "at")
-    told = lines.select(*place, "h1", "h2", "size").join(at, ["h1", "h2", "size"])
-    foremost = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("line_no") == F.col("at.line_no"))
-    later = told.where(~foremost).select(place)
-    # equal lines at one place of several texts of an id are decided as their representative
-    decided = gone.select(F.struct("doc_id", "line_no", "text_key").alias("at"))
-    own = told.where(foremost).join(decided, "at").select(place)
-    return later.unionByName(own)
+    # a set's other lines go as equal to its first; those at the first one's own place, of another text of its id, go if that one does
+    named = [F.col(c).alias(f"at_{c}") for c in PLACE]
+    repeated = sets.where("n > 1").select(*SET, *named).join(gone.select(*SET, F.lit(True).alias("similar")), SET, "left")
+    copies = lines.select(*SET, *PLACE).join(small(checkpointed(repeated), broadcast_rows), SET)
+    same_place = (F.col("doc_id") == F.col("at_doc_id")) & (F.col("line_no") == F.col("at_line_no"))
+    first = same_place & (F.col("text_key") == F.col("at_text_key"))
+    return gone.select(PLACE).unionByName(copies.where(~first & (~same_place | F.col("similar").isNotNull())).select(PLACE))
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of docs: their columns in a struct `row`, the line numbers that go in `gone`, and the text without them in `kept`."""
     gone = removed_lines(id_and_text(docs, id_col, text_col), threshold, broadcast_rows)
     by_doc = stored(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
+    total = by_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if total[0] <= broadcast_rows and total[1] <= 8 * broadcast_rows:  # 20 bytes a document and 4 a line
+        by_doc = F.broadcast(by_doc)
     rows = docs.select(F.struct("*").alias("row"))
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
-    joined = rows.join(small(by_doc, broadcast_rows), (F.col("row")[id_col].cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left")
+    joined = rows.join(by_doc, (F.col("row")[id_col].cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("gone", k)), "\n")
     return joined.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept"))
 
