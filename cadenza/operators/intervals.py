@@ -1,8 +1,12 @@
-"""Algebra of ranges [a, b) in milliseconds, per key column. Joins always carry the key, so none is a bare range join."""
+"""Algebra of ranges [a, b) in milliseconds, per key column.
+
+Lookups by time (the range that holds a point, the step before it, the edge nearest to it) are running windows over one
+sorted union of both sides, so no key's rows are multiplied with each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,14 +20,23 @@ def merged(ranges: DataFrame, key: str = "project_id", touch: int = 1) -> DataFr
     return marked.withColumn("island", island).groupBy(key, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
+def total_ms(ranges: DataFrame, key: str = "project_id") -> DataFrame:
+    """Of each key the time that its ranges take, overlaps counted once."""
+    return merged(ranges, key).groupBy(key).agg(F.sum(F.col("b") - F.col("a")).alias("total_ms"))
+
+
 def kept(cuts: DataFrame, spans: DataFrame, key: str = "project_id") -> DataFrame:
-    """What is left of each key's span [lo, hi) after its cuts, with `base`: where it begins on the edited timeline."""
+    """What is left of each key's span [lo, hi) after its cuts, with `base`: where it begins on the edited timeline.
+
+    The gap before each cut, and after the last one what remains, come out of one row: no branch is read twice.
+    """
     inside = cuts.join(spans, key).select(key, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
     w = Window.partitionBy(key).orderBy("a")
     m = merged(inside, key, 0).join(spans, key, "right")
-    gaps = m.withColumn("from", F.coalesce(F.lag("b").over(w), F.col("lo"))).select(key, F.col("from").alias("a"), F.coalesce("a", "hi").alias("b"))
-    tail = m.groupBy(key, "hi").agg(F.max("b").alias("a")).where("a is not null").select(key, "a", F.col("hi").alias("b"))
-    out = gaps.unionByName(tail).where("b > a")
+    m = m.withColumns({"from": F.coalesce(F.lag("b").over(w), F.col("lo")), "last": F.lead("a").over(w).isNull()})
+    gap = F.struct(F.col("from").alias("a"), F.coalesce("a", "hi").alias("b"))
+    tail = F.struct(F.when(F.col("last"), F.col("b")).alias("a"), F.col("hi").alias("b"))
+    out = m.select(key, F.inline(F.array(gap, tail))).where("b > a")
     base = F.coalesce(F.sum(F.col("b") - F.col("a")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return out.withColumn("base", base)
 
@@ -44,20 +57,44 @@ def uncovered(ranges: DataFrame, covers: DataFrame, key: str = "project_id", sla
     return ranges.join(c, (F.col(key) == F.col("ck")) & (F.col("ca") <= F.col("a") + slack) & (F.col("cb") >= F.col("b") - slack), "left_anti")
 
 
+def inside_cuts(words: DataFrame, cuts: DataFrame, key: str = "project_id") -> DataFrame:
+    """Words with `cut`: whether they overlap a cut."""
+    ends = words.select(key, "idx", "start_ms", "end_ms", F.col("end_ms").alias("at"), F.lit(0).alias("is_range"), F.lit(None).cast("long").alias("b"))
+    starts = merged(cuts, key).select(key, F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.col("a").alias("at"), F.lit(1).alias("is_range"), "b")
+    # merged cuts end in the order they begin, so the last that begins before a word's end is the one to ask
+    w = Window.partitionBy(key).orderBy("at", "is_range").rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(starts).withColumn("until", F.last("b", ignorenulls=True).over(w))
+    return both.where("is_range = 0").select(key, "idx", F.coalesce(F.col("until") > F.col("start_ms"), F.lit(False)).alias("cut"))
+
+
 def remapped(words: DataFrame, segments: DataFrame, key: str = "project_id") -> DataFrame:
-    """Words on the edited timeline: each at its first kept overlap; words without one go."""
-    s = segments.select(F.col(key).alias("sk"), "a", "b", "base")
-    j = words.join(s, (F.col(key) == F.col("sk")) & (F.col("end_ms") > F.col("a")) & (F.col("start_ms") < F.col("b")))
-    at = lambda t: F.col("base") + F.least(F.greatest(F.col(t), F.col("a")), F.col("b")) - F.col("a")
-    per = j.groupBy(key, "idx").agg(F.min(at("start_ms")).alias("new_start"), F.max(at("end_ms")).alias("e"))
-    return per.select(key, "idx", "new_start", F.when(F.col("e") > F.col("new_start"), F.col("e")).otherwise(F.col("new_start") + 150).alias("new_end"))
+    """Words on the edited timeline, from their first kept overlap to their last; words without one go.
+
+    Segments don't overlap. The first that a word reaches is the first to end after the word's start, the last one
+    the last to begin before its end; both come from a window over words and segments.
+    """
+    no = F.lit(None).cast("struct<a:bigint,b:bigint,base:bigint>").alias("seg")
+    seg = F.struct(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "base")]).alias("seg")
+    w = words.select(key, "idx", F.col("start_ms").alias("from"), F.col("end_ms").alias("to"), F.lit(0).alias("is_seg"), no)
+    s = segments.select(key, F.lit(None).cast("long").alias("idx"), F.col("b").alias("from"), F.col("a").alias("to"), F.lit(1).alias("is_seg"), seg)
+    upto = Window.unboundedPreceding, 0
+    after = Window.partitionBy(key).orderBy(F.desc("from"), "is_seg").rowsBetween(*upto)  # at equal times a word comes first and doesn't see the segment
+    before = Window.partitionBy(key).orderBy("to", "is_seg").rowsBetween(*upto)
+    both = w.unionByName(s).withColumns({"x": F.last("seg", ignorenulls=True).over(after), "y": F.last("seg", ignorenulls=True).over(before)})
+    at = lambda g, t: F.col(f"{g}.base") + F.least(F.greatest(F.col(t), F.col(f"{g}.a")), F.col(f"{g}.b")) - F.col(f"{g}.a")
+    met = both.where("is_seg = 0 and x.a < to and y.b > from").select(key, "idx", at("x", "from").alias("new_start"), at("y", "to").alias("e"))
+    return met.select(key, "idx", "new_start", F.when(F.col("e") > F.col("new_start"), F.col("e")).otherwise(F.col("new_start") + 150).alias("new_end"))
 
 
 def remapped_points(points: DataFrame, segments: DataFrame, key: str = "project_id", slack: int = 1) -> DataFrame:
-    """Points of time on the edited timeline; those in no kept segment go."""
-    s = segments.select(F.col(key).alias("sk"), "a", "b", "base")
-    j = points.join(s, (F.col(key) == F.col("sk")) & (F.col("t") >= F.col("a") - slack) & (F.col("t") < F.col("b") + slack))
-    return j.groupBy(key, "t").agg(F.min_by(F.col("base") + F.greatest(F.col("t") - F.col("a"), F.lit(0)), "a").alias("new_t"))
+    """Points of time on the edited timeline; those in no kept segment go. A point between two takes the earlier one."""
+    no = F.lit(None).cast("struct<a:bigint,b:bigint,base:bigint>").alias("seg")
+    p = points.select(key, "t", F.lit(0).alias("is_seg"), no).distinct()
+    s = segments.select(key, (F.col("b") + slack).alias("t"), F.lit(1).alias("is_seg"), F.struct(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "base")]).alias("seg"))
+    # the first segment to end after the point, slack included
+    w = Window.partitionBy(key).orderBy(F.desc("t"), "is_seg").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(s).withColumn("x", F.last("seg", ignorenulls=True).over(w))
+    return both.where((F.col("is_seg") == 0) & (F.col("t") >= F.col("x.a") - slack)).select(key, "t", (F.col("x.base") + F.greatest(F.col("t") - F.col("x.a"), F.lit(0))).alias("new_t"))
 
 
 def as_of(points: DataFrame, steps: DataFrame, key: str, default: float = 0.5) -> DataFrame:
@@ -70,8 +107,42 @@ def as_of(points: DataFrame, steps: DataFrame, key: str, default: float = 0.5) -
     return got.where("is_point = 1").select(key, "t", "center")
 
 
+def last_begun(points: DataFrame, ranges: DataFrame, key: str = "project_id") -> DataFrame:
+    """points (key, t) with `hit`: the columns of the range that begins last at or before t, at equal starts the one with the largest idx."""
+    cols = [c for c in ranges.columns if c != key]
+    hit = F.struct(*cols).alias("hit")
+    r = ranges.select(key, F.col("start_ms").alias("t"), F.lit(0).alias("is_point"), F.col("idx").alias("o"), hit)
+    p = points.select(key, "t", F.lit(1).alias("is_point"), F.lit(None).cast(ranges.schema["idx"].dataType).alias("o"), F.lit(None).cast(r.schema["hit"].dataType).alias("hit"))
+    w = Window.partitionBy(key).orderBy("t", "is_point", "o").rowsBetween(Window.unboundedPreceding, 0)
+    return r.unionByName(p).withColumn("hit", F.last("hit", ignorenulls=True).over(w)).where("is_point = 1").select(key, "t", "hit")
+
+
+def nearest(t: Column, before: Column, after: Column) -> Column:
+    """Of the edges at or before t and at or after it the nearer one, the earlier of equals; null without any."""
+    return F.when(after.isNull() | (t - before <= after - t), before).otherwise(after)
+
+
+def around(edge: str, at: str, key: str, is_point: str = "is_point") -> tuple[Column, Column]:
+    """The last non-null `edge` at or before each row's `at` and the first at or after it, over rows of edges and of points."""
+    upto = Window.unboundedPreceding, 0
+    asc = Window.partitionBy(key).orderBy(F.asc(at), is_point).rowsBetween(*upto)
+    desc = Window.partitionBy(key).orderBy(F.desc(at), is_point).rowsBetween(*upto)
+    return F.last(edge, ignorenulls=True).over(asc), F.last(edge, ignorenulls=True).over(desc)
+
+
 def snapped(points: DataFrame, edges: DataFrame, key: str, within: int = 3000) -> DataFrame:
     """Each point moved to the nearest edge less than `within` away, the earliest among equals; else it stays."""
-    e = edges.select(F.col(key).alias("ek"), F.col("edge")).distinct()
-    near = points.join(e, (F.col(key) == F.col("ek")) & (F.abs(F.col("edge") - F.col("t")) < within), "left")
-    return near.groupBy(key, "t").agg(F.coalesce(F.min_by("edge", F.struct(F.abs(F.col("edge") - F.col("t")), "edge")), F.col("t")).alias("snapped"))
+    e = edges.select(key, F.col("edge").alias("t"), F.lit(0).alias("is_point"), "edge")
+    p = points.select(key, "t", F.lit(1).alias("is_point"), F.lit(None).cast(edges.schema["edge"].dataType).alias("edge")).distinct()
+    before, after = around("edge", "t", key)
+    near = e.unionByName(p).withColumns({"x": before, "y": after}).where("is_point = 1").withColumn("n", nearest(F.col("t"), F.col("x"), F.col("y")))
+    return near.select(key, "t", F.when(F.abs(F.col("n") - F.col("t")) < within, F.col("n")).otherwise(F.col("t")).alias("snapped"))
+
+
+def words_in(words: DataFrame, ranges: DataFrame, key: str = "project_id", bucket: int = 60_000) -> DataFrame:
+    """Words and the ranges (clip, a, b) that they overlap, joined by the key and a bucket of time, so a long key's rows are spread."""
+    w = words.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket), F.floor((F.col("end_ms") - 1) / bucket))))
+    r = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor((F.col("b") - 1) / bucket))))
+    # a pair that shares several buckets is taken from the first
+    first = F.greatest(F.floor(F.col("start_ms") / bucket), F.floor(F.col("a") / bucket))
+    return w.join(r, [key, "bucket"]).where((F.col("end_ms") > F.col("a")) & (F.col("start_ms") < F.col("b")) & (F.col("bucket") == first)).drop("bucket")
