@@ -10,13 +10,13 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
 3. Each set has rows for its prefix: size - ceil(t * size) + 1 of its rarest tokens. Sets that reach the threshold share
    a prefix token. Rows that have a partner under a token's key within the length filter, the positional filter and
    the parity bound below are kept by one semi-join of a table with itself, which writes no pairs and reads one shuffle twice.
-   The parity of a set has one bit for each of 64 classes of tokens, set where the set has an odd number of them, so two
+   The parity of a set has one bit for each of 128 classes of tokens, set where the set has an odd number of them, so two
    sets differ in at least as many tokens as their parities do in bits.
 4. Only the sets among these few are looked up in the texts again. Each is first compared with one partner, the
    likeliest of the first sets of its keys and sizes, so a group of near copies is decided by as many pairs as it has sets.
    Sets still open are compared with all earlier partners. Every comparison is of the words themselves.
 
-Hashes choose candidates and tell equal sets (64 bits of a hash, 64 of parity, and the size); similarity is always verified
+Hashes choose candidates and tell equal sets (64 bits of a hash, 128 of parity, and the size); similarity is always verified
 on words. Small sides are broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
 
 Null text: empty, one line without tokens. A null doc_id's lines all stay and remove none. Rows that repeat an id count as one
@@ -32,7 +32,7 @@ from cadenza.llm.shared import checkpointed, id_and_text, stored
 
 COUNTERS = 1 << 20
 PLACE = ["doc_id", "text_key", "line_no"]
-SET = ["sid", "size", "parity"]
+SET = ["sid", "size", "even", "odd"]
 
 
 def words_of(line: Column) -> Column:
@@ -55,7 +55,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
-    """A row for each line with its place, its set's hash, size and parity, and its prefix's keys."""
+    """A row for each line with its place, its set's hash, size and parity (in two halves), and its prefix's keys."""
     classes = F.col("classes")
     none = F.xxhash64(F.lit(""))  # of no word
     hashed = F.array_remove(F.array_distinct(F.transform(words_of("line"), lambda t: F.xxhash64(t))), none)
@@ -64,15 +64,16 @@ def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
     keyed = lines_of(docs).select("*", counters).select(*PLACE, F.sort_array(F.transform(hashed, ranked)).alias("keys"))
     n = F.size("keys")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    half = lambda of: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == of, a.bitwiseXOR(bit(k))).otherwise(a))
     prefix = F.slice("keys", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
     short = F.transform(prefix, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return keyed.select(*PLACE, F.xxhash64("keys").alias("sid"), n.alias("size"), parity.alias("parity"), short.alias("prefix"))
+    return keyed.select(*PLACE, F.xxhash64("keys").alias("sid"), n.alias("size"), half(0).alias("even"), half(64).alias("odd"), short.alias("prefix"))
 
 
 def differing(x: str, y: str) -> Column:
     """At least so many tokens are in one of the two sets only."""
-    return F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+    apart = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    return apart("even") + apart("odd")
 
 
 def partners(x: str, y: str, threshold: float) -> Column:
@@ -96,7 +97,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def similar_sets(sets: DataFrame, docs: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
     """SET and PLACE of the sets that are similar to an earlier one; `sets` has a row for each set with its first place."""
     light = sets.select(*SET, F.posexplode("prefix").alias("pos", "key"))
-    other = (F.col("x.sid") != F.col("y.sid")) | (F.col("x.parity") != F.col("y.parity"))
+    other = (F.col("x.sid") != F.col("y.sid")) | (F.col("x.even") != F.col("y.even")) | (F.col("x.odd") != F.col("y.odd"))
     found = light.alias("x").join(light.alias("y"), (F.col("x.key") == F.col("y.key")) & other & partners("x", "y", threshold), "left_semi")
     found = stored(found, "met")
 
@@ -121,7 +122,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, threshold: float, broadcast_r
 
     of = lambda side: [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in SET]
     candidate = (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)
-    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "sid", "parity", "pos")).alias("h")).select("key", "size", "h.*")
+    heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "sid", "even", "odd", "pos")).alias("h")).select("key", "size", "h.*")
     likely = met.alias("x").join(heads.alias("y"), candidate & (F.col("x.size") == F.col("y.size")))
     best = F.min(F.struct(differing("x", "y").alias("d"), *of("y"))).alias("y")
     one = likely.groupBy(of("x")).agg(best).select([f"x_{c}" for c in SET] + [f"y.y_{c}" for c in SET])

@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.storage import checkpointed, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A small table's checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["Memo", "checkpointed", "held_out", "id_and_text", "shared_dir", "stored"]
 
 
 class Memo(dict):
