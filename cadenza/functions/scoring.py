@@ -1,4 +1,4 @@
-"""Column functions for engagement."""
+"""Column functions for engagement and for texts that may be missing."""
 
 from __future__ import annotations
 
@@ -22,6 +22,21 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def first_text(*columns: Column) -> Column:
-    """The first that is neither null nor empty."""
+    """The first that is neither null nor empty; a text of blanks counts."""
     return F.coalesce(*map(blank_to_null, columns))
+
+
+def said(c: Column, otherwise: Column) -> Column:
+    """The text without blanks at its ends, or `otherwise` where nothing is left."""
+    return F.coalesce(blank_to_null(stripped(c)), otherwise)
+
+
+def safe_name(c: Column, fallback: Column) -> Column:
+    """A file's name: what file systems refuse becomes a space."""
+    return F.concat(said(F.regexp_replace(c, r'[\\\\/:*?"<>|]+', " "), fallback), F.lit(".mp4"))

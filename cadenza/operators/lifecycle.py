@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scoring import blank_to_null, first_text
-from cadenza.sources.bridge import LANGS, PLATFORMS, STAGES
+from cadenza.functions.scoring import blank_to_null, first_text, safe_name, said, stripped
+from cadenza.sources.bridge import COPY, LANGS, PLATFORMS, STAGES
 
 #: Fixed values of the domain.
-FORMATS = ["native", "duet", "green-screen"]
-CAPTURE_MODES = ["script", "longform-clip", "repurpose"]
-IN_FLIGHT = ["downloading", "transcribing", "analyzing", "rendering"]
-GATED = {"full": [], "supervised": ["assembled", "ready"], "manual": STAGES[1:-1]}
-#: A weekly target, autonomy and angles for each brand, as its configuration would have them.
-BRANDS = [("en", 40, "supervised", ["angle 0", "angle 1", "angle 2"]), ("fr", 3, "full", ["angle 3"]), ("de", 0, "manual", []), ("es", 7, "", ["angle 4", "angle 5"])]
+FORMATS = ["reel", "carousel"]
+CAPTURE_MODES = ["longform-clip", "native-short", "repurpose"]
+IN_FLIGHT = ["created", "ingesting", "transcribing", "analyzing"]
+OPEN_STAGES = ["outlier", "scripted", "staged", "sourced"]
+GATED = {"off": [], "supervised": ["scripted", "ready", "scheduled"], "semi": ["scheduled"], "hands_off": []}
+GATE_REASONS = {"scripted": "review the script", "ready": "review the reel", "scheduled": "approve the post"}
+WORDS_PER_SECOND, LEAST_SECONDS, MOST_SECONDS = 2.5, 4.0, 120.0
+MAX_TRIES, WEEKLY_TARGET = 2, 3
+INTERRUPTED = "The engine was restarted while this video was being analyzed. Nothing is lost - press Retry to pick it up again."
+
+#: Brand configurations for the queries, as sources.documents.brand_files reads them from a folder.
+BRAND_SCHEMA = "brand string, reels_per_week int, autonomy string, feed boolean, angles array<string>, banned array<string>, proof_rules boolean, platforms array<string>"
+BRANDS = [
+    ("en", 40, "semi", True, ["angle 0", "angle 1", "angle 2"], ["The", "and"], True, ["tt", "ig"]),
+    ("fr", None, "hands_off", True, ["angle 3", " "], [], False, []),
+    ("de", 0, "off", False, ["angle 1"], ["tion"], True, ["yt"]),
+    ("es", 700, "", True, ["angle 4", "angle 5"], ["que", "es"], False, None),
+]
 
 
 def filled(c: str) -> Column:
@@ -23,11 +35,19 @@ def filled(c: str) -> Column:
 
 
 def spoken(c: str = "spoken_line") -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return stripped(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
 def brands(spark) -> DataFrame:
-    return spark.createDataFrame(BRANDS, "brand string, target int, autonomy string, angles array<string>")
+    return spark.createDataFrame(BRANDS, BRAND_SCHEMA)
+
+
+def settled(config: DataFrame) -> DataFrame:
+    """Configurations with their defaults: brand, target, level, feed, angles without blanks, banned, proof_rules, platforms."""
+    listed = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    target = F.when(F.coalesce("reels_per_week", F.lit(0)) == 0, WEEKLY_TARGET).otherwise(F.col("reels_per_week"))
+    level = F.when(F.col("autonomy").isin(list(GATED)), F.col("autonomy")).otherwise("supervised")
+    return config.select("brand", target.cast("int").alias("target"), level.alias("level"), F.coalesce("feed", F.lit(False)).alias("feed"), listed("angles").alias("angles"), listed("banned").alias("banned"), F.coalesce("proof_rules", F.lit(False)).alias("proof_rules"), listed("platforms").alias("cadence_platforms"))
 
 
 def one_of(values: list[str], c: str) -> Column:
@@ -35,13 +55,14 @@ def one_of(values: list[str], c: str) -> Column:
 
 
 def video_names(clips: DataFrame, tickets: DataFrame, projects: DataFrame) -> DataFrame:
-    """A display name for each video; a clip of a caption project or with markers is named as its project."""
+    """A display name for each video; a clip of a caption project or with markers is a reel, named as its project."""
     p = projects.select(F.col("id").alias("project_id"), F.col("name"), "mode")
     j = clips.join(p, "project_id", "left")
-    reel = F.col("markers").isNotNull() | (F.coalesce("mode", F.lit("")) == "caption")
-    own = F.coalesce(blank_to_null(F.col("title")), F.concat(F.lit("Clip "), F.col("idx") + 1))
-    a = j.select(F.lit("clip").alias("kind"), "id", F.when(reel, first_text(F.col("name"), own)).otherwise(own).alias("name"), reel.alias("is_reel"))
-    b = tickets.select(F.lit("reel").alias("kind"), "id", F.coalesce(blank_to_null(F.col("hook_text")), blank_to_null(F.col("angle")), F.concat(F.lit("Reel "), "id")).alias("name"), F.lit(True).alias("is_reel"))
+    reel = filled("markers") | (F.coalesce("mode", F.lit("")) == "caption")
+    name = F.when(reel, said(F.col("name"), F.concat(F.lit("Reel "), "id"))).otherwise(said(F.col("title"), F.concat(F.lit("Clip "), F.col("idx") + 1)))
+    a = j.select(F.lit("clip").alias("kind"), "id", name.alias("name"), reel.alias("is_reel"))
+    hook = first_text(F.col("hook_text"), F.col("angle"))
+    b = tickets.select(F.lit("reel").alias("kind"), "id", said(hook, F.concat(F.lit("Reel "), "id")).alias("name"), F.lit(True).alias("is_reel"))
     return a.unionByName(b)
 
 
@@ -56,18 +77,22 @@ def video_brand(clips: DataFrame, tickets: DataFrame, projects: DataFrame) -> Da
 
 def ticket_validation(tickets: DataFrame) -> DataFrame:
     """The first field outside its domain, or null where all are inside."""
-    bad = F.coalesce(*[F.when(~one_of(v, c), c) for c, v in (("stage", STAGES), ("format", FORMATS), ("capture_mode", CAPTURE_MODES))])
+    bad = F.coalesce(*[F.when(~one_of(v, c), c) for c, v in (("format", FORMATS), ("capture_mode", CAPTURE_MODES), ("stage", STAGES))])
     return tickets.select("id", bad.alias("rejected_for"), bad.isNull().alias("accepted"))
 
 
 def exports(clips: DataFrame, tickets: DataFrame, projects: DataFrame) -> DataFrame:
-    """What can be exported, with its group and subgroup."""
-    p = projects.select(F.col("id").alias("project_id"), F.col("name"), "mode", F.col("brand").alias("project_brand"))
-    j = clips.where("status = 'rendered'").join(p, "project_id")
-    group = F.coalesce(blank_to_null(F.col("folder")), F.when(F.col("mode") == "caption", "Reels").otherwise(F.col("name")))
-    a = j.select(F.lit("clip").alias("kind"), "id", group.alias("grp"), F.coalesce(first_text(F.col("brand"), F.col("project_brand")), F.lit("Clips")).alias("subgroup"))
-    b = tickets.where(filled("clip_url")).select(F.lit("reel").alias("kind"), "id", F.lit("Reels").alias("grp"), F.coalesce(blank_to_null(F.col("brand")), F.lit("Clips")).alias("subgroup"))
-    return a.unionByName(b)
+    """What can be exported, with its title, file name, group and subgroup: reels by brand, plain clips by project."""
+    told = video_names(clips, tickets, projects).join(video_brand(clips, tickets, projects), ["kind", "id"])
+    names = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
+    c = clips.where("status = 'rendered'").select(F.lit("clip").alias("kind"), "id", "project_id", "folder").join(names, "project_id", "left")
+    t = tickets.where("clip_url is not null").select(F.lit("reel").alias("kind"), "id", "folder", F.lit(None).cast("string").alias("project"))
+    j = c.drop("project_id").unionByName(t).join(told, ["kind", "id"])
+    project = F.coalesce("project", F.lit("Clips"))
+    grp = F.coalesce(blank_to_null(F.col("folder")), F.when(F.col("is_reel"), "Reels").otherwise(project))
+    subgroup = F.when(F.col("is_reel"), F.coalesce(blank_to_null(F.col("brand")), F.lit("My videos"))).otherwise("Clips")
+    fallback = F.concat(F.when(F.col("is_reel"), "reel_").otherwise("clip_"), "id")
+    return j.select("kind", "id", F.col("name").alias("title"), grp.alias("grp"), subgroup.alias("subgroup"), safe_name(F.col("name"), fallback).alias("filename"))
 
 
 def pickups(projects: DataFrame, n: int = 8) -> DataFrame:
@@ -83,14 +108,14 @@ def progress(tickets: DataFrame, beats: DataFrame) -> DataFrame:
 
 
 def next_step(tickets: DataFrame, beats: DataFrame) -> DataFrame:
-    """What a ticket needs next."""
+    """What a ticket needs next; only native shorts are built from scenes."""
     p = progress(tickets, beats)
     step = (
         F.when(filled("clip_url"), "done")
-        .when(F.col("capture_mode") != "script", "footage")
+        .when(F.coalesce("capture_mode", F.lit("")) != "native-short", "footage")
         .when(F.col("n_beats") == 0, "script")
         .when(F.col("n_clips") < F.col("n_beats"), "clips")
-        .when((F.col("n_vo") == 0) & ~F.col("autopilot"), "voice")
+        .when(~F.coalesce("auto_voiceover", F.lit(False)) & (F.col("n_vo") == 0), "voice")
         .otherwise("build")
     )
     return p.select("id", step.alias("step"))
@@ -105,9 +130,12 @@ def intake_board(intake: DataFrame, tickets: DataFrame, beats: DataFrame, n: int
 
 
 def open_beats(tickets: DataFrame, beats: DataFrame) -> DataFrame:
-    """Beats with words and no footage, of tickets that aren't assembled yet."""
-    early = tickets.where(F.col("stage").isin(STAGES[1:4])).select(F.col("id").alias("ticket_id"))
-    return beats.where(spoken() & ~filled("clip_path")).join(early, "ticket_id").select("ticket_id", F.col("id").alias("beat_id"), "order_index")
+    """Beats with words and no footage, of native shorts that aren't assembled yet, with the line to say and the ticket's label."""
+    label = F.coalesce(first_text(F.col("hook_text"), F.col("angle")), F.concat(F.lit("video "), "id"))
+    early = tickets.where(F.col("stage").isin(OPEN_STAGES) & (F.col("capture_mode") == "native-short")).select(F.col("id").alias("ticket_id"), label.alias("ticket_label"))
+    line = F.coalesce(first_text(F.col("spoken_line"), F.col("caption")), F.lit(""))
+    wanted = beats.where(~filled("clip_path")).withColumn("line", line).where(stripped(F.col("line")) != "")
+    return wanted.join(early, "ticket_id").select("ticket_id", F.col("id").alias("beat_id"), "order_index", "line", "ticket_label")
 
 
 def proof_gaps(tickets: DataFrame, beats: DataFrame) -> DataFrame:
@@ -123,19 +151,33 @@ def footage_ready(tickets: DataFrame, beats: DataFrame) -> DataFrame:
 
 
 def cadence_backlog(tickets: DataFrame, config: DataFrame) -> DataFrame:
-    """Of each brand the tickets on their way, its target and what is missing."""
-    flying = tickets.where(~F.col("stage").isin("posted")).groupBy(F.lower(F.trim("brand")).alias("brand")).agg(F.count("*").alias("in_flight"))
-    j = config.join(flying, "brand", "left").fillna(0, ["in_flight"])
+    """Of each brand its autopilot tickets that aren't posted, its weekly target and what is missing."""
+    flying = tickets.where(F.col("autopilot") & (F.col("stage") != "posted")).groupBy("brand").agg(F.count("*").alias("in_flight"))
+    j = settled(config).join(flying, "brand", "left").fillna(0, ["in_flight"])
     return j.select("brand", "target", "in_flight", F.greatest(F.col("target") - F.col("in_flight"), F.lit(0)).alias("missing"))
 
 
-def script_gate(beats: DataFrame, per_second: float = 2.5) -> DataFrame:
-    """Estimated seconds of a script at so many words a second, and why it fails: nothing said, length, or a number without proof."""
-    n = F.size(F.filter(F.split(F.coalesce("spoken_line", F.lit("")), "[ \t\r\n]+"), lambda t: t != ""))
-    per = beats.groupBy("ticket_id").agg(F.sum(n).alias("tokens"), F.bool_or(F.col("spoken_line").rlike("[0-9]")).alias("states"), F.bool_or("is_proof_beat").alias("proved"))
-    seconds = F.col("tokens") / per_second
-    why = F.when(F.col("tokens") == 0, "empty").when(seconds < 4, "too short").when(seconds > 120, "too long").when(F.col("states") & ~F.col("proved"), "number without proof")
-    return per.select("ticket_id", seconds.alias("seconds"), why.alias("reason"), why.isNull().alias("passed"))
+def script_gate(tickets: DataFrame, beats: DataFrame, config: DataFrame) -> DataFrame:
+    """Seconds that a script takes to say and the first reason why it fails: no scene, no hook, a banned phrase in what
+    is spoken, shown or captioned, a number without a proof scene where the brand asks for one, or its length."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    n = F.size(F.filter(F.split(text("spoken_line"), r"\s+"), lambda t: t != ""))
+    shown = F.concat_ws(" ", text("spoken_line"), text("on_screen_text"), text("caption"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "id", shown.alias("t")))), lambda x: x["t"]), " ")
+    states = F.concat_ws(" ", text("spoken_line"), text("on_screen_text")).rlike(r"\p{Nd}")
+    per = beats.groupBy(F.col("ticket_id").alias("tid")).agg(F.sum(n).alias("tokens"), F.lower(ordered).alias("blob"), F.bool_or(states).alias("states"), F.bool_or("is_proof_beat").alias("proved"))
+    j = tickets.join(per, F.col("id") == F.col("tid"), "left").join(settled(config).select("brand", "banned", "proof_rules"), "brand", "left")
+    seconds = F.coalesce("tokens", F.lit(0)) / WORDS_PER_SECOND
+    hit = F.get(F.filter(F.transform("banned", F.lower), lambda p: F.contains(F.col("blob"), p)), F.lit(0))
+    why = (
+        F.when(F.col("tokens").isNull(), "no scenes were written")
+        .when(~spoken("hook_text"), "missing a hook (the first line)")
+        .when(hit.isNotNull(), F.concat(F.lit('uses an off-brand / non-compliant phrase: "'), hit, F.lit('"')))
+        .when(F.coalesce("proof_rules", F.lit(False)) & F.col("states") & ~F.col("proved"), "states a real number but no proof scene is marked")
+        .when(seconds < LEAST_SECONDS, F.format_string("script too short (~%.0fs of spoken content)", seconds))
+        .when(seconds > MOST_SECONDS, F.format_string("script too long (~%.0fs spoken)", seconds))
+    )
+    return j.select(F.col("id").alias("ticket_id"), seconds.alias("seconds"), why.alias("reason"), why.isNull().alias("passed"))
 
 
 def reel_score(tickets: DataFrame, beats: DataFrame, ai: bool = False) -> DataFrame:
@@ -151,17 +193,20 @@ def reel_score(tickets: DataFrame, beats: DataFrame, ai: bool = False) -> DataFr
 
 
 def queue_board(tickets: DataFrame, n_posted: int = 20) -> DataFrame:
-    """Lanes: ready with a clip, scheduled by time, and the last posted."""
-    posted = tickets.where("stage = 'posted'").orderBy(F.desc_nulls_last("posted_at"), F.desc("id")).limit(n_posted)
-    lanes = tickets.where((F.col("stage") == "scheduled") | ((F.col("stage") == "ready") & filled("clip_url"))).unionByName(posted)
-    at = F.date_format(F.coalesce("scheduled_at", "posted_at"), "yyyy-MM-dd HH:mm")
-    return lanes.select(F.col("stage").alias("lane"), "id", at.alias("at_time"))
+    """Lanes: assembled or ready with a clip, scheduled by time, undated last, and the last posted; rows in the board's order."""
+    posted = tickets.where("stage = 'posted'").orderBy(F.desc_nulls_last("posted_at"), "id").limit(n_posted)
+    ready = tickets.where(F.col("stage").isin("assembled", "ready") & filled("clip_url"))
+    lanes = ready.withColumn("lane", F.lit("ready")).unionByName(tickets.where("stage = 'scheduled'").withColumn("lane", F.lit("scheduled"))).unionByName(posted.withColumn("lane", F.lit("posted")))
+    first = F.when(F.col("lane") == "ready", 0).when(F.col("lane") == "scheduled", 1).otherwise(2)
+    at = F.when(F.col("lane") == "scheduled", F.col("scheduled_at")).when(F.col("lane") == "posted", F.col("posted_at"))
+    order = [first, F.asc_nulls_last(F.when(F.col("lane") == "scheduled", at)), F.desc_nulls_last(F.when(F.col("lane") == "posted", at)), F.col("id")]
+    return lanes.orderBy(*order).select("lane", "id", F.date_format(at, "yyyy-MM-dd HH:mm").alias("at_time"))
 
 
 def custom_details(beats: DataFrame) -> DataFrame:
     """Beats whose on-screen text says something, or whose caption differs from what is spoken."""
-    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    return beats.select("id", ((said("on_screen_text") != "") | ((said("caption") != "") & (F.col("caption") != F.col("spoken_line")))).alias("custom"))
+    own = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    return beats.select("id", ((own("on_screen_text") != "") | ((own("caption") != "") & (F.col("caption") != F.col("spoken_line")))).alias("custom"))
 
 
 def reel_script(beats: DataFrame) -> DataFrame:
@@ -181,47 +226,78 @@ def plan_next(tickets: DataFrame) -> DataFrame:
     return tickets.select("id", "stage", next_stage(F.col("stage")).alias("next_stage"))
 
 
-def gate_points(config: DataFrame) -> DataFrame:
-    """brand, stage for each stage at which a person must approve; an unset autonomy is supervised."""
-    level = F.coalesce(blank_to_null(F.col("autonomy")), F.lit("supervised"))
-    stages = F.coalesce(*[F.when(level == k, F.array(*map(F.lit, v)).cast("array<string>")) for k, v in GATED.items()])
-    return config.select("brand", F.explode(stages).alias("stage"))
+def gated(brand_level: Column, stage: Column) -> Column:
+    """Whether a person must approve the entry of a stage at a level of autonomy; an unset level is supervised."""
+    asks = F.coalesce(*[F.when(brand_level == k, stage.isin(v) if v else F.lit(False)) for k, v in GATED.items()], stage.isin(GATED["supervised"]))
+    return F.coalesce(asks, F.lit(False))
 
 
 def gate_entry(tickets: DataFrame, config: DataFrame) -> DataFrame:
     """Whether a ticket's next stage is one at which its brand waits for approval."""
-    gates = gate_points(config).withColumnsRenamed({"stage": "next_stage"}).withColumn("gated", F.lit(True))
-    j = tickets.withColumn("next_stage", next_stage(F.col("stage"))).join(gates, ["brand", "next_stage"], "left")
-    return j.select("id", "next_stage", F.coalesce("gated", F.lit(False)).alias("gated"))
+    j = tickets.withColumn("next_stage", next_stage(F.col("stage"))).join(settled(config).select("brand", "level"), "brand", "left")
+    return j.select("id", "next_stage", gated(F.col("level"), F.col("next_stage")).alias("gated"))
+
 
+def missing_footage(tickets: DataFrame, beats: DataFrame) -> DataFrame:
+    """id and the number of beats without footage of native shorts; other tickets miss none."""
+    per = beats.where(~filled("clip_path")).groupBy(F.col("ticket_id").alias("id")).agg(F.count("*").alias("missing"))
+    return tickets.where("capture_mode = 'native-short'").select("id").join(per, "id")
 
-def tick_outcome(tickets: DataFrame, beats: DataFrame, config: DataFrame, max_tries: int = 2) -> DataFrame:
-    """One tick of the autopilot: waiting, footage, done, parked, gated or advanced, and the stage after it."""
-    ready = footage_ready(tickets, beats).withColumn("footage", F.lit(True))
-    j = tickets.where("autopilot").join(ready, "id", "left").join(gate_entry(tickets, config), "id", "left")
+
+def tick_outcome(tickets: DataFrame, beats: DataFrame, config: DataFrame) -> DataFrame:
+    """One tick of the autopilot: each ticket on it waits, is done, lacks footage, is retried or parked, or goes one stage
+    on, where it may stop at a gate. A footage gate clears itself; `failure` is what the stage's work gave, null if it
+    went well; `tries` are the failures of this stage before."""
+    j = tickets.where("autopilot").join(missing_footage(tickets, beats), "id", "left").join(gate_entry(tickets, config), "id", "left")
+    held = F.coalesce("gate", F.lit(""))
+    lacking = F.col("missing").isNotNull()
+    checks = F.col("stage") == "staged"  # the stage whose work is to look for footage
+    failed = ~checks & F.col("failure").isNotNull() & (F.col("stage") != "scripted")  # staging can't fail
     outcome = (
-        F.when((F.col("gate") == "needs_footage") & F.col("footage").isNull(), "footage")
-        .when(F.col("gate").startswith("awaiting_"), "waiting")
-        .when(F.col("next_stage").isNull(), "done")
-        .when(F.col("tries") > max_tries, "parked")
+        F.when((held == "awaiting_footage") & lacking, "waiting")
+        .when(held.isin("awaiting_approval", "parked"), "waiting")
+        .when(F.col("stage") == "posted", "done")
+        .when(~one_of(STAGES, "stage"), "noop")
+        .when(checks & lacking, "footage")
+        .when(failed & (F.col("tries") + 1 > MAX_TRIES), "parked")
+        .when(failed, "retry")
         .when(F.col("gated"), "gated")
         .otherwise("advanced")
     )
-    return j.select("id", "stage", outcome.alias("outcome")).withColumn("stage_after", F.when(F.col("outcome") == "advanced", next_stage(F.col("stage"))).otherwise(F.col("stage")))
+    t = j.withColumn("outcome", outcome)
+    is_ = lambda *o: F.col("outcome").isin(*o)
+    reasons = F.coalesce(*[F.when(F.col("next_stage") == k, v) for k, v in GATE_REASONS.items()], F.lit("review"))
+    gate = F.when(is_("waiting"), F.col("gate")).when(is_("done"), "done").when(is_("footage"), "awaiting_footage").when(is_("parked"), "parked").when(is_("gated"), "awaiting_approval")
+    why = F.when(is_("footage"), F.concat(F.col("missing").cast("string"), F.lit(" scene(s) still need footage"))).when(is_("parked"), F.col("failure")).when(is_("gated"), reasons)
+    after = F.when(is_("gated", "advanced"), F.col("next_stage")).otherwise(F.col("stage"))
+    tries = F.when(is_("parked", "retry"), F.col("tries") + 1).otherwise(F.col("tries"))
+    error = F.when(is_("parked", "retry"), F.substring("failure", 1, 400))
+    return t.select("id", "stage", "outcome", after.alias("stage_after"), gate.alias("gate_after"), why.alias("gate_reason"), tries.alias("tries_after"), error.alias("last_error"))
+
+
+def entry_of(platform: Column) -> Column:
+    return F.col("post_meta")[platform]
+
 
+def has_copy(entry: Column) -> Column:
+    """Anything to publish: a caption, title or description that isn't blank."""
+    parts = [stripped(F.coalesce(entry[c], F.lit(""))) != "" for c in ("caption", "title", "description")]
+    return F.coalesce(parts[0] | parts[1] | parts[2], F.lit(False))
 
-def post_gate(tickets: DataFrame, config: DataFrame, banned: list[str]) -> DataFrame:
-    """Why a post can't go out: no clip, no hook, or the first banned phrase in its hook."""
-    hit = F.coalesce(*[F.when(F.lower("hook_text").contains(p.lower()), F.lit(f"banned: {p}")) for p in banned])
-    why = F.coalesce(F.when(~filled("clip_url"), "no clip"), F.when(~filled("hook_text"), "no hook"), hit)
+
+def post_gate(tickets: DataFrame) -> DataFrame:
+    """Why a post can't go out: no platform, or the first platform without copy."""
+    platforms = F.coalesce("platforms", F.array().cast("array<string>"))
+    bare = F.get(F.filter(platforms, lambda p: ~has_copy(entry_of(p))), F.lit(0))
+    why = F.when(F.size(platforms) == 0, "no target platforms are set").when(bare.isNotNull(), F.concat(F.lit("missing post copy for "), bare))
     return tickets.select("id", why.alias("reason"), why.isNull().alias("passed"))
 
 
 def feed_plan(tickets: DataFrame, config: DataFrame) -> DataFrame:
-    """The angle each brand below its target takes next, by rotation."""
+    """The angle that each brand which opted in and is below its target takes next, by rotation over all its tickets."""
     total = tickets.groupBy("brand").agg(F.count("*").alias("total"))
-    j = cadence_backlog(tickets, config).join(config.select("brand", "angles"), "brand").join(total, "brand", "left").fillna(0, ["total"])
-    open_ = j.where((F.col("missing") > 0) & (F.size("angles") > 0))
+    j = cadence_backlog(tickets, config).join(settled(config).select("brand", "feed", "angles"), "brand").join(total, "brand", "left").fillna(0, ["total"])
+    open_ = j.where(F.col("feed") & (F.col("missing") > 0) & (F.size("angles") > 0))
     return open_.select("brand", "missing", F.element_at("angles", (F.col("total") % F.size("angles") + 1).cast("int")).alias("angle"))
 
 
@@ -229,43 +305,104 @@ def next_slot(tickets: DataFrame, config: DataFrame) -> DataFrame:
     """When a ticket would be posted: the hours between posts after its last date, at least six."""
     gap = F.greatest(F.lit(6), F.floor(F.lit(168) / F.greatest(F.lit(1), F.col("target")))).cast("int")
     base = F.coalesce("scheduled_at", "posted_at")
-    j = tickets.where(base.isNotNull()).join(config, "brand")
+    j = tickets.where(base.isNotNull()).join(settled(config), "brand")
     return j.select("id", gap.cast("long").alias("gap_hours"), F.date_format(F.timestamp_add("HOUR", gap, base), "yyyy-MM-dd HH:mm").alias("slot"))
 
 
 def recover_interrupted(projects: DataFrame) -> DataFrame:
-    """Work that was under way when a process ended is an error now."""
-    lost = F.col("status").isin(IN_FLIGHT)
-    return projects.select("id", F.when(lost, "error").otherwise(F.col("status")).alias("status"), lost.alias("recovered"))
+    """Work that was under way when a process ended is an error now, with a message and the stage it was in."""
+    lost = one_of(IN_FLIGHT, "status")
+    stage = F.when(lost, F.concat(F.lit("Interrupted: "), F.coalesce(blank_to_null(F.col("stage")), F.lit("starting")))).otherwise(F.col("stage"))
+    return projects.select("id", F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.when(lost, INTERRUPTED).alias("error"), stage.alias("stage"), lost.alias("recovered"))
 
 
-def regenerate_preview(tickets: DataFrame) -> DataFrame:
-    """A ticket after being sent back: one stage earlier, no gate, no tries, a note in its angle."""
+def regenerated(tickets: DataFrame, note: str = "") -> DataFrame:
+    """Tickets after being sent back: one stage earlier, no gate, no tries, the note, if any, in the angle."""
     stages = F.array(*map(F.lit, STAGES))
     at = F.array_position(stages, F.col("stage"))
-    return tickets.select("id", F.get(stages, F.greatest(at - 2, F.lit(0)).cast("int")).alias("stage"), F.lit(None).cast("string").alias("gate"), F.lit(0).cast("long").alias("tries"), F.concat("angle", F.lit(" (again)")).alias("angle"))
+    angle = F.col("angle") if not note else F.when(filled("angle"), F.concat("angle", F.lit(f"  [note: {note}]"))).otherwise(note)
+    return tickets.select("id", F.get(stages, F.greatest(at - 2, F.lit(0)).cast("int")).alias("stage"), F.lit(None).cast("string").alias("gate"), F.lit(0).cast("long").alias("tries"), angle.alias("angle"))
+
+
+def switched(tickets: DataFrame, on: Column) -> DataFrame:
+    """Autopilot switched on or off; off clears the gate. Rejecting a ticket is switching it off."""
+    return tickets.select("id", on.alias("autopilot"), F.when(on, F.col("gate")).alias("gate"))
+
+
+def approved(tickets: DataFrame) -> DataFrame:
+    """Approval clears a gate that waits for it or for footage, and no other."""
+    return tickets.select("id", F.when(~one_of(["awaiting_approval", "awaiting_footage"], "gate"), F.col("gate")).alias("gate"))
 
 
 def autopilot_queue(tickets: DataFrame) -> DataFrame:
-    """Tickets on autopilot with what they wait for."""
-    kind = F.coalesce(F.col("gate"), F.when(F.col("stage") == "posted", "done").otherwise("running"))
+    """Tickets on autopilot, newest first, with what they wait for."""
+    kind = F.coalesce(blank_to_null(F.col("gate")), F.when(F.col("stage") == "posted", "done").otherwise("running"))
     return tickets.where("autopilot").select("id", kind.alias("kind")).orderBy(F.desc("id"))
 
 
+#: What ends a line of text, and the tags of every post.
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+TAGS = ["#shorts", "#reels", "#fyp"]
+
+
 def post_copy(tickets: DataFrame, beats: DataFrame) -> DataFrame:
-    """A caption of at most 70 characters and a tag from the angle, where none was written."""
-    first = beats.where(spoken("caption")).groupBy(F.col("ticket_id").alias("id")).agg(F.min_by("caption", "order_index").alias("caption"))
-    j = tickets.join(first, "id", "left")
-    slug = F.regexp_replace(F.lower("angle"), "[^a-z0-9]+", "")
-    return j.select("id", F.substring(F.coalesce(blank_to_null(F.col("hook_text")), F.col("caption"), F.lit("")), 1, 70).alias("title"), F.concat(F.lit("#"), slug).alias("hashtag"))
-
-
-def post_meta_fill(tickets: DataFrame, beats: DataFrame) -> DataFrame:
-    """Copy for every platform: what a ticket has stays, only the missing gets the default."""
-    own = F.map_from_arrays(F.filter(F.array(*map(F.lit, PLATFORMS)), lambda p: (p == "tt") & (F.col("id") % 3 == 0)), F.filter(F.array(F.concat(F.lit("own "), F.col("id")), F.lit(""), F.lit("")), lambda t: (t != "") & (F.col("id") % 3 == 0)))
-    default = F.map_from_arrays(F.array(*map(F.lit, PLATFORMS)), F.array_repeat(F.col("title"), len(PLATFORMS)))
-    filled_map = F.map_zip_with(default, own, lambda k, d, e: F.coalesce(e, d))
-    return post_copy(tickets, beats).select("id", F.explode(filled_map).alias("platform", "copy"))
+    """caption, hashtags, title (of at most 70 characters) and description for each ticket, from its hook and script."""
+    say = F.coalesce(first_text(F.col("spoken_line"), F.col("caption")), F.lit(""))
+    script = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "id", say.alias("t")))), lambda x: x["t"]), "\n")
+    lines = F.filter(F.transform(F.split("script", LINE_ENDS), stripped), lambda x: x != "")
+    j = tickets.join(beats.groupBy(F.col("ticket_id").alias("tid")).agg(script.alias("script")), F.col("id") == F.col("tid"), "left")
+    j = j.withColumn("lines", F.coalesce(lines, F.array().cast("array<string>")))
+    caption = stripped(F.coalesce(blank_to_null(F.col("hook_text")), F.get("lines", F.lit(0)), F.lit("New video")))
+    slug = F.regexp_replace(F.lower(F.coalesce("brand", F.lit(""))), "[^a-z0-9]", "")
+    tags = F.concat_ws(" ", F.when(slug != "", F.concat(F.lit("#"), slug)), *map(F.lit, TAGS))
+    about = F.coalesce(blank_to_null(F.array_join(F.slice("lines", 1, 2), " ")), caption)
+    return j.select("id", caption.alias("caption"), tags.alias("hashtags"), F.substring(caption, 1, 70).alias("title"), about.alias("description"))
+
+
+def post_meta_fill(tickets: DataFrame, beats: DataFrame, config: DataFrame) -> DataFrame:
+    """A row of copy for each platform of a ticket: what it has stays, only a missing platform gets generated copy."""
+    empty = F.array().cast("array<string>")
+    listed = lambda c: F.when(F.size(F.coalesce(F.col(c), empty)) > 0, F.col(c))
+    platforms = F.coalesce(listed("platforms"), listed("cadence_platforms"), F.array(*map(F.lit, PLATFORMS)))
+    made = post_copy(tickets, beats).select("id", *[F.col(c).alias(f"new_{c}") for c in ("caption", "hashtags", "title", "description")])
+    j = tickets.join(settled(config).select("brand", "cadence_platforms"), "brand", "left").join(made, "id").withColumn("platform", F.explode(platforms))
+    entry = lambda *v: F.struct(*[x.alias(c) for c, x in zip(COPY, v, strict=True)])
+    no = F.lit("")
+    plain = F.coalesce(first_text(F.col("hook_text"), F.col("angle")), F.lit("New video"))
+    new = (
+        F.when(F.col("platform").isin("tt", "ig"), entry(F.col("new_caption"), F.col("new_hashtags"), no, no, no))
+        .when(F.col("platform") == "yt", entry(no, no, F.col("new_title"), F.col("new_description"), no))
+        .otherwise(entry(plain, no, no, no, no))
+    )
+    return j.withColumn("e", F.coalesce(entry_of(F.col("platform")), new)).select("id", "platform", "e.*")
+
+
+def publish_caption(tickets: DataFrame, platform: str | None = None, order: list[str] = PLATFORMS) -> DataFrame:
+    """What is sent with a post: caption or title with hashtags or tags of the platform, or of the first that has any;
+    else the older captions, else hook or angle. Without a platform, platforms are tried in `order`."""
+    one = lambda a, b: stripped(F.coalesce(first_text(a, b), F.lit("")))
+    texts = []
+    for p in [platform] if platform else order:
+        e = entry_of(F.lit(p))
+        texts.append(blank_to_null(F.concat_ws(" ", blank_to_null(one(e["caption"], e["title"])), blank_to_null(one(e["hashtags"], e["tags"])))))
+    old = [blank_to_null(F.col("captions")[p]) for p in ([platform] if platform else []) + order]
+    return tickets.select("id", F.coalesce(*texts, *old, first_text(F.col("hook_text"), F.col("angle")), F.lit("")).alias("caption"))
+
+
+def migrated_captions(tickets: DataFrame) -> DataFrame:
+    """Older captions as copy for each platform, for tickets that have captions and no copy yet; run twice it changes nothing."""
+    c = lambda p: F.coalesce(F.col("captions")[p], F.lit(""))
+    no = F.lit("")
+    entry = lambda caption, about: F.struct(*[x.alias(k) for k, x in zip(COPY, (caption, no, no, about, no), strict=True)])
+    new = F.create_map(F.lit("tt"), entry(c("tt"), no), F.lit("ig"), entry(c("ig"), no), F.lit("yt"), entry(no, c("yt")))
+    has = F.coalesce(F.size("post_meta") > 0, F.lit(False))
+    old = F.coalesce(F.size("captions") > 0, F.lit(False))
+    return tickets.withColumn("post_meta", F.when(~has & old, new).otherwise(F.col("post_meta")))
+
+
+def next_ordinal(beats: DataFrame) -> DataFrame:
+    """The place that a ticket's next beat takes."""
+    return beats.groupBy("ticket_id").agg((F.coalesce(F.max("order_index"), F.lit(-1)) + 1).alias("order_index"))
 
 
 __all__ = ["BRANDS", "LANGS"]

@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that are cut as fillers, and the lexicons of the scorer.
-FILLERS = ["um", "uh", "er", "in", "de", "that"]
-OPENERS = ["the", "what", "why", "how", "and", "is", "el", "la", "le", "die"]
-EMOTION = ["love", "hate", "was", "been", "idiot", "moron", "est", "ist"]
-SECOND = ["you", "your", "ou", "du", "tu"]
-CONTRAST = ["but", "however", "for", "mais", "aber", "pero"]
+from cadenza.operators import intervals
+
+# Words that are cut as fillers.
+FILLERS = ["um", "umm", "uhm", "uh", "uhh", "er", "erm", "ah", "ahh", "hmm", "hm", "mhm", "mm", "mmm"]
+# The scorer's lexicons. Openers are phrases at a sentence's start, as a pattern.
+OPENERS = (
+    "why|how|what|when|who|which|where|imagine|stop|never|here'?s|here is|listen|the truth|truth is|nobody|no one|most people|everyone|everybody|if you|you need|"
+    "you have to|you should|the (biggest|best|worst|only|one|real|secret)|secret|mistake|i (was|got|never|had|lost|quit|failed|learned|realized|realised|made)|let me tell you|"
+    "this is (why|how|what)|there'?s (one|a) thing"
+)
+EMOTION = (
+    "love loved hate hated fear afraid scared terrified died death dying fired failed failure fail success successful money rich poor broke free truth lie lied lies "
+    "secret secrets mistake mistakes crazy insane wild amazing incredible terrible awful best worst biggest hardest pain painful dream dreams hope lost win won lose losing "
+    "shocked shocking honest honestly regret proud cry cried angry furious happy happiest miracle dangerous warning nobody everything nothing forever never"
+).split()
+CONTRAST = ["but", "actually", "instead", "however", "except", "until", "because", "yet"]
+SECOND = ["you", "your", "you're", "yourself", "you'll", "you've"]
+NUMBERS = "one|two|three|four|five|six|seven|eight|nine|ten|hundred|thousand|million|billion|percent|half|double|triple"
+SMALL_WORDS = ["the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "as", "by", "from"]
+# Lengths of clips in milliseconds, and what a reason says.
 MIN_MS, MAX_MS, TARGETS = 15_000, 60_000, (30_000, 50_000)
-SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "in", "is", "of", "on", "or", "the", "to", "with"]
+SIGNALS = ["opens with a question", "strong opening line", "a number up front", "emotional opening", "emotional language", "mentions a number", "talks to the viewer", "good pace", "punchy sentences"]
+NO_SPEECH = "no speech was found in this video, so there are no moments to pick from"
+
+NOT_WORD = r"[^\p{L}\p{N}_]"
+OPENS = f"(?i)^{NOT_WORD}*({OPENERS})({NOT_WORD}|$)"
+NUMBER = f"(?i)(\\p{{Nd}}|(^|{NOT_WORD})({NUMBERS})({NOT_WORD}|$))"
 
 
 def by_project() -> Window:
@@ -39,7 +58,10 @@ def pause_cuts(words: DataFrame, longer: int = 1000, keep: int = 150, least: int
 
 
 def filler_cuts(words: DataFrame, pad: int = 30, fillers: list[str] = FILLERS) -> DataFrame:
-    return words.where(normal(F.col("word")).isin(fillers)).select("project_id", F.greatest(F.col("start_ms") - pad, F.lit(0)).alias("a"), (F.col("end_ms") + pad).alias("b"))
+    """Fillers, padded and kept inside the project's time; cuts under 50 ms go."""
+    last = F.max("end_ms").over(Window.partitionBy("project_id"))
+    w = words.withColumn("last_ms", last).where(F.regexp_replace(F.lower("word"), "[^a-z']", "").isin(fillers))
+    return w.select("project_id", F.greatest(F.col("start_ms") - pad, F.lit(0)).alias("a"), F.least(F.col("end_ms") + pad, "last_ms").alias("b")).where("b - a >= 50")
 
 
 def sentences(words: DataFrame) -> DataFrame:
@@ -86,102 +108,192 @@ def count_in(toks: Column, lexicon: list[str]) -> Column:
 
 
 def features(sents: DataFrame, cands: DataFrame) -> DataFrame:
-    """Adds hook, body, rhythm, punch, complete and quality to candidates.
+    """Adds hook, body, rhythm, punch, complete, quality and reason to candidates.
 
     Every sentence is scored once; a candidate's numbers are differences of running sums.
     """
     t = F.col("toks")
     w = Window.partitionBy("project_id").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    parts = {"emo": count_in(t, EMOTION), "you": count_in(t, SECOND), "contrast": count_in(t, CONTRAST), "nums": F.col("text").rlike("[0-9]").cast("long"), "short": (F.col("n") <= 12).cast("long"), "toks_n": F.size(t).cast("long"), "words": F.col("n")}
+    parts = {"emo": count_in(t, EMOTION), "you": count_in(t, SECOND), "contrast": count_in(t, CONTRAST), "nums": F.col("text").rlike(NUMBER).cast("long"), "short": (F.col("n") <= 12).cast("long"), "toks_n": F.size(t).cast("long")}
     s = sents.withColumn("toks", tokens(F.col("text"))).withColumns(parts)
-    opener = F.get(t, F.lit(0)).isin(OPENERS)
-    hook = F.least(F.lit(100), 45 * F.col("text").endswith("?").cast("int") + 35 * F.coalesce(opener, F.lit(False)).cast("int") + 15 * F.col("nums") + 20 * (F.col("emo") > 0).cast("int") + 10 * (F.col("you") > 0).cast("int")) / 100.0
-    s = s.withColumns({f"c_{k}": F.sum(k).over(w) for k in parts} | {"hook": hook, "ends": F.col("text").rlike("[.!?]$"), "last_ms": F.max("end_ms").over(Window.partitionBy("project_id"))})
+    asks, opens = F.col("text").endswith("?"), F.col("text").rlike(OPENS)
+    hook = F.least(F.lit(100), 45 * asks.cast("int") + 35 * opens.cast("int") + 15 * F.col("nums") + 20 * (F.col("emo") > 0).cast("int") + 10 * (F.col("you") > 0).cast("int")) / 100.0
+    whole = Window.partitionBy("project_id")
+    s = s.withColumns({f"c_{k}": F.sum(k).over(w) for k in parts} | {"hook": hook, "asks": asks, "opens": opens, "ends": F.col("text").rlike("[.!?]$"), "last_ms": F.max("end_ms").over(whole), "first_ms": F.min("start_ms").over(whole)})
     names = list(parts)
-    first = s.select(F.col("project_id").alias("p1"), F.col("sid").alias("i"), "hook", F.col("nums").alias("front_num"), "last_ms", *[(F.col(f"c_{k}") - F.col(k)).alias(f"a_{k}") for k in names])
+    first = s.select(F.col("project_id").alias("p1"), F.col("sid").alias("i"), "hook", "asks", "opens", (F.col("emo") > 0).alias("moved"), (F.col("nums") > 0).alias("counted"), "first_ms", "last_ms", *[(F.col(f"c_{k}") - F.col(k)).alias(f"a_{k}") for k in names])
     last = s.select(F.col("project_id").alias("p2"), F.col("sid").alias("j"), "ends", *[F.col(f"c_{k}").alias(f"b_{k}") for k in names])
     c = cands.join(first.withColumnRenamed("p1", "project_id"), ["project_id", "i"]).join(last.withColumnRenamed("p2", "project_id"), ["project_id", "j"])
     n = {k: F.col(f"b_{k}") - F.col(f"a_{k}") for k in names}
-    total = F.greatest(n["toks_n"], F.lit(1))
-    body = F.least(F.lit(1.0), F.least(F.lit(1.0), 25.0 * n["emo"] / total) + F.when((n["nums"] > 0) & (F.col("front_num") == 0), 0.2).otherwise(0.0))
-    body = F.least(F.lit(1.0), body + F.when(n["contrast"] > 0, 0.1).otherwise(0.0) + F.when(n["you"] * 100 > total * 3, 0.15).otherwise(0.0))
-    wps = n["words"] * 1000.0 / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
+    total, sentences_n = F.greatest(n["toks_n"], F.lit(1)), F.col("j") - F.col("i") + 1
+    later, viewer = (n["nums"] > 0) & ~F.col("counted"), n["you"] * 100 > total * 3
+    body = F.least(F.lit(1.0), F.least(F.lit(1.0), 25.0 * n["emo"] / total) + F.when(later, 0.2).otherwise(0.0))
+    body = F.least(F.lit(1.0), body + F.when(n["contrast"] > 0, 0.1).otherwise(0.0))
+    body = F.least(F.lit(1.0), body + F.when(viewer, 0.15).otherwise(0.0))
+    wps = total * 1000.0 / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(100))
     rhythm = F.when(wps.between(2.0, 3.6), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(wps - 2.8) / 2.8))
-    punch = n["short"] / (F.col("j") - F.col("i") + 1)
+    punch = n["short"] / sentences_n
+    signs = [F.col("asks"), F.col("opens"), F.col("counted"), F.col("moved"), (n["emo"] >= 2) & ~F.col("moved"), later, viewer, F.col("rhythm") >= 0.9, (F.col("punch") >= 0.5) & (sentences_n >= 2)]
+    said = F.slice(F.array_compact(F.array(*[F.when(x, v) for x, v in zip(signs, SIGNALS, strict=True)])), 1, 4)
+    whole_clip = F.concat(F.lit("Built-in finder: "), F.array_join(said, ", "), F.lit("."))
+    alone = ~(F.col("end_ms") - F.col("start_ms")).between(MIN_MS, MAX_MS)  # only a project without any candidate has such a clip
+    reason = F.when(alone, "Built-in finder: the whole video (shorter than one clip).").when(F.size(said) > 0, whole_clip).otherwise("Built-in finder: a complete thought at a natural pace.")
     out = c.withColumns({"body": body, "rhythm": rhythm, "punch": punch, "complete": F.when(F.col("ends"), 1.0).otherwise(0.6)})
     q = 0.4 * F.col("hook") + 0.25 * F.col("body") + 0.15 * F.col("rhythm") + 0.1 * F.col("punch") + 0.1 * F.col("complete")
-    q = q - F.when(F.col("start_ms") * 100 < F.col("last_ms") * 3, 0.15).when(F.col("end_ms") * 100 > F.col("last_ms") * 97, 0.08).otherwise(0.0)
-    return out.select("project_id", "i", "j", "start_ms", "end_ms", "hook", "body", "rhythm", "punch", "complete", F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)).alias("quality"))
+    span = F.greatest(F.col("last_ms") - F.col("first_ms"), F.lit(1000))
+    q = q - F.when((F.col("start_ms") - F.col("first_ms")) * 100 < span * 3, 0.15).when((F.col("end_ms") - F.col("first_ms")) * 100 > span * 97, 0.08).otherwise(0.0)
+    return out.select("project_id", "i", "j", "start_ms", "end_ms", "hook", "body", "rhythm", "punch", "complete", F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)).alias("quality"), reason.alias("reason"))
+
+
+#: The marks that a title's words lose at their ends.
+MARKS = "\"'.,!?;:()\\[\\]"
+
+
+def title_of(text: Column) -> Column:
+    """A title from a sentence's first six words: marks at their ends stripped, small words kept low after the first."""
+    words = F.slice(F.filter(F.transform(F.split(text, r"\s+"), lambda x: F.regexp_replace(x, f"^[{MARKS}]+|[{MARKS}]+$", "")), lambda x: x != ""), 1, 6)
+    shouted = lambda x: (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x)
+    cased = lambda x, k: F.when(shouted(x), x).when((k > 0) & F.lower(x).isin(SMALL_WORDS), F.lower(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
+    return F.when(F.size(words) == 0, "Untitled moment").otherwise(F.array_join(F.transform(words, cased), " "))
 
 
 def titles(sents: DataFrame) -> DataFrame:
-    """A title from a sentence's first six words: punctuation stripped, small words kept low after the first."""
-    words = F.slice(F.filter(F.transform(F.split("text", " "), lambda x: F.regexp_replace(x, "[^A-Za-z0-9]", "")), lambda x: x != ""), 1, 6)
-    cased = lambda x, k: F.when((k > 0) & F.lower(x).isin(SMALL_WORDS), F.lower(x)).when((F.length(x) > 1) & (F.upper(x) == x), x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1000))))
-    return sents.select("project_id", "sid", F.array_join(F.transform(words, cased), " ").alias("title"))
+    return sents.select("project_id", "sid", title_of(F.col("text")).alias("title"), F.substring("text", 1, 200).alias("hook_sentence"))
 
 
 def overlap(a, b) -> Column:
     return F.greatest(F.lit(0), F.least(a["end_ms"], b["end_ms"]) - F.greatest(a["start_ms"], b["start_ms"]))
 
 
-def greedy(moments: DataFrame, order: Column, clashes, most: int) -> DataFrame:
-    """Per project the moments accepted in order, each clashing with none accepted before; a fold over one project's candidates."""
-    row = F.struct(order.alias("o"), "start_ms", "end_ms", "quality", "i", "j")
-    kept_type = "array<struct<o:double,start_ms:bigint,end_ms:bigint,quality:double,i:bigint,j:bigint>>"
-    fold = F.aggregate("all", F.lit(None).cast(kept_type), lambda acc, x: F.when(F.coalesce(F.size(acc), F.lit(0)) >= most, acc).when(F.exists(F.coalesce(acc, F.array().cast(kept_type)), lambda k: clashes(x, k)), acc).otherwise(F.concat(F.coalesce(acc, F.array().cast(kept_type)), F.array(x))))
-    per = moments.groupBy("project_id").agg(F.sort_array(F.collect_list(row)).alias("all"))
-    return per.select("project_id", F.inline(fold)).drop("o").orderBy("project_id", "start_ms")
+def greedy(moments: DataFrame, by: str, clashes, most: int) -> DataFrame:
+    """Per project the moments accepted in order, the largest `by` first, each clashing with none accepted before.
+
+    A fold over one project's candidates, which are a few thousand where transcripts are cut into chunks.
+    """
+    rest = [c for c in moments.columns if c not in ("project_id", "start_ms", "end_ms", by)]
+    row = F.struct((-F.col(by)).alias("o"), "start_ms", "end_ms", by, *rest)
+    shaped = moments.select("project_id", row.alias("r"))
+    kept_type = f"array<{shaped.schema['r'].dataType.simpleString()}>"
+    none = F.array().cast(kept_type)
+    fold = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda k: clashes(x, k)), acc).otherwise(F.concat(acc, F.array(x))))
+    per = shaped.groupBy("project_id").agg(F.sort_array(F.collect_list("r")).alias("all"))
+    return per.select("project_id", F.inline(F.array_sort(fold, lambda x, y: F.when(x["start_ms"] < y["start_ms"], -1).when(x["start_ms"] > y["start_ms"], 1).otherwise(0)))).drop("o")
 
 
 def pick_moments(moments: DataFrame, n: int = 6) -> DataFrame:
     """Best quality first; a candidate may overlap an accepted one by a quarter of its own length at most."""
-    return greedy(moments, -F.col("quality"), lambda x, k: overlap(x, k) * 4 > x["end_ms"] - x["start_ms"], n)
+    return greedy(moments, "quality", lambda x, k: overlap(x, k) * 4 > x["end_ms"] - x["start_ms"], n)
 
 
-def dedupe_moments(moments: DataFrame) -> DataFrame:
+def dedupe_moments(moments: DataFrame, by: str = "quality") -> DataFrame:
     """Best first; one that overlaps a kept one by over half of the shorter goes."""
     shorter = lambda x, k: F.least(x["end_ms"] - x["start_ms"], k["end_ms"] - k["start_ms"])
-    return greedy(moments, -F.col("quality"), lambda x, k: (shorter(x, k) > 0) & (overlap(x, k) * 2 > shorter(x, k)), 1 << 30)
+    return greedy(moments, by, lambda x, k: (shorter(x, k) > 0) & (overlap(x, k) * 2 > shorter(x, k)), 1 << 30)
+
+
+def chunked(words: DataFrame, long_ms: int = 1_440_000, size: int = 1_200_000, step: int = 1_140_000) -> DataFrame:
+    """Words with chunk_start: a long transcript's words fall into windows that overlap, other transcripts are one chunk.
+
+    A word lies in one window or in two that overlap; both numbers follow from its time, without a join.
+    """
+    w = Window.partitionBy("project_id")
+    spans = words.withColumns({"t0": F.min("start_ms").over(w), "t1": F.max("end_ms").over(w)})
+    since = F.col("start_ms") - F.col("t0")
+    lo = F.greatest(F.floor((since - size) / step) + 1, F.lit(0))
+    hi = F.least(F.floor((since + 10) / step), F.ceil((F.col("t1") - F.col("t0")) / step) - 1)
+    numbers = F.when(F.col("t1") - F.col("t0") <= long_ms, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(lo, F.greatest(lo, hi)))
+    return spans.withColumn("k", F.explode(numbers)).withColumn("chunk_start", F.col("t0") + F.col("k") * step).drop("t0", "t1", "k")
 
 
-def chunks(words: DataFrame, long_ms: int = 1_440_000, size: int = 1_200_000, step: int = 1_140_000) -> DataFrame:
+def chunks(words: DataFrame, **sizes: int) -> DataFrame:
     """A long transcript's windows: project_id, chunk_start, n words; others are one chunk."""
-    span = words.groupBy("project_id").agg(F.min("start_ms").alias("t0"), F.max("end_ms").alias("t1"))
-    starts = F.when(F.col("t1") - F.col("t0") > long_ms, F.sequence("t0", "t1", F.lit(step).cast("long"))).otherwise(F.array("t0"))
-    c = span.select("project_id", (F.col("t1") - F.col("t0") > long_ms).alias("cut"), F.explode(starts).alias("chunk_start"))
-    end = F.when(F.col("cut"), F.col("chunk_start") + size).otherwise(F.lit(1 << 60))
-    j = words.join(c, "project_id").where((F.col("start_ms") >= F.col("chunk_start") - 10) & (F.col("start_ms") < end))
-    return j.groupBy("project_id", "chunk_start").agg(F.count("*").alias("n"))
+    return chunked(words, **sizes).groupBy("project_id", "chunk_start").agg(F.count("*").alias("n"))
+
 
+def normalised(clips: DataFrame, words: DataFrame, within: int = 3000) -> DataFrame:
+    """Clips moved to sentence boundaries under 3 s away, else to the nearest word's, kept inside the video and between the
+    least and the longest length, with each changed end moved to a boundary again; clips under 3 s go.
 
-def find_moments(words: DataFrame, n: int = 6) -> DataFrame:
-    """The whole finder: sentences, candidates, scores, a non-overlapping choice, and no near repeats."""
+    All lookups are windows over one union of words and clips: one shuffle by project. A boundary at 0 counts as none.
+    """
+    w = by_project()
+    ends = F.col("word").rlike("[.!?]$")
+    opens = F.coalesce(F.lag(ends).over(w), F.lit(False))
+    rest = [c for c in clips.columns if c not in ("project_id", "start_ms", "end_ms")]
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    times = [F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")]
+    marks = words.select("project_id", F.lit(0).alias("is_point"), *times, F.when(opens, F.col("start_ms")).cast("long").alias("s_sent"), F.when(ends, F.col("end_ms")).cast("long").alias("e_sent"), F.col("start_ms").cast("long").alias("s_word"), F.col("end_ms").cast("long").alias("e_word"), null("rest", clips.select(F.struct(*rest).alias("r")).schema["r"].dataType))
+    points = clips.select("project_id", F.lit(1).alias("is_point"), *times, *[null(c, "long") for c in ("s_sent", "e_sent", "s_word", "e_word")], F.struct(*rest).alias("rest"))
+    whole = Window.partitionBy("project_id")
+    u = marks.unionByName(points.where("end_ms > start_ms")).withColumns({"v0": F.min("s_word").over(whole), "v1": F.max("e_word").over(whole)})
+
+    def snapped(df: DataFrame, target: str, side: str) -> DataFrame:
+        at = F.when(F.col("is_point") == 1, F.col(target)).otherwise(F.col(f"{side}_word"))
+        df = df.withColumn("at", at)
+        s0, s1 = intervals.around(f"{side}_sent", "at", "project_id")
+        w0, w1 = intervals.around(f"{side}_word", "at", "project_id")
+        df = df.withColumns({"s0": s0, "s1": s1, "w0": w0, "w1": w1})
+        sent, word = intervals.nearest(F.col("at"), F.col("s0"), F.col("s1")), intervals.nearest(F.col("at"), F.col("w0"), F.col("w1"))
+        found = F.coalesce(F.when((F.abs(sent - F.col("at")) < within) & (sent != 0), sent), word)
+        return df.withColumn(target, F.when(F.col("is_point") == 1, found)).drop("at", "s0", "s1", "w0", "w1")
+
+    u = snapped(u.withColumn("x", F.col("start_ms")), "x", "s").withColumn("x", F.greatest("x", "v0"))
+    u = snapped(u.withColumn("y", F.col("end_ms")), "y", "e").withColumn("y", F.least("y", "v1"))
+    u = snapped(u.withColumn("z", F.least(F.col("v1"), F.col("x") + MIN_MS)), "z", "e")
+    u = u.withColumn("y", F.when(F.col("y") - F.col("x") < MIN_MS, F.col("z")).otherwise(F.col("y")))
+    u = snapped(u.withColumn("z", F.col("x") + MAX_MS), "z", "e")
+    u = u.withColumn("y", F.least(F.when(F.col("y") - F.col("x") > MAX_MS, F.col("z")).otherwise(F.col("y")), F.col("v1")))
+    return u.where("is_point = 1 and y - x >= 3000").select("project_id", F.col("x").alias("start_ms"), F.col("y").alias("end_ms"), "rest.*")
+
+
+def find_moments(pieces: DataFrame, n: int = 6) -> DataFrame:
+    """The whole finder: word pieces merged, long transcripts cut into chunks, and in each chunk sentences, candidates, scores,
+    a choice without overlap, boundaries and no near repeats; then no near repeats across chunks.
+
+    Projects without words have no rows here; see without_speech.
+    """
+    words = chunked(merge_pieces(pieces)).withColumn("project_id", F.struct("project_id", "chunk_start")).drop("chunk_start")
     s = sentences(words)
-    chosen = dedupe_moments(pick_moments(features(s, candidates(s)), n))
-    return chosen.select("project_id", "start_ms", "end_ms", F.bround(55 + 40 * F.col("quality"), 1).alias("score"))
+    chosen = pick_moments(features(s, candidates(s)), n)
+    heads = titles(s).withColumnRenamed("sid", "i")
+    clips = chosen.withColumn("score", F.bround(55 + 40 * F.col("quality"), 1)).select("project_id", "i", "start_ms", "end_ms", "score", "reason").join(heads, ["project_id", "i"]).drop("i")
+    own = dedupe_moments(normalised(clips, words), "score").withColumn("project_id", F.col("project_id.project_id"))
+    cut = [F.substring("title", 1, 120).alias("title"), F.col("hook_sentence").alias("hook"), F.substring("reason", 1, 300).alias("reason")]
+    seconds = [F.bround(F.col(f"{c}_ms") / 1000, 2).alias(c) for c in ("start", "end")]
+    return dedupe_moments(own, "score").select("project_id", "start_ms", "end_ms", *seconds, "score", *cut)
+
+
+def without_speech(projects: DataFrame, words: DataFrame) -> DataFrame:
+    """Projects without a word, with the error that the finder gives for them."""
+    return projects.join(words.select(F.col("project_id").alias("id")), "id", "left_anti").select("id", F.lit(NO_SPEECH).alias("error"))
+
+
+#: Finders by name; each takes word pieces and a number and gives moments. Others may be added.
+FINDERS = {"heuristic": find_moments}
 
 
 def stamped(words: DataFrame, every: int = 8) -> DataFrame:
-    """The text with the time before every eighth word."""
-    piece = F.when(F.col("idx") % every == 0, F.concat(F.lit("[t="), F.format_string("%d.%03d", F.expr("start_ms div 1000"), F.col("start_ms") % 1000), F.lit("] "), "word")).otherwise(F.col("word"))
+    """The text with the time in seconds, to one place, before every eighth word."""
+    piece = F.when(F.col("idx") % every == 0, F.concat(F.format_string("[t=%.1f] ", F.col("start_ms") / 1000.0), F.trim("word"))).otherwise(F.trim("word"))
     return words.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", piece.alias("w")))), lambda x: x["w"]), " ").alias("text"))
 
 
-def caption_lines(words: DataFrame, most: int = 4) -> DataFrame:
-    """Lines of at most `most` words that also end where a sentence does."""
+def lined(words: DataFrame, most: int = 4) -> DataFrame:
+    """Words with seg and part, which tell caption lines: of at most `most` words, ending also where a sentence does."""
     w = by_project()
     ends = F.col("word").rlike("[.!?]$").cast("int")
     seg = words.withColumn("seg", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rn = F.row_number().over(Window.partitionBy("project_id", "seg").orderBy("idx")) - 1
-    g = seg.withColumn("part", F.floor(rn / most)).groupBy("project_id", "seg", "part").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return seg.withColumn("part", F.floor(rn / most))
+
+
+def caption_lines(words: DataFrame, most: int = 4) -> DataFrame:
+    g = lined(words, most).groupBy("project_id", "seg", "part").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return g.drop("seg", "part")
 
 
 def caption_events(words: DataFrame, most: int = 4) -> DataFrame:
-    """An event for each word: from its start to the next word's in its line, or to its own end, 50 ms at least."""
-    lines = caption_lines(words, most)
-    j = words.join(lines.select("project_id", "first_idx", F.col("n").alias("in_line")), "project_id").where((F.col("idx") >= F.col("first_idx")) & (F.col("idx") < F.col("first_idx") + F.col("in_line")))
-    nxt = F.lead("start_ms").over(Window.partitionBy("project_id", "first_idx").orderBy("idx"))
-    end = F.greatest(F.coalesce(nxt, F.col("end_ms")), F.col("start_ms") + 50)
-    return j.select("project_id", "idx", "first_idx", "start_ms", end.alias("event_end"))
+    """An event for each word of its line: from its start to its end, 50 ms at least."""
+    line = Window.partitionBy("project_id", "seg", "part")
+    start = F.greatest(F.col("start_ms"), F.lit(0))
+    return lined(words, most).select("project_id", "idx", F.min("idx").over(line).alias("first_idx"), start.alias("start_ms"), F.greatest(F.col("end_ms"), start + 50).alias("event_end"))

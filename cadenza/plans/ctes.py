@@ -4,7 +4,7 @@ from __future__ import annotations
 
 CTES = {
     "words": """
-toks AS (SELECT doc_id AS project_id, line_no, pos, word FROM (
+toks AS (SELECT doc_id AS project_id, line_no, pos, CASE WHEN (pos - 1) % 17 = 0 THEN ['How', 'um,', 'You', 'secret', 'but', 'three', 'Uh', 'never', 'money', 'because', '7', 'What', 'hmm', 'your'][(line_no + pos - 1) % 14 + 1] ELSE word END AS word FROM (
     SELECT doc_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
       SELECT doc_id, line_no, regexp_split_to_array(line, '[ \\t\\r]+') AS ws FROM (
         SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))) WHERE word <> ''),
@@ -27,31 +27,36 @@ perf AS (SELECT min(id) AS id, ticket_id, video_kind, video_id, platform, sum(vi
     "clips": """
 clips AS (SELECT d.doc_id AS id, regexp_replace(source, '[^0-9]', '', 'g')::BIGINT AS project_id, d.doc_id % 13 AS idx,
     CASE WHEN quality = 1 THEN 'rendered' ELSE 'suggested' END AS status, CASE WHEN d.doc_id % 7 = 0 THEN '[]' END AS markers,
-    CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS title,
+    CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE regexp_extract(text, '^[^\\n]*', 0) END AS title,
     CASE WHEN d.doc_id % 4 = 1 THEN '' ELSE regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) END AS hook,
     CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE lang END AS brand, CASE WHEN d.doc_id % 4 = 0 THEN 'F' || lang ELSE '' END AS folder,
     ['clean', 'bold', 'cinematic', 'neon', 'minimal'][d.doc_id % 5 + 1] AS preset, (n_chars % 100)::DOUBLE AS score
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
     "projects": """
 projects AS (SELECT id, 'Project ' || id AS name, CASE WHEN id % 3 = 0 THEN 'caption' ELSE 'moments' END AS mode, CASE WHEN id % 2 = 0 THEN 'en' ELSE '' END AS brand,
-    CASE WHEN id % 4 = 3 THEN 'error' WHEN id % 4 = 2 THEN 'analyzing' ELSE 'ready' END AS status,
+    CASE WHEN id % 2 = 0 THEN 'ready' ELSE ['created', 'ingesting', 'transcribing', 'analyzing', 'error'][(id - 1) // 2 % 5 + 1] END AS status, CASE WHEN id % 4 = 1 THEN 'Listening' END AS stage,
     CASE WHEN id % 5 = 0 THEN 'Archive' ELSE '' END AS folder, CASE WHEN id % 6 = 1 THEN id * 10 END AS last_opened
   FROM (SELECT DISTINCT regexp_replace(source, '[^0-9]', '', 'g')::BIGINT AS id FROM documents))""",
     "beats": """
 beats AS (SELECT conv_id * 1000 + turn AS id, conv_id AS ticket_id, turn AS order_index, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS spoken_line,
     CASE WHEN turn % 4 = 0 THEN 'note' ELSE ' ' END AS on_screen_text,
-    CASE WHEN turn % 3 = 0 THEN substr(text, 1, 30) WHEN turn % 5 = 4 THEN ' ' ELSE text END AS caption,
+    CASE WHEN turn % 3 = 0 THEN regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) WHEN turn % 5 = 4 THEN ' ' ELSE text END AS caption,
     CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN 'clip' || turn ELSE '' END AS clip_path, CASE WHEN turn % 3 = 0 THEN 'vo' || turn END AS voiceover_path,
     regexp_matches(text, '[0-9]') OR turn % 6 = 5 AS is_proof_beat FROM conversations)""",
     "tickets": """
-tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id % 4 + 1] AS brand,
+tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id // 8 % 4 + 1] AS brand,
     ['outlier', 'scripted', 'staged', 'sourced', 'assembled', 'ready', 'scheduled', 'posted'][conv_id % 8 + 1] AS stage, 'angle ' || conv_id % 6 AS angle,
-    CASE WHEN conv_id % 5 = 0 THEN '' ELSE substr(text, 1, 60) END AS hook_text, ['native', 'duet', 'collage'][conv_id % 3 + 1] AS format,
-    ['script', 'longform-clip', 'repurpose', 'unknown'][conv_id % 4 + 1] AS capture_mode, conv_id % 20 AS project_id,
-    CASE WHEN conv_id % 8 >= 4 THEN '/out/' || conv_id || '.mp4' ELSE '' END AS clip_url,
-    CASE WHEN conv_id % 8 = 6 THEN TIMESTAMP '2024-01-01' + to_hours(conv_id::INT) END AS scheduled_at,
-    CASE WHEN conv_id % 8 = 7 THEN TIMESTAMP '2024-01-01' + to_hours((conv_id * 2)::INT) END AS posted_at, conv_id % 2 = 0 AS autopilot,
-    CASE WHEN conv_id % 6 = 0 THEN 'awaiting_review' WHEN conv_id % 6 = 2 THEN 'needs_footage' END AS gate, conv_id % 4 AS tries
+    CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) END AS hook_text, ['reel', 'carousel', 'story'][conv_id % 3 + 1] AS format,
+    ['native-short', 'native-short', 'longform-clip', 'repurpose', 'unknown'][conv_id % 5 + 1] AS capture_mode, conv_id % 20 AS project_id,
+    CASE WHEN conv_id % 8 >= 4 THEN '/out/' || conv_id || '.mp4' WHEN conv_id % 9 = 0 THEN '' END AS clip_url, CASE WHEN conv_id % 12 = 0 THEN 'F' || conv_id % 5 ELSE '' END AS folder,
+    CASE WHEN conv_id % 8 = 6 AND conv_id % 16 = 6 THEN TIMESTAMP '2024-01-01' + to_hours(conv_id::INT) END AS scheduled_at,
+    CASE WHEN conv_id % 8 = 7 AND conv_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours((conv_id * 2)::INT) END AS posted_at, conv_id % 3 <> 0 AS autopilot, conv_id % 7 IN (1, 2) AS auto_voiceover,
+    CASE WHEN conv_id % 11 = 0 THEN 'awaiting_approval' WHEN conv_id % 11 IN (1, 2) THEN 'awaiting_footage' WHEN conv_id % 11 = 3 THEN 'parked' END AS gate, conv_id % 3 AS tries,
+    CASE WHEN conv_id % 5 = 1 THEN 'render produced no file' END AS failure,
+    CASE WHEN conv_id % 9 = 0 THEN [] WHEN conv_id % 9 = 1 THEN ['yt', 'tt'] WHEN conv_id % 9 = 2 THEN ['fb', 'ig'] END AS platforms,
+    CASE WHEN conv_id % 10 < 4 THEN 'tt' WHEN conv_id % 10 = 4 THEN 'ig' WHEN conv_id % 10 = 5 THEN 'yt' END AS own_platform,
+    CASE WHEN conv_id % 10 < 4 THEN 'own ' || conv_id WHEN conv_id % 10 = 4 THEN ' ' ELSE '' END AS own_caption, CASE WHEN conv_id % 10 < 4 THEN '#own' ELSE '' END AS own_tags,
+    CASE WHEN conv_id % 10 = 5 THEN 'title ' || conv_id ELSE '' END AS own_title, CASE WHEN conv_id % 10 = 6 THEN 'old ' || conv_id END AS old_caption
   FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id))""",
     "intake": """
 intake AS (SELECT doc_id AS id, 'take' || doc_id || '.mov' AS filename, n_chars AS mtime, text AS transcript,
@@ -70,7 +75,9 @@ grouped AS (SELECT project_id, island, chunk, min(start_ms) AS start_ms, max(end
 sents AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY island, chunk) - 1 AS sid, start_ms, end_ms, text, n FROM grouped)""",
     "cuts": """
 pauses AS (SELECT project_id, end_ms + 150 AS a, nxt - 150 AS b FROM (SELECT *, lead(start_ms) OVER (PARTITION BY project_id ORDER BY idx) AS nxt FROM words) WHERE nxt - end_ms > 1000 AND nxt - end_ms - 300 >= 200),
-fillers AS (SELECT project_id, greatest(start_ms - 30, 0) AS a, end_ms + 30 AS b FROM words WHERE regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') IN ('um', 'uh', 'er', 'in', 'de', 'that')),
+filled AS (SELECT project_id, start_ms, end_ms, max(end_ms) OVER (PARTITION BY project_id) AS last_ms, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS t FROM words),
+spans_of_fillers AS (SELECT * FROM filled WHERE t IN ('um', 'umm', 'uhm', 'uh', 'uhh', 'er', 'erm', 'ah', 'ahh', 'hmm', 'hm', 'mhm', 'mm', 'mmm')),
+fillers AS (SELECT project_id, greatest(start_ms - 30, 0) AS a, least(end_ms + 30, last_ms) AS b FROM spans_of_fillers),
 cuts AS (SELECT * FROM pauses UNION ALL SELECT * FROM fillers)""",
 }
 NEEDS = {"perf": ["perf_log"], "sents": ["words"], "cuts": ["words"]}

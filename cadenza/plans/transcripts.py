@@ -27,12 +27,13 @@ def pieces(s, d):
 
 
 def clip_windows(s, d):
-    return spans(b.words(s, d)).select("project_id", F.lit(5000).cast("long").alias("a"), F.least(F.col("hi"), F.lit(20000)).alias("b"))
+    """Windows of 15 s over the whole of each project, each 10 s after the one before."""
+    starts = F.explode(F.sequence("lo", "hi", F.lit(10_000).cast("long")))
+    return spans(b.words(s, d)).select("project_id", starts.alias("a")).withColumn("b", F.col("a") + 15_000)
 
 
 def words_in_clip(s, d):
-    w, c = b.words(s, d), clip_windows(s, d)
-    return w.join(c, "project_id").where("end_ms > a and start_ms < b").select("project_id", "idx", (F.col("start_ms") - F.col("a")).alias("rel_ms"))
+    return iv.words_in(b.words(s, d), clip_windows(s, d)).select("project_id", F.col("a").alias("clip"), "idx", (F.col("start_ms") - F.col("a")).alias("rel_ms"))
 
 
 def sents(s, d):
@@ -50,8 +51,8 @@ def ticks(s, d):
 
 
 def steps(s, d):
-    """A crop step at every tenth sentence."""
-    return sents(s, d).where("sid % 10 = 3").select("project_id", F.col("start_ms").alias("start"), ((F.col("sid") % 7) / 10.0).alias("value"))
+    """A crop step at every sentence."""
+    return sents(s, d).select("project_id", F.col("start_ms").alias("start"), ((F.col("sid") % 7) / 10.0).alias("value"))
 
 
 def scene_markers(s, d):
@@ -108,10 +109,22 @@ def track_remap(s, d):
 
 
 def caption_at(s, d):
-    """The word on screen at each tick, with a tail of 150 ms."""
-    w, k = b.words(s, d), ticks(s, d)
-    j = k.join(w, "project_id").where("t >= start_ms and t < end_ms + 150")
-    return j.groupBy("project_id", "t").agg(F.max_by("word", "idx").alias("word"))
+    """The caption line on screen at each tick, with a tail of 150 ms, and its active word: the last that has begun."""
+    lines = t.caption_lines(b.words(s, d)).withColumn("idx", F.col("first_idx"))
+    shown = iv.last_begun(ticks(s, d), lines.select("project_id", "idx", "start_ms", "end_ms")).where("t <= hit.end_ms + 150")
+    word = iv.last_begun(shown.select("project_id", "t"), b.words(s, d).select("project_id", "idx", "word", "start_ms", "end_ms"))
+    return word.select("project_id", "t", F.col("hit.idx").alias("active_idx"), F.col("hit.word").alias("word"))
+
+
+def normalised(s, d):
+    """Scored candidates at their boundaries."""
+    c = scored(s, d).select("project_id", "start_ms", "end_ms", "quality", "i", "j")
+    return t.normalised(c, b.words(s, d))
+
+
+def silent(s, d):
+    docs = b.table(s, d, "documents").select(F.col("doc_id").alias("id"))
+    return t.without_speech(docs, b.words(s, d))
 
 
 QUERIES = {
@@ -138,6 +151,10 @@ QUERIES = {
     "moment_candidates": lambda s, d: t.candidates(sents(s, d)),
     "moment_features": scored,
     "moment_titles": lambda s, d: t.titles(sents(s, d)),
+    "normalise_moments": normalised,
+    "silent_projects": silent,
+    "cut_seconds": lambda s, d: iv.total_ms(b.cuts(s, d)),
+    "annotate_words": lambda s, d: iv.inside_cuts(b.words(s, d), b.cuts(s, d)),
     "pick_moments": lambda s, d: t.pick_moments(scored(s, d)),
     "dedupe_moments": lambda s, d: t.dedupe_moments(scored(s, d)),
     "find_moments": lambda s, d: t.find_moments(b.words(s, d)),
@@ -168,7 +185,7 @@ kept AS (SELECT project_id, a, b, coalesce(sum(b - a) OVER (PARTITION BY project
 """
 )
 TICKS = ", ticks AS (SELECT project_id, unnest(range(0, hi + 1, 5000)) AS t FROM spans)\n"
-STEPS = ", steps AS (SELECT project_id, start_ms AS start, (sid % 7) / 10.0::DOUBLE AS value FROM sents WHERE sid % 10 = 3)\n"
+STEPS = ", steps AS (SELECT project_id, start_ms AS start, (sid % 7) / 10.0::DOUBLE AS value FROM sents)\n"
 POINTS = "SELECT project_id, t, arg_min(base + greatest(t - a, 0), a) AS new_t FROM {} JOIN kept USING (project_id) WHERE t >= a - 1 AND t < b + 1 GROUP BY 1, 2"
 BEAT_WORDS = "list_filter(regexp_split_to_array(spoken_line, '[ \\t\\r\\n]+'), lambda x: x <> '')"
 SCENES = f", timed AS (SELECT *, CASE WHEN len({BEAT_WORDS}) = 0 THEN 3000 ELSE greatest(len({BEAT_WORDS}) * 400, 800) END AS ms FROM beats), scenes AS (SELECT ticket_id, order_index, sum(ms) OVER w - ms AS start_ms, sum(ms) OVER w AS end_ms, substr(spoken_line, 1, 40) AS label FROM timed WINDOW w AS (PARTITION BY ticket_id ORDER BY order_index))\n"
@@ -176,18 +193,38 @@ CANDS = """, pairs AS (SELECT x.project_id, x.sid AS i, y.sid AS j, x.start_ms,
 best AS (SELECT project_id, i, j, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY project_id, i ORDER BY abs(ms - 30000), j) AS r1, row_number() OVER (PARTITION BY project_id, i ORDER BY abs(ms - 50000), j) AS r2 FROM pairs) WHERE r1 = 1 OR r2 = 1),
 cands AS (SELECT * FROM best UNION ALL SELECT project_id, 0, max(sid), min(start_ms), max(end_ms) FROM sents WHERE project_id NOT IN (SELECT project_id FROM best) GROUP BY 1)
 """
-LEX = {k: "('" + "', '".join(v) + "')" for k, v in (("emo", t.EMOTION), ("you", t.SECOND), ("contrast", t.CONTRAST), ("open", t.OPENERS), ("small", t.SMALL_WORDS))}
+LEX = {k: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + ")" for k, v in (("emo", t.EMOTION), ("you", t.SECOND), ("contrast", t.CONTRAST), ("small", t.SMALL_WORDS))}
+QUOTED = {k: v.replace("'", "''") for k, v in (("opens", t.OPENS), ("number", t.NUMBER), ("marks", t.MARKS))}
 COUNT = lambda k: f"len(list_filter(toks, lambda x: x IN {LEX[k]}))"
-FEATURES = (
+SIGNS = ["asks", "opens", "fnum > 0", "femo > 0", "emo >= 2 AND femo = 0", "num > 0 AND fnum = 0", "you * 100 > tot * 3", "rhythm >= 0.9", "punch >= 0.5 AND j > i"]
+SCORED = (
     CANDS
     + f""", tk AS (SELECT *, list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(lower(x), '[^a-z0-9'']', '', 'g')), lambda x: x <> '') AS toks FROM sents),
-sc AS (SELECT *, {COUNT("emo")} AS emo, {COUNT("you")} AS you, {COUNT("contrast")} AS con, regexp_matches(text, '[0-9]')::INT AS num, (n <= 12)::INT AS short, len(toks) AS tn, regexp_matches(text, '[.!?]$') AS ends FROM tk),
-hk AS (SELECT *, least(100, 45 * ends_with(text, '?')::INT + 35 * coalesce(toks[1] IN {LEX["open"]}, false)::INT + 15 * num + 20 * (emo > 0)::INT + 10 * (you > 0)::INT) / 100.0::DOUBLE AS hook, max(end_ms) OVER (PARTITION BY project_id) AS last_ms FROM sc),
-su AS (SELECT c.project_id, c.i, c.j, c.start_ms, c.end_ms, sum(s.emo) AS emo, sum(s.you) AS you, sum(s.con) AS con, sum(s.num) AS num, sum(s.short) AS short, sum(s.tn) AS tn, sum(s.n) AS words FROM cands c JOIN sc s ON s.project_id = c.project_id AND s.sid BETWEEN c.i AND c.j GROUP BY ALL),
-fe AS (SELECT su.*, f.hook, f.num AS fnum, f.last_ms, l.ends, greatest(su.tn, 1) AS tot, su.words * 1000.0::DOUBLE / greatest(su.end_ms - su.start_ms, 1) AS wps FROM su JOIN hk f ON f.project_id = su.project_id AND f.sid = i JOIN hk l ON l.project_id = su.project_id AND l.sid = j),
-fb AS (SELECT *, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, 25.0::DOUBLE * emo / tot) + CASE WHEN num > 0 AND fnum = 0 THEN 0.2 ELSE 0 END::DOUBLE) + CASE WHEN con > 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN you * 100 > tot * 3 THEN 0.15 ELSE 0 END::DOUBLE) AS body,
-  CASE WHEN wps BETWEEN 2.0 AND 3.6 THEN 1.0 ELSE greatest(0.0, 1 - abs(wps - 2.8) / 2.8) END::DOUBLE AS rhythm, short / (j - i + 1)::DOUBLE AS punch, CASE WHEN ends THEN 1.0 ELSE 0.6 END::DOUBLE AS complete FROM fe)
-SELECT project_id, i, j, start_ms, end_ms, hook, body, rhythm, punch, complete, greatest(0.0, least(1.0, 0.4::DOUBLE * hook + 0.25::DOUBLE * body + 0.15::DOUBLE * rhythm + 0.1::DOUBLE * punch + 0.1::DOUBLE * complete - CASE WHEN start_ms * 100 < last_ms * 3 THEN 0.15 WHEN end_ms * 100 > last_ms * 97 THEN 0.08 ELSE 0 END::DOUBLE))::DOUBLE AS quality FROM fb"""
+sc AS (SELECT *, {COUNT("emo")} AS emo, {COUNT("you")} AS you, {COUNT("contrast")} AS con, regexp_matches(text, '{QUOTED["number"]}')::INT AS num, (n <= 12)::INT AS short, len(toks) AS tn, regexp_matches(text, '[.!?]$') AS ends, ends_with(text, '?') AS asks, regexp_matches(text, '{QUOTED["opens"]}') AS opens FROM tk),
+hk AS (SELECT *, least(100, 45 * asks::INT + 35 * opens::INT + 15 * num + 20 * (emo > 0)::INT + 10 * (you > 0)::INT) / 100.0::DOUBLE AS hook, max(end_ms) OVER (PARTITION BY project_id) AS last_ms, min(start_ms) OVER (PARTITION BY project_id) AS first_ms FROM sc),
+su AS (SELECT c.project_id, c.i, c.j, c.start_ms, c.end_ms, sum(s.emo) AS emo, sum(s.you) AS you, sum(s.con) AS con, sum(s.num) AS num, sum(s.short) AS short, sum(s.tn) AS tn FROM cands c JOIN sc s ON s.project_id = c.project_id AND s.sid BETWEEN c.i AND c.j GROUP BY ALL),
+fe AS (SELECT su.*, f.hook, f.asks, f.opens, f.num AS fnum, f.emo AS femo, f.last_ms, f.first_ms, l.ends, greatest(su.tn, 1) AS tot, greatest(su.tn, 1) * 1000.0::DOUBLE / greatest(su.end_ms - su.start_ms, 100) AS wps, greatest(f.last_ms - f.first_ms, 1000) AS span FROM su JOIN hk f ON f.project_id = su.project_id AND f.sid = i JOIN hk l ON l.project_id = su.project_id AND l.sid = j),
+fb AS (SELECT *, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, 25.0::DOUBLE * emo / tot) + CASE WHEN num > 0 AND fnum = 0 THEN 0.2 ELSE 0 END::DOUBLE) + CASE WHEN con > 0 THEN 0.1 ELSE 0 END::DOUBLE) + CASE WHEN you * 100 > tot * 3 THEN 0.15 ELSE 0 END::DOUBLE) AS body,
+  CASE WHEN wps BETWEEN 2.0 AND 3.6 THEN 1.0 ELSE greatest(0.0, 1 - abs(wps - 2.8) / 2.8) END::DOUBLE AS rhythm, short / (j - i + 1)::DOUBLE AS punch, CASE WHEN ends THEN 1.0 ELSE 0.6 END::DOUBLE AS complete FROM fe),
+fs AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {x} THEN '{v}' END" for x, v in zip(SIGNS, t.SIGNALS, strict=True))}], lambda x: x IS NOT NULL)[1:4] AS signs FROM fb),
+scored AS (SELECT project_id, i, j, start_ms, end_ms, hook, body, rhythm, punch, complete, greatest(0.0, least(1.0, 0.4::DOUBLE * hook + 0.25::DOUBLE * body + 0.15::DOUBLE * rhythm + 0.1::DOUBLE * punch + 0.1::DOUBLE * complete - CASE WHEN (start_ms - first_ms) * 100 < span * 3 THEN 0.15 WHEN (end_ms - first_ms) * 100 > span * 97 THEN 0.08 ELSE 0 END::DOUBLE))::DOUBLE AS quality,
+  CASE WHEN end_ms - start_ms NOT BETWEEN 15000 AND 60000 THEN 'Built-in finder: the whole video (shorter than one clip).' WHEN len(signs) > 0 THEN 'Built-in finder: ' || array_to_string(signs, ', ') || '.' ELSE 'Built-in finder: a complete thought at a natural pace.' END AS reason FROM fs)
+"""
+)
+OVERLAP = "greatest(0, least(x[1].e, k.e) - greatest(x[1].s, k.s))"
+GREEDY = """, sorted AS (SELECT project_id, list([{{'s': start_ms, 'e': end_ms, 'i': i, 'j': j, 'q': quality}}] ORDER BY quality DESC, start_ms, end_ms) AS l FROM scored GROUP BY 1),
+folded AS (SELECT project_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(acc) >= {most} OR len(list_filter(acc, lambda k: {clash})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS m FROM sorted)
+SELECT f.project_id, m.i AS i, m.j AS j, m.s AS start_ms, m.e AS end_ms, hook, body, rhythm, punch, complete, quality, reason FROM folded f JOIN scored c ON c.project_id = f.project_id AND c.i = m.i AND c.j = m.j"""
+# the four lookups of a clip's boundaries, each a correlated minimum
+EDGE = lambda at, side: f"coalesce(nullif((SELECT arg_min(e.{side}_sent, (abs(e.{side}_sent - {at}), e.{side}_sent)) FROM edges e WHERE e.project_id = c.project_id AND abs(e.{side}_sent - {at}) < 3000), 0), (SELECT arg_min(e.{side}_word, (abs(e.{side}_word - {at}), e.{side}_word)) FROM edges e WHERE e.project_id = c.project_id))"
+NORMAL = (
+    SCORED
+    + f""", edges AS (SELECT project_id, start_ms AS s_word, end_ms AS e_word, CASE WHEN lag(regexp_matches(word, '[.!?]$')) OVER (PARTITION BY project_id ORDER BY idx) THEN start_ms END AS s_sent, CASE WHEN regexp_matches(word, '[.!?]$') THEN end_ms END AS e_sent FROM words),
+vid AS (SELECT project_id, min(start_ms) AS v0, max(end_ms) AS v1 FROM words GROUP BY 1),
+n1 AS (SELECT c.*, v0, v1, greatest(v0, {EDGE("c.start_ms", "s")}) AS x, least(v1, {EDGE("c.end_ms", "e")}) AS y FROM scored c JOIN vid USING (project_id)),
+n2 AS (SELECT c.* REPLACE (CASE WHEN y - x < 15000 THEN {EDGE("least(c.v1, c.x + 15000)", "e")} ELSE y END AS y) FROM n1 c),
+n3 AS (SELECT c.* REPLACE (least(v1, CASE WHEN y - x > 60000 THEN {EDGE("(c.x + 60000)", "e")} ELSE y END) AS y) FROM n2 c)
+SELECT project_id, x AS start_ms, y AS end_ms, quality, i, j FROM n3 WHERE y - x >= 3000"""
 )
 LINES = ", sg AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM words), pt AS (SELECT *, (row_number() OVER (PARTITION BY project_id, seg ORDER BY idx) - 1) // 4 AS part FROM sg)\n"
 ORACLES = {
@@ -196,12 +233,12 @@ ORACLES = {
     "pause_ranges": with_ctes("cuts", merge_sql("pauses", "m") + "SELECT * FROM m"),
     "filler_ranges": with_ctes("cuts", merge_sql("fillers", "m") + "SELECT * FROM m"),
     "range_union": with_ctes("cuts", merge_sql("cuts", "m") + "SELECT * FROM m"),
-    "range_subtract": with_ctes("cuts", ", wide AS (SELECT project_id, greatest(a + 30 - 400, 0) AS a, b - 30 + 400 AS b FROM fillers WHERE a > 0 UNION ALL SELECT project_id, 0, b - 30 + 400 FROM fillers WHERE a = 0)" + merge_sql("wide", "w") + merge_sql("pauses", "p") + ", ov AS (SELECT p.project_id, p.a, p.b, w.a AS ca, w.b AS cb FROM p LEFT JOIN w ON w.project_id = p.project_id AND w.a < p.b AND w.b > p.a), ed AS (SELECT *, coalesce(lag(cb) OVER q, a) AS x, coalesce(ca, b) AS y, lead(ca) OVER q IS NULL AS lst FROM ov WINDOW q AS (PARTITION BY project_id, a, b ORDER BY ca)), r AS (SELECT project_id, x AS a, y AS b FROM ed UNION ALL SELECT project_id, cb, b FROM ed WHERE lst) SELECT * FROM r WHERE b > a"),
-    "range_new": with_ctes("cuts", ", wide AS (SELECT project_id, greatest(a + 30 - 400, 0) AS a, b - 30 + 400 AS b FROM fillers WHERE a > 0 UNION ALL SELECT project_id, 0, b - 30 + 400 FROM fillers WHERE a = 0)" + merge_sql("wide", "w") + "SELECT * FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.project_id = p.project_id AND w.a <= p.a + 1 AND w.b >= p.b - 1)"),
+    "range_subtract": with_ctes("cuts", ", wide AS (SELECT project_id, greatest(start_ms - 400, 0) AS a, least(end_ms + 400, last_ms) AS b FROM spans_of_fillers)" + merge_sql("wide", "w") + merge_sql("pauses", "p") + ", ov AS (SELECT p.project_id, p.a, p.b, w.a AS ca, w.b AS cb FROM p LEFT JOIN w ON w.project_id = p.project_id AND w.a < p.b AND w.b > p.a), ed AS (SELECT *, coalesce(lag(cb) OVER q, a) AS x, coalesce(ca, b) AS y, lead(ca) OVER q IS NULL AS lst FROM ov WINDOW q AS (PARTITION BY project_id, a, b ORDER BY ca)), r AS (SELECT project_id, x AS a, y AS b FROM ed UNION ALL SELECT project_id, cb, b FROM ed WHERE lst) SELECT * FROM r WHERE b > a"),
+    "range_new": with_ctes("cuts", ", wide AS (SELECT project_id, greatest(start_ms - 400, 0) AS a, least(end_ms + 400, last_ms) AS b FROM spans_of_fillers)" + merge_sql("wide", "w") + "SELECT * FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.project_id = p.project_id AND w.a <= p.a + 1 AND w.b >= p.b - 1)"),
     "kept_segments": with_ctes("cuts", KEPT + "SELECT * FROM kept"),
     "remap_words": with_ctes("cuts", KEPT + "SELECT project_id, idx, s AS new_start, CASE WHEN e > s THEN e ELSE s + 150 END AS new_end FROM (SELECT project_id, idx, min(base + least(greatest(start_ms, a), b) - a) AS s, max(base + least(greatest(end_ms, a), b) - a) AS e FROM words JOIN kept USING (project_id) WHERE end_ms > a AND start_ms < b GROUP BY 1, 2)"),
     "remap_keyframes": with_ctes("cuts", KEPT + TICKS + POINTS.format("ticks")),
-    "words_in_clip": with_ctes("words", SPANS + "SELECT project_id, idx, start_ms - 5000 AS rel_ms FROM words JOIN spans USING (project_id) WHERE end_ms > 5000 AND start_ms < least(hi, 20000)"),
+    "words_in_clip": with_ctes("words", SPANS + ", cl AS (SELECT project_id, unnest(range(lo, hi + 1, 10000)) AS a FROM spans) SELECT w.project_id, a AS clip, idx, start_ms - a AS rel_ms FROM words w JOIN cl ON cl.project_id = w.project_id AND end_ms > a AND start_ms < a + 15000"),
     "asof_center": with_ctes("sents", SPANS + TICKS + STEPS + ", f AS (SELECT project_id, arg_min(value, start) AS v FROM steps GROUP BY 1) SELECT k.project_id, k.t, coalesce(s.value, f.v, 0.5)::DOUBLE AS center FROM ticks k ASOF LEFT JOIN steps s ON s.project_id = k.project_id AND s.start <= k.t LEFT JOIN f ON f.project_id = k.project_id"),
     "snap_boundary": with_ctes("sents", SPANS + TICKS + ", n AS (SELECT k.project_id, k.t, s.start_ms, row_number() OVER (PARTITION BY k.project_id, k.t ORDER BY abs(s.start_ms - k.t), s.start_ms) AS r FROM ticks k LEFT JOIN sents s ON s.project_id = k.project_id AND abs(s.start_ms - k.t) < 3000) SELECT project_id, t, coalesce(start_ms, t) AS snapped FROM n WHERE r = 1"),
     "track_mean": with_ctes("sents", SPANS + STEPS + ", u AS (SELECT project_id, (value * 10)::BIGINT AS v, coalesce(lead(start) OVER (PARTITION BY project_id ORDER BY start), hi) - start AS ms FROM steps JOIN spans USING (project_id)) SELECT project_id, (sum(v * ms)::DOUBLE / greatest(sum(ms), 1) / 10.0)::DOUBLE AS center FROM u GROUP BY 1"),
@@ -212,11 +249,17 @@ ORACLES = {
     "title_spans": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - start_ms)::BIGINT AS at_ms, (least(end_ms, 6000) - greatest(start_ms, 2000))::BIGINT AS for_ms FROM scenes WHERE least(end_ms, 6000) - greatest(start_ms, 2000) > 50"),
     "even_split": with_ctes("beats", f", l AS (SELECT id, {BEAT_WORDS} AS ws FROM beats), k AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM l) SELECT id, k, word, floor(k * 10000 / n::DOUBLE)::BIGINT AS start_ms, floor((k + 1) * 10000 / n::DOUBLE)::BIGINT AS end_ms FROM k"),
     "moment_candidates": with_ctes("sents", CANDS + "SELECT * FROM cands"),
-    "moment_features": with_ctes("sents", FEATURES),
-    "moment_titles": with_ctes("sents", f", w AS (SELECT project_id, sid, list_slice(list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(x, '[^A-Za-z0-9]', '', 'g')), lambda x: x <> ''), 1, 6) AS ws FROM sents) SELECT project_id, sid, array_to_string(list_transform(ws, lambda x, k: CASE WHEN k > 1 AND lower(x) IN {LEX['small']} THEN lower(x) WHEN length(x) > 1 AND upper(x) = x THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS title FROM w"),
+    "moment_features": with_ctes("sents", SCORED + "SELECT * FROM scored"),
+    "pick_moments": with_ctes("sents", SCORED + GREEDY.format(most=6, clash=f"{OVERLAP} * 4 > x[1].e - x[1].s")),
+    "dedupe_moments": with_ctes("sents", SCORED + GREEDY.format(most=1000000, clash=f"least(x[1].e - x[1].s, k.e - k.s) > 0 AND {OVERLAP} * 2 > least(x[1].e - x[1].s, k.e - k.s)")),
+    "normalise_moments": with_ctes("sents", NORMAL),
+    "silent_projects": with_ctes("words", f"SELECT doc_id AS id, '{t.NO_SPEECH}' AS error FROM documents WHERE doc_id NOT IN (SELECT project_id FROM words)"),
+    "cut_seconds": with_ctes("cuts", merge_sql("cuts", "m") + "SELECT project_id, sum(b - a)::BIGINT AS total_ms FROM m GROUP BY 1"),
+    "annotate_words": with_ctes("cuts", "SELECT project_id, idx, EXISTS (SELECT 1 FROM cuts c WHERE c.project_id = w.project_id AND c.b > c.a AND c.a < w.end_ms AND c.b > w.start_ms) AS cut FROM words w"),
+    "moment_titles": with_ctes("sents", f", w AS (SELECT project_id, sid, text, list_slice(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '^[{QUOTED['marks']}]+|[{QUOTED['marks']}]+$', '', 'g')), lambda x: x <> ''), 1, 6) AS ws FROM sents) SELECT project_id, sid, substr(text, 1, 200) AS hook_sentence, CASE WHEN len(ws) = 0 THEN 'Untitled moment' ELSE array_to_string(list_transform(ws, lambda x, k: CASE WHEN length(x) > 1 AND upper(x) = x AND lower(x) <> x THEN x WHEN k > 1 AND lower(x) IN {LEX['small']} THEN lower(x) ELSE CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END || x[2:] END), ' ') END AS title FROM w"),
     "transcript_chunks": with_ctes("words", ", sp AS (SELECT project_id, min(start_ms) AS t0, max(end_ms) AS t1 FROM words GROUP BY 1), ch AS (SELECT project_id, t0 AS c, NULL AS e FROM sp WHERE t1 - t0 <= 1440000 UNION ALL SELECT project_id, x, x + 1200000 FROM (SELECT project_id, unnest(range(t0, t1 + 1, 1140000)) AS x FROM sp WHERE t1 - t0 > 1440000)) SELECT w.project_id, c AS chunk_start, count(*) AS n FROM words w JOIN ch ON ch.project_id = w.project_id AND start_ms >= c - 10 AND (e IS NULL OR start_ms < e) GROUP BY 1, 2"),
-    "stamped_transcript": with_ctes("words", "SELECT project_id, string_agg(CASE WHEN idx % 8 = 0 THEN '[t=' || (start_ms // 1000) || '.' || lpad((start_ms % 1000)::VARCHAR, 3, '0') || '] ' || word ELSE word END, ' ' ORDER BY idx) AS text FROM words GROUP BY 1"),
+    "stamped_transcript": with_ctes("words", "SELECT project_id, string_agg(CASE WHEN idx % 8 = 0 THEN printf('[t=%.1f] ', start_ms / 1000.0) || word ELSE word END, ' ' ORDER BY idx) AS text FROM words GROUP BY 1"),
     "caption_lines": with_ctes("words", LINES + "SELECT project_id, min(idx) AS first_idx, count(*) AS n, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM pt GROUP BY project_id, seg, part"),
-    "caption_events": with_ctes("words", LINES + "SELECT project_id, idx, min(idx) OVER (PARTITION BY project_id, seg, part) AS first_idx, start_ms, greatest(coalesce(lead(start_ms) OVER (PARTITION BY project_id, seg, part ORDER BY idx), end_ms), start_ms + 50) AS event_end FROM pt"),
-    "caption_at": with_ctes("words", SPANS + TICKS + "SELECT project_id, t, arg_max(word, idx) AS word FROM ticks JOIN words USING (project_id) WHERE t >= start_ms AND t < end_ms + 150 GROUP BY 1, 2"),
+    "caption_events": with_ctes("words", LINES + "SELECT project_id, idx, min(idx) OVER (PARTITION BY project_id, seg, part) AS first_idx, start_ms, greatest(end_ms, start_ms + 50) AS event_end FROM pt"),
+    "caption_at": with_ctes("words", SPANS + TICKS + LINES + ", ln AS (SELECT project_id, min(idx) AS first_idx, min(start_ms) AS ls, max(end_ms) AS le FROM pt GROUP BY project_id, seg, part), sh AS (SELECT k.project_id, k.t FROM ticks k ASOF JOIN ln ON ln.project_id = k.project_id AND ln.ls <= k.t WHERE k.t <= le + 150) SELECT h.project_id, h.t, idx AS active_idx, word FROM sh h ASOF JOIN words w ON w.project_id = h.project_id AND w.start_ms <= h.t"),
 }

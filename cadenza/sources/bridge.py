@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 STAGES = ["outlier", "scripted", "staged", "sourced", "assembled", "ready", "scheduled", "posted"]
 PLATFORMS = ["tt", "ig", "yt"]
+COPY = ["caption", "hashtags", "title", "description", "tags"]
 PRESETS = ["clean", "bold", "cinematic", "neon", "minimal"]
 LANGS = ["en", "fr", "de", "es"]
+SPICE = ["How", "um,", "You", "secret", "but", "three", "Uh", "never", "money", "because", "7", "What", "hmm", "your"]
+FIRST_SENTENCE = "^[^.!?\n]*[.!?]?"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,14 @@ def pick(values: list[str], k: Column) -> Column:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project_id, idx, line_no, word, start_ms, end_ms: every word 400 ms, 300 ms after a sentence's end, 1500 ms after a line feed."""
+    """project_id, idx, line_no, word, start_ms, end_ms: every word 400 ms, 300 ms after a sentence's end, 1500 ms after a line feed.
+
+    The first and each 17th word of a line is one of SPICE, so that fillers and the scorer's lexicons occur.
+    """
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("project_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return timed(lines.select("project_id", "line_no", F.posexplode(F.split("line", "[ \t\r]+")).alias("pos", "word")).where("word <> ''"))
+    found = lines.select("project_id", "line_no", F.posexplode(F.split("line", "[ \t\r]+")).alias("pos", "word")).where("word <> ''")
+    return timed(found.withColumn("word", F.when(F.col("pos") % 17 == 0, pick(SPICE, F.col("line_no") + F.col("pos"))).otherwise(F.col("word"))))
 
 
 def timed(tokens: DataFrame) -> DataFrame:
@@ -78,8 +85,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 13).alias("idx"),
         F.when(F.col("quality") == 1, "rendered").otherwise("suggested").alias("status"),
         F.when(i % 7 == 0, "[]").alias("markers"),
-        F.when(i % 5 == 0, "").otherwise(F.substring("text", 1, 40)).alias("title"),
-        F.when(i % 4 == 1, "").otherwise(F.regexp_extract("text", "^[^.!?\n]*[.!?]?", 0)).alias("hook"),
+        F.when(i % 5 == 0, "").otherwise(F.regexp_extract("text", "^[^\n]*", 0)).alias("title"),
+        F.when(i % 4 == 1, "").otherwise(F.regexp_extract("text", FIRST_SENTENCE, 0)).alias("hook"),
         F.when(i % 3 == 0, "").otherwise(F.col("lang")).alias("brand"),
         F.when(i % 4 == 0, F.concat(F.lit("F"), "lang")).otherwise("").alias("folder"),
         pick(PRESETS, i).alias("preset"),
@@ -96,7 +103,8 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Project "), i).alias("name"),
         F.when(i % 3 == 0, "caption").otherwise("moments").alias("mode"),
         F.when(i % 2 == 0, "en").otherwise("").alias("brand"),
-        F.when(i % 4 == 3, "error").when(i % 4 == 2, "analyzing").otherwise("ready").alias("status"),
+        F.when(i % 2 == 0, "ready").otherwise(pick(["created", "ingesting", "transcribing", "analyzing", "error"], (i - 1) / 2)).alias("status"),
+        F.when(i % 4 == 1, "Listening").alias("stage"),
         F.when(i % 5 == 0, "Archive").otherwise("").alias("folder"),
         F.when(i % 6 == 1, i * 10).alias("last_opened"),
     )
@@ -111,7 +119,7 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
         turn.alias("order_index"),
         F.when(turn % 5 == 4, " ").otherwise(t).alias("spoken_line"),
         F.when(turn % 4 == 0, F.lit("note")).otherwise(" ").alias("on_screen_text"),
-        F.when(turn % 3 == 0, F.substring(t, 1, 30)).otherwise(F.when(turn % 5 == 4, " ").otherwise(t)).alias("caption"),
+        F.when(turn % 3 == 0, F.regexp_extract(t, FIRST_SENTENCE, 0)).otherwise(F.when(turn % 5 == 4, " ").otherwise(t)).alias("caption"),
         F.when((F.col("role") == "user") | (F.col("conv_id") % 3 == 0), F.concat(F.lit("clip"), turn)).otherwise("").alias("clip_path"),
         F.when(turn % 3 == 0, F.concat(F.lit("vo"), turn)).alias("voiceover_path"),
         (t.rlike("[0-9]") | (turn % 6 == 5)).alias("is_proof_beat"),
@@ -124,21 +132,30 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     day = F.lit("2024-01-01 00:00:00").cast("timestamp")
     hours = lambda n: F.timestamp_add("HOUR", n.cast("int"), day)
+    eighth = F.floor(i / 8)
+    own = lambda caption, tags, title: F.struct(*[F.lit(x).cast("string").alias(c) if isinstance(x, str) else x.alias(c) for c, x in zip(COPY, (caption, tags, title, "", ""), strict=True)])
+    meta = lambda p, *entry: F.create_map(F.lit(p), own(*entry))
     return first.select(
         i.alias("id"),
-        pick(LANGS, i).alias("brand"),
+        pick(LANGS, eighth).alias("brand"),
         pick(STAGES, i).alias("stage"),
         F.concat(F.lit("angle "), i % 6).alias("angle"),
-        F.when(i % 5 == 0, "").otherwise(F.substring("text", 1, 60)).alias("hook_text"),
-        pick(["native", "duet", "collage"], i).alias("format"),
-        pick(["script", "longform-clip", "repurpose", "unknown"], i).alias("capture_mode"),
+        F.when(i % 7 == 0, " ").otherwise(F.regexp_extract("text", FIRST_SENTENCE, 0)).alias("hook_text"),
+        pick(["reel", "carousel", "story"], i).alias("format"),
+        pick(["native-short", "native-short", "longform-clip", "repurpose", "unknown"], i).alias("capture_mode"),
         (i % 20).alias("project_id"),
-        F.when(i % 8 >= 4, F.concat(F.lit("/out/"), i, F.lit(".mp4"))).otherwise("").alias("clip_url"),
-        F.when(i % 8 == 6, hours(i)).alias("scheduled_at"),
-        F.when(i % 8 == 7, hours(i * 2)).alias("posted_at"),
-        (i % 2 == 0).alias("autopilot"),
-        F.when(i % 6 == 0, "awaiting_review").when(i % 6 == 2, "needs_footage").alias("gate"),
-        (i % 4).alias("tries"),
+        F.when(i % 8 >= 4, F.concat(F.lit("/out/"), i, F.lit(".mp4"))).when(i % 9 == 0, "").alias("clip_url"),
+        F.when(i % 12 == 0, F.concat(F.lit("F"), i % 5)).otherwise("").alias("folder"),
+        F.when((i % 8 == 6) & (i % 16 == 6), hours(i)).alias("scheduled_at"),
+        F.when((i % 8 == 7) & (i % 5 != 0), hours(i * 2)).alias("posted_at"),
+        (i % 3 != 0).alias("autopilot"),
+        (i % 7).isin(1, 2).alias("auto_voiceover"),
+        F.when(i % 11 == 0, "awaiting_approval").when((i % 11).isin(1, 2), "awaiting_footage").when(i % 11 == 3, "parked").alias("gate"),
+        (i % 3).alias("tries"),
+        F.when(i % 5 == 1, "render produced no file").alias("failure"),
+        F.when(i % 9 == 0, F.array().cast("array<string>")).when(i % 9 == 1, F.array(F.lit("yt"), F.lit("tt"))).when(i % 9 == 2, F.array(F.lit("fb"), F.lit("ig"))).alias("platforms"),
+        F.when(i % 10 < 4, meta("tt", F.concat(F.lit("own "), i), "#own", "")).when(i % 10 == 4, meta("ig", " ", "", "")).when(i % 10 == 5, meta("yt", "", "", F.concat(F.lit("title "), i))).alias("post_meta"),
+        F.when(i % 10 == 6, F.create_map(F.lit("tt"), F.concat(F.lit("old "), i), F.lit("yt"), F.lit(""))).alias("captions"),
     )
 
 
