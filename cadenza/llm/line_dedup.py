@@ -13,8 +13,8 @@ without tokens stay. Texts keep their other lines, joined by line feeds.
    The parity of a set has one bit for each of 128 classes of tokens, set where the set has an odd number of them, so two
    sets differ in at least as many tokens as their parities do in bits.
 4. Only the sets among these few are looked up in the texts again. Each is first compared with one partner, the
-   likeliest of the first sets of its keys and sizes, so a group of near copies is decided by as many pairs as it has sets.
-   Sets still open are compared with all earlier partners. Every comparison is of the words themselves.
+   likeliest of the first sets of each size under its keys, so a group of near copies is decided by as many pairs as it
+   has sets. Sets still open are compared with all earlier partners. Every comparison is of the words themselves.
 
 Hashes choose candidates and tell equal sets (64 bits of a hash, 128 of parity, and the size); similarity is always verified
 on words. Small sides are broadcast only after their rows have been counted, and joined by shuffle beyond `broadcast_rows`.
@@ -123,7 +123,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, threshold: float, broadcast_r
     of = lambda side: [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in SET]
     candidate = (F.col("x.key") == F.col("y.key")) & earlier("x", "y") & partners("x", "y", threshold)
     heads = met.groupBy("key", "size").agg(F.min(F.struct("doc_id", "line_no", "sid", "even", "odd", "pos")).alias("h")).select("key", "size", "h.*")
-    likely = met.alias("x").join(heads.alias("y"), candidate & (F.col("x.size") == F.col("y.size")))
+    likely = met.alias("x").join(heads.alias("y"), candidate)
     best = F.min(F.struct(differing("x", "y").alias("d"), *of("y"))).alias("y")
     one = likely.groupBy(of("x")).agg(best).select([f"x_{c}" for c in SET] + [f"y.y_{c}" for c in SET])
     first = checkpointed(similar(one))
