@@ -1,21 +1,27 @@
 """Operator 2: approximate nearest neighbours by learned partitions.
 
 On a bounded, hash-chosen sample of at most `sample` vectors the driver builds a neighbour graph, divides it into
-`partitions` balanced parts (recursive bisection along the graph's second eigenvector, cut at the median, then
-swaps that lower the cut), and fits a small classifier (one hidden layer) that predicts which parts hold a
-vector's neighbours. Every row is indexed under its most probable part; a query goes to its `probes` most
-probable parts and is ranked there by exact distance in double precision.
+balanced parts (recursive bisection along the graph's second eigenvector, cut at the median, then swaps that lower
+the cut), and fits a small classifier (one hidden layer) that predicts which parts hold a vector's neighbours.
+Every row is indexed under its most probable part; a query goes to its most probable parts and is ranked there by
+exact distance in double precision.
+
+The number of parts grows with the square root of the rows, between 16 and one for 64 rows of the sample. How many parts a query probes is
+set on an eighth of the sample that the model doesn't learn from: the fewest that hold `recall` of those vectors' neighbours
+in the rest. Vectors in clusters need few parts; vectors spread evenly over many dimensions need most of them, as
+any index of parts does. A query whose parts hold no more than k rows probes on until they do.
 
 A part's rows are dealt into blocks of about `block_rows`, and queries into blocks of as many, so no task gets a whole part; each
 pair of blocks gives its best k, and the bests are merged by query. Queries are a stated set of rows.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; neither do null ids. Fewer
-candidates than k: all of them. Ties go to the smaller id. Repeated ids: a query's own id is never its neighbour, and
+candidates than k: all of them. A distance beyond the largest double is infinite and still ranked. Ties go to the smaller id. Repeated ids: a query's own id is never its neighbour, and
 each (query, neighbour) is returned once. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import stored
+from cadenza.llm.vectors import unpacked, usable
 
 OUT = "query_id long, vec_id long, distance double"
 
 
-def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(vec_id, v array<double>, extra) of the rows that take part, but for the check of lengths."""
-    v = F.col(vec_col).cast("array<double>")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *extra).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-
-
-def as_matrix(column: pa.Array) -> np.ndarray:
-    """A list column as a float64 matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(float)
-
-
 def graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of each row's k nearest other rows."""
     out = np.empty((len(x), k), np.int64)
@@ -110,17 +104,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, partitions: int, k: int = 10) -> dict | None:
-    """The model from the sample's vectors."""
+def fit(x: np.ndarray, partitions: int, k: int, recall: float) -> dict | None:
+    """The model from the sample's vectors, with the number of parts to probe."""
     if len(x) < 2:
         return None
     rng = np.random.default_rng(11)
+    held = np.arange(len(x)) % 8 == 7 if len(x) >= 64 else np.zeros(len(x), bool)
+    unit = np.abs(x).max()  # squares of what is fitted can't overflow
+    x, asked = x[~held] / unit, x[held] / unit
     mean, scale = x.mean(0), x.std() + 1e-12
     near = graph(x, min(k, len(x) - 1))
     part = np.zeros(len(x), np.int64)
     bisect(np.arange(len(x)), np.repeat(np.arange(len(x)), near.shape[1]), near.ravel(), partitions, 0, part, rng)
     target = np.eye(partitions)[part[near]].sum(1) + np.eye(partitions)[part]
-    return {"mean": mean, "scale": scale, "w": classifier((x - mean) / scale, target / target.sum(1, keepdims=True)), "partitions": partitions}
+    model = {"unit": 1.0, "mean": mean, "scale": scale, "w": classifier((x - mean) / scale, target / target.sum(1, keepdims=True)), "partitions": partitions}
+    model["probes"] = partitions
+    if len(asked):
+        home = parts_of(model, x, 1)[:, 0]
+        ranks = np.argsort(parts_of(model, asked, partitions), axis=1)  # of each part for each vector
+        d = (asked**2).sum(1)[:, None] - 2 * asked @ x.T + (x**2).sum(1)[None]
+        true = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+        found = np.bincount(np.take_along_axis(ranks, home[true], 1).ravel(), minlength=partitions).cumsum() / true.size
+        model["probes"] = int(np.searchsorted(found, recall) + 1)
+    return model | {"unit": unit}
 
 
 def parts_of(model: dict | None, x: np.ndarray, many: int) -> np.ndarray:
@@ -128,56 +134,81 @@ def parts_of(model: dict | None, x: np.ndarray, many: int) -> np.ndarray:
     if model is None:
         return np.zeros((len(x), 1), np.int32)
     w = model["w"]
-    z = np.maximum(0, (x - model["mean"]) / model["scale"] @ w[0] + w[1]) @ w[2] + w[3]
+    z = np.maximum(0, (x / model["unit"] - model["mean"]) / model["scale"] @ w[0] + w[1]) @ w[2] + w[3]
     return np.argsort(-z, axis=1, kind="stable")[:, :many].astype(np.int32)
 
 
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        for j in np.flatnonzero(np.isinf(d)):  # the squares overflow; the distance need not
+            most = np.abs(x[j] - v).max()
+            d[j] = most * np.sqrt((((x[j] - v) / most) ** 2).sum()) if np.isfinite(most) else np.inf
+    return d
+
+
 def nearest_in(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, neighbour ids, distances) of each query's k nearest among x, ties to the smaller id; an id counts once."""
     a, b, c = [], [], []
     repeated = len(np.unique(x_ids)) < len(x_ids)
     for v, own in zip(q, q_ids, strict=True):
-        d = np.sqrt(((x - v) ** 2).sum(1))
-        d[x_ids == own] = np.inf
+        d = distances(x, v)
+        open_ = x_ids != own
         if repeated:
             first = np.lexsort((d, x_ids))
-            d[first[1:][x_ids[first[1:]] == x_ids[first[:-1]]]] = np.inf
-        m = min(k, len(d))
-        best = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1])
-        best = best[np.lexsort((x_ids[best], d[best]))]
-        best = best[np.isfinite(d[best])][:m]
+            open_[first[1:][x_ids[first[1:]] == x_ids[first[:-1]]]] = False
+        at = np.flatnonzero(open_)
+        m = min(k, len(at))
+        if m < len(at):
+            at = at[d[at] <= np.partition(d[at], m - 1)[m - 1]]
+        best = at[np.lexsort((x_ids[at], d[at]))][:m]
         a.append(np.full(len(best), own))
         b.append(x_ids[best])
         c.append(d[best])
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, partitions: int = 16, probes: int = 14, sample: int = 8192, block_rows: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def parts_for(total: int, sample: int) -> int:
+    return max(2, min(max(16, math.isqrt(total) // 8), min(total, sample) // 64))
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, partitions: int | None = None, probes: int | None = None, sample: int = 8192, recall: float = 0.93, block_rows: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows found; score is the Euclidean distance."""
     spark = rows.sparkSession
-    fine = usable(rows, id_col, vec_col)
-    sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    fine, dtype = usable(rows, id_col, vec_col)
+    sizes = fine.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
     dims, total = (sizes[0][0], sizes[0][1]) if sizes else (0, 0)
-    fine = fine.where(F.size("v") == dims)
+    fine = fine.where(F.col("dims") == dims).select("vec_id", "v")
     order = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    picked = fine.where(order < int((1 << 30) * min(1.0, 1.1 * sample / max(1, total)))).select("vec_id", "v").limit(2 * sample).collect() if total else []
-    picked.sort(key=lambda r: (r[0], r[1]))
-    model = spark.sparkContext.broadcast(fit(np.array([r[1] for r in picked][:sample], float), partitions) if picked else None)
-
-    def placed(many: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = parts_of(model.value, as_matrix(batch.column(1)), many)
-                pick = pa.array(np.repeat(np.arange(len(found)), found.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(found.ravel())], ["vec_id", "v", "part"])
-
-        return run
-
-    shape = "vec_id long, v array<double>, part int"
-    indexed = stored(fine.mapInArrow(placed(1), shape), "index")
-    asked = stored(fine.where(is_query).mapInArrow(placed(probes), shape), "asked")
+    picked = fine.where(order < int((1 << 30) * min(1.0, 1.1 * sample / max(1, total)))).limit(2 * sample).collect() if total else []
+    picked.sort(key=lambda r: (r[0], bytes(r[1])))
+    fitted = fit(unpacked([bytes(r[1]) for r in picked][:sample], dtype), partitions or parts_for(total, sample), k, recall) if picked else None
+    model = spark.sparkContext.broadcast(fitted)
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = parts_of(model.value, unpacked(batch.column(1).to_pylist(), dtype), 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0])], ["vec_id", "v", "part"])
+
+    shape = "vec_id long, v binary, part int"
+    indexed = stored(fine.mapInArrow(at_home, shape), "index")
+    held = {r[0]: r[1] for r in indexed.groupBy("part").count().collect()}  # a row a part
+    count = np.array([held.get(p, 0) for p in range(fitted["partitions"] if fitted else 1)])
+    least = probes or (fitted["probes"] if fitted else 1)
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranked = parts_of(model.value, unpacked(batch.column(1).to_pylist(), dtype), len(count))
+            before = np.cumsum(count[ranked], axis=1) - count[ranked]
+            i, j = np.nonzero((np.arange(ranked.shape[1]) < least) | (before <= k))
+            pick = pa.array(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(ranked[i, j])], ["vec_id", "v", "part"])
+
+    chosen = usable(rows.where(is_query), id_col, vec_col)[0].where(F.col("dims") == dims).select("vec_id", "v")
+    asked = stored(chosen.mapInArrow(probing, shape), "asked")
 
     def blocks(df: DataFrame) -> DataFrame:
         return df.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))  # a row a part
@@ -192,7 +223,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, partitions: int = 16,
 
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
-        q, v, d = nearest_in(np.stack(left["v"]), left["vec_id"].to_numpy(), np.stack(right["v"]), right["vec_id"].to_numpy(), k)
+        q, v, d = nearest_in(unpacked(left["v"], dtype), left["vec_id"].to_numpy(), unpacked(right["v"], dtype), right["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": q, "vec_id": v, "distance": d})
 
     cols = [*keys, "vec_id", "v"]

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
-from cadenza.llm.neighbours import usable
 from cadenza.llm.shared import checkpointed, stored
+from cadenza.llm.vectors import unpacked, usable
 
 
-def unit_rows(vectors: list[np.ndarray]) -> np.ndarray:
-    x = np.stack(vectors).astype(float)
+def unit_rows(vectors, dtype: str) -> np.ndarray:
+    x = unpacked(vectors, dtype)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -56,8 +56,8 @@ def needed_passes(size: int, threshold: float, window: int, recall: float) -> in
     return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
-def projected(rows: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, label, dims, code, id, v): a row for each vector and pass."""
+def projected(rows: DataFrame, dtype: str, passes: int, bits: int, seed: int) -> DataFrame:
+    """(pass, label, dims, code, id): a row for each vector and pass, without the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -67,15 +67,14 @@ def projected(rows: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             for dims in np.unique(sizes).tolist():
                 pick = np.flatnonzero(sizes == dims)
                 part = batch.take(pa.array(pick))
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(pick), dims)
                 if dims not in planes:
                     planes[dims] = np.random.default_rng(seed).standard_normal((dims, passes * bits))
-                codes = ((x @ planes[dims]) > 0).reshape(-1, bits) @ place
+                codes = ((unpacked(part.column(1).to_pylist(), dtype) @ planes[dims]) > 0).reshape(-1, bits) @ place
                 again = pa.array(np.repeat(np.arange(len(pick)), passes))
-                columns = [pa.array(np.tile(np.arange(passes, dtype=np.int32), len(pick))), *(part.column(k).take(again) for k in (3, 2)), pa.array(codes), *(part.column(k).take(again) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dims", "code", "id", "v"])
+                columns = [pa.array(np.tile(np.arange(passes, dtype=np.int32), len(pick))), *(part.column(k).take(again) for k in (3, 2)), pa.array(codes), part.column(0).take(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dims", "code", "id"])
 
-    return rows.mapInArrow(run, f"pass int, label {rows.schema['label'].dataType.simpleString()}, dims int, code long, id long, v array<double>")
+    return rows.select("id", "v", "dims", "label").mapInArrow(run, f"pass int, label {rows.schema['label'].dataType.simpleString()}, dims int, code long, id long")
 
 
 def close_forest(x: np.ndarray, group: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +105,8 @@ def close_forest(x: np.ndarray, group: np.ndarray, window: int, threshold: float
     return np.array(a, int), np.array(b, int)
 
 
-def links(rows: DataFrame, threshold: float, passes: int, window: int, bits: int, seed: int, block: int = 2048) -> DataFrame:
-    """Edges (a, b) of ids that join what the passes find close."""
+def links(rows: DataFrame, dtype: str, threshold: float, passes: int, window: int, bits: int, seed: int, block: int = 2048) -> DataFrame:
+    """Edges (a, b) of ids that join what the passes find close. The order is made of codes and ids; vectors are fetched by the blocks."""
     order = ["pass", "label", "dims", "code", "id"]
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +116,7 @@ def links(rows: DataFrame, threshold: float, passes: int, window: int, bits: int
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "at"])
             at += batch.num_rows
 
-    codes = projected(rows, passes, bits, seed)
+    codes = stored(projected(rows, dtype, passes, bits, seed), "codes")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in codes.schema)
     ranked = stored(codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, schema + ", part int, at long"), "passes")
     first, upto = {}, 0
@@ -128,26 +127,27 @@ def links(rows: DataFrame, threshold: float, passes: int, window: int, bits: int
     home = F.floor(rank / block).cast("long")
     # a block also gets the `window` rows after its last one
     to = F.when((rank % block < window) & (home > 0), F.array(home - 1, home)).otherwise(F.array(home))
-    dealt = ranked.withColumn("rank", rank).withColumn("block", F.explode(to))
+    dealt = ranked.select("pass", "label", "dims", "id", rank.alias("rank"), F.explode(to).alias("block")).join(rows.select("id", "v"), "id")
 
     def compare(key, frame):
         import pandas as pd
 
         frame = frame.sort_values("rank")
-        group = pd.factorize(pd.MultiIndex.from_frame(frame[["pass", "label", "dims"]]))[0]
+        group = frame["run"].to_numpy()
         ids = frame["id"].to_numpy()
         a, b = [], []
         for g in np.unique(group):
             k = np.flatnonzero(group == g)
-            i, j = close_forest(unit_rows(list(frame["v"].iloc[k])), np.zeros(len(k)), window, threshold)
+            i, j = close_forest(unit_rows(frame["v"].iloc[k], dtype), np.zeros(len(k)), window, threshold)
             a.append(ids[k[i]])
             b.append(ids[k[j]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.select("pass", "label", "dims", "id", "v", "rank", "block").groupBy("block").applyInPandas(compare, "a long, b long")
+    run = F.xxhash64("pass", "label", "dims").alias("run")
+    return dealt.select("id", "v", "rank", "block", run).groupBy("block").applyInPandas(compare, "a long, b long")
 
 
-def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+def link_counts(members: DataFrame, dtype: str, threshold: float, block: int = 1024) -> DataFrame:
     """(id, n_links): exact numbers of close pairs inside each component; members has component, label, id, v and n, the ids it stands for."""
     # stored apart from the join, so a hot component's rows can be split there
     sizes = checkpointed(members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
@@ -160,7 +160,7 @@ def link_counts(members: DataFrame, threshold: float, block: int = 1024) -> Data
 
         counts = []
         for _, part in frame.groupby(["label", frame["v"].map(len)]):
-            x, own_block, ids = unit_rows(list(part["v"])), part["own"].to_numpy(), part["id"].to_numpy()
+            x, own_block, ids = unit_rows(part["v"], dtype), part["own"].to_numpy(), part["id"].to_numpy()
             near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
             if key[1] != key[2]:  # pairs within a block are counted where i = j
                 near &= own_block[:, None] != own_block[None, :]
@@ -175,17 +175,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, win
     """Per row vec_id, n_links, component_id and kept; `recall` below 1 is that of isolated pairs at the threshold."""
     key = ["label", "dims", "h1", "h2"]  # equal for equal vectors of a label only, but for a chance below 2 to the -96 for any two
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"dims": F.size("v"), "h1": F.xxhash64("v"), "h2": F.hash("v")})
-
-    plain = usable(rows, id_col, vec_col, (F.col(label_col).alias("label"),)).where("label is not null")
-    fine = keyed(plain.select(F.col("vec_id").alias("id"), "label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))  # no -0.0
+    plain, dtype = usable(rows, id_col, vec_col, label_col)
+    fine = stored(plain.select(F.col("vec_id").alias("id"), "label", "dims", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")), "fine")
     distinct = stored(fine.groupBy(key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count_distinct("id").alias("n")), "vectors")
     largest = distinct.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
     passes = max(passes, needed_passes(largest, threshold, window, recall))
     bits = min(max(bits, math.ceil(math.log2(max(largest / window, 1.0))) + 8), 62)  # enough to tell windows apart
-    found = components(checkpointed(links(distinct.select("id", "v", "dims", "label"), threshold, passes, window, bits, seed))).withColumnRenamed("node", "id")
-    others = link_counts(distinct.join(found, "id").select("component", "label", "id", "v", "n"), threshold)
+    found = components(checkpointed(links(distinct.select("id", "v", "dims", "label"), dtype, threshold, passes, window, bits, seed))).withColumnRenamed("node", "id")
+    others = link_counts(distinct.join(found, "id").select("component", "label", "id", "v", "n"), dtype, threshold)
     told = distinct.select(*key, "id", "n").join(found, "id", "left").join(others, "id", "left")
     told = checkpointed(told.select(*key, (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
     each = fine.select("id", *key).join(told, key).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))

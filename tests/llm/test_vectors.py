@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import queries, vector_dedup
+from cadenza.llm import neighbours, queries, vector_dedup
 from cadenza.llm.neighbours import search
 from cadenza.llm.vector_dedup import near_vectors
 
@@ -130,3 +130,33 @@ def test_empty_tables(spark):
     unusable = table(spark, [r for r in ODD if r[0] in (5, 6, 8)])
     assert search(unusable, F.lit(True)).count() == 0
     assert near_vectors(unusable).count() == 3
+
+
+def clustered(n, dims=16, centers=40, seed=2):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centers, dims)) * 4
+    x = c[rng.integers(0, centers, n)] + rng.normal(size=(n, dims))
+    return [(k, v, 1) for k, v in enumerate(x.astype("float32").tolist())]
+
+
+@pytest.mark.parametrize("n", [3000, 12_000])
+def test_recall_on_rows_outside_the_sample(spark, n):
+    rows = clustered(n)
+    got = defaultdict(set)
+    for r in search(table(spark, rows), F.col("vec_id") % 100 == 0, sample=1024).collect():
+        got[r.query_id].add(r.vec_id)
+    want = force(rows, range(0, n, 100))
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_clusters_need_few_parts():
+    x = np.array([r[1] for r in clustered(4000)], float)
+    model = neighbours.fit(x, 16, 10, 0.93)
+    assert model["probes"] <= 8
+
+
+def test_distances_beyond_the_square_root_of_the_largest_double(spark):
+    rows = spark.createDataFrame([(0, [1e200, 0.0]), (1, [0.0, 1e200]), (2, [3e200, 0.0]), (3, [1.7e308, -1.7e308]), (4, [-1.7e308, 1.7e308])], "vec_id long, embedding array<double>")
+    got = search(rows, F.col("vec_id").isin(0, 3), k=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (0, 4), (3, 0), (3, 1), (3, 2), (3, 4)]
+    assert got[0].score == pytest.approx(2**0.5 * 1e200) and got[-1].score == INF
