@@ -8,6 +8,10 @@ are hashed for all documents. An anchor that documents of different ids share ex
 hold it; only these windows are hashed, and grouped by hash to find the smallest doc_id in which each starts.
 A word covered by a window that starts in a document with a smaller doc_id goes.
 
+Windows in a row are first decided together: a chain of neighbouring windows is cut where a window's hash says so, which
+falls at the same words in every document, and if a document with a smaller doc_id has the same whole run of words, all
+windows of the run start there. Only windows of other runs, at the ends of passages mostly, are decided one by one.
+
 Exact copies of a text take no part: only the smallest doc_id of a text does, and a copy's windows all start in it.
 Sums go before the shuffles, joins may split a hot anchor, and no pairs of documents are made.
 
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import id_and_text, stored
 
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
+RUN = 8  # windows in a run, on average
 
 
 def word_spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -111,21 +116,59 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     wanted = stored(marked.join(sources, "doc_id"), "anchors")
     candidates = stored(texts.where("doc_id is not null").join(wanted, ["doc_id", *KEYS]).dropDuplicates(["doc_id", *KEYS]).withColumn("row", F.monotonically_increasing_id()), "candidates")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(words, wanted_hashes):
+        """Starts of the windows that hold a shared anchor whole, their hashes, and where runs of them begin."""
+        at = cover_positions(len(words), width)
+        at = at[np.isin(hashes(words, at, width), wanted_hashes)]
+        starts = (at[:, None] - np.arange(PERIOD)[None, :]).ravel()
+        starts = np.unique(starts[(starts >= 0) & (starts <= len(words) - window)])
+        found = hashes(words, starts, window)
+        return starts, found, np.flatnonzero((np.diff(starts, prepend=-2) != 1) | (found % RUN == 0))
+
+    def run_hashes(words, starts, begins):
+        from xxhash import xxh64_intdigest
+
+        joined, first, last = word_spans(words)
+        n = np.diff(np.append(begins, len(starts)))
+        ends = last[starts[begins] + n - 1 + window - 1]
+        # a seed of its own, so that a run is never taken for a window
+        return np.array([xxh64_intdigest(joined[a:z], RUN) for a, z in zip(first[starts[begins]].tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64), n
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(words, doc, wanted_hashes):
+            starts, found, begins = held(words, wanted_hashes)
+            of_runs, _ = run_hashes(words, starts, begins)
+            return np.concatenate((found, of_runs)), np.full(len(found) + len(of_runs), doc)
+
+        return listed(run, batches, ["row", "hash", "doc_id"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(words, doc, wanted_hashes):
-            at = cover_positions(len(words), width)
-            at = at[np.isin(hashes(words, at, width), wanted_hashes)]
-            starts = (at[:, None] - np.arange(PERIOD)[None, :]).ravel()  # windows that hold the anchor whole
-            starts = np.unique(starts[(starts >= 0) & (starts <= len(words) - window)])
-            return starts.astype(np.int32), hashes(words, starts, window), np.full(len(starts), doc)
+            starts, _, begins = held(words, wanted_hashes)
+            of_runs, n = run_hashes(words, starts, begins)
+            return starts[begins].astype(np.int32), n.astype(np.int32), of_runs, np.full(len(n), doc)
+
+        return listed(run, batches, ["row", "pos", "n", "hash", "doc_id"])
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(words, doc, wanted_hashes, decided):
+            starts, found, _ = held(words, wanted_hashes)
+            open_ = ~np.isin(starts, np.array(decided or [], np.int64))
+            return starts[open_].astype(np.int32), found[open_], np.full(int(open_.sum()), doc)
 
         return listed(run, batches, ["row", "pos", "hash", "doc_id"])
 
-    placed = candidates.select("row", "text", "doc_id", "hashes").mapInArrow(windows, "row long, pos int, hash long, doc_id long")
-    smallest = placed.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+    given = candidates.select("row", "text", "doc_id", "hashes")
+    smallest = given.mapInArrow(all_of, "row long, hash long, doc_id long").groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
     smallest = stored(smallest, "smallest")
-    repeats = placed.join(smallest, "hash").where("least < doc_id").groupBy("row").agg(F.collect_list("pos").alias("starts"))
-    return every, candidates.join(repeats, "row").select("doc_id", *KEYS, "text", "starts")
+    whole = given.mapInArrow(runs, "row long, pos int, n int, hash long, doc_id long").join(smallest, "hash").where("least < doc_id")
+    positions = F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("n") - 1)))
+    decided = stored(whole.groupBy("row").agg(positions.alias("decided")), "decided")
+    rest = given.join(decided, "row", "left").mapInArrow(singles, "row long, pos int, hash long, doc_id long")
+    repeats = rest.join(smallest, "hash").where("least < doc_id").groupBy("row").agg(F.collect_list("pos").alias("starts"))
+    none = F.array().cast("array<int>")
+    found = candidates.join(decided, "row", "left").join(repeats, "row", "left").withColumn("starts", F.concat(F.coalesce("decided", none), F.coalesce("starts", none)))
+    return every, found.where(F.size("starts") > 0).select("doc_id", *KEYS, "text", "starts")
 
 
 def kept_words(words: list[bytes], starts: list[int], window: int) -> list[bytes]:
