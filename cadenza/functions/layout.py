@@ -15,23 +15,34 @@ MARKS = " .,:;!?'\"-%$&()/"
 MARKS_EM = [278, 278, 278, 333, 333, 333, 611, 238, 474, 333, 889, 556, 722, 333, 333, 278]
 OTHER_EM, EMOJI_EM = 611, 1150
 # The growth of the active word in hundredths, margins in pixels, and the limits of scaling.
-ACTIVE_POP, MARGIN, LEAST_SCALE, SPLIT_BELOW = 112, 80, 0.45, 0.8
+ACTIVE_POP, EMPHASIS_POP, MARGIN, LEAST_SCALE, SPLIT_BELOW = 112, 118, 80, 0.45, 0.8
 
 WIDTHS = dict(zip(UPPER, UPPER_EM, strict=True)) | dict(zip(LOWER, LOWER_EM, strict=True)) | dict.fromkeys(DIGITS, DIGIT_EM) | dict(zip(MARKS, MARKS_EM, strict=True))
 
 
+BY_WIDTH = {w: "".join(c for c in WIDTHS if WIDTHS[c] == w) for w in sorted(set(WIDTHS.values()))}
+#: Beyond U+2000 and neither a letter nor a number.
+EMOJI = r"[^\x{0}-\x{2000}\p{L}\p{N}]"
+
+
+def char_class(chars: str) -> str:
+    """A pattern's class of these characters."""
+    return "[" + "".join("\\" + c if c in "-\\]^[&" else c for c in chars) + "]"
+
+
 def text_em(text: Column) -> Column:
     """Width of a text: one sum over its characters' classes, without a lookup for each character."""
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     total = F.length(text) * OTHER_EM
-    by_width: dict[int, str] = {}
-    for c, w in WIDTHS.items():
-        by_width[w] = by_width.get(w, "") + c
-    for width, chars in by_width.items():
-        quoted = "".join("\\" + c if c in "-$.()/?&%'\"" else c for c in chars)
-        n = F.length(text) - F.length(F.regexp_replace(text, f"[{quoted}]", ""))
-        total = total + n * (width - OTHER_EM)
-    emoji = F.length(text) - F.length(F.regexp_replace(text, "[\\x{2001}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}]", ""))
-    return total + emoji * (EMOJI_EM - OTHER_EM)
+    for width, chars in BY_WIDTH.items():
+        total = total + count(char_class(chars)) * (width - OTHER_EM)
+    return total + count(EMOJI) * (EMOJI_EM - OTHER_EM)
+
+
+def word_em(word: Column, emphasis: Column, emoji: Column) -> Column:
+    """Width of a caption's word when it is spoken, with its emoji after a space; emphasised words grow more."""
+    shown = F.concat_ws(" ", word, F.when(emoji != "", emoji))
+    return text_em(shown) * F.when(emphasis, EMPHASIS_POP).otherwise(ACTIVE_POP) / 100.0
 
 
 def scale_for(row_em: Column, size: int, outline: int, canvas: int) -> Column:
@@ -53,10 +64,45 @@ def fit_layout(widths: Column, size: int = 126, outline: int = 10, canvas: int =
 
 
 def wrapped(text: Column, most: int) -> Column:
-    """Lines of a one-paragraph title, filled greedily up to `most` characters."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    fold = F.aggregate(words, F.array().cast("array<string>"), lambda lines, w: F.when((F.size(lines) > 0) & (F.length(F.element_at(F.concat(F.array(F.lit("")), lines), -1)) + 1 + F.length(w) <= most), F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat_ws(" ", F.element_at(lines, -1), w)))).otherwise(F.concat(lines, F.array(w))))
-    return fold
+    """Lines of a title, filled greedily up to `most` characters; its own line feeds stay, blank lines at its ends go."""
+    last = lambda lines: F.element_at(lines, -1)
+    joined = lambda lines, w: F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat_ws(" ", F.nullif(last(lines), F.lit("")), w)))
+    full = lambda lines, w: (last(lines) != "") & (F.length(last(lines)) + 1 + F.length(w) > most)
+    words = lambda para: F.filter(F.split(para, r"\s+"), lambda w: w != "")
+    fill = lambda para: F.aggregate(words(para), F.array(F.lit("")), lambda lines, w: F.when(full(lines, w), F.concat(lines, F.array(w))).otherwise(joined(lines, w)))
+    lines = F.flatten(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), fill))
+    said = F.filter(F.transform(lines, lambda x, k: F.when(x != "", k)), lambda k: k.isNotNull())
+    return F.when(F.size(said) == 0, F.array().cast("array<string>")).otherwise(F.filter(lines, lambda _, k: k.between(F.array_min(said), F.array_max(said))))
+
+
+def fit_title(text: Column, place: str, width: int, height: int) -> Column:
+    """struct(lines, size) of a title broken into lines that fit its column; a word that is too wide makes it smaller."""
+    left, right = title_margins(place, width)
+    column = max(1, width - left - right)
+    size = max(40, int(height * (SIDE_SIZE if place in ("left", "right") else FULL_SIZE)))
+    lines = wrapped(text, max(5, int(column / (CHAR_EM * size))))
+    widest = F.array_max(F.transform(lines, F.length)) * (CHAR_EM * size)
+    return F.struct(lines.alias("lines"), F.when(widest > column, F.greatest(F.lit(24), F.floor(size * column / widest))).otherwise(size).cast("int").alias("size"))
+
+
+# Fixed values of titles: their places and styles.
+PLACES, TITLE_STYLES = ["left", "right", "top", "bottom", "center"], ["bold", "glow", "boxed"]
+# Fixed values of titles: width of a character, shares of the canvas for the size, the edge and the column beside a side title.
+CHAR_EM, SIDE_SIZE, FULL_SIZE, EDGE, GUTTER = 0.60, 0.062, 0.072, 0.06, 0.36
+
+
+def title_margins(place: str, width: int) -> tuple[int, int]:
+    edge, gutter = int(width * EDGE), int(width * GUTTER)
+    return {"left": (edge, gutter), "right": (gutter, edge)}.get(place, (edge, edge))
+
+
+def normal_title(title: Column) -> Column:
+    """A title struct(text, place, style, start, duration) with defaults and bounds; null where there is nothing to draw."""
+    text = F.regexp_replace(F.coalesce(title["text"], F.lit("")), r"^\s+|\s+$", "")
+    one_of = lambda c, values, default: F.when(title[c].isin(values), title[c]).otherwise(default)
+    number = lambda c, default: F.coalesce(title[c].try_cast("double"), F.lit(default))
+    start, duration = F.greatest(F.lit(0.0), number("start", 0.0)), F.least(F.lit(120.0), F.greatest(F.lit(0.4), number("duration", 3.0)))
+    return F.when(text != "", F.struct(text.alias("text"), one_of("place", PLACES, "left").alias("place"), one_of("style", TITLE_STYLES, "bold").alias("style"), F.round(start, 3).alias("start"), F.round(duration, 3).alias("duration")))
 
 
 def crop_window(width: Column, height: Column, ratio_w: int, ratio_h: int, center: Column) -> Column:

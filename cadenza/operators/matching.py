@@ -6,30 +6,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.storage import stored
+
+#: The least score of a match, the weight of containment, and the words of a take that has speech.
+LEAST_SCORE, CONTAINED, SPEECH_WORDS = 0.55, 0.9, 4
+#: Fixed values of shots: milliseconds between sampled frames, the correlation below which a shot begins, the shortest
+#: shot, how near two centers share a position, and the most shots of a track.
+SHOT_STEP, CUT_BELOW, LEAST_SHOT, SAME_CENTER, MOST_SHOTS = 250, 0.55, 750, 0.05, 40
+
 
 def match_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9' ]", " "), " "), lambda t: t != "")
 
 
-def bounded_pairs(takes: DataFrame, lines: DataFrame, least: float = 0.55) -> DataFrame:
-    """take_id, line_id, containment, bound for pairs whose score can reach `least`; an equi-join on tokens, no cross join.
+def counted(df: DataFrame, key: str) -> DataFrame:
+    """key, token, n, length: how often each of a text's tokens occurs, and how many tokens the text has."""
+    listed = df.select(key, match_tokens(F.col("text")).alias("ts")).withColumn("length", F.size("ts"))
+    return listed.select(key, "length", F.explode("ts").alias("token")).groupBy(key, "token", "length").agg(F.count("*").alias("n"))
+
+
+def sharing(takes: DataFrame, lines: DataFrame, ratio: float | None, contained: float) -> DataFrame:
+    """take_id, line_id of pairs that share one of a line's rarest tokens, with the token counts of both.
+
+    A pair can reach a ratio of r only if the take has r / (2 - r) of the line's tokens, repeats counted, and containment c only
+    if it has c of its distinct ones. So at least one shared token lies among the line's rarest, before what is left of
+    the line falls short of both: common words make no pairs.
+    """
+    a, b = stored(counted(takes, "take_id"), "takes"), stored(counted(lines, "line_id"), "lines")
+    seen = a.join(b.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    ranked = b.join(seen, "token")  # a token that no take has can't be shared
+    w = Window.partitionBy("line_id").orderBy(F.desc_nulls_last("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("line_id")
+    left = ranked.withColumns({"n_left": F.sum("n").over(w), "d_left": F.count("*").over(w)})
+    vocab = b.withColumn("vocab", F.count("*").over(whole)).select("line_id", "vocab").distinct()
+    enough = F.col("d_left") >= contained * F.col("vocab") - 1e-9
+    if ratio is not None:
+        enough = enough | (F.col("n_left") >= ratio / (2 - ratio) * F.col("length") - 1e-9)
+    rare = left.join(vocab, "line_id").where(enough).select("line_id", "token")
+    pairs = a.select("take_id", "token").join(rare, "token").select("take_id", "line_id").distinct()
+    both = pairs.join(b.select("line_id", "token", F.col("n").alias("line_n"), F.col("length").alias("line_length")), "line_id")
+    return both.join(a.select("take_id", "token", "n", "length"), ["take_id", "token"]).join(vocab, "line_id")
+
+
+def bounded_pairs(takes: DataFrame, lines: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """take_id, line_id, containment, bound for pairs whose score can reach `least`.
 
     containment is the share of a line's distinct tokens that the take has; bound is never below the final score.
     """
-    def counted(df: DataFrame, key: str) -> DataFrame:
-        listed = df.select(key, match_tokens(F.col("text")).alias("ts")).withColumn(f"{key}_len", F.size("ts"))
-        t = listed.select(key, f"{key}_len", F.explode("ts").alias("token"))
-        return t.groupBy(key, "token", f"{key}_len").agg(F.count("*").alias(f"{key}_n"))
-
-    a, b = counted(takes, "take_id"), counted(lines, "line_id")
-    vocab = b.groupBy("line_id").agg(F.count("*").alias("vocab"))
-    both = a.join(b, "token").groupBy("take_id", "line_id", "take_id_len", "line_id_len").agg(F.sum(F.least("take_id_n", "line_id_n")).alias("shared"), F.count("*").alias("common"))
-    both = both.join(vocab, "line_id").withColumn("containment", F.col("common") / F.col("vocab"))
-    bound = F.greatest(0.9 * F.col("containment"), 2.0 * F.col("shared") / (F.col("take_id_len") + F.col("line_id_len")))
+    both = sharing(takes, lines, least, least / CONTAINED).groupBy("take_id", "line_id", "vocab").agg(F.sum(F.least("n", "line_n")).alias("shared"), F.count("*").alias("common"), F.first("length").alias("la"), F.first("line_length").alias("lb"))
+    both = both.withColumn("containment", F.col("common") / F.col("vocab"))
+    bound = F.greatest(CONTAINED * F.col("containment"), 2.0 * F.col("shared") / (F.col("la") + F.col("lb")))
     return both.withColumn("bound", bound).where(F.col("bound") >= least).select("take_id", "line_id", "containment", "bound")
 
 
-def match_scores(takes: DataFrame, lines: DataFrame, least: float = 0.55) -> DataFrame:
+def contained_lines(takes: DataFrame, lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """take_id, line_id, containment of pairs that reach a containment."""
+    both = sharing(takes, lines, None, least).groupBy("take_id", "line_id", "vocab").agg(F.count("*").alias("common"))
+    return both.select("take_id", "line_id", (F.col("common") / F.col("vocab")).alias("containment")).where(F.col("containment") >= least)
+
+
+def match_scores(takes: DataFrame, lines: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The larger of the token sequences' ratio and 0.9 times containment, of the pairs that can reach `least`."""
 
     @F.pandas_udf("double")
@@ -40,27 +76,35 @@ def match_scores(takes: DataFrame, lines: DataFrame, least: float = 0.55) -> Dat
 
     pairs = bounded_pairs(takes, lines, least)
     j = pairs.join(takes.select("take_id", match_tokens(F.col("text")).alias("a")), "take_id").join(lines.select("line_id", match_tokens(F.col("text")).alias("b")), "line_id")
-    return j.select("take_id", "line_id", F.greatest(ratio("a", "b"), 0.9 * F.col("containment")).alias("score"))
+    return j.select("take_id", "line_id", F.greatest(ratio("a", "b"), CONTAINED * F.col("containment")).alias("score"))
 
 
-def assign(scores: DataFrame, batch: Column, least: float = 0.55) -> DataFrame:
-    """One take to one line in each batch, best score first, ties to the smaller ids; a batch is one upload and small."""
+def assign(scores: DataFrame, batch: Column, least: float = LEAST_SCORE) -> DataFrame:
+    """One take to one line in each batch, best score first, ties to the smaller ids.
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "take_id", "line_id"], ascending=[False, True, True])
-        takes, lines, keep = set(), set(), []
-        for k, take, line in zip(frame.index, frame["take_id"], frame["line_id"], strict=True):
-            if take not in takes and line not in lines:
-                takes.add(take)
-                lines.add(line)
-                keep.append(k)
-        return frame.loc[keep]
-
-    fit = scores.where(F.col("score") >= least).withColumn("batch", batch)
-    return fit.groupBy("batch").applyInPandas(greedy, fit.schema)
-
-
-def leftovers(takes: DataFrame, assigned: DataFrame, batch: Column, least_words: int = 4) -> DataFrame:
+    In rounds: a pair that is the best one left both of its take and of its line is what the greedy choice takes, so all
+    such pairs are taken at once, and their takes and lines leave. No batch is ever in one task.
+    """
+    left = stored(scores.where(F.col("score") >= least).withColumn("batch", batch), "open")
+    rank = F.struct((-F.col("score")).alias("s"), "take_id", "line_id")
+    taken: DataFrame | None = None
+    while not left.isEmpty():
+        per_take = left.groupBy("batch", "take_id").agg(F.min(rank).alias("best"))
+        per_line = left.groupBy("batch", "line_id").agg(F.min(rank).alias("best"))
+        chosen = per_take.join(per_line.select("batch", "best"), ["batch", "best"]).select("batch", "best.take_id", "best.line_id", (-F.col("best.s")).alias("score"))
+        chosen = stored(chosen, "chosen")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left = stored(left.join(chosen.select("batch", "take_id"), ["batch", "take_id"], "left_anti").join(chosen.select("batch", "line_id"), ["batch", "line_id"], "left_anti"), "open")
+    return (taken if taken is not None else left).select("take_id", "line_id", "score", "batch")
+
+
+def first_sentence(text: Column) -> Column:
+    """The text up to its first end of a sentence that white space follows, of at most 120 characters."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.substring(F.regexp_extract(trimmed, r"(?s)^(.*?[.!?](?=\s)|.*)", 1), 1, 120)
+
+
+def leftovers(takes: DataFrame, assigned: DataFrame, batch: Column, least_words: int = SPEECH_WORDS) -> DataFrame:
     """Takes without a line and with enough words become beats of a new ticket of their batch, in (mtime, id) order."""
     free = takes.join(assigned.select("take_id"), "take_id", "left_anti").where(F.size(match_tokens(F.col("text"))) >= least_words).withColumn("batch", batch)
     place = F.row_number().over(Window.partitionBy("batch").orderBy("mtime", "take_id")) - 1
@@ -68,40 +112,78 @@ def leftovers(takes: DataFrame, assigned: DataFrame, batch: Column, least_words:
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
-    """id, k, start, end: times of known words from heard ones, equal runs as anchors, others spread between them; text by text."""
+    """id, k, start, end: times of known words from heard ones, text by text.
+
+    Words are compared by their letters and digits. Equal runs anchor the starts, others are spread between the anchors, from 0
+    to the duration; without an anchor all are spread evenly. Times never fall and lie within the duration.
+    """
 
     def one(batches):
+        import re
         from difflib import SequenceMatcher
 
         import numpy as np
 
+        plain = lambda words: [re.sub("[^a-z0-9]", "", w.lower()) for w in words]
         for frame in batches:
             out = []
             for row in frame.itertuples():
-                known, n = list(row.known), len(row.known)
+                known, n, duration = plain(row.known), len(row.known), max(float(row.duration), 0.1)
                 if not n:
                     continue
                 at, when = [-1], [0.0]
-                for m in SequenceMatcher(None, known, list(row.heard), autojunk=False).get_matching_blocks():
+                for m in SequenceMatcher(None, known, plain(row.heard), autojunk=False).get_matching_blocks():
                     at += range(m.a, m.a + m.size)
                     when += list(row.starts[m.b : m.b + m.size])
-                begin = np.maximum.accumulate(np.interp(np.arange(n + 1), [*at, n], [*when, row.duration]))
-                end = np.maximum(begin[1:], begin[:-1] + 0.02)
-                out.append(pd.DataFrame({"id": row.id, "k": range(n), "start": begin[:-1].round(3), "end": end.round(3)}))
+                if len(at) == 1:
+                    step = duration / n
+                    start, end = [round(k * step, 2) for k in range(n)], [round((k + 1) * step, 2) for k in range(n)]
+                else:
+                    spread = np.interp(np.arange(n + 1), [*at, n], [*when, duration])
+                    begin = np.minimum(np.maximum.accumulate(np.maximum(spread[:-1], 0.0)), duration)
+                    start, end = begin.round(3), np.minimum(np.maximum(spread[1:], begin + 0.02), duration).round(3)
+                out.append(pd.DataFrame({"id": row.id, "k": range(n), "start": start, "end": end}))
             yield pd.concat(out) if out else pd.DataFrame({"id": [], "k": [], "start": [], "end": []}).astype({"id": "int64", "k": "int64"})
 
     return pairs.select("id", "known", "heard", "starts", "duration").mapInPandas(one, "id long, k long, start double, end double")
 
 
-def shot_cuts(frames: DataFrame, below: float = 0.55, apart: int = 3) -> DataFrame:
-    """Frames at which the correlation with the frame before falls below the limit, `apart` frames or more after the last accepted cut."""
+def shot_cuts(frames: DataFrame, below: float = CUT_BELOW, step: int = SHOT_STEP, least: int = LEAST_SHOT) -> DataFrame:
+    """track_id, start_ms of each shot: the track's start, and frames unlike the one before, `least` ms or more after the last
+    accepted start; a last shot shorter than that belongs to the one before it.
+
+    Frames are `step` ms apart. Starts after a gap of `least` are accepted whatever came before, so each run between such gaps is folded alone.
+    """
     w = Window.partitionBy("track_id").orderBy("frame")
-    f = frames.withColumns({"prev": F.lag("hist").over(w), "pos": F.row_number().over(w) - 1}).where("prev is not null")
+    f = frames.withColumns({"prev": F.lag("hist").over(w), "t": (F.row_number().over(w) - 1).cast("long") * step, "end_ms": (F.count("*").over(Window.partitionBy("track_id")) - 1) * step})
     n = F.size("hist")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / n
-    f = f.withColumns({"m1": mean(F.col("hist")), "m2": mean(F.col("prev"))})
+    f = f.where("prev is not null").withColumns({"m1": mean(F.col("hist")), "m2": mean(F.col("prev"))})
     dot = lambda a, ma, b, mb: F.aggregate(F.zip_with(a, b, lambda x, y: (x - F.col(ma)) * (y - F.col(mb))), F.lit(0.0), lambda s, x: s + x)
     corr = dot("hist", "m1", "prev", "m2") / F.sqrt(dot("hist", "m1", "hist", "m1") * dot("prev", "m2", "prev", "m2"))
-    hits = f.withColumn("corr", corr).where(F.col("corr") < below).groupBy("track_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    kept = F.aggregate("at", F.array().cast("array<int>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.coalesce(F.element_at(F.concat(F.array(F.lit(-apart)), acc), -1), F.lit(0)) >= apart), F.concat(acc, F.array(p))).otherwise(acc))
-    return hits.select("track_id", F.explode(kept).alias("pos"))
+    hits = f.withColumn("corr", corr).where(F.col("corr") < below).select("track_id", "t", "end_ms")
+    began = F.coalesce(F.lag("t").over(Window.partitionBy("track_id").orderBy("t")), F.lit(0))
+    runs = hits.withColumn("run", F.sum((F.col("t") - began >= least).cast("int")).over(Window.partitionBy("track_id").orderBy("t")))
+    per = runs.groupBy("track_id", "run", "end_ms").agg(F.sort_array(F.collect_list("t")).alias("at"))
+    before = F.when(F.col("run") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    kept = F.aggregate("at", before, lambda acc, p: F.when((F.size(acc) == 0) | (p - F.coalesce(F.element_at(F.concat(F.array(F.lit(-least).cast("long")), acc), -1), F.lit(0)) >= least), F.concat(acc, F.array(p))).otherwise(acc))
+    cuts = per.select("track_id", "end_ms", F.explode(kept).alias("start_ms")).where("start_ms > 0")
+    last = F.lead("start_ms").over(Window.partitionBy("track_id").orderBy("start_ms")).isNull()
+    fine = cuts.withColumn("last", last).where(~(F.col("last") & (F.col("end_ms") - F.col("start_ms") < least))).select("track_id", "start_ms")
+    return frames.select("track_id", F.lit(0).cast("long").alias("start_ms")).distinct().unionByName(fine)
+
+
+def folded_shots(shots: DataFrame) -> DataFrame:
+    """Shots (track_id, start_ms, center) without those within SAME_CENTER of the last one kept; a fold over one track's shots.
+
+    Of more than MOST_SHOTS the one that moves least goes, the first of equals, until so many are left."""
+    row = F.struct("start_ms", F.round(F.coalesce("center", F.lit(0.5)), 4).alias("center"))
+    per = shots.groupBy("track_id").agg(F.sort_array(F.collect_list(row)).alias("all"))
+    none = F.array().cast(f"array<{per.schema['all'].dataType.elementType.simpleString()}>")
+    same = lambda acc, x: (F.size(acc) > 0) & (F.abs(x["center"] - F.get(acc, F.size(acc) - 1)["center"]) < SAME_CENTER)
+    kept = per.select("track_id", F.aggregate("all", none, lambda acc, x: F.when(same(acc, x), acc).otherwise(F.concat(acc, F.array(x)))).alias("kept"))
+    step = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda k: F.struct(F.abs(F.get(a, k)["center"] - F.get(a, k - 1)["center"]).alias("d"), k.alias("k")))
+    least = lambda a: F.array_min(step(a))["k"]
+    without = lambda a, k: F.filter(a, lambda x, i: i != k)
+    extra = F.when(F.size("kept") > MOST_SHOTS, F.sequence(F.lit(1), F.size("kept") - MOST_SHOTS)).otherwise(F.array().cast("array<int>"))
+    return kept.select("track_id", F.inline(F.aggregate(extra, F.col("kept"), lambda a, _: without(a, least(a)))))

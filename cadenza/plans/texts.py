@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import layout
 from cadenza.operators import matching as m
+from cadenza.operators import scripts as sc
 from cadenza.operators import transcript as t
 from cadenza.plans.ctes import with_ctes
+from cadenza.plans.transcripts import LINES
 from cadenza.sources import bridge as b
 
 
@@ -20,8 +21,8 @@ def lines(s, d):
     return b.table(s, d, "benchmark").select(F.col("item_id").alias("line_id"), "text")
 
 
-
 def batch():
+    """The upload that a take came with: here ten, by take."""
     return F.col("take_id") % 10
 
 
@@ -30,12 +31,11 @@ def scores(s, d):
 
 
 def caption_widths(s, d):
-    """Widths of each caption line's words, the active word's growth included."""
-    w = b.words(s, d)
-    ls = t.caption_lines(w).select("project_id", "first_idx", F.col("n").alias("in_line"))
-    j = w.join(ls, "project_id").where((F.col("idx") >= F.col("first_idx")) & (F.col("idx") < F.col("first_idx") + F.col("in_line")))
-    em = (layout.text_em(F.upper("word")) * layout.ACTIVE_POP / 100.0).alias("em")
-    g = j.groupBy("project_id", "first_idx").agg(F.sort_array(F.collect_list(F.struct("idx", em))).alias("ws"))
+    """Widths of each caption line's words as they are spoken; strong words are emphasised, some have an emoji."""
+    w = t.lined(b.words(s, d)).withColumn("shown", F.upper("word"))
+    emoji = F.when(F.col("idx") % 11 == 0, "🔥").otherwise("")
+    em = layout.word_em(F.col("shown"), sc.strong(F.col("word")), emoji).alias("em")
+    g = w.groupBy("project_id", "seg", "part").agg(F.min("idx").alias("first_idx"), F.sort_array(F.collect_list(F.struct("idx", em))).alias("ws"))
     return g.select("project_id", "first_idx", F.transform("ws", lambda x: x["em"]).alias("widths"))
 
 
@@ -45,7 +45,9 @@ def fit(s, d):
 
 
 def wrap(s, d):
-    c = b.clips(s, d).select("id", layout.wrapped(F.regexp_replace("hook", "\\s+", " "), 18).alias("lines"))
+    """Each clip's hook and title, two paragraphs between blank lines, as a title's lines."""
+    text = F.concat(F.lit("\n \n"), "hook", F.lit("\r\n\n"), F.substring("title", 1, 60), F.lit("\n"))
+    c = b.clips(s, d).select("id", layout.wrapped(text, 18).alias("lines"))
     return c.select("id", F.posexplode("lines").alias("k", "line"))
 
 
@@ -59,67 +61,56 @@ def crops(s, d):
 
 
 def effects(s, d):
-    """The first twelve strong words of each project; the first four get a zoom, the first three a sound."""
-    w = b.words(s, d)
-    letters = F.regexp_replace(F.lower("word"), "[^a-z]", "")
-    strong = w.where(F.col("word").rlike("[0-9]") | (F.col("word").rlike("^[^a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ][^a-zß-öø-ÿ]*$") & (F.length("word") > 2)) | (F.length(letters) >= 8))
-    k = F.row_number().over(Window.partitionBy("project_id").orderBy("idx"))
-    x = strong.withColumn("k", k).where("k <= 12")
-    return x.select("project_id", "idx", (F.col("k") <= 4).alias("zoom"), (F.col("k") <= 3).alias("sound"))
+    x = sc.suggested(b.words(s, d))
+    return x.select("project_id", "idx", "emphasis", "emoji", F.col("zoom.t").alias("zoom_t"), F.col("zoom.duration").alias("zoom_for"), F.col("sfx.t").alias("sfx_t"), F.col("sfx.name").alias("sfx_name"))
 
 
 def scripts(s, d):
-    """A labelled script for each ticket: a hook line, then a delimiter and fields for each beat."""
-    x = b.beats(s, d).withColumn("said", F.regexp_replace(F.trim("spoken_line"), "[\n\r]+", " "))
-    block = F.concat(F.lit("BEAT "), F.col("order_index") + 1, F.lit("\nSpoken: "), "said", F.lit("\nOn-screen: "), F.trim("on_screen_text"), F.lit("\n"), F.when(F.col("order_index") % 3 == 1, "Proof: yes\n").otherwise(""))
+    """A script for each ticket: with BEAT lines and labels, numbered, in paragraphs, or a line for each beat."""
+    said = F.regexp_replace(F.trim("spoken_line"), "[\n\r]+", " ")
+    n, kind = F.col("order_index") + 1, F.col("ticket_id") % 4
+    labels = F.concat(F.lit("Spoken: "), said, F.lit("\nOn-screen: "), F.trim("on_screen_text"), F.when(F.col("order_index") % 3 == 1, "\nProof: yes").when(F.col("order_index") % 3 == 2, "\n- B-roll: hands").otherwise("\nCaption: short"))
+    block = F.when(kind == 0, F.concat(F.lit("BEAT "), n, F.lit(":\n"), labels, F.lit("\n"))).when(kind == 1, F.concat(n, F.lit(". "), said)).when(kind == 2, F.concat(labels, F.lit("\n"))).otherwise(said)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", block.alias("x")))), lambda y: y["x"]), "\n")
-    return x.groupBy("ticket_id").agg(F.concat(F.lit("HOOK: watch this\n"), text).alias("text"))
-
-
-def parsed(texts):
-    """Beats of scripts: a line that begins a beat opens a block; labelled fields go to their columns, other lines are spoken.
-
-    The caption is what is spoken unless given; a beat is a proof if it says so or has a digit; empty blocks go.
-    """
-    ls = texts.select("ticket_id", F.posexplode(F.split("text", "\r?\n")).alias("k", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
-    opens = F.col("line").rlike("(?i)^beat[ \t]*[0-9]*[ \t]*[:.)-]?$") | F.col("line").rlike("^#{1,6} ") | F.col("line").rlike("^-{3,}$")
-    w = Window.partitionBy("ticket_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    label = F.lower(F.regexp_replace(F.regexp_extract("line", "^([A-Za-z][A-Za-z /-]{1,20})[ ]*:", 1), "-", " "))
-    value = F.trim(F.regexp_replace("line", "^[A-Za-z][A-Za-z /-]{1,20}[ ]*:", ""))
-    x = ls.withColumns({"opens": opens, "block": F.sum(opens.cast("int")).over(w), "label": label}).where(~F.col("opens") & (F.col("label") != "hook"))
-    field = F.when(F.col("label").isin("spoken", "say", "voiceover", "script"), "spoken").when(F.col("label").isin("on screen", "text", "overlay"), "screen").when(F.col("label") == "caption", "caption").when(F.col("label") == "proof", "proof")
-    x = x.withColumns({"field": F.coalesce(field, F.lit("spoken")), "value": F.when(field.isNotNull(), value).otherwise(F.col("line"))})
-    joined = lambda f: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("field") == f) & (F.col("value") != ""), F.struct("k", "value")))), lambda y: y["value"]), " ")
-    g = x.groupBy("ticket_id", "block").agg(joined("spoken").alias("spoken_line"), joined("screen").alias("on_screen_text"), joined("caption").alias("c"), joined("proof").alias("p"))
-    g = g.where("spoken_line <> '' or on_screen_text <> ''")
-    proof = F.when(F.col("p") != "", ~F.lower("p").isin("no", "false", "n", "0", "none", "off")).otherwise(F.col("spoken_line").rlike("[0-9]"))
-    order = F.row_number().over(Window.partitionBy("ticket_id").orderBy("block")) - 1
-    return g.select("ticket_id", order.cast("long").alias("order_index"), "spoken_line", "on_screen_text", F.when(F.col("c") != "", F.col("c")).otherwise(F.col("spoken_line")).alias("caption"), proof.alias("is_proof_beat"))
+    return b.beats(s, d).groupBy("ticket_id").agg(F.concat(F.lit("\nHOOK: watch this\r\n"), text).alias("text"))
+
+
+def parse(s, d):
+    texts = scripts(s, d)
+    return sc.parsed(texts).join(sc.hooks(texts), "ticket_id", "left")
 
 
 def align(s, d):
     """Each beat's known words against the same words heard evenly over ten seconds with every fifth one lost."""
-    toks = m.match_tokens(F.col("spoken_line"))
+    toks = F.filter(F.split(F.col("spoken_line"), r"\s+"), lambda x: x != "")
     x = b.beats(s, d).select("id", toks.alias("known")).where(F.size("known") > 0)
     n = F.size("known")
-    some = F.filter(F.sequence(F.lit(0), n - 1), lambda k: k % 5 != 4)
+    some = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k % 5 != 4) & (F.col("id") % 7 != 0))
     return m.aligned(x.select("id", "known", F.transform(some, lambda k: F.get("known", k)).alias("heard"), F.transform(some, lambda k: k * 10.0 / n).alias("starts"), F.lit(10.0).alias("duration")))
 
 
+def tracks(s, d):
+    """Shots of each track with a center from their place in it."""
+    x = m.shot_cuts(b.frames(s, d))
+    return m.folded_shots(x.withColumn("center", F.when(F.col("start_ms") % 1750 != 0, (F.col("start_ms") / 250 % 23) / 22.0)))
+
+
 QUERIES = {
     "take_line_pairs": lambda s, d: m.bounded_pairs(takes(s, d), lines(s, d)),
-    "vocab_containment": lambda s, d: m.bounded_pairs(takes(s, d), lines(s, d), 0.0).where("containment >= 0.5").select("take_id", "line_id", "containment"),
+    "vocab_containment": lambda s, d: m.contained_lines(takes(s, d), lines(s, d)),
     "match_score": scores,
     "assign_takes": lambda s, d: m.assign(scores(s, d), batch()),
     "leftover_beats": lambda s, d: m.leftovers(takes(s, d), m.assign(scores(s, d), batch()), batch()),
+    "first_sentence": lambda s, d: takes(s, d).select("take_id", m.first_sentence(F.col("text")).alias("sentence")),
     "align_words": align,
     "shot_cuts": lambda s, d: m.shot_cuts(b.frames(s, d)),
-    "text_em": lambda s, d: b.beats(s, d).select("id", layout.text_em(F.col("spoken_line")).cast("long").alias("em")),
+    "shot_track": tracks,
+    "text_em": lambda s, d: b.beats(s, d).select("id", layout.text_em(F.concat("spoken_line", F.when(F.col("id") % 3 == 0, " 🔥—").otherwise(""))).cast("long").alias("em")),
     "fit_layout": fit,
     "wrap_title": wrap,
     "crop_window": crops,
     "effects_suggest": effects,
-    "parse_script": lambda s, d: parsed(scripts(s, d)),
+    "parse_script": parse,
 }
 TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9'' ]', ' ', 'g'), ' '), lambda x: x <> '')"
 PAIRS = f"""WITH tk AS (SELECT doc_id AS take_id, n_chars AS mtime, {TOKENS.format("text")} AS ts FROM documents), ln AS (SELECT item_id AS line_id, {TOKENS.format("text")} AS ts FROM benchmark),
@@ -127,13 +118,50 @@ ta AS (SELECT take_id, t, count(*) AS c, any_value(n) AS n FROM (SELECT take_id,
 pr AS (SELECT take_id, line_id, sum(least(ta.c, lb.c)) AS m, count(*) AS k, any_value(ta.n) AS la, any_value(lb.n) AS lb FROM ta JOIN lb USING (t) GROUP BY 1, 2),
 sc AS (SELECT take_id, line_id, k / len(list_distinct(ts))::DOUBLE AS containment, greatest(0.9::DOUBLE * (k / len(list_distinct(ts))::DOUBLE), 2.0::DOUBLE * m / (la + lb)) AS bound FROM pr JOIN ln USING (line_id))
 """
-EM = " + ".join(f"{w} * (length({{0}}) - length(regexp_replace({{0}}, '[{c}]', '', 'g')))" for w, c in [(722 - 611, "ABCDHKNRU&"), (667 - 611, "EPSVXY"), (778 - 611, "GOQw"), (278 - 611, "Iijl .,/"), (556 - 611, "Jacekhx".replace("h", "") + "sv" + "yz".replace("z", "") + "0-9$"), (833 - 611, "M"), (944 - 611, "W"), (333 - 611, "ft:;!()\\-"), (889 - 611, "m%"), (389 - 611, "r"), (500 - 611, "z"), (238 - 611, "''"), (474 - 611, '"')])
+quoted = lambda x: x.replace("'", "''")
+EM = "(length({0}) * 611 + " + " + ".join(f"{w - layout.OTHER_EM} * (length({{0}}) - length(regexp_replace({{0}}, '{quoted(layout.char_class(c))}', '', 'g')))" for w, c in layout.BY_WIDTH.items()) + f" + {layout.EMOJI_EM - layout.OTHER_EM} * (length({{0}}) - length(regexp_replace({{0}}, '{quoted(layout.EMOJI).replace('{', '{{').replace('}', '}}')}', '', 'g'))))"
+STRONG = "(regexp_matches(word, '\\p{Nd}') OR (upper(word) = word AND lower(word) <> word AND length(word) > 2) OR length(regexp_replace(lower(word), '[^a-z]', '', 'g')) >= 8)"
+SCALE = "CASE WHEN {0} * 126 / 1000.0::DOUBLE + 20 <= 920 THEN 1.0::DOUBLE ELSE greatest(0.45::DOUBLE, 900 / ({0} * 126 / 1000.0::DOUBLE)) END"
+ROW = "(list_sum({0}) + 278 * (len({0}) - 1))"
+FIT = with_ctes(
+    "words",
+    LINES
+    + f""", ws AS (SELECT project_id, min(idx) AS first_idx, list({EM.format("shown")} * CASE WHEN {STRONG} THEN 118 ELSE 112 END / 100.0::DOUBLE ORDER BY idx) AS w FROM (SELECT *, upper(replace(word, 'ß', 'ss')) || CASE WHEN idx % 11 = 0 THEN ' 🔥' ELSE '' END AS shown FROM pt) GROUP BY project_id, seg, part),
+one AS (SELECT *, {SCALE.format(ROW.format("w"))} AS k1 FROM ws),
+two AS (SELECT project_id, first_idx, k, {SCALE.format("greatest(" + ROW.format("w[1:k]") + ", " + ROW.format("w[k + 1:]") + ")")} AS s FROM one, unnest(range(1, len(w))) u(k) WHERE k1 < 0.8 AND len(w) >= 2),
+best AS (SELECT t.project_id, t.first_idx, max(s) AS s, arg_min(k, (-round(s, 9), k)) AS k FROM two t GROUP BY 1, 2)
+SELECT project_id, first_idx, round(CASE WHEN b.s > k1 + 1e-9 THEN b.s ELSE k1 END, 6) AS scale, CASE WHEN b.s > k1 + 1e-9 THEN b.k END AS split FROM one LEFT JOIN best b USING (project_id, first_idx)""",
+)
+# a list of words folded into lines, for each paragraph
+FILL = "list_reduce(list_concat([['']], list_transform(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> ''), lambda w: [w])), lambda acc, x: CASE WHEN acc[-1] <> '' AND length(acc[-1]) + 1 + length(x[1]) > 18 THEN list_concat(acc, x) ELSE list_concat(acc[:-2], [CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END]) END)"
+WRAP = with_ctes("clips", f", tx AS (SELECT id, string_split(replace(chr(10) || ' ' || chr(10) || hook || chr(13) || chr(10) || chr(10) || substr(title, 1, 60) || chr(10), chr(13), ''), chr(10)) AS ps FROM clips), ls AS (SELECT id, flatten(list_transform(ps, lambda p: {FILL})) AS l FROM tx), nb AS (SELECT id, l, list_filter(list_transform(l, lambda x, i: CASE WHEN x <> '' THEN i END), lambda i: i IS NOT NULL) AS said FROM ls), tr AS (SELECT id, l[list_min(said):list_max(said)] AS l FROM nb WHERE len(said) > 0) SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM tr")
+SCRIPTS = """, sx AS (SELECT ticket_id, order_index AS o, ticket_id % 4 AS kind, order_index + 1 AS n, regexp_replace(trim(spoken_line), '[\\n\\r]+', ' ', 'g') AS said, trim(on_screen_text) AS scr FROM beats),
+lb AS (SELECT *, 'Spoken: ' || said || chr(10) || 'On-screen: ' || scr || CASE o % 3 WHEN 1 THEN chr(10) || 'Proof: yes' WHEN 2 THEN chr(10) || '- B-roll: hands' ELSE chr(10) || 'Caption: short' END AS labels FROM sx),
+scripts AS (SELECT ticket_id, chr(10) || 'HOOK: watch this' || chr(13) || chr(10) || string_agg(CASE kind WHEN 0 THEN 'BEAT ' || n || ':' || chr(10) || labels || chr(10) WHEN 1 THEN n || '. ' || said WHEN 2 THEN labels || chr(10) ELSE said END, chr(10) ORDER BY o) AS text FROM lb GROUP BY 1)
+"""
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+FIELD = "coalesce(" + ", ".join(f"CASE WHEN name IN ({', '.join(repr(x) for x in v)}) THEN '{k}' END" for k, v in sc.LABELS.items()) + ")"
+PARSED = f""", sl AS (SELECT ticket_id, generate_subscripts(l, 1) AS k, {STRIP.format("unnest(l)")} AS line FROM (SELECT ticket_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM scripts)),
+bg AS (SELECT *, line <> '' AND max(CASE WHEN line <> '' AND NOT regexp_matches(line, '{sc.HOOK}') THEN 1 ELSE 0 END) OVER (PARTITION BY ticket_id ORDER BY k) = 0 AS is_hook FROM sl),
+hooks AS (SELECT ticket_id, arg_max({STRIP.format(f"regexp_extract(line, '{sc.HOOK}', 1)")}, k) AS hook FROM bg WHERE is_hook GROUP BY 1),
+dl AS (SELECT *, CASE WHEN line = '' THEN NULL WHEN regexp_matches(line, '{sc.BEAT}') THEN '' WHEN regexp_matches(line, '{sc.BEAT_WITH}') THEN {STRIP.format(f"regexp_extract(line, '{sc.BEAT_WITH}', 1)")} WHEN regexp_matches(line, '{sc.HEADING}') THEN {STRIP.format(f"regexp_extract(line, '{sc.HEADING}', 1)")} WHEN regexp_matches(line, '{sc.RULE}') THEN ''
+  WHEN regexp_matches(line, '{sc.NUMBERED}') THEN {STRIP.format(f"regexp_extract(line, '{sc.NUMBERED}', 1)")} END AS rest FROM bg WHERE NOT is_hook),
+bk AS (SELECT *, count(rest) OVER (PARTITION BY ticket_id) > 0 AS delimited, count(rest) OVER w AS block, sum(CASE WHEN line <> '' AND coalesce(prev, '') = '' THEN 1 ELSE 0 END) OVER w AS para FROM (SELECT *, lag(line) OVER (PARTITION BY ticket_id ORDER BY k) AS prev FROM dl) WINDOW w AS (PARTITION BY ticket_id ORDER BY k)),
+nm AS (SELECT * EXCLUDE (line), coalesce(rest, line) AS line, regexp_replace(replace(lower({STRIP.format(f"regexp_extract(coalesce(rest, line), '{sc.LABELLED}', 1)")}), '-', ' '), '\\s+', ' ', 'g') AS name FROM bk WHERE coalesce(rest, line) <> ''),
+fd AS (SELECT *, {FIELD} AS field FROM nm),
+vl AS (SELECT *, CASE WHEN delimited THEN block WHEN max(para) OVER t = min(para) OVER t AND count(field) OVER t = 0 THEN k ELSE para END AS blk, CASE WHEN field IS NOT NULL THEN {STRIP.format(f"regexp_extract(line, '{sc.LABELLED}', 2)")} ELSE line END AS v FROM fd WINDOW t AS (PARTITION BY ticket_id)),
+gr AS (SELECT ticket_id, blk, {", ".join(f"coalesce(string_agg(v, ' ' ORDER BY k) FILTER (field = '{f}' AND v <> ''), '') AS {f}_" for f in sc.LABELS if f != "proof")}, coalesce(string_agg(v, ' ' ORDER BY k) FILTER (field IS NULL AND v <> ''), '') AS plain, arg_max(lower(v) NOT IN ('no', 'false', 'n', '0', 'none', 'off'), k) FILTER (field = 'proof') AS proof FROM vl GROUP BY 1, 2),
+sp AS (SELECT *, concat_ws(' ', nullif(spoken_line_, ''), nullif(plain, '')) AS said FROM gr),
+cp AS (SELECT *, coalesce(nullif(caption_, ''), said) AS cap FROM sp)
+SELECT c.ticket_id, row_number() OVER (PARTITION BY c.ticket_id ORDER BY blk) - 1 AS order_index, said AS spoken_line, on_screen_text_ AS on_screen_text, cap AS caption, shot_cue_ AS shot_cue, coalesce(proof, regexp_matches(concat_ws(' ', said, cap, on_screen_text_), '\\p{{Nd}}')) AS is_proof_beat, hook FROM cp c LEFT JOIN hooks h ON h.ticket_id = c.ticket_id WHERE said <> '' OR on_screen_text_ <> '' OR cap <> '' OR shot_cue_ <> ''"""
+FACES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sc.EMOJI.items()) + "}"
 ORACLES = {
     "take_line_pairs": PAIRS + "SELECT * FROM sc WHERE bound >= 0.55",
     "vocab_containment": PAIRS + "SELECT take_id, line_id, containment FROM sc WHERE containment >= 0.5",
-    "leftover_beats": PAIRS + "SELECT take_id % 10 AS batch, take_id, row_number() OVER (PARTITION BY take_id % 10 ORDER BY mtime, take_id) - 1 AS order_index FROM tk WHERE len(ts) >= 4 AND take_id NOT IN (SELECT take_id FROM sc WHERE bound >= 0.55)",
-    "text_em": with_ctes("beats", "SELECT id, (length(spoken_line) * 611 + " + EM.format("spoken_line") + ")::BIGINT AS em FROM beats"),
+    "text_em": with_ctes("beats", ", sp AS (SELECT id, spoken_line || CASE WHEN id % 3 = 0 THEN ' 🔥—' ELSE '' END AS s FROM beats) SELECT id, " + EM.format("s") + "::BIGINT AS em FROM sp"),
+    "fit_layout": FIT,
+    "wrap_title": WRAP,
     "crop_window": with_ctes("clips", ", g AS (SELECT id, CASE WHEN id % 2 = 0 THEN 1920 ELSE 1080 END AS sw, CASE WHEN id % 2 = 0 THEN 1080 ELSE 1920 END AS sh, [9, 1, 4][id % 3 + 1] AS a, [16, 1, 5][id % 3 + 1] AS z, (id % 11) / 10.0::DOUBLE AS c FROM clips), s AS (SELECT *, (CASE WHEN sw * z > sh * a THEN least(sw, round_even(sh * a / z::DOUBLE, 0)) ELSE sw END)::BIGINT AS w, (CASE WHEN sw * z > sh * a THEN sh ELSE least(sh, round_even(sw * z / a::DOUBLE, 0)) END)::BIGINT AS h FROM g) SELECT id, w, h, greatest(0, least(sw - w, round_even(c * sw - w / 2.0::DOUBLE, 0)))::BIGINT AS x, (sh - h) // 2 AS y FROM s"),
-    "effects_suggest": with_ctes("words", ", st AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY idx) AS k FROM words WHERE regexp_matches(word, '[0-9]') OR (regexp_matches(word, '^[^a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ][^a-zß-öø-ÿ]*$') AND length(word) > 2) OR length(regexp_replace(lower(word), '[^a-z]', '', 'g')) >= 8) SELECT project_id, idx, k <= 4 AS zoom, k <= 3 AS sound FROM st WHERE k <= 12"),
-    "parse_script": with_ctes("beats", ", p AS (SELECT ticket_id, order_index AS o, regexp_replace(trim(spoken_line), '[\\n\\r]+', ' ', 'g') AS said, trim(on_screen_text) AS scr FROM beats) SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY o) - 1 AS order_index, said AS spoken_line, scr AS on_screen_text, said AS caption, CASE WHEN o % 3 = 1 THEN true ELSE regexp_matches(said, '[0-9]') END AS is_proof_beat FROM p WHERE said <> '' OR scr <> ''"),
+    "effects_suggest": with_ctes("words", f", st AS (SELECT *, {STRONG} AS strong, {FACES}[regexp_replace(lower(word), '[^a-z]', '', 'g')] AS face FROM words), n AS (SELECT *, sum(strong::INT) OVER w AS k, count(face) OVER w AS e FROM st WINDOW w AS (PARTITION BY project_id ORDER BY idx)) SELECT project_id, idx, strong AND k <= 12 AS emphasis, CASE WHEN e <= 6 THEN face END AS emoji, CASE WHEN strong AND k <= 4 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS zoom_t, CASE WHEN strong AND k <= 4 THEN greatest(400, end_ms - start_ms + 500) / 1000.0::DOUBLE END AS zoom_for, CASE WHEN strong AND k <= 3 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS sfx_t, CASE WHEN strong AND k <= 3 THEN 'whoosh' END AS sfx_name FROM n WHERE strong AND k <= 12 OR (e <= 6 AND face IS NOT NULL)"),
+    "parse_script": with_ctes("beats", SCRIPTS + PARSED),
 }
