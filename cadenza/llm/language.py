@@ -1,9 +1,9 @@
 """Operator 9: language by nearest centroids of TF-IDF n-gram vectors.
 
-A text is lower-cased, what isn't a letter becomes a space, and its byte 3-grams are counted in `BUCKETS` hashed
+A text is lower-cased, ASCII characters that aren't letters become spaces, and its byte 3-grams are counted in `BUCKETS` hashed
 features. Weights are (1 + log count) * idf, scaled to length one. Document frequencies cover every row that may
 be learned from. Each language has several centroids, found by spherical k-means on a bounded, hash-chosen
-sample of at most `per_language` rows of it. A text gets the language of the centroid with the largest cosine;
+sample of at most `per_language` rows of it, of at most `longest` bytes each. A text gets the language of the centroid with the largest cosine;
 `rejected` marks a text further from it than nearly all sample rows of that language are from theirs.
 
 Null text, or none with a letter: `und`, score 0, rejected. Rows with a null language are predicted but not learned
@@ -12,7 +12,6 @@ from; with nothing to learn from every row is `und`. Repeated rows are each retu
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,14 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import held_out, id_and_text
 
 BUCKETS = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
 ASCII = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Signs such as ² and Ⅷ aren't letters."""
+    return any(map(str.isalpha, text))
+
+
 def counts(texts: list[str]) -> np.ndarray:
     """Counts of the hashed byte 3-grams, one row a text."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
@@ -55,7 +58,7 @@ def centroids(v: np.ndarray, k: int, seed: int = 7, rounds: int = 15) -> np.ndar
     return c
 
 
-def fit(docs: DataFrame, per_language: int = 300, per_centroid: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+def fit(docs: DataFrame, per_language: int = 300, per_centroid: int = 3, longest: int = 65_536, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """The model: languages, centroids, idf and the cosine below which a text is rejected."""
     learn = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r[0]: r[1] for r in learn.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row a language
@@ -79,10 +82,10 @@ def fit(docs: DataFrame, per_language: int = 300, per_centroid: int = 3, id_col:
     # rows with the smallest hashes of a language; the filter keeps a little over the bound, the slice the bound
     order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     bound = F.coalesce(*[F.when(F.col(lang_col).cast("string") == k, F.lit(int((1 << 30) * min(1.0, (per_language * 1.3 + 20) / n)))) for k, n in sizes.items()])
-    rows = learn.where(order < bound).select(F.col(lang_col).cast("string"), F.col(text_col), order.alias("o"), F.col(id_col)).collect()
+    rows = learn.where((order < bound) & (F.octet_length(F.col(text_col).cast("string")) <= longest)).select(F.col(lang_col).cast("string"), F.col(text_col), order.alias("o"), F.col(id_col)).collect()
     names, found, near = [], [], []
     for lang in sorted(sizes):
-        texts = [r[1] for r in sorted((r for r in rows if r[0] == lang and LETTER.search(r[1])), key=lambda r: (r[2], r[3]))[:per_language]]
+        texts = [r[1] for r in sorted((r for r in rows if r[0] == lang and has_letter(r[1])), key=lambda r: (r[2], r[3]))[:per_language]]
         if texts:
             v = weighted(counts(texts), idf)
             c = centroids(v, per_centroid)
@@ -102,7 +105,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
             langs, scores, rejected = [], [], []
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
-                lettered = np.array([m is not None and bool(LETTER.search(t)) for t in texts])
+                lettered = np.array([m is not None and has_letter(t) for t in texts])
                 if m is None:
                     cos, best = np.zeros(len(texts)), np.zeros(len(texts), int)
                 else:

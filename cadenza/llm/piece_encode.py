@@ -61,13 +61,14 @@ class Encoder:
         for end, piece in self.automaton.iter(run):
             if len(piece) > len(longest[start := end + 1 - len(piece)]):
                 longest[start] = piece
-        open_ends = (1 << (n + 1)) - 1  # bit k: position k hasn't failed
+        failed = bytearray(n // 8 + 1)  # bit k: position k has failed
         out: list[str] = []
         pos, token = 0, longest[0]
         while pos < n:
             last = out[-1] if out else None
             while token:
-                if open_ends >> (pos + len(token)) & 1 and (last is None or self.compatible(last, token)):
+                end = pos + len(token)
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, token)):
                     break
                 token = self.shorter.get(token)
             if token:
@@ -75,7 +76,7 @@ class Encoder:
                 pos += len(token)
                 token = longest[pos] if pos < n else None
             else:
-                open_ends &= ~(1 << pos)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= len(token)
         return out

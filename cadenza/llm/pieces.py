@@ -33,6 +33,9 @@ class Pieces:
         spec = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not (spec.add_dummy_prefix and spec.escape_whitespaces):
             raise ValueError("a BPE model with the identity normaliser and a dummy prefix is needed")
+        kinds = proto.SentencePiece.Type
+        if any(piece.type in (kinds.USER_DEFINED, kinds.UNUSED) for piece in proto.pieces):
+            raise ValueError("a model with user-defined or unused pieces isn't handled")
         sp = SentencePieceProcessor(model_proto=blob)
         ids = range(sp.get_piece_size())
         special = {i for i in ids if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)}

@@ -139,8 +139,8 @@ def calibrate(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
-    """The model from labelled rows that aren't held out; None without both labels."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
+    """The model from about `per_label` labelled rows of each label that aren't held out and have at most `longest` bytes; None without both labels."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str =
     order = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
     bound = F.coalesce(*[F.when(F.col("label") == k, F.lit(int((1 << 30) * min(1.0, per_label / n)))) for k, n in sizes.items()])
     chosen = known.where(order < bound)  # about per_label rows of each label
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text").distinct().collect()
+    rows = id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text").distinct().collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:

@@ -79,3 +79,76 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
     assert quality.scored(none, None).count() == 0
     assert language.identify(none, None).count() == 0
+
+
+def quality_by_force(text, model):
+    """The score of one text, its marginals summed over all labellings."""
+    own, size, lines = quality.line_features([text])
+    n, zero = len(own), np.zeros(own.shape[1])
+    x = np.array([[*own[k], *(own[k - 1] if k else zero), *(own[k + 1] if k + 1 < n else zero), 1] for k in range(n)])
+    odds, moves = x @ model["w"], model["moves"]
+    total, mass = 0.0, np.zeros(n)
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(odds @ np.array(y) + sum(moves[a, b] for a, b in itertools.pairwise(y)))
+        total, mass = total + w, mass + w * np.array(y)
+    p = float(np.average(mass / total, weights=[len(line) + 1 for line in text.split(b"\n")]))
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    a, b = model["scale"]
+    return 1 / (1 + np.exp(-(a * np.log(p / (1 - p)) + b)))
+
+
+def test_quality_by_force(spark):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{cases.SF}/documents.parquet'").fetchall()
+    table = cases.table(spark, docs + cases.TEXTS)
+    model = quality.fit(table, queries.table(spark, cases.SF, "labels"))
+    few = [(i, t or "") for i, t in docs + cases.TEXTS if i is not None and (t or "").count("\n") < 10]
+    got = {}
+    for r in quality.scored(table, model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert len(few) > 50
+    for i, t in few:
+        assert min(abs(s - quality_by_force(t.encode(), model)) for s in got[i]) < 1e-6
+
+
+def test_features_by_hand():
+    own, size, lines = quality.line_features([b"Ab c.\n\nno no 12!", b""])
+    assert size.tolist() == [5, 0, 9, 0] and lines.tolist() == [3, 1]
+    first = [np.log1p(5) / 5, 1 / 4, 3 / 6, 0, 1 / 6, 0, 0, 0, 1 / 2, 0, 1, 0]
+    third = [np.log1p(9) / 5, 0, 4 / 10, 2 / 10, 2 / 10, 1, 0, 0, 0, 2 / 3, 0, 0]
+    assert own[0].tolist() == pytest.approx(first) and own[2].tolist() == pytest.approx(third)
+    assert own[1].tolist() == own[3].tolist() == [0.0] * 11 + [1.0]
+
+
+def test_a_text_of_very_many_lines():
+    model = {"w": np.zeros(37), "moves": np.eye(2), "scale": (1.0, 0.0)}
+    assert quality.score_texts([b"line\n" * 60_000, b"one"], model) == pytest.approx([0.5, 0.5])
+
+
+def language_by_force(text, model):
+    """The language and cosine of one text, from counts in a dictionary."""
+    letters = "".join(c if c.isalpha() or ord(c) >= 128 else " " for c in text.lower())
+    raw, tf = b" " + b" ".join(letters.encode().split(None)) + b" ", {}
+    for k in range(len(raw) - 2):
+        g = ((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761) % 2**32 >> 19
+        tf[g] = tf.get(g, 0) + 1
+    v = {g: (1 + np.log(n)) * model["idf"][g] for g, n in tf.items()}
+    norm = np.sqrt(sum(x * x for x in v.values()))
+    cos = [sum(x * c[g] for g, x in v.items()) / norm for c in model["centroids"].astype(float)]
+    return model["names"][int(np.argmax(cos))], max(cos), sorted(cos)[-2:]
+
+
+def test_language_by_force(spark):
+    docs = cases.documents()
+    table = spark.createDataFrame([(i, t, "en de fr es".split()[i % 4]) for i, t in docs], "doc_id long, text string, lang string")
+    model = language.fit(queries.table(spark, cases.SF, "documents"))
+    texts = dict(docs)
+    for r in language.identify(table, model).collect():
+        name, cos, best = language_by_force(texts[r.doc_id], model)
+        assert abs(r.score - cos) < 1e-4
+        assert r.lang_pred == name or abs(best[1] - best[0]) < 1e-4
+
+
+def test_signs_are_no_letters(spark):
+    model = language.fit(queries.table(spark, cases.SF, "documents"))
+    docs = cases.table(spark, [(1, "² ½ Ⅷ 12"), (2, "½ a")])
+    assert [r.lang_pred == "und" for r in sorted(language.identify(docs, model).collect())] == [True, False]

@@ -1,6 +1,7 @@
 """Operators 1, 3 and 5 against the tokenizers' own libraries."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,3 +96,11 @@ def test_empty_tables(spark):
     assert encode_documents(none, tokenizer_file(PIECE_MODEL)).count() == 0
     assert count_tokens(none, tokenizer_file(PIECE_MODEL)).count() == 0
     assert pack(none, tokenizer_file(WORD_MODEL)).count() == 0
+
+
+def test_long_texts_without_spaces(spark, sp):
+    """Time and memory follow the length: a run of a third of a megabyte, and one whose every position fails or fits alike."""
+    rng = random.Random(5)
+    texts = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(300_000))), (2, "a" * 100_000)]
+    got = {r.doc_id: r.n_tokens for r in encode_documents(cases.table(spark, texts), tokenizer_file(PIECE_MODEL)).collect()}
+    assert got == {i: len(sp.encode(t, add_eos=True)) for i, t in texts}
