@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.scoring import COUNTERS, perf_score
+from cadenza.functions.scoring import COUNTERS, first_text, perf_score, stripped
 
 KNOWN = ["tt", "ig", "yt"]
 
@@ -49,8 +49,8 @@ def by_platform(perf: DataFrame) -> DataFrame:
 
 
 def trend(perf: DataFrame) -> DataFrame:
-    """Sums and score of each capture date."""
-    day = F.date_format("captured_at", "yyyy-MM-dd").alias("day")
+    """Sums and score of each capture date; '?' where it is missing."""
+    day = F.coalesce(F.date_format("captured_at", "yyyy-MM-dd"), F.lit("?")).alias("day")
     return perf.groupBy(day).agg(*sums()).withColumn("score", perf_score()).orderBy("day")
 
 
@@ -63,13 +63,13 @@ def video_pivot(perf: DataFrame, videos: DataFrame) -> DataFrame:
     joined = joined.withColumns(parts)
     totals = {c: sum((F.col(f"{p}_{c}") for p in KNOWN), F.lit(0)).cast("long") for c in COUNTERS}
     out = joined.withColumns(totals).withColumn("score", perf_score())
-    return out.select("kind", "vid", *[f"{p}_views" for p in KNOWN], *COUNTERS, "score").orderBy(F.desc("score"), F.desc(F.col("kind") == "reel"), "vid")
+    return out.select("kind", "vid", *parts, *COUNTERS, "score").orderBy(F.desc("score"), F.desc(F.col("kind") == "reel"), "vid")
 
 
 def universe(clips: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Videos that can have numbers: rendered clips or clips with markers, and tickets with a clip."""
+    """Videos that can have numbers: rendered clips or clips with markers, and tickets that were given a clip."""
     a = clips.where((F.col("status") == "rendered") | F.col("markers").isNotNull()).select(F.lit("clip").alias("kind"), F.col("id").alias("vid"))
-    return a.unionByName(tickets.where("clip_url <> ''").select(F.lit("reel").alias("kind"), F.col("id").alias("vid")))
+    return a.unionByName(tickets.where("clip_url is not null").select(F.lit("reel").alias("kind"), F.col("id").alias("vid")))
 
 
 def angle_rollup(perf: DataFrame, tickets: DataFrame) -> DataFrame:
@@ -81,12 +81,15 @@ def angle_rollup(perf: DataFrame, tickets: DataFrame) -> DataFrame:
     return out.select("angle", "posts_count", F.coalesce(F.bround(F.col("m") / F.col("n") / 1000.0, 2), F.lit(0.0)).alias("avg_score"))
 
 
-def winning_patterns(perf: DataFrame, clips: DataFrame, tickets: DataFrame, k: int = 5, min_views: int = 1) -> DataFrame:
-    """The k hooks, angles and presets with the largest sum of saves and follows; ties to the one seen first."""
-    facts = keyed(perf).where(F.col("views") >= min_views).select("kind", "vid", (F.col("saves") + F.col("follows")).alias("gain"), "id").where("gain > 0")
-    text = F.when(F.coalesce(F.col("hook"), F.lit("")) != "", F.col("hook")).otherwise(F.col("title"))
-    of_clips = clips.select(F.lit("clip").alias("kind"), F.col("id").alias("vid"), F.array(F.struct(F.lit("hook").alias("dimension"), text.alias("value")), F.struct(F.lit("preset").alias("dimension"), F.col("preset").alias("value"))).alias("p"))
-    of_reels = tickets.select(F.lit("reel").alias("kind"), F.col("id").alias("vid"), F.array(F.struct(F.lit("hook").alias("dimension"), F.col("hook_text").alias("value")), F.struct(F.lit("angle").alias("dimension"), F.col("angle").alias("value"))).alias("p"))
+def winning_patterns(perf: DataFrame, clips: DataFrame, tickets: DataFrame, k: int = 5, min_views: int = 0, brand: str | None = None) -> DataFrame:
+    """The k hooks, angles and presets with the largest sum of saves and follows, of one brand or of all; ties to the one seen first."""
+    facts = keyed(perf).where(F.coalesce("views", F.lit(0)) >= min_views).select("kind", "vid", (F.coalesce("saves", F.lit(0)) + F.coalesce("follows", F.lit(0))).alias("gain"), "id").where("gain > 0")
+    wanted = (brand or "").strip().lower()
+    own = F.lower(stripped(F.coalesce("brand", F.lit("")))) == wanted if wanted else F.lit(True)
+    pair = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
+    hook = stripped(F.coalesce(first_text(F.col("hook"), F.col("title")), F.lit("")))
+    of_clips = clips.where(own).select(F.lit("clip").alias("kind"), F.col("id").alias("vid"), F.array(pair("hook", hook), pair("preset", F.col("preset"))).alias("p"))
+    of_reels = tickets.where(own).select(F.lit("reel").alias("kind"), F.col("id").alias("vid"), F.array(pair("hook", stripped(F.col("hook_text"))), pair("angle", stripped(F.col("angle")))).alias("p"))
     j = facts.join(of_clips.unionByName(of_reels), ["kind", "vid"]).select("gain", "id", F.inline("p")).where("value is not null and value <> ''")
     summed = j.groupBy("dimension", "value").agg(F.sum("gain").alias("gain"), F.min("id").alias("first_id"))
     w = Window.partitionBy("dimension").orderBy(F.desc("gain"), "first_id")

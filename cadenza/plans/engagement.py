@@ -29,12 +29,12 @@ ORACLES = {
     "insights_kpis": with_ctes("perf tickets", KEYED + f"SELECT CASE WHEN videos > 0 THEN videos ELSE (SELECT count(*) FROM tickets) END AS tickets, (SELECT count(*) FROM tickets WHERE stage = 'posted') AS posted, views, follows, saves, sends FROM (SELECT count(DISTINCT (kind, vid)) AS videos, {SUMS} FROM keyed)"),
     "insights_top": with_ctes("perf", KEYED + f"SELECT kind, vid, {SCORE} AS score FROM (SELECT kind, vid, min(id) AS f, {SUMS} FROM keyed GROUP BY kind, vid) ORDER BY score DESC, f LIMIT 8"),
     "insights_by_platform": with_ctes("perf", f"SELECT *, {SCORE} AS score FROM (SELECT CASE WHEN platform = '' THEN '?' ELSE platform END AS platform, {SUMS}, count(*) AS posts FROM perf GROUP BY 1)"),
-    "insights_trend": with_ctes("perf_log", f"SELECT *, {SCORE} AS score FROM (SELECT strftime(captured_at, '%Y-%m-%d') AS day, {SUMS} FROM perf_log GROUP BY 1)"),
+    "insights_trend": with_ctes("perf_log", f"SELECT *, {SCORE} AS score FROM (SELECT coalesce(strftime(captured_at, '%Y-%m-%d'), '?') AS day, {SUMS} FROM perf_log GROUP BY 1)"),
     "insights_videos": with_ctes(
         "perf clips tickets",
         KEYED
-        + f""", u AS (SELECT 'clip' AS kind, id AS vid FROM clips WHERE status = 'rendered' OR markers IS NOT NULL UNION ALL SELECT 'reel', id FROM tickets WHERE clip_url <> ''),
-t AS (SELECT u.kind, u.vid, coalesce(sum(views) FILTER (platform = 'tt'), 0)::BIGINT AS tt_views, coalesce(sum(views) FILTER (platform = 'ig'), 0)::BIGINT AS ig_views, coalesce(sum(views) FILTER (platform = 'yt'), 0)::BIGINT AS yt_views,
+        + f""", u AS (SELECT 'clip' AS kind, id AS vid FROM clips WHERE status = 'rendered' OR markers IS NOT NULL UNION ALL SELECT 'reel', id FROM tickets WHERE clip_url IS NOT NULL),
+t AS (SELECT u.kind, u.vid, {", ".join(f"coalesce(sum({c}) FILTER (platform = '{p}'), 0)::BIGINT AS {p}_{c}" for p in e.KNOWN for c in e.COUNTERS)},
   coalesce(sum(views), 0)::BIGINT AS views, coalesce(sum(follows), 0)::BIGINT AS follows, coalesce(sum(saves), 0)::BIGINT AS saves, coalesce(sum(sends), 0)::BIGINT AS sends
   FROM u LEFT JOIN keyed k ON k.kind = u.kind AND k.vid = u.vid AND platform IN ('tt', 'ig', 'yt') GROUP BY u.kind, u.vid)
 SELECT *, {SCORE} AS score FROM t""",
@@ -43,10 +43,10 @@ SELECT *, {SCORE} AS score FROM t""",
     "winning_patterns": with_ctes(
         "perf clips tickets",
         KEYED
-        + """, f AS (SELECT kind, vid, saves + follows AS gain, id FROM keyed WHERE views >= 1 AND saves + follows > 0),
-p AS (SELECT gain, f.id, 'hook' AS dimension, CASE WHEN hook <> '' THEN hook ELSE title END AS value FROM f JOIN clips c ON kind = 'clip' AND vid = c.id
+        + """, f AS (SELECT kind, vid, saves + follows AS gain, id FROM keyed WHERE saves + follows > 0),
+p AS (SELECT gain, f.id, 'hook' AS dimension, regexp_replace(CASE WHEN hook <> '' THEN hook ELSE title END, '^\\s+|\\s+$', '', 'g') AS value FROM f JOIN clips c ON kind = 'clip' AND vid = c.id
  UNION ALL SELECT gain, f.id, 'preset', preset FROM f JOIN clips c ON kind = 'clip' AND vid = c.id
- UNION ALL SELECT gain, f.id, 'hook', hook_text FROM f JOIN tickets t ON kind = 'reel' AND vid = t.id
+ UNION ALL SELECT gain, f.id, 'hook', regexp_replace(hook_text, '^\\s+|\\s+$', '', 'g') FROM f JOIN tickets t ON kind = 'reel' AND vid = t.id
  UNION ALL SELECT gain, f.id, 'angle', angle FROM f JOIN tickets t ON kind = 'reel' AND vid = t.id)
 SELECT dimension, row_number() OVER (PARTITION BY dimension ORDER BY gain DESC, f) AS place, value, gain FROM (SELECT dimension, value, sum(gain)::BIGINT AS gain, min(id) AS f FROM p WHERE value <> '' GROUP BY 1, 2)
 QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY gain DESC, f) <= 5""",
