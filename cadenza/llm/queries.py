@@ -1,4 +1,4 @@
-"""The registered queries of the ten training-data operators."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, line_dedup, quality
+from cadenza.llm import archives, collocations, language, line_dedup, merkle, quality
 from cadenza.llm.neighbours import search
 from cadenza.llm.packing import pack
 from cadenza.llm.piece_encode import encode_documents
@@ -73,6 +73,18 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.deduplicated_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"), merkle.lowered_third())
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_encode": op1_piece_encode,
     "op2_neighbours": op2_neighbours,
@@ -84,5 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_warc": op11_warc,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
+}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op11_warc": archives.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}

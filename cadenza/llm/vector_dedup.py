@@ -16,13 +16,13 @@ blocks is compared in one task, with counts written, not pairs. Every pair found
 Ranks in the order come from range partitions and their sizes (a row each at the driver). Passes are parts of
 one sort, and a label that a third of the rows have is ranges of that sort like any other.
 
-Equal vectors of a label are one from the start, with the number of their ids, so copies aren't compared with each
-other; each id gets what its vector gets.
+Equal vectors of a label are one node from the start, with the number of their ids, so copies aren't compared with each
+other; each row gets what its node gets. Nodes have numbers of their own, as an id may name several vectors.
 
 Vectors that are null, zero, hold null or non-finite components, or have a null label link with nothing, and so do vectors of
 different lengths. Null ids are returned with no links and a null component. Rows that repeat id, label and vector
-count once. An id with several vectors links as each of them, never with itself; its rows get the largest number of
-links and the smallest component of these.
+count once and get the same result. Rows that repeat an id with another label or vector are vectors of their own, each with
+its own links and component.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
+from cadenza.llm.ordering import running
 from cadenza.llm.shared import checkpointed, stored
 from cadenza.llm.vectors import unpacked, usable
 
@@ -57,7 +57,7 @@ def needed_passes(size: int, threshold: float, window: int, recall: float) -> in
 
 
 def projected(rows: DataFrame, dtype: str, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, label, dims, code, id): a row for each vector and pass, without the vector."""
+    """(pass, label, dims, code, node): a row for each vector and pass, without the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -72,9 +72,9 @@ def projected(rows: DataFrame, dtype: str, passes: int, bits: int, seed: int) ->
                 codes = ((unpacked(part.column(1).to_pylist(), dtype) @ planes[dims]) > 0).reshape(-1, bits) @ place
                 again = pa.array(np.repeat(np.arange(len(pick)), passes))
                 columns = [pa.array(np.tile(np.arange(passes, dtype=np.int32), len(pick))), *(part.column(k).take(again) for k in (3, 2)), pa.array(codes), part.column(0).take(again)]
-                yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dims", "code", "id"])
+                yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dims", "code", "node"])
 
-    return rows.select("id", "v", "dims", "label").mapInArrow(run, f"pass int, label {rows.schema['label'].dataType.simpleString()}, dims int, code long, id long")
+    return rows.select("node", "v", "dims", "label").mapInArrow(run, f"pass int, label {rows.schema['label'].dataType.simpleString()}, dims int, code long, node long")
 
 
 def close_forest(x: np.ndarray, group: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,86 +106,75 @@ def close_forest(x: np.ndarray, group: np.ndarray, window: int, threshold: float
 
 
 def links(rows: DataFrame, dtype: str, threshold: float, passes: int, window: int, bits: int, seed: int, block: int = 2048) -> DataFrame:
-    """Edges (a, b) of ids that join what the passes find close. The order is made of codes and ids; vectors are fetched by the blocks."""
-    order = ["pass", "label", "dims", "code", "id"]
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            extra = [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "at"])
-            at += batch.num_rows
+    """Edges (a, b) of nodes that join what the passes find close. The order is made of codes and nodes; vectors are fetched by the blocks."""
+    order = ["pass", "label", "dims", "code", "node"]
 
     codes = stored(projected(rows, dtype, passes, bits, seed), "codes")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in codes.schema)
-    ranked = stored(codes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, schema + ", part int, at long"), "passes")
-    first, upto = {}, 0
-    for part, n in sorted((r[0], r[1]) for r in ranked.groupBy("part").count().collect()):  # a row a partition
-        first[part], upto = upto, upto + n
-    starts = F.array(*[F.lit(first.get(k, 0)) for k in range(max(first, default=0) + 1)])
-    rank = starts[F.col("part")] + F.col("at")
+    ranked = running(codes, order)
+    rank = F.col("before")
     home = F.floor(rank / block).cast("long")
     # a block also gets the `window` rows after its last one
     to = F.when((rank % block < window) & (home > 0), F.array(home - 1, home)).otherwise(F.array(home))
-    dealt = ranked.select("pass", "label", "dims", "id", rank.alias("rank"), F.explode(to).alias("block")).join(rows.select("id", "v"), "id")
+    dealt = ranked.select("pass", "label", "dims", "node", rank.alias("rank"), F.explode(to).alias("block")).join(rows.select("node", "v"), "node")
 
     def compare(key, frame):
         import pandas as pd
 
         frame = frame.sort_values("rank")
         group = frame["run"].to_numpy()
-        ids = frame["id"].to_numpy()
+        nodes = frame["node"].to_numpy()
         a, b = [], []
         for g in np.unique(group):
             k = np.flatnonzero(group == g)
             i, j = close_forest(unit_rows(frame["v"].iloc[k], dtype), np.zeros(len(k)), window, threshold)
-            a.append(ids[k[i]])
-            b.append(ids[k[j]])
+            a.append(nodes[k[i]])
+            b.append(nodes[k[j]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     run = F.xxhash64("pass", "label", "dims").alias("run")
-    return dealt.select("id", "v", "rank", "block", run).groupBy("block").applyInPandas(compare, "a long, b long")
+    return dealt.select("node", "v", "rank", "block", run).groupBy("block").applyInPandas(compare, "a long, b long")
 
 
 def link_counts(members: DataFrame, dtype: str, threshold: float, block: int = 1024) -> DataFrame:
-    """(id, n_links): exact numbers of close pairs inside each component; members has component, label, id, v and n, the ids it stands for."""
+    """(node, n_links): exact numbers of ids with close vectors inside each component; members has component, label, node, v and n, the ids it stands for."""
     # stored apart from the join, so a hot component's rows can be split there
     sizes = checkpointed(members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
-    dealt = members.join(sizes, "component").withColumn("own", own).withColumn("pair", F.explode(pairs)).select("component", "label", "id", "v", "n", "own", "pair.i", "pair.j")
+    dealt = members.join(sizes, "component").withColumn("own", own).withColumn("pair", F.explode(pairs)).select("component", "node", "v", "n", "own", "pair.i", "pair.j")
 
     def compare(key, frame):
         import pandas as pd
 
-        counts = []
-        for _, part in frame.groupby(["label", frame["v"].map(len)]):
-            x, own_block, ids = unit_rows(part["v"], dtype), part["own"].to_numpy(), part["id"].to_numpy()
-            near = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
-            if key[1] != key[2]:  # pairs within a block are counted where i = j
-                near &= own_block[:, None] != own_block[None, :]
-            counts.append(pd.DataFrame({"id": ids, "links": near @ part["n"].to_numpy()}))
-        return pd.concat(counts).astype({"id": "int64", "links": "int64"})
+        x, own_block, nodes = unit_rows(frame["v"], dtype), frame["own"].to_numpy(), frame["node"].to_numpy()
+        near = (x @ x.T >= threshold) & (nodes[:, None] != nodes[None, :])
+        if key[1] != key[2]:  # pairs within a block are counted where i = j
+            near &= own_block[:, None] != own_block[None, :]
+        return pd.DataFrame({"node": nodes, "links": near @ frame["n"].to_numpy()}).astype({"node": "int64", "links": "int64"})
 
-    found = dealt.groupBy("component", "i", "j").applyInPandas(compare, "id long, links long")
-    return found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    found = dealt.groupBy("component", "i", "j").applyInPandas(compare, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, passes: int = 12, window: int = 64, bits: int = 24, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.99) -> DataFrame:
     """Per row vec_id, n_links, component_id and kept; `recall` below 1 is that of isolated pairs at the threshold."""
     key = ["label", "dims", "h1", "h2"]  # equal for equal vectors of a label only, but for a chance below 2 to the -96 for any two
 
-    plain, dtype = usable(rows, id_col, vec_col, label_col)
-    fine = stored(plain.select(F.col("vec_id").alias("id"), "label", "dims", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")), "fine")
-    distinct = stored(fine.groupBy(key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count_distinct("id").alias("n")), "vectors")
+    plain, dtype = usable(rows, id_col, vec_col, label_col, all_rows=True)
+    each = stored(plain.select(F.col("vec_id").alias("id"), "label", "dims", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")), "fine")
+    fine = each.where("v is not null")
+    grouped = fine.groupBy(key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count_distinct("id").alias("n"))
+    distinct = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")
     largest = distinct.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
     passes = max(passes, needed_passes(largest, threshold, window, recall))
     bits = min(max(bits, math.ceil(math.log2(max(largest / window, 1.0))) + 8), 62)  # enough to tell windows apart
-    found = components(checkpointed(links(distinct.select("id", "v", "dims", "label"), dtype, threshold, passes, window, bits, seed))).withColumnRenamed("node", "id")
-    others = link_counts(distinct.join(found, "id").select("component", "label", "id", "v", "n"), dtype, threshold)
-    told = distinct.select(*key, "id", "n").join(found, "id", "left").join(others, "id", "left")
-    told = checkpointed(told.select(*key, (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
-    each = fine.select("id", *key).join(told, key).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    out = rows.select(F.col(id_col).cast("long").alias("vec_id")).join(each, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    found = components(checkpointed(links(distinct.select("node", "v", "dims", "label"), dtype, threshold, passes, window, bits, seed)))
+    members = distinct.join(found, "node")
+    # stored apart from the joins, so that the rows of a large component or of a common vector can be split there
+    names = checkpointed(members.groupBy("component").agg(F.min("id").alias("name")))
+    others = link_counts(members.select("component", "node", "v", "n"), dtype, threshold)
+    told = distinct.select(*key, "node", "id", "n").join(found, "node", "left").join(names, "component", "left").join(others, "node", "left")
+    told = checkpointed(told.select(*key, (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("name", "id").alias("component")))
+    out = fine.select("id", *key).join(told, key).select("id", "n_links", "component")
+    out = out.unionByName(each.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+    return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))

@@ -123,6 +123,57 @@ def test_near_vectors_odd_rows(spark):
     assert got == sorted(want, key=str)
 
 
+def results(df):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect()), key=str)
+
+
+def test_an_id_of_two_labels_joins_nothing_across_them(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.01, 0.0], 0)]
+    assert results(near_vectors(table(spark, rows))) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_an_id_of_two_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [1.0, 0.0, 0.0, 0.01], 0)]
+    assert results(near_vectors(table(spark, rows))) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_ids_labels_and_lengths_by_force(spark, seed):
+    """Small labels, so each pair comes within a window and the result must be whole."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(150):
+        dims = int(rng.integers(2, 4))
+        v = rng.integers(-2, 3, dims) + (rng.normal(size=dims) * 0.1 if rng.random() < 0.5 else 0)
+        rows.append((None if rng.random() < 0.03 else int(rng.integers(0, 60)), None if rng.random() < 0.03 else v.astype("float32").tolist(), None if rng.random() < 0.05 else int(rng.integers(0, 3))))
+    rows += rows[:40]
+    fine = lambda r: r[0] is not None and r[2] is not None and r[1] is not None and any(r[1])
+    nodes = sorted({(i, g, tuple(v)) for i, v, g in filter(fine, rows)})
+    unit = [np.array(v, float) / np.linalg.norm(v) for _, _, v in nodes]
+    n, edges = defaultdict(int), []
+    for a in range(len(nodes)):
+        for b in range(a):
+            if nodes[a][1] == nodes[b][1] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93:
+                # equal vectors of one node are told by id, other vectors of the same id are vectors of their own
+                n[nodes[a]] += 1
+                n[nodes[b]] += 1
+                edges.append((a, b))
+    group = cases.components(range(len(nodes)), edges)
+    name = {}
+    for k, node in enumerate(nodes):
+        name[group[k]] = min(node[0], name.get(group[k], node[0]))
+    at = {node: k for k, node in enumerate(nodes)}
+    want = []
+    for r in rows:
+        if fine(r):
+            node = (r[0], r[2], tuple(r[1]))
+            component = name[group[at[node]]]
+            want.append((r[0], n[node], component, r[0] == component))
+        else:
+            want.append((r[0], 0, r[0], True))
+    assert edges and results(near_vectors(table(spark, rows))) == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     none = table(spark, ODD).limit(0)
     assert search(none, F.lit(True)).count() == 0
