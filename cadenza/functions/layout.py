@@ -63,16 +63,25 @@ def fit_layout(widths: Column, size: int = 126, outline: int = 10, canvas: int =
     return F.when((one >= SPLIT_BELOW) | (n < 2), start).otherwise(best)
 
 
+#: What Unicode takes for white space, as a pattern's class; the line feed is the only one that ends a paragraph.
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def filling(most: int) -> str:
+    """A pattern that takes a line's words from a text with single spaces: a word that is too long alone, else as many as fit."""
+    return rf"([^ ]{{{most + 1},}}|[^\n]{{1,{most}}})(?: |\z)"
+
+
 def wrapped(text: Column, most: int) -> Column:
-    """Lines of a title, filled greedily up to `most` characters; its own line feeds stay, blank lines at its ends go."""
-    last = lambda lines: F.element_at(lines, -1)
-    joined = lambda lines, w: F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat_ws(" ", F.nullif(last(lines), F.lit("")), w)))
-    full = lambda lines, w: (last(lines) != "") & (F.length(last(lines)) + 1 + F.length(w) > most)
-    words = lambda para: F.filter(F.split(para, r"\s+"), lambda w: w != "")
-    fill = lambda para: F.aggregate(words(para), F.array(F.lit("")), lambda lines, w: F.when(full(lines, w), F.concat(lines, F.array(w))).otherwise(joined(lines, w)))
+    """Lines of a title, filled greedily up to `most` characters; its own line feeds stay, blank lines at its ends go.
+
+    A line is one match of a pattern, so the time is proportional to the text, however long.
+    """
+    single = lambda para: F.trim(F.regexp_replace(para, BLANKS + "+", " "))
+    fill = lambda para: F.split(F.regexp_replace(F.regexp_replace(single(para), filling(most), "$1\n"), r"\n\z", ""), "\n")
     lines = F.flatten(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), fill))
     said = F.filter(F.transform(lines, lambda x, k: F.when(x != "", k)), lambda k: k.isNotNull())
-    return F.when(F.size(said) == 0, F.array().cast("array<string>")).otherwise(F.filter(lines, lambda _, k: k.between(F.array_min(said), F.array_max(said))))
+    return F.when(F.size(said) == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.array_min(said) + 1, F.array_max(said) - F.array_min(said) + 1))
 
 
 def fit_title(text: Column, place: str, width: int, height: int) -> Column:

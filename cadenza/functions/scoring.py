@@ -10,11 +10,15 @@ COUNTERS = ["views", "follows", "saves", "sends"]
 WORTH = {"views": 0.001, "follows": 5, "saves": 3, "sends": 2}
 
 
-def perf_score(views: str = "views", follows: str = "follows", saves: str = "saves", sends: str = "sends") -> Column:
-    """Weighted engagement to three places; a null counter is zero. Exact: summed in thousandths as a decimal."""
+def thousandths(views: str = "views", follows: str = "follows", saves: str = "saves", sends: str = "sends") -> Column:
+    """Weighted engagement as a whole number of thousandths; a null counter is zero."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    thousandths = n(saves) * 3000 + n(follows) * 5000 + n(sends) * 2000 + n(views)
-    return thousandths / F.lit(1000.0)
+    return n(saves) * 3000 + n(follows) * 5000 + n(sends) * 2000 + n(views)
+
+
+def perf_score(views: str = "views", follows: str = "follows", saves: str = "saves", sends: str = "sends") -> Column:
+    """Weighted engagement to three places; a null counter is zero."""
+    return thousandths(views, follows, saves, sends) / F.lit(1000.0)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -22,6 +26,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def filled(c: str) -> Column:
+    """Not null and not empty."""
+    return F.coalesce(F.col(c), F.lit("")) != ""
+
+
 def stripped(c: Column) -> Column:
     """Text without white space at its ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.scoring import COUNTERS, first_text, perf_score, stripped
+from cadenza.functions.scoring import COUNTERS, filled, first_text, perf_score, stripped, thousandths
 
 KNOWN = ["tt", "ig", "yt"]
 
@@ -28,8 +28,9 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def kpis(perf: DataFrame, tickets: DataFrame) -> DataFrame:
-    """One row: videos with numbers (or all tickets if none has), posted tickets and the sums."""
-    facts = keyed(perf).agg(F.count_distinct("kind", "vid").alias("videos"), *sums())
+    """One row: videos with numbers (or all tickets if none has), posted tickets and the sums of all rows, those without any id too."""
+    kind, vid = F.coalesce("video_kind", F.lit("reel")), F.coalesce("video_id", "ticket_id")
+    facts = perf.agg(F.count_distinct(F.when(vid.isNotNull(), F.struct(kind, vid))).alias("videos"), *sums())
     own = tickets.agg(F.count("*").alias("all_tickets"), F.count_if(F.col("stage") == "posted").alias("posted"))
     # two one-row tables: the broadcast is of one row
     return facts.crossJoin(F.broadcast(own)).select(F.when(F.col("videos") > 0, F.col("videos")).otherwise(F.col("all_tickets")).alias("tickets"), "posted", *COUNTERS)
@@ -63,18 +64,22 @@ def video_pivot(perf: DataFrame, videos: DataFrame) -> DataFrame:
     joined = joined.withColumns(parts)
     totals = {c: sum((F.col(f"{p}_{c}") for p in KNOWN), F.lit(0)).cast("long") for c in COUNTERS}
     out = joined.withColumns(totals).withColumn("score", perf_score())
-    return out.select("kind", "vid", *parts, *COUNTERS, "score").orderBy(F.desc("score"), F.desc(F.col("kind") == "reel"), "vid")
+    return out.select("kind", "vid", "is_reel", *parts, *COUNTERS, "score").orderBy(F.desc("score"), F.desc("is_reel"), F.col("kind") == "reel", "vid")
 
 
-def universe(clips: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Videos that can have numbers: rendered clips or clips with markers, and tickets that were given a clip."""
-    a = clips.where((F.col("status") == "rendered") | F.col("markers").isNotNull()).select(F.lit("clip").alias("kind"), F.col("id").alias("vid"))
-    return a.unionByName(tickets.where("clip_url is not null").select(F.lit("reel").alias("kind"), F.col("id").alias("vid")))
+def universe(clips: DataFrame, tickets: DataFrame, projects: DataFrame) -> DataFrame:
+    """Videos that can have numbers: rendered clips or clips with markers, and tickets that were given a clip; a clip
+    with markers or of a caption project is a reel."""
+    modes = projects.select(F.col("id").alias("project_id"), "mode")
+    tracked = clips.where((F.col("status") == "rendered") | filled("markers")).join(modes, "project_id", "left")
+    reel = filled("markers") | (F.coalesce("mode", F.lit("")) == "caption")
+    a = tracked.select(F.lit("clip").alias("kind"), F.col("id").alias("vid"), reel.alias("is_reel"))
+    return a.unionByName(tickets.where("clip_url is not null").select(F.lit("reel").alias("kind"), F.col("id").alias("vid"), F.lit(True).alias("is_reel")))
 
 
 def angle_rollup(perf: DataFrame, tickets: DataFrame) -> DataFrame:
     """Of each angle the tickets with numbers and the mean row score to two places; zero without rows."""
-    rows = perf.where("ticket_id is not null").select("ticket_id", (perf_score() * 1000).cast("long").alias("milli"))
+    rows = perf.where("ticket_id is not null").select("ticket_id", thousandths().alias("milli"))
     per = rows.groupBy("ticket_id").agg(F.sum("milli").alias("milli"), F.count("*").alias("n"))
     j = tickets.select("id", "angle").join(per, F.col("id") == F.col("ticket_id"), "left")
     out = j.groupBy("angle").agg(F.count("ticket_id").alias("posts_count"), F.sum("milli").alias("m"), F.sum("n").alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scoring import blank_to_null, first_text, safe_name, said, stripped
-from cadenza.sources.bridge import COPY, LANGS, PLATFORMS, STAGES
+from cadenza.functions.scoring import blank_to_null, filled, first_text, safe_name, said, stripped
+from cadenza.sources.bridge import COPY, PLATFORMS, STAGES
 
 #: Fixed values of the domain.
 FORMATS = ["reel", "carousel"]
@@ -19,29 +19,13 @@ WORDS_PER_SECOND, LEAST_SECONDS, MOST_SECONDS = 2.5, 4.0, 120.0
 MAX_TRIES, WEEKLY_TARGET = 2, 3
 INTERRUPTED = "The engine was restarted while this video was being analyzed. Nothing is lost - press Retry to pick it up again."
 
-#: Brand configurations for the queries, as sources.documents.brand_files reads them from a folder.
-BRAND_SCHEMA = "brand string, reels_per_week int, autonomy string, feed boolean, angles array<string>, banned array<string>, proof_rules boolean, platforms array<string>"
-BRANDS = [
-    ("en", 40, "semi", True, ["angle 0", "angle 1", "angle 2"], ["The", "and"], True, ["tt", "ig"]),
-    ("fr", None, "hands_off", True, ["angle 3", " "], [], False, []),
-    ("de", 0, "off", False, ["angle 1"], ["tion"], True, ["yt"]),
-    ("es", 700, "", True, ["angle 4", "angle 5"], ["que", "es"], False, None),
-]
-
-
-def filled(c: str) -> Column:
-    """Not null and not empty."""
-    return F.coalesce(F.col(c), F.lit("")) != ""
+RENDER_LOST = "The engine was restarted during this export. Press Export again."
 
 
 def spoken(c: str = "spoken_line") -> Column:
     return stripped(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
-def brands(spark) -> DataFrame:
-    return spark.createDataFrame(BRANDS, BRAND_SCHEMA)
-
-
 def settled(config: DataFrame) -> DataFrame:
     """Configurations with their defaults: brand, target, level, feed, angles without blanks, banned, proof_rules, platforms."""
     listed = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
@@ -184,7 +168,7 @@ def reel_score(tickets: DataFrame, beats: DataFrame, ai: bool = False) -> DataFr
     """A quality score from the number of beats, proofs and a hook."""
     per = beats.groupBy(F.col("ticket_id").alias("id")).agg(F.count("*").alias("n"), F.count_if("is_proof_beat").alias("proof"), F.min_by("spoken_line", "order_index").alias("opening"))
     j = tickets.join(per, "id", "left").fillna(0, ["n", "proof"])
-    hook = (first_text(F.col("hook_text"), F.col("opening")).isNotNull()).cast("long")
+    hook = (spoken("hook_text") | spoken("opening")).cast("long")  # blanks are no hook
     if ai:
         score = F.least(F.lit(98), 90 + F.col("n") % 5 + F.least(F.col("proof"), F.lit(3)))
     else:
@@ -316,6 +300,12 @@ def recover_interrupted(projects: DataFrame) -> DataFrame:
     return projects.select("id", F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.when(lost, INTERRUPTED).alias("error"), stage.alias("stage"), lost.alias("recovered"))
 
 
+def recover_renders(clips: DataFrame) -> DataFrame:
+    """A clip whose export was under way when a process ended is an error now, without a stage."""
+    lost = one_of(["rendering"], "status")
+    return clips.select("id", F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.when(lost, "").otherwise(F.col("stage")).alias("stage"), F.when(lost, RENDER_LOST).alias("error"), lost.alias("recovered"))
+
+
 def regenerated(tickets: DataFrame, note: str = "") -> DataFrame:
     """Tickets after being sent back: one stage earlier, no gate, no tries, the note, if any, in the angle."""
     stages = F.array(*map(F.lit, STAGES))
@@ -400,9 +390,7 @@ def migrated_captions(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("post_meta", F.when(~has & old, new).otherwise(F.col("post_meta")))
 
 
-def next_ordinal(beats: DataFrame) -> DataFrame:
-    """The place that a ticket's next beat takes."""
-    return beats.groupBy("ticket_id").agg((F.coalesce(F.max("order_index"), F.lit(-1)) + 1).alias("order_index"))
-
-
-__all__ = ["BRANDS", "LANGS"]
+def next_ordinal(tickets: DataFrame, beats: DataFrame) -> DataFrame:
+    """The place that each ticket's next beat takes: 0 for a ticket without beats."""
+    last = beats.groupBy("ticket_id").agg(F.max("order_index").alias("last"))
+    return tickets.select(F.col("id").alias("ticket_id")).join(last, "ticket_id", "left").select("ticket_id", (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("order_index"))

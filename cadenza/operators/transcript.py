@@ -85,13 +85,15 @@ def sentences(words: DataFrame) -> DataFrame:
 def candidates(sents: DataFrame) -> DataFrame:
     """project_id, i, j, start_ms, end_ms: for each first sentence the last one that brings the length nearest each target.
 
-    The self-join is bounded by the longest clip. A project without any candidate gives one clip of the whole.
+    Sentences meet in buckets of time as long as the longest clip, so a long project isn't joined with itself. A project without
+    any candidate gives one clip of the whole.
     """
-    i = sents.select("project_id", F.col("sid").alias("i"), "start_ms")
-    j = sents.select(F.col("project_id").alias("p"), F.col("sid").alias("j"), "end_ms")
+    first, last = ((F.col("start_ms") + n).cast("long") for n in (MIN_MS, MAX_MS))
+    buckets = F.explode(F.sequence(F.floor(first / MAX_MS), F.floor(last / MAX_MS))).alias("bucket")
+    i = sents.select("project_id", F.col("sid").alias("i"), "start_ms", buckets)
+    j = sents.select("project_id", F.floor(F.col("end_ms") / MAX_MS).alias("bucket"), F.col("sid").alias("j"), "end_ms")
     ms = F.col("end_ms") - F.col("start_ms")
-    # a sentence takes 400 ms at least, so j is at most MAX_MS / 400 ahead
-    pairs = i.join(j, (F.col("project_id") == F.col("p")) & F.col("j").between(F.col("i"), F.col("i") + MAX_MS // 400) & ms.between(MIN_MS, MAX_MS))
+    pairs = i.join(j, ["project_id", "bucket"]).where((F.col("j") >= F.col("i")) & ms.between(MIN_MS, MAX_MS))
     best = [F.min_by(F.struct("j", "end_ms"), F.struct(F.abs(ms - t), "j")).alias(f"t{k}") for k, t in enumerate(TARGETS)]
     per = pairs.groupBy("project_id", "i", "start_ms").agg(*best)
     found = per.select("project_id", "i", "start_ms", F.inline(F.array_distinct(F.array("t0", "t1"))))

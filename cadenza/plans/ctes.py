@@ -4,18 +4,20 @@ from __future__ import annotations
 
 CTES = {
     "words": """
-toks AS (SELECT doc_id AS project_id, line_no, pos, CASE WHEN (pos - 1) % 17 = 0 THEN ['How', 'um,', 'You', 'secret', 'but', 'three', 'Uh', 'never', 'money', 'because', '7', 'What', 'hmm', 'your'][(line_no + pos - 1) % 14 + 1] ELSE word END AS word FROM (
+own AS (
     SELECT doc_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
       SELECT doc_id, line_no, regexp_split_to_array(line, '[ \\t\\r]+') AS ws FROM (
-        SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))) WHERE word <> ''),
+        SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))),
+toks AS (SELECT doc_id AS project_id, line_no, pos * 2 AS pos, word FROM own WHERE word <> '' UNION ALL
+  SELECT doc_id, line_no, pos * 2 - 1, ['How', 'um,', 'You', 'secret', 'but', 'three', 'Uh', 'never', 'money', 'because', '7', 'What', 'hmm', 'your'][(line_no + pos - 1) % 14 + 1] FROM own WHERE word <> '' AND (pos - 1) % 17 = 0),
 words AS (SELECT project_id, idx, line_no, word, idx * 400 + ends * 300 + line_no * 1500 AS start_ms, idx * 400 + ends * 300 + line_no * 1500 + 400 AS end_ms FROM (
     SELECT project_id, line_no, word, row_number() OVER w - 1 AS idx,
       coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ends
     FROM toks WINDOW w AS (PARTITION BY project_id ORDER BY line_no, pos)))""",
     "perf_log": """
-perf_log AS (SELECT event_id AS id, CASE WHEN user_id % 10 = 7 OR user_id % 2 = 1 THEN user_id END AS ticket_id,
+perf_log AS (SELECT event_id AS id, CASE WHEN user_id % 50 <> 23 AND (user_id % 10 = 7 OR user_id % 2 = 1) THEN user_id END AS ticket_id,
     CASE WHEN user_id % 10 <> 7 THEN CASE WHEN user_id % 2 = 0 THEN 'clip' ELSE 'reel' END END AS video_kind,
-    CASE WHEN user_id % 10 <> 7 THEN user_id END AS video_id,
+    CASE WHEN user_id % 10 <> 7 AND user_id % 50 <> 23 THEN user_id END AS video_id,
     CASE WHEN k % 7 = 6 THEN '' ELSE ['tt', 'ig', 'yt'][k % 3 + 1] END AS platform,
     (event_type = 'view')::BIGINT AS views, (event_type = 'signup')::BIGINT AS follows, (event_type = 'purchase')::BIGINT AS saves,
     (event_type = 'click')::BIGINT AS sends, ts AS captured_at
@@ -26,7 +28,7 @@ perf AS (SELECT min(id) AS id, ticket_id, video_kind, video_id, platform, sum(vi
   FROM perf_log GROUP BY ticket_id, video_kind, video_id, platform)""",
     "clips": """
 clips AS (SELECT d.doc_id AS id, regexp_replace(source, '[^0-9]', '', 'g')::BIGINT AS project_id, d.doc_id % 13 AS idx,
-    CASE WHEN quality = 1 THEN 'rendered' ELSE 'suggested' END AS status, CASE WHEN d.doc_id % 7 = 0 THEN '[]' END AS markers,
+    CASE WHEN quality = 1 THEN 'rendered' WHEN d.doc_id % 10 = 3 THEN 'rendering' ELSE 'suggested' END AS status, CASE WHEN d.doc_id % 10 = 3 THEN 'Cutting' END AS stage, CASE WHEN d.doc_id % 7 = 0 THEN '[]' END AS markers,
     CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE regexp_extract(text, '^[^\\n]*', 0) END AS title,
     CASE WHEN d.doc_id % 4 = 1 THEN '' ELSE regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) END AS hook,
     CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE lang END AS brand, CASE WHEN d.doc_id % 4 = 0 THEN 'F' || lang ELSE '' END AS folder,
@@ -38,11 +40,11 @@ projects AS (SELECT id, 'Project ' || id AS name, CASE WHEN id % 3 = 0 THEN 'cap
     CASE WHEN id % 5 = 0 THEN 'Archive' ELSE '' END AS folder, CASE WHEN id % 6 = 1 THEN id * 10 END AS last_opened
   FROM (SELECT DISTINCT regexp_replace(source, '[^0-9]', '', 'g')::BIGINT AS id FROM documents))""",
     "beats": """
-beats AS (SELECT conv_id * 1000 + turn AS id, conv_id AS ticket_id, turn AS order_index, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS spoken_line,
+beats AS (SELECT conv_id * 1000 + turn AS id, conv_id AS ticket_id, turn AS order_index, CASE WHEN turn % 5 = 4 OR (turn = 0 AND conv_id % 14 = 0) THEN ' ' ELSE text END AS spoken_line,
     CASE WHEN turn % 4 = 0 THEN 'note' ELSE ' ' END AS on_screen_text,
     CASE WHEN turn % 3 = 0 THEN regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) WHEN turn % 5 = 4 THEN ' ' ELSE text END AS caption,
     CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN 'clip' || turn ELSE '' END AS clip_path, CASE WHEN turn % 3 = 0 THEN 'vo' || turn END AS voiceover_path,
-    regexp_matches(text, '[0-9]') OR turn % 6 = 5 AS is_proof_beat FROM conversations)""",
+    regexp_matches(text, '[0-9]') OR turn % 6 = 5 AS is_proof_beat FROM conversations WHERE conv_id % 13 <> 12)""",
     "tickets": """
 tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id // 8 % 4 + 1] AS brand,
     ['outlier', 'scripted', 'staged', 'sourced', 'assembled', 'ready', 'scheduled', 'posted'][conv_id % 8 + 1] AS stage, 'angle ' || conv_id % 6 AS angle,

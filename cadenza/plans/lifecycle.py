@@ -30,7 +30,7 @@ MISSING = ", lack AS (SELECT ticket_id, count(*) AS missing FROM beats JOIN tick
 
 def of(f, *names):
     """f over the named entities."""
-    return lambda s, d: f(*[l.brands(s) if n == "brands" else getattr(b, n)(s, d) for n in names])
+    return lambda s, d: f(*[getattr(b, n)(s, d) for n in names])
 
 
 QUERIES = {
@@ -58,6 +58,7 @@ QUERIES = {
     "feed_plan": of(l.feed_plan, "tickets", "brands"),
     "next_slot": of(l.next_slot, "tickets", "brands"),
     "recover_interrupted": of(l.recover_interrupted, "projects"),
+    "recover_renders": of(l.recover_renders, "clips"),
     "regenerate_preview": lambda s, d: l.regenerated(b.tickets(s, d), "tighter"),
     "reject_preview": lambda s, d: l.switched(b.tickets(s, d), F.lit(False)),
     "approve_preview": of(l.approved, "tickets"),
@@ -65,7 +66,7 @@ QUERIES = {
     "fallback_post_copy": of(l.post_copy, "tickets", "beats"),
     "publish_caption": of(l.publish_caption, "tickets"),
     "migrate_captions": lambda s, d: l.migrated_captions(b.tickets(s, d)).select("id", F.explode("post_meta").alias("platform", "e")).select("id", "platform", "e.*"),
-    "next_ordinal": of(l.next_ordinal, "beats"),
+    "next_ordinal": of(l.next_ordinal, "tickets", "beats"),
     "post_meta_fill": of(l.post_meta_fill, "tickets", "beats", "brands"),
 }
 READY = ", allfilled AS (SELECT ticket_id FROM beats GROUP BY 1 HAVING bool_and(clip_path <> ''))\n"
@@ -92,7 +93,7 @@ j AS (SELECT t.id, t.hook_text, p.*, proof_rules, coalesce(n, 0) / 2.5::DOUBLE A
 r AS (SELECT id AS ticket_id, seconds, CASE WHEN n IS NULL THEN 'no scenes were written' WHEN NOT regexp_matches(coalesce(hook_text, ''), '\\S') THEN 'missing a hook (the first line)' WHEN hit IS NOT NULL THEN 'uses an off-brand / non-compliant phrase: "' || hit || '"'
   WHEN coalesce(proof_rules, false) AND states AND NOT proved THEN 'states a real number but no proof scene is marked' WHEN seconds < 4 THEN printf('script too short (~%.0fs of spoken content)', seconds) WHEN seconds > 120 THEN printf('script too long (~%.0fs spoken)', seconds) END AS reason FROM j)
 SELECT ticket_id, seconds, reason, reason IS NULL AS passed FROM r"""),
-    "reel_score": with_ctes("tickets beats", ", p AS (SELECT ticket_id, count(*) AS n, count(*) FILTER (is_proof_beat) AS q, min_by(spoken_line, order_index) AS o FROM beats GROUP BY 1) SELECT id, greatest(60, least(96, 72 + least(coalesce(n, 0), 8) + least(2 * coalesce(q, 0), 6) + CASE WHEN coalesce(nullif(hook_text, ''), nullif(o, '')) IS NOT NULL THEN 6 ELSE 0 END)) AS score FROM tickets LEFT JOIN p ON ticket_id = id"),
+    "reel_score": with_ctes("tickets beats", ", p AS (SELECT ticket_id, count(*) AS n, count(*) FILTER (is_proof_beat) AS q, min_by(spoken_line, order_index) AS o FROM beats GROUP BY 1) SELECT id, greatest(60, least(96, 72 + least(coalesce(n, 0), 8) + least(2 * coalesce(q, 0), 6) + CASE WHEN regexp_matches(coalesce(hook_text, '') || coalesce(o, ''), '\\S') THEN 6 ELSE 0 END)) AS score FROM tickets LEFT JOIN p ON ticket_id = id"),
     "queue_board": with_ctes("tickets", ", l AS (SELECT 'ready' AS lane, id, NULL::TIMESTAMP AS due FROM tickets WHERE stage IN ('assembled', 'ready') AND clip_url <> '' UNION ALL SELECT 'scheduled', id, scheduled_at FROM tickets WHERE stage = 'scheduled' UNION ALL (SELECT 'posted', id, posted_at FROM tickets WHERE stage = 'posted' ORDER BY posted_at DESC NULLS LAST, id LIMIT 20)) SELECT lane, id, strftime(due, '%Y-%m-%d %H:%M') AS at_time FROM l"),
     "custom_details": with_ctes("beats", "SELECT id, trim(on_screen_text) <> '' OR (trim(caption) <> '' AND caption <> spoken_line) AS custom FROM beats"),
     "reel_script": with_ctes("beats", "SELECT ticket_id, string_agg(trim(spoken_line), ' ' ORDER BY order_index) AS script FROM beats WHERE trim(spoken_line) <> '' GROUP BY 1"),
@@ -107,6 +108,7 @@ CASE WHEN outcome IN ('parked', 'retry') THEN tries + 1 ELSE tries END AS tries_
     "feed_plan": with_ctes("tickets", CONFIG + BACKLOG + ", tot AS (SELECT brand, count(*) AS n FROM tickets GROUP BY 1) SELECT b.brand, missing, angles[coalesce(n, 0) % len(angles) + 1] AS angle FROM backlog b JOIN config c ON c.brand = b.brand LEFT JOIN tot ON tot.brand = b.brand WHERE feed AND missing > 0 AND len(angles) > 0"),
     "next_slot": with_ctes("tickets", CONFIG + "SELECT id, g::BIGINT AS gap_hours, strftime(base_at + to_hours(g), '%Y-%m-%d %H:%M') AS slot FROM (SELECT id, coalesce(scheduled_at, posted_at) AS base_at, greatest(6, 168 // greatest(1, target))::INT AS g FROM tickets t JOIN config c ON c.brand = t.brand) WHERE base_at IS NOT NULL"),
     "recover_interrupted": with_ctes("projects", f"SELECT id, CASE WHEN lost THEN 'error' ELSE status END AS status, CASE WHEN lost THEN '{l.INTERRUPTED}' END AS error, CASE WHEN lost THEN 'Interrupted: ' || coalesce(stage, 'starting') ELSE stage END AS stage, lost AS recovered FROM (SELECT *, status IN ('created', 'ingesting', 'transcribing', 'analyzing') AS lost FROM projects)"),
+    "recover_renders": with_ctes("clips", f"SELECT id, CASE WHEN lost THEN 'error' ELSE status END AS status, CASE WHEN lost THEN '' ELSE stage END AS stage, CASE WHEN lost THEN '{l.RENDER_LOST}' END AS error, lost AS recovered FROM (SELECT *, status = 'rendering' AS lost FROM clips)"),
     "regenerate_preview": with_ctes("tickets", f"SELECT id, {STAGES}[greatest(list_position({STAGES}, stage) - 1, 1)] AS stage, NULL::VARCHAR AS gate, 0::BIGINT AS tries, angle || '  [note: tighter]' AS angle FROM tickets"),
     "reject_preview": with_ctes("tickets", "SELECT id, false AS autopilot, NULL::VARCHAR AS gate FROM tickets"),
     "approve_preview": with_ctes("tickets", "SELECT id, CASE WHEN gate NOT IN ('awaiting_approval', 'awaiting_footage') THEN gate END AS gate FROM tickets"),
@@ -114,7 +116,7 @@ CASE WHEN outcome IN ('parked', 'retry') THEN tries + 1 ELSE tries END AS tries_
     "fallback_post_copy": with_ctes("tickets beats", COPY + "SELECT id, new_caption AS caption, new_tags AS hashtags, new_title AS title, about AS description FROM copy"),
     "publish_caption": with_ctes("tickets", "SELECT id, coalesce(CASE WHEN own_platform = 'tt' THEN own_caption || ' #own' WHEN own_platform = 'yt' THEN own_title END, nullif(old_caption, ''), nullif(hook_text, ''), angle) AS caption FROM tickets"),
     "migrate_captions": with_ctes("tickets", "SELECT id, own_platform AS platform, own_caption AS caption, own_tags AS hashtags, own_title AS title, '' AS description, '' AS tags FROM tickets WHERE own_platform IS NOT NULL UNION ALL SELECT id, p, CASE WHEN p = 'tt' THEN old_caption ELSE '' END, '', '', '', '' FROM tickets, unnest(['tt', 'ig', 'yt']) u(p) WHERE own_platform IS NULL AND old_caption IS NOT NULL"),
-    "next_ordinal": with_ctes("beats", "SELECT ticket_id, max(order_index) + 1 AS order_index FROM beats GROUP BY 1"),
+    "next_ordinal": with_ctes("tickets beats", "SELECT t.id AS ticket_id, coalesce(max(order_index), -1) + 1 AS order_index FROM tickets t LEFT JOIN beats b ON b.ticket_id = t.id GROUP BY 1"),
     "post_meta_fill": with_ctes("tickets beats", CONFIG + COPY + """, e AS (SELECT c.*, unnest(CASE WHEN len(platforms) > 0 THEN platforms WHEN len(cadence_platforms) > 0 THEN cadence_platforms ELSE ['tt', 'ig', 'yt'] END) AS platform FROM copy c LEFT JOIN config g ON g.brand = c.brand)
 SELECT id, platform, CASE WHEN platform = own_platform THEN own_caption WHEN platform IN ('tt', 'ig') THEN new_caption WHEN platform = 'yt' THEN '' ELSE coalesce(nullif(hook_text, ''), angle) END AS caption, CASE WHEN platform = own_platform THEN own_tags WHEN platform IN ('tt', 'ig') THEN new_tags ELSE '' END AS hashtags,
 CASE WHEN platform = own_platform THEN own_title WHEN platform = 'yt' THEN new_title ELSE '' END AS title, CASE WHEN platform IS DISTINCT FROM own_platform AND platform = 'yt' THEN about ELSE '' END AS description, '' AS tags FROM e"""),

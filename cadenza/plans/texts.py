@@ -45,8 +45,8 @@ def fit(s, d):
 
 
 def wrap(s, d):
-    """Each clip's hook, of the 200 characters that a moment's hook has at most, and title, between blank lines, as a title's lines."""
-    text = F.concat(F.lit("\n \n"), F.substring("hook", 1, 200), F.lit("\r\n\n"), F.substring("title", 1, 60), F.lit("\n"))
+    """Each clip's whole hook and title, between blank lines, as a title's lines."""
+    text = F.concat(F.lit("\n \n"), "hook", F.lit("\r\n\n"), "title", F.lit("\n"))
     c = b.clips(s, d).select("id", layout.wrapped(text, 18).alias("lines"))
     return c.select("id", F.posexplode("lines").alias("k", "line"))
 
@@ -132,9 +132,9 @@ two AS (SELECT project_id, first_idx, k, {SCALE.format("greatest(" + ROW.format(
 best AS (SELECT t.project_id, t.first_idx, max(s) AS s, arg_min(k, (-round(s, 9), k)) AS k FROM two t GROUP BY 1, 2)
 SELECT project_id, first_idx, round(CASE WHEN b.s > k1 + 1e-9 THEN b.s ELSE k1 END, 6) AS scale, CASE WHEN b.s > k1 + 1e-9 THEN b.k END AS split FROM one LEFT JOIN best b USING (project_id, first_idx)""",
 )
-# a list of words folded into lines, for each paragraph
-FILL = "list_reduce(list_concat([['']], list_transform(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> ''), lambda w: [w])), lambda acc, x: CASE WHEN acc[-1] <> '' AND length(acc[-1]) + 1 + length(x[1]) > 18 THEN list_concat(acc, x) ELSE list_concat(acc[:-2], [CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END]) END)"
-WRAP = with_ctes("clips", f", tx AS (SELECT id, string_split(replace(chr(10) || ' ' || chr(10) || substr(hook, 1, 200) || chr(13) || chr(10) || chr(10) || substr(title, 1, 60) || chr(10), chr(13), ''), chr(10)) AS ps FROM clips), ls AS (SELECT id, flatten(list_transform(ps, lambda p: {FILL})) AS l FROM tx), nb AS (SELECT id, l, list_filter(list_transform(l, lambda x, i: CASE WHEN x <> '' THEN i END), lambda i: i IS NOT NULL) AS said FROM ls), tr AS (SELECT id, l[list_min(said):list_max(said)] AS l FROM nb WHERE len(said) > 0) SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM tr")
+# each match of the pattern is a line
+FILL = f"string_split(regexp_replace(regexp_replace(trim(regexp_replace(p, '{layout.BLANKS}+', ' ', 'g')), '{layout.filling(18)}', '\\1' || chr(10), 'g'), '\\n\\z', ''), chr(10))"
+WRAP = with_ctes("clips", f", tx AS (SELECT id, string_split(replace(chr(10) || ' ' || chr(10) || hook || chr(13) || chr(10) || chr(10) || title || chr(10), chr(13), ''), chr(10)) AS ps FROM clips), ls AS (SELECT id, flatten(list_transform(ps, lambda p: {FILL})) AS l FROM tx), nb AS (SELECT id, l, list_filter(list_transform(l, lambda x, i: CASE WHEN x <> '' THEN i END), lambda i: i IS NOT NULL) AS said FROM ls), tr AS (SELECT id, l[list_min(said):list_max(said)] AS l FROM nb WHERE len(said) > 0) SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM tr")
 SCRIPTS = """, sx AS (SELECT ticket_id, order_index AS o, ticket_id % 4 AS kind, order_index + 1 AS n, regexp_replace(trim(spoken_line), '[\\n\\r]+', ' ', 'g') AS said, trim(on_screen_text) AS scr FROM beats),
 lb AS (SELECT *, 'Spoken: ' || said || chr(10) || 'On-screen: ' || scr || CASE o % 3 WHEN 1 THEN chr(10) || 'Proof: yes' WHEN 2 THEN chr(10) || '- B-roll: hands' ELSE chr(10) || 'Caption: short' END AS labels FROM sx),
 scripts AS (SELECT ticket_id, chr(10) || 'HOOK: watch this' || chr(13) || chr(10) || string_agg(CASE kind WHEN 0 THEN 'BEAT ' || n || ':' || chr(10) || labels || chr(10) WHEN 1 THEN n || '. ' || said WHEN 2 THEN labels || chr(10) ELSE said END, chr(10) ORDER BY o) AS text FROM lb GROUP BY 1)

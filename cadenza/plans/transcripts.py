@@ -88,13 +88,13 @@ def even_split(s, d):
 
 
 def track_mean(s, d):
-    """Duration-weighted mean of each project's crop steps."""
+    """Duration-weighted mean of each project's crop steps, to four places."""
     from pyspark.sql import Window
 
     hi = spans(b.words(s, d))
     x = steps(s, d).join(hi, "project_id").withColumn("until", F.coalesce(F.lead("start").over(Window.partitionBy("project_id").orderBy("start")), F.col("hi")))
     ms = F.col("until") - F.col("start")
-    return x.groupBy("project_id").agg((F.sum((F.col("value") * 10).cast("long") * ms) / F.greatest(F.sum(ms), F.lit(1)) / 10.0).alias("center"))
+    return x.groupBy("project_id").agg(F.bround(F.sum(F.round(F.col("value") * 10).cast("long") * ms) / F.greatest(F.sum(ms), F.lit(1)) / 10.0, 4).alias("center"))
 
 
 def shot_center(s, d):
@@ -241,7 +241,7 @@ ORACLES = {
     "words_in_clip": with_ctes("words", SPANS + ", cl AS (SELECT project_id, unnest(range(lo, hi + 1, 10000)) AS a FROM spans) SELECT w.project_id, a AS clip, idx, start_ms - a AS rel_ms FROM words w JOIN cl ON cl.project_id = w.project_id AND end_ms > a AND start_ms < a + 15000"),
     "asof_center": with_ctes("sents", SPANS + TICKS + STEPS + ", f AS (SELECT project_id, arg_min(value, start) AS v FROM steps GROUP BY 1) SELECT k.project_id, k.t, coalesce(s.value, f.v, 0.5)::DOUBLE AS center FROM ticks k ASOF LEFT JOIN steps s ON s.project_id = k.project_id AND s.start <= k.t LEFT JOIN f ON f.project_id = k.project_id"),
     "snap_boundary": with_ctes("sents", SPANS + TICKS + ", n AS (SELECT k.project_id, k.t, s.start_ms, row_number() OVER (PARTITION BY k.project_id, k.t ORDER BY abs(s.start_ms - k.t), s.start_ms) AS r FROM ticks k LEFT JOIN sents s ON s.project_id = k.project_id AND abs(s.start_ms - k.t) < 3000) SELECT project_id, t, coalesce(start_ms, t) AS snapped FROM n WHERE r = 1"),
-    "track_mean": with_ctes("sents", SPANS + STEPS + ", u AS (SELECT project_id, (value * 10)::BIGINT AS v, coalesce(lead(start) OVER (PARTITION BY project_id ORDER BY start), hi) - start AS ms FROM steps JOIN spans USING (project_id)) SELECT project_id, (sum(v * ms)::DOUBLE / greatest(sum(ms), 1) / 10.0)::DOUBLE AS center FROM u GROUP BY 1"),
+    "track_mean": with_ctes("sents", SPANS + STEPS + ", u AS (SELECT project_id, round(value * 10)::BIGINT AS v, coalesce(lead(start) OVER (PARTITION BY project_id ORDER BY start), hi) - start AS ms FROM steps JOIN spans USING (project_id)) SELECT project_id, round_even(sum(v * ms)::DOUBLE / greatest(sum(ms), 1) / 10.0::DOUBLE, 4)::DOUBLE AS center FROM u GROUP BY 1"),
     "shot_center": with_ctes("sents", STEPS + "SELECT project_id, median(value)::DOUBLE AS center FROM steps GROUP BY 1"),
     "track_remap": with_ctes("sents cuts", KEPT + STEPS + ", pts AS (SELECT project_id, start AS t FROM steps WHERE project_id IN (SELECT project_id FROM steps GROUP BY 1 HAVING count(*) >= 2)) " + POINTS.format("pts")),
     "scene_markers": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, label FROM scenes"),

@@ -15,6 +15,14 @@ COPY = ["caption", "hashtags", "title", "description", "tags"]
 PRESETS = ["clean", "bold", "cinematic", "neon", "minimal"]
 LANGS = ["en", "fr", "de", "es"]
 SPICE = ["How", "um,", "You", "secret", "but", "three", "Uh", "never", "money", "because", "7", "What", "hmm", "your"]
+#: Brand configurations, as sources.documents.brand_files reads them from a folder.
+BRAND_SCHEMA = "brand string, reels_per_week int, autonomy string, feed boolean, angles array<string>, banned array<string>, proof_rules boolean, platforms array<string>"
+BRANDS = [
+    ("en", 40, "semi", True, ["angle 0", "angle 1", "angle 2"], ["The", "and"], True, ["tt", "ig"]),
+    ("fr", None, "hands_off", True, ["angle 3", " "], [], False, []),
+    ("de", 0, "off", False, ["angle 1"], ["tion"], True, ["yt"]),
+    ("es", 700, "", True, ["angle 4", "angle 5"], ["que", "es"], False, None),
+]
 FIRST_SENTENCE = "^[^.!?\n]*[.!?]?"
 
 
@@ -22,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(BRANDS, BRAND_SCHEMA)
+
+
 def pick(values: list[str], k: Column) -> Column:
     """values[k mod their number]."""
     return F.array(*map(F.lit, values))[F.pmod(k, F.lit(len(values))).cast("int")]
@@ -30,12 +42,14 @@ def pick(values: list[str], k: Column) -> Column:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, idx, line_no, word, start_ms, end_ms: every word 400 ms, 300 ms after a sentence's end, 1500 ms after a line feed.
 
-    The first and each 17th word of a line is one of SPICE, so that fillers and the scorer's lexicons occur.
+    Before the first and each 17th word of a line comes one of SPICE, so that fillers and the scorer's lexicons occur; all words of the texts stay.
     """
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("project_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     found = lines.select("project_id", "line_no", F.posexplode(F.split("line", "[ \t\r]+")).alias("pos", "word")).where("word <> ''")
-    return timed(found.withColumn("word", F.when(F.col("pos") % 17 == 0, pick(SPICE, F.col("line_no") + F.col("pos"))).otherwise(F.col("word"))))
+    own = F.struct((F.col("pos") * 2 + 1).alias("pos"), "word")
+    added = F.struct((F.col("pos") * 2).alias("pos"), pick(SPICE, F.col("line_no") + F.col("pos")).alias("word"))
+    return timed(found.select("project_id", "line_no", F.inline(F.when(F.col("pos") % 17 == 0, F.array(added, own)).otherwise(F.array(own)))))
 
 
 def timed(tokens: DataFrame) -> DataFrame:
@@ -48,17 +62,17 @@ def timed(tokens: DataFrame) -> DataFrame:
 
 
 def perf_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each event, with its counters; every tenth user is a legacy row that has a ticket id only."""
+    """One row for each event, with its counters; every tenth user is a legacy row that has a ticket id only, some users' rows have no id at all."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     u = F.col("user_id")
-    legacy = u % 10 == 7
+    legacy, lost = u % 10 == 7, u % 50 == 23
     count = lambda kind: (F.col("event_type") == kind).cast("long")
     return e.select(
         F.col("event_id").alias("id"),
-        F.when(legacy | (u % 2 == 1), u).alias("ticket_id"),
+        F.when(~lost & (legacy | (u % 2 == 1)), u).alias("ticket_id"),
         F.when(~legacy, F.when(u % 2 == 0, "clip").otherwise("reel")).alias("video_kind"),
-        F.when(~legacy, u).alias("video_id"),
+        F.when(~legacy & ~lost, u).alias("video_id"),
         F.when(k % 7 == 6, "").otherwise(pick(PLATFORMS, k)).alias("platform"),
         count("view").alias("views"),
         count("signup").alias("follows"),
@@ -83,7 +97,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("id"),
         F.regexp_replace("source", "[^0-9]", "").cast("long").alias("project_id"),
         (i % 13).alias("idx"),
-        F.when(F.col("quality") == 1, "rendered").otherwise("suggested").alias("status"),
+        F.when(F.col("quality") == 1, "rendered").when(i % 10 == 3, "rendering").otherwise("suggested").alias("status"),
+        F.when(i % 10 == 3, "Cutting").alias("stage"),
         F.when(i % 7 == 0, "[]").alias("markers"),
         F.when(i % 5 == 0, "").otherwise(F.regexp_extract("text", "^[^\n]*", 0)).alias("title"),
         F.when(i % 4 == 1, "").otherwise(F.regexp_extract("text", FIRST_SENTENCE, 0)).alias("hook"),
@@ -111,13 +126,14 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A beat for each turn of a conversation."""
+    """A beat for each turn of a conversation; some tickets have none, and of some the first is not spoken."""
     t, turn = F.col("text"), F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    silent = (turn % 5 == 4) | ((turn == 0) & (F.col("conv_id") % 14 == 0))
+    return table(spark, sf_dir, "conversations").where("conv_id % 13 <> 12").select(
         (F.col("conv_id") * 1000 + turn).alias("id"),
         F.col("conv_id").alias("ticket_id"),
         turn.alias("order_index"),
-        F.when(turn % 5 == 4, " ").otherwise(t).alias("spoken_line"),
+        F.when(silent, " ").otherwise(t).alias("spoken_line"),
         F.when(turn % 4 == 0, F.lit("note")).otherwise(" ").alias("on_screen_text"),
         F.when(turn % 3 == 0, F.regexp_extract(t, FIRST_SENTENCE, 0)).otherwise(F.when(turn % 5 == 4, " ").otherwise(t)).alias("caption"),
         F.when((F.col("role") == "user") | (F.col("conv_id") % 3 == 0), F.concat(F.lit("clip"), turn)).otherwise("").alias("clip_path"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import layout
 from cadenza.operators import lifecycle, matching, scripts, transcript
-from cadenza.sources.bridge import COPY
+from cadenza.sources.bridge import BRAND_SCHEMA, COPY
 
 TICKET = "id long, brand string, stage string, angle string, hook_text string, capture_mode string, clip_url string, autopilot boolean, auto_voiceover boolean, gate string, tries int, failure string"
 BEAT = "id long, ticket_id long, order_index long, spoken_line string, on_screen_text string, caption string, clip_path string, voiceover_path string, is_proof_beat boolean"
@@ -36,7 +36,7 @@ def test_next_step(spark):
 
 
 def test_script_gate_gives_the_first_reason(spark):
-    config = spark.createDataFrame([("en", 3, "off", False, [], ["Never Say"], True, [])], lifecycle.BRAND_SCHEMA)
+    config = spark.createDataFrame([("en", 3, "off", False, [], ["Never Say"], True, [])], BRAND_SCHEMA)
     t = spark.createDataFrame([ticket(1), ticket(2, hook_text=" "), ticket(3), ticket(4), ticket(5), ticket(6), ticket(7, brand="other")], TICKET)
     long_, fine = "word " * 301, "word " * 20
     b = beats(spark, [(2, fine, "", "", None, False), (3, fine, "never", "", None, False), (3, "say it", "never say", "", None, False), (4, fine, "in 3 days", "", None, False), (5, "too short", "", "", None, False), (6, long_, "", "", None, False), (7, fine + "3", "", "", None, False)])
@@ -48,7 +48,7 @@ def test_script_gate_gives_the_first_reason(spark):
 
 
 def test_one_tick(spark):
-    config = spark.createDataFrame([("en", 3, "semi", False, [], [], False, []), ("fr", 3, None, False, [], [], False, [])], lifecycle.BRAND_SCHEMA)
+    config = spark.createDataFrame([("en", 3, "semi", False, [], [], False, []), ("fr", 3, None, False, [], [], False, [])], BRAND_SCHEMA)
     rows = [
         ticket(1, "outlier", "fr"), ticket(2, "outlier"), ticket(3, "staged"), ticket(4, "staged", gate="awaiting_footage"), ticket(5, "staged", gate="awaiting_footage"), ticket(6, "sourced", failure="broke", tries=1),
         ticket(7, "sourced", failure="broke", tries=2), ticket(8, "ready"), ticket(9, "posted"), ticket(10, "ready", gate="parked"), ticket(11, "ready", autopilot=False), ticket(12, "staged", capture_mode="repurpose"),
