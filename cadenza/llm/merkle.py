@@ -153,7 +153,7 @@ ORACLE = r"""
 WITH RECURSIVE
 steps(i, k, c) AS (SELECT i, 0, i FROM range(256) AS bytes(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
-given AS (SELECT *, coalesce('=' || lang, '-') AS grp, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda k: ascii(doc_id::VARCHAR[k])::BIGINT)),
+given AS (SELECT *, coalesce('=' || lang, '-') AS grp, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)),
             lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed FROM documents, crc),
 front AS (SELECT doc_id, grp, text, claimed,
             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM given),
