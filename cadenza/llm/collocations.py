@@ -76,12 +76,12 @@ class Buffer:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.number[BREAK]
-        self.parts = [np.fromiter((self.number[w] for w in words), np.int64, len(words))]
+        self.parts = [np.fromiter((self.number[w] for w in words), np.int32, len(words))]
         self.carried = len(words)
 
     def add(self, words: list[bytes]) -> int:
         number = self.number
-        self.parts.append(np.array([number[w] for w in words], np.int64))
+        self.parts.append(np.fromiter((number[w] for w in words), np.int32, len(words)))
         return len(words)
 
     def counts(self, states: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
@@ -90,35 +90,38 @@ class Buffer:
         The first state's come with an empty phrase of no words: all occurrences of words.
         """
         ids, words = np.concatenate(self.parts), list(self.number)
-        first = len(states) == 1
-        if first:
+        self.parts = [ids]
+        if len(states) == 1:
             n = np.bincount(ids[self.carried :], minlength=len(words))
             n[0] = 0
             yield 0, [np.zeros(1, np.int64)], n.sum(keepdims=True)
             found = np.flatnonzero(n)
             yield 1, [found], n[found]
         h = word_hashes(words, self.lang)
-        a, b, c = ids[:-1], ids[1:], ids[2:]
-        whole = (a != 0) & (b != 0)
-        fresh = np.arange(1, len(ids)) >= self.carried  # by the phrase's end, so what a buffer carries over isn't counted twice
-        pair_of = pair_hashes(h[a], h[b])
+        whole = (ids[:-1] != 0) & (ids[1:] != 0)
+        fresh = np.arange(1, len(ids), dtype=np.int32) >= self.carried  # by the phrase's end, so what a buffer carries over isn't counted twice
         pairs, triples = whole & fresh, whole[:-1] & whole[1:] & fresh[1:]
         for k, (word_bits, pair_bits) in enumerate(states):
-            known = holds(word_bits, h)
-            pair, part = known[a] & known[b], holds(pair_bits, pair_of)
+            known = holds(word_bits, h)[ids]
+            pair, part = known[:-1] & known[1:], np.empty(len(whole), bool)
+            for at in range(0, len(whole), 1 << 18):  # hashes of all positions would take as much memory as all the rest
+                upto = min(len(whole), at + (1 << 18))
+                part[at:upto] = holds(pair_bits, pair_hashes(h[ids[at:upto]], h[ids[at + 1 : upto + 1]]))
             triple = part[:-1] & part[1:]
-            if k == len(states) - 1:
-                pairs, triples = pairs & pair, triples & triple
-            else:
-                pairs, triples = pairs & ~pair, triples & ~triple
+            last = k == len(states) - 1
+            pairs &= pair if last else ~pair
+            triples &= triple if last else ~triple
         low = (1 << 21) - 1
         for size, chosen in ((2, pairs), (3, triples)):
             at = np.flatnonzero(chosen)
-            code = a[at] << 21 | b[at]
-            if size == 3:
-                code = code << 21 | c[at]
-            code, n = np.unique(code, return_counts=True)
-            yield size, [code >> 21 * k & low for k in reversed(range(size))], n
+            code = ids[at].astype(np.int64)
+            for k in range(1, size):
+                code <<= 21
+                code |= ids[at + k]
+            del at
+            code.sort()
+            new = np.flatnonzero(np.diff(code, prepend=-1))
+            yield size, [code[new] >> 21 * k & low for k in reversed(range(size))], np.diff(new, append=len(code))
 
     def rest(self) -> list[bytes]:
         """The last two words: a phrase may go on."""
@@ -152,7 +155,7 @@ def counted(docs: DataFrame, states: list, buffer_words: int) -> DataFrame:
                 buffer = held[lang]
                 for words in slices(text.as_buffer().to_pybytes()):
                     size += buffer.add(words)
-                    if len(buffer.number) > 1_000_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
+                    if len(buffer.number) > 500_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
                         for each in held if size > buffer_words else (lang,):
                             yield from flush(each)
                         if size > buffer_words:
@@ -208,7 +211,7 @@ def failures(frequent: DataFrame, state: tuple[np.ndarray, np.ndarray], spark: S
     return frequent.where("words in (1, 2)").select("lang", "words", "phrase", "f").mapInArrow(run, COUNTS)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 4_000_000, seed: int = 11) -> tuple[DataFrame, int]:
+def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 2_000_000, seed: int = 11) -> tuple[DataFrame, int]:
     """Exact COUNTS of all phrases of one to three words that occur `least` times or more in a lang, with a row of no words for all occurrences of words, and the full passes it took.
 
     The sample has about `sample_docs` documents; its threshold is `lowered` times what `least` comes to in it, and 2 at least.
