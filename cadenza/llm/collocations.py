@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.shared import stored
+from cadenza.llm.shared import small_batches, stored
 
 COUNTS = "lang string, words int, phrase string, f long"
-BITS = 26  # of a bitmap's address: 8 MB for words and 8 MB for pairs in each pass
+BITS = 25  # of a bitmap's address: 4 MB for words and 4 MB for pairs in each pass
 BREAK = b"\xff"  # in no UTF-8 text
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 
@@ -73,8 +74,7 @@ class Buffer:
         self.start([])
 
     def start(self, words: list[bytes]) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)  # not the dict's own length: a cycle would keep old ones in memory
         self.number[BREAK]
         self.parts = [np.fromiter((self.number[w] for w in words), np.int32, len(words))]
         self.carried = len(words)
@@ -155,7 +155,7 @@ def counted(docs: DataFrame, states: list, buffer_words: int) -> DataFrame:
                 buffer = held[lang]
                 for words in slices(text.as_buffer().to_pybytes()):
                     size += buffer.add(words)
-                    if len(buffer.number) > 500_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
+                    if len(buffer.number) > 300_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
                         for each in held if size > buffer_words else (lang,):
                             yield from flush(each)
                         if size > buffer_words:
@@ -164,7 +164,8 @@ def counted(docs: DataFrame, states: list, buffer_words: int) -> DataFrame:
         for lang in held:
             yield from flush(lang)
 
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    # a buffer's counts are whole, so they are summed after the shuffle only: before it there is nothing to gain for the memory
+    return docs.mapInArrow(run, COUNTS).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
 def hash_of(words: int, phrases: list[bytes], langs: list[str]) -> np.ndarray:
@@ -211,7 +212,7 @@ def failures(frequent: DataFrame, state: tuple[np.ndarray, np.ndarray], spark: S
     return frequent.where("words in (1, 2)").select("lang", "words", "phrase", "f").mapInArrow(run, COUNTS)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 2_000_000, seed: int = 11) -> tuple[DataFrame, int]:
+def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 1_000_000, seed: int = 11) -> tuple[DataFrame, int]:
     """Exact COUNTS of all phrases of one to three words that occur `least` times or more in a lang, with a row of no words for all occurrences of words, and the full passes it took.
 
     The sample has about `sample_docs` documents; its threshold is `lowered` times what `least` comes to in it, and 2 at least.
@@ -221,13 +222,15 @@ def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000
     share = min(1.0, sample_docs / max(docs.count(), 1))
     none, every = np.zeros(1 << BITS - 3, np.uint8), np.full(1 << BITS - 3, 255, np.uint8)
     everything = spark.sparkContext.broadcast((every, none))  # the sample counts words and pairs
-    sample = stored(counted(plain.sample(share, seed), [everything], buffer_words).where(F.col("f") >= max(2, int(lowered * least * share))), "proposed")
+    with small_batches(spark, 1000):
+        sample = stored(counted(plain.sample(share, seed), [everything], buffer_words).where(F.col("f") >= max(2, int(lowered * least * share))), "proposed")
     state = (bitmap(sample, 1), bitmap(sample, 2))
     states, found, passes = [], None, 0
     while True:
         states.append(spark.sparkContext.broadcast(state))
         new = counted(plain, states, buffer_words).where((F.col("f") >= least) | (F.col("words") == 0))
-        found = stored(new if found is None else found.unionByName(new), "frequent")
+        with small_batches(spark, 1000):
+            found = stored(new if found is None else found.unionByName(new), "frequent")
         passes += 1
         missed = stored(failures(found, state, spark), "failures")
         if missed.isEmpty():

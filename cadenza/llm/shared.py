@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.storage import checkpointed, shared_dir, stored
 
-__all__ = ["Memo", "checkpointed", "held_out", "id_and_text", "shared_dir", "stored"]
+__all__ = ["Memo", "checkpointed", "held_out", "id_and_text", "shared_dir", "small_batches", "stored"]
 
 
 class Memo(dict):
@@ -33,3 +36,15 @@ def held_out(id_col: str = "doc_id"):
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand at most `rows` rows at a time to Python: for texts, of which the usual number is much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
