@@ -379,6 +379,20 @@ def publish_caption(tickets: DataFrame, platform: str | None = None, order: list
     return tickets.select("id", F.coalesce(*texts, *old, first_text(F.col("hook_text"), F.col("angle")), F.lit("")).alias("caption"))
 
 
+#: Names of the platforms.
+PLATFORM_NAMES = {"tt": "TikTok", "ig": "Instagram", "yt": "YouTube"}
+
+
+def publications(tickets: DataFrame) -> DataFrame:
+    """What a publisher without credentials would do for each ticket: a row for each known platform, or for all if none is known."""
+    names = F.create_map(*[F.lit(x) for p in PLATFORM_NAMES.items() for x in p])
+    known = F.filter(F.coalesce("platforms", F.array().cast("array<string>")), lambda p: p.isin(list(PLATFORM_NAMES)))
+    targets = F.when(F.size(known) > 0, known).otherwise(F.array(*map(F.lit, PLATFORM_NAMES)))
+    action = F.when(F.col("scheduled_at").isNotNull(), "schedule").otherwise("post")
+    each = tickets.select("id", action.alias("action"), F.explode(targets).alias("platform"))
+    return each.select("id", "platform", "action", F.concat(F.lit("DRY-RUN — would "), "action", F.lit(" to "), names[F.col("platform")]).alias("result"))
+
+
 def migrated_captions(tickets: DataFrame) -> DataFrame:
     """Older captions as copy for each platform, for tickets that have captions and no copy yet; run twice it changes nothing."""
     c = lambda p: F.coalesce(F.col("captions")[p], F.lit(""))

@@ -58,6 +58,7 @@ QUERIES = {
     "feed_plan": of(l.feed_plan, "tickets", "brands"),
     "next_slot": of(l.next_slot, "tickets", "brands"),
     "recover_interrupted": of(l.recover_interrupted, "projects"),
+    "publish_dry_run": of(l.publications, "tickets"),
     "recover_renders": of(l.recover_renders, "clips"),
     "regenerate_preview": lambda s, d: l.regenerated(b.tickets(s, d), "tighter"),
     "reject_preview": lambda s, d: l.switched(b.tickets(s, d), F.lit(False)),
@@ -108,6 +109,7 @@ CASE WHEN outcome IN ('parked', 'retry') THEN tries + 1 ELSE tries END AS tries_
     "feed_plan": with_ctes("tickets", CONFIG + BACKLOG + ", tot AS (SELECT brand, count(*) AS n FROM tickets GROUP BY 1) SELECT b.brand, missing, angles[coalesce(n, 0) % len(angles) + 1] AS angle FROM backlog b JOIN config c ON c.brand = b.brand LEFT JOIN tot ON tot.brand = b.brand WHERE feed AND missing > 0 AND len(angles) > 0"),
     "next_slot": with_ctes("tickets", CONFIG + "SELECT id, g::BIGINT AS gap_hours, strftime(base_at + to_hours(g), '%Y-%m-%d %H:%M') AS slot FROM (SELECT id, coalesce(scheduled_at, posted_at) AS base_at, greatest(6, 168 // greatest(1, target))::INT AS g FROM tickets t JOIN config c ON c.brand = t.brand) WHERE base_at IS NOT NULL"),
     "recover_interrupted": with_ctes("projects", f"SELECT id, CASE WHEN lost THEN 'error' ELSE status END AS status, CASE WHEN lost THEN '{l.INTERRUPTED}' END AS error, CASE WHEN lost THEN 'Interrupted: ' || coalesce(stage, 'starting') ELSE stage END AS stage, lost AS recovered FROM (SELECT *, status IN ('created', 'ingesting', 'transcribing', 'analyzing') AS lost FROM projects)"),
+    "publish_dry_run": with_ctes("tickets", ", k AS (SELECT id, CASE WHEN scheduled_at IS NULL THEN 'post' ELSE 'schedule' END AS action, list_filter(coalesce(platforms, []), lambda p: p IN ('tt', 'ig', 'yt')) AS ps FROM tickets), e AS (SELECT id, action, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE ['tt', 'ig', 'yt'] END) AS platform FROM k) SELECT id, platform, action, 'DRY-RUN — would ' || action || ' to ' || CASE platform WHEN 'tt' THEN 'TikTok' WHEN 'ig' THEN 'Instagram' ELSE 'YouTube' END AS result FROM e"),
     "recover_renders": with_ctes("clips", f"SELECT id, CASE WHEN lost THEN 'error' ELSE status END AS status, CASE WHEN lost THEN '' ELSE stage END AS stage, CASE WHEN lost THEN '{l.RENDER_LOST}' END AS error, lost AS recovered FROM (SELECT *, status = 'rendering' AS lost FROM clips)"),
     "regenerate_preview": with_ctes("tickets", f"SELECT id, {STAGES}[greatest(list_position({STAGES}, stage) - 1, 1)] AS stage, NULL::VARCHAR AS gate, 0::BIGINT AS tries, angle || '  [note: tighter]' AS angle FROM tickets"),
     "reject_preview": with_ctes("tickets", "SELECT id, false AS autopilot, NULL::VARCHAR AS gate FROM tickets"),

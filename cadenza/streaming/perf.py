@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cadenza.functions.scoring import COUNTERS, perf_score
 from cadenza.operators.engagement import keyed, latest
+from cadenza.sources import outbox
 
 PERF = "id long, ticket_id long, video_kind string, video_id long, platform string, views long, follows long, saves long, sends long, captured_at timestamp"
 #: The fields of a sheet's row.
@@ -57,12 +58,15 @@ def sheet_rows(perf: DataFrame, videos: DataFrame) -> DataFrame:
     return j.select("captured_at", "id", F.to_json(row).alias("value")).orderBy("captured_at", "id").select("value")
 
 
-def push_rows(rows: DataFrame, target: str | None) -> dict:
-    """Writes the rows as JSON lines, or nothing where no target is set; a failure is reported, not raised."""
-    if not target:
-        return {"pushed": 0, "live": False}
-    try:
-        rows.write.mode("append").text(target)
-    except Exception as error:  # what the sink says goes into the report
-        return {"pushed": 0, "live": True, "error": str(error)[:200]}
-    return {"pushed": rows.count(), "live": True}
+def push_rows(rows: DataFrame, target: str | None, batch: str, staging: str | None = None) -> dict:
+    """Sends the rows once under the batch's name, or nothing where no target is set; a failure is reported, not raised."""
+    return outbox.push(rows, batch, target, staging)
+
+
+def start_pushes(stream: DataFrame, videos: DataFrame, target: str | None, staging: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of facts goes to the sheet as one batch; one that is run again doubles no row."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        push_rows(sheet_rows(batch, videos), target, f"facts-{number}", staging)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -66,7 +66,8 @@ def test_sheet_rows(spark, tmp_path):
     got = [json.loads(r.value) for r in rows.collect()]
     assert [list(r) for r in got] == [perf.ROW_FIELDS] * 2
     assert [(r["date"], r["platform"], r["brand"], r["hook"], r["views"], r["sends"]) for r in got] == [("2024-01-02", "TikTok", "en", "hook", 10, 0), ("2024-01-03", "fb", "", "", 5, 2)]
-    assert perf.push_rows(rows, None) == {"pushed": 0, "live": False}
-    assert perf.push_rows(rows, str(tmp_path / "sheet")) == {"pushed": 2, "live": True}
-    assert len(spark.read.text(str(tmp_path / "sheet")).collect()) == 2
-    assert "error" in perf.push_rows(rows, "nosuchscheme://x/y")
+    push = lambda target: perf.push_rows(rows, target, "all", str(tmp_path / "staging"))
+    assert push(None) == {"batch": "all", "rows": 2, "pushed": 0, "live": False}
+    for pushed in (2, 0):  # the same batch again sends nothing
+        assert push(str(tmp_path / "sheet")) == {"batch": "all", "rows": 2, "pushed": pushed, "live": True}
+        assert len(spark.read.text(str(tmp_path / "sheet")).collect()) == 2
