@@ -52,9 +52,28 @@ def subtract(ranges: DataFrame, cuts: DataFrame, key: str = "project_id") -> Dat
 
 
 def uncovered(ranges: DataFrame, covers: DataFrame, key: str = "project_id", slack: int = 1) -> DataFrame:
-    """Ranges that no single cover holds within the slack."""
-    c = covers.select(F.col(key).alias("ck"), F.col("a").alias("ca"), F.col("b").alias("cb"))
-    return ranges.join(c, (F.col(key) == F.col("ck")) & (F.col("ca") <= F.col("a") + slack) & (F.col("cb") >= F.col("b") - slack), "left_anti")
+    """Ranges that no single cover holds within the slack.
+
+    Of the covers that begin in time the one that ends last is the one to ask: a running maximum over one sorted union.
+    """
+    cols = ranges.columns
+    mine = ranges.select(key, (F.col("a") + slack).alias("at"), F.lit(1).alias("is_range"), F.lit(None).cast("long").alias("until"), F.struct(*cols).alias("row"))
+    theirs = covers.select(key, F.col("a").alias("at"), F.lit(0).alias("is_range"), F.col("b").cast("long").alias("until"), F.lit(None).cast(mine.schema["row"].dataType).alias("row"))
+    w = Window.partitionBy(key).orderBy("at", "is_range").rowsBetween(Window.unboundedPreceding, 0)
+    met = mine.unionByName(theirs).withColumn("last", F.max("until").over(w)).where("is_range = 1")
+    return met.where(F.col("last").isNull() | (F.col("last") < F.col("row.b") - slack)).select("row.*")
+
+
+def monotone(timings: DataFrame, key: str, order: str, duration: str) -> DataFrame:
+    """timings (key, order, start, end and duration in seconds) with times that never fall and lie within the duration.
+
+    A start is no earlier than any before it, which is a running maximum; an end is at least 20 ms after its start.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.least(F.greatest(F.lit(0.0), F.max(F.coalesce("start", F.lit(0.0))).over(w)), F.col(duration))
+    at = timings.withColumn("start", start)
+    end = F.least(F.greatest(F.coalesce("end", F.lit(0.0)), F.col("start") + 0.02), F.col(duration))
+    return at.withColumns({"start": F.bround("start", 3), "end": F.bround(end, 3)})
 
 
 def inside_cuts(words: DataFrame, cuts: DataFrame, key: str = "project_id") -> DataFrame:

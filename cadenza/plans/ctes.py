@@ -60,6 +60,10 @@ tickets AS (SELECT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id // 8 % 4 + 1]
     CASE WHEN conv_id % 10 < 4 THEN 'own ' || conv_id WHEN conv_id % 10 = 4 THEN ' ' ELSE '' END AS own_caption, CASE WHEN conv_id % 10 < 4 THEN '#own' ELSE '' END AS own_tags,
     CASE WHEN conv_id % 10 = 5 THEN 'title ' || conv_id ELSE '' END AS own_title, CASE WHEN conv_id % 10 = 6 THEN 'old ' || conv_id END AS old_caption
   FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id))""",
+    "folders": """
+folders AS (SELECT row_number() OVER (ORDER BY folder) AS id, folder AS name FROM (SELECT DISTINCT folder FROM tickets WHERE folder <> ''))""",
+    "errors": """
+errors AS (SELECT conv_id * 1000 + turn AS id, concat_ws(': ', ['HTTP Error 403: Forbidden', 'Sign in to confirm you''re not a bot', 'Requested format is not available', 'The read operation timed out', 'Connection reset by peer', 'Private video', 'Please try again later', 'ERROR: use --cookies'][(conv_id * 1000 + turn) % 8 + 1], text) AS message FROM conversations)""",
     "intake": """
 intake AS (SELECT doc_id AS id, 'take' || doc_id || '.mov' AS filename, n_chars AS mtime, text AS transcript,
     ['uploaded', 'transcribing', 'matched', 'unmatched', 'discarded', 'assigned', 'error'][doc_id % 7 + 1] AS status,
@@ -82,7 +86,7 @@ spans_of_fillers AS (SELECT * FROM filled WHERE t IN ('um', 'umm', 'uhm', 'uh',
 fillers AS (SELECT project_id, greatest(start_ms - 30, 0) AS a, least(end_ms + 30, last_ms) AS b FROM spans_of_fillers),
 cuts AS (SELECT * FROM pauses UNION ALL SELECT * FROM fillers)""",
 }
-NEEDS = {"perf": ["perf_log"], "sents": ["words"], "cuts": ["words"]}
+NEEDS = {"perf": ["perf_log"], "folders": ["tickets"], "sents": ["words"], "cuts": ["words"]}
 
 
 def with_ctes(names: str, body: str) -> str:

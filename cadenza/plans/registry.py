@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.plans import engagement, lifecycle, texts, transcripts
+from cadenza.plans import edits, engagement, lifecycle, texts, transcripts
 
 FLAGSHIP = "insights_by_platform"
-MODULES = [engagement, lifecycle, transcripts, texts]
+MODULES = [engagement, lifecycle, transcripts, texts, edits]
 
 
 def queries() -> dict:

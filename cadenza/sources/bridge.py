@@ -175,6 +175,33 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, size) of the files that are there: rendered tickets and beats' footage, but for some that went missing or came out small."""
+    t = tickets(spark, sf_dir).where("clip_url <> '' and id % 9 <> 4").select(F.col("clip_url").alias("path"), F.when(F.col("id") % 10 == 6, 500).otherwise(F.col("id") + 20_000).cast("long").alias("size"))
+    return t.unionByName(beats(spark, sf_dir).where("clip_path <> '' and order_index % 4 <> 3").select(F.col("clip_path").alias("path"), F.lit(1000).cast("long").alias("size")).distinct())
+
+
+#: The same in DuckDB, after the expressions of tickets and beats.
+FILES_SQL = ", files AS (SELECT clip_url AS path, CASE WHEN id % 10 = 6 THEN 500 ELSE 20000 + id END AS size FROM tickets WHERE clip_url <> '' AND id % 9 <> 4 UNION ALL SELECT DISTINCT clip_path, 1000 FROM beats WHERE clip_path <> '' AND order_index % 4 <> 3)"
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each name that tickets have, numbered by name."""
+    names = tickets(spark, sf_dir).where("folder <> ''").select(F.col("folder").alias("name")).distinct()
+    return names.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name")
+
+
+#: What download tools say, before a conversation's text; rates as they are told.
+SAYINGS = ["HTTP Error 403: Forbidden", "Sign in to confirm you're not a bot", "Requested format is not available", "The read operation timed out", "Connection reset by peer", "Private video", "Please try again later", "ERROR: use --cookies"]
+RATES = ["30000/1001", "25", "0/0", "x", "24/", "-5/1", ""]
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error message for each turn of a conversation."""
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, sf_dir, "conversations").select(i.alias("id"), F.concat_ws(": ", pick(SAYINGS, i), "text").alias("message"))
+
+
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut ranges of each project in milliseconds: pauses and fillers."""
     from cadenza.operators import transcript as t
