@@ -58,10 +58,14 @@ def centroids(v: np.ndarray, k: int, seed: int = 7, rounds: int = 15) -> np.ndar
     return c
 
 
-def fit(docs: DataFrame, per_language: int = 300, per_centroid: int = 3, longest: int = 65_536, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """The model: languages, centroids, idf and the cosine below which a text is rejected."""
+def fit(docs: DataFrame, per_language: int = 300, per_centroid: int = 3, longest: int = 65_536, languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+    """The model: languages, centroids, idf and the cosine below which a text is rejected.
+
+    It learns the `languages` values of lang that most rows have, so a dirty column doesn't make it grow.
+    """
     learn = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in learn.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row a language
+    commonest = learn.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = {r[0]: r[1] for r in commonest.collect()}
     if not sizes:
         return None
 

@@ -15,6 +15,7 @@ Null text: empty, one end id. A null doc_id is carried through. Repeated rows ar
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -40,8 +41,22 @@ WITHIN = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-^`{-~])")
 WHOLE = re.compile("<[|]|[\u03a3\u0130]")
 
 
+#: How the tokenizers that may be asked word by word normalise and split.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [{"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def by_word(definition: dict) -> bool:
+    """Whether a tokenizer drops white space, joins nothing across it and lower-cases, as WordIds takes for granted."""
+    parts = (definition.get("normalizer") or {}).get("normalizers"), (definition.get("pre_tokenizer") or {}).get("pretokenizers")
+    special = all(t["content"].startswith("<|") for t in definition.get("added_tokens", []))
+    return parts == (NORMALIZERS, SPLITTERS) and definition["model"]["type"] == "BPE" and special
+
+
 class WordIds:
-    """A text's ids as little-endian bytes, word by word: the tokenizer drops white space and joins nothing across it.
+    """A text's ids as little-endian bytes, word by word: the tokenizer drops white space and joins nothing across it. Texts
+    of a tokenizer that is defined otherwise go to it whole.
 
     Words with a special token's opening, a capital sigma (its lower case depends on what follows) or a dotted
     capital i (its lower case ends in a mark) stay whole.
@@ -52,6 +67,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
+        self.apart = by_word(json.loads(blob))
         self.model = self.tokenizer.model
         byte_level = [b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)]
         spare = iter(range(256, 512))  # bytes without a printable character of their own, in order
@@ -74,6 +90,9 @@ class WordIds:
 
     def encode_all(self, texts: list[str], end: bytes) -> Iterator[bytes]:
         for text in texts:
+            if not self.apart:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + end
+                continue
             yield b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + end
 
 

@@ -152,3 +152,11 @@ def test_signs_are_no_letters(spark):
     model = language.fit(queries.table(spark, cases.SF, "documents"))
     docs = cases.table(spark, [(1, "² ½ Ⅷ 12"), (2, "½ a")])
     assert [r.lang_pred == "und" for r in sorted(language.identify(docs, model).collect())] == [True, False]
+
+
+def test_languages_are_bounded(spark):
+    """Of many values of lang the commonest are learned, ties by name."""
+    rows = [(k, f"text of kind {k % 40} and more", f"l{k % 40:02d}", "s", 1) for k in range(400)] + [(1000 + k, "plus de texte", "fr", "s", 1) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    few = language.fit(docs, languages=5)
+    assert set(few["names"]) < {r[2] for r in rows} and "fr" in few["names"] and len(set(few["names"])) == 5

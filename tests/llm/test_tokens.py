@@ -104,3 +104,19 @@ def test_long_texts_without_spaces(spark, sp):
     texts = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(300_000))), (2, "a" * 100_000)]
     got = {r.doc_id: r.n_tokens for r in encode_documents(cases.table(spark, texts), tokenizer_file(PIECE_MODEL)).collect()}
     assert got == {i: len(sp.encode(t, add_eos=True)) for i, t in texts}
+
+
+def test_a_tokenizer_defined_otherwise_gets_whole_texts(spark):
+    """Byte-level splitting keeps spaces with words: word by word its ids would be wrong."""
+    from cadenza.llm import packing
+
+    blob = tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_str(blob.decode())
+    assert packing.WordIds(tokenizer_file(WORD_MODEL)).apart and not packing.WordIds(blob).apart
+    texts = [(k, t) for k, t in enumerate(["two  words", " Upper Case\n\nline", "", "word " * 5000])]
+    got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in pack(cases.table(spark, texts), blob).collect()}
+    for k, t in texts:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for p in range(-(-len(ids) // 4096)):
+            cut = ids[p * 4096 : (p + 1) * 4096]
+            assert got[k, p] == (len(cut), zlib.crc32(cut.tobytes()))
