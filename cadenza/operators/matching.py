@@ -79,11 +79,35 @@ def match_scores(takes: DataFrame, lines: DataFrame, least: float = LEAST_SCORE)
     return j.select("take_id", "line_id", F.greatest(ratio("a", "b"), CONTAINED * F.col("containment")).alias("score"))
 
 
+def alike(pairs: DataFrame, own: str, other: str) -> DataFrame:
+    """(batch, own, class): takes with the same scores for the same lines are one class, and so are lines for takes; told by 128 bits."""
+    mark = lambda seed: F.bit_xor(F.xxhash64(other, "score", F.lit(seed)))
+    return pairs.groupBy("batch", own).agg(F.struct(mark(1).alias("x"), mark(2).alias("y")).alias(f"{own}_class"))
+
+
+def blocks_of(pairs: DataFrame) -> DataFrame:
+    """Pairs of equal takes and equal lines whose best score is that with each other and with nothing else: the n-th take gets the n-th line."""
+    tagged = pairs.join(alike(pairs, "take_id", "line_id"), ["batch", "take_id"]).join(alike(pairs, "line_id", "take_id"), ["batch", "line_id"])
+    soles = []
+    for own, other in (("take_id_class", "line_id_class"), ("line_id_class", "take_id_class")):
+        most = tagged.groupBy("batch", own).agg(F.max("score").alias("score"))
+        at = tagged.join(most, ["batch", own, "score"]).groupBy("batch", own, "score").agg(F.min(other).alias(other), F.max(other).alias("other"))
+        soles.append(at.where(F.col(other) == F.col("other")).select("batch", own, other, "score"))
+    both = soles[0].join(soles[1], ["batch", "take_id_class", "line_id_class", "score"])
+    tagged = tagged.join(both, ["batch", "take_id_class", "line_id_class", "score"], "left_semi")
+    key = ["batch", "take_id_class", "line_id_class"]
+    place = lambda c: F.row_number().over(Window.partitionBy(*key).orderBy(c))
+    takes = tagged.select(*key, "score", "take_id").distinct().withColumn("place", place("take_id"))
+    lines = tagged.select(*key, "line_id").distinct().withColumn("place", place("line_id"))
+    return takes.join(lines, [*key, "place"]).select("batch", "take_id", "line_id", "score")
+
+
 def assign(scores: DataFrame, batch: Column, least: float = LEAST_SCORE) -> DataFrame:
     """One take to one line in each batch, best score first, ties to the smaller ids.
 
     In rounds: a pair that is the best one left both of its take and of its line is what the greedy choice takes, so all
-    such pairs are taken at once, and their takes and lines leave. No batch is ever in one task.
+    such pairs are taken at once, and their takes and lines leave. Equal takes that tie for equal lines are matched
+    in one round too, by their ids, which is what the choice comes to for them. No batch is ever in one task.
     """
     left = stored(scores.where(F.col("score") >= least).withColumn("batch", batch), "open")
     rank = F.struct((-F.col("score")).alias("s"), "take_id", "line_id")
@@ -92,7 +116,7 @@ def assign(scores: DataFrame, batch: Column, least: float = LEAST_SCORE) -> Data
         per_take = left.groupBy("batch", "take_id").agg(F.min(rank).alias("best"))
         per_line = left.groupBy("batch", "line_id").agg(F.min(rank).alias("best"))
         chosen = per_take.join(per_line.select("batch", "best"), ["batch", "best"]).select("batch", "best.take_id", "best.line_id", (-F.col("best.s")).alias("score"))
-        chosen = stored(chosen, "chosen")
+        chosen = stored(chosen.unionByName(blocks_of(left)).distinct(), "chosen")
         taken = chosen if taken is None else taken.unionByName(chosen)
         left = stored(left.join(chosen.select("batch", "take_id"), ["batch", "take_id"], "left_anti").join(chosen.select("batch", "line_id"), ["batch", "line_id"], "left_anti"), "open")
     return (taken if taken is not None else left).select("take_id", "line_id", "score", "batch")

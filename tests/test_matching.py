@@ -1,8 +1,13 @@
 """Assignment and leftovers against brute force over takes that compete for lines."""
 
+import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza.operators import matching
 from cadenza.plans import registry
 
 LINES = [(1, "show the desk before you start"), (2, "count every euro you spend"), (3, "alpha beta gamma delta epsilon zeta eta theta")]
@@ -55,3 +60,38 @@ def test_every_take_is_assigned_or_left_over(spark, tmp_path):
     found = sorted(tuple(r) for r in registry.queries()["leftover_beats"](spark, sf).select("batch", "take_id", "order_index").collect())
     assert found == left and len(left) > 4
     assert {r.take_id for r in registry.queries()["assign_takes"](spark, sf).collect()} == taken
+
+
+def greedy(rows):
+    takes, lines, out = set(), set(), set()
+    for score, take, line, batch in sorted((-s, t, x, b) for t, x, s, b in rows):
+        if (batch, take) not in takes and (batch, line) not in lines:
+            takes.add((batch, take))
+            lines.add((batch, line))
+            out.add((take, line, -score, batch))
+    return out
+
+
+def rounds_of(spark, monkeypatch, rows):
+    made = []
+    real = matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, name: made.append(name) or real(df, name))
+    got = {tuple(r) for r in matching.assign(spark.createDataFrame(rows, "take_id long, line_id long, score double, batch long"), F.col("batch")).collect()}
+    return got, made.count("chosen")
+
+
+@pytest.mark.parametrize(("takes", "lines"), [(15, 15), (40, 7), (7, 40)])
+def test_equal_takes_and_lines_in_one_round(spark, monkeypatch, takes, lines):
+    rows = [(t, 100 + x, 0.9, 1) for t in range(takes) for x in range(lines)] + [(t, 200, 0.7, 1) for t in range(takes)]
+    got, rounds = rounds_of(spark, monkeypatch, rows)
+    assert got == greedy(rows) and rounds <= 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ties_as_the_greedy_choice(spark, monkeypatch, seed):
+    """Few scores, and copies of takes and of lines, so blocks of equals meet each other."""
+    rng = random.Random(seed)
+    kinds = {(a, b): rng.choice([0.5, 0.6, 0.6, 0.8, 0.8, None]) for a in range(5) for b in range(5)}
+    rows = [(t, 100 + x, kinds[t % 5, x % 5], b) for b in (1, 2) for t in range(13) for x in range(11) if kinds[t % 5, x % 5] and (t + b) % 7]
+    got, _ = rounds_of(spark, monkeypatch, rows)
+    assert got == greedy([r for r in rows if r[2] >= 0.55])
