@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadenza.llm import packing, quality, queries
@@ -67,3 +68,16 @@ def test_packing_stage(spark, stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, cases.SF)
     assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(r[:5] for r in stages[5])
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and columns of clashing names pass through all stages; so does an empty table."""
+    odd = cases.odd(spark).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).withColumn("n_chars", F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")))
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, (i, _) in enumerate(cases.TEXTS) if i] + [(4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs, told in (("odd", odd, labels), ("none", cases.empty(spark), labels.limit(0)), ("unlabelled", odd, labels.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        told.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        seen = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in pieces}
+        assert len(seen) == len(pieces) and all(0 < r.length <= 4096 and r.offset + r.length <= 4096 for r in pieces)
+        assert {r.doc_id for r in pieces} <= {i for i, _ in cases.TEXTS} and (name != "none" or not pieces)
