@@ -42,9 +42,10 @@ def kept(cuts: DataFrame, spans: DataFrame, key: str = "project_id") -> DataFram
 
 
 def subtract(ranges: DataFrame, cuts: DataFrame, key: str = "project_id") -> DataFrame:
-    """Each range without the cuts."""
-    b = merged(cuts, key).select(key, F.col("a").alias("ca"), F.col("b").alias("cb"))
-    j = ranges.where("b > a").distinct().join(b, [ranges[key] == b[key], F.col("ca") < F.col("b"), F.col("cb") > F.col("a")], "left").select(ranges[key], "a", "b", "ca", "cb")
+    """Each range without the cuts. Ranges and cuts meet in buckets of time, so a long key's aren't multiplied with each other."""
+    own = ranges.where("b > a").select(key, "a", "b").distinct()
+    met = words_in(own.select(key, F.col("a").alias("start_ms"), F.col("b").alias("end_ms")), merged(cuts, key), key)
+    j = own.join(met.select(key, F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b")), [key, "a", "b"], "left")
     w = Window.partitionBy(key, "a", "b").orderBy("ca")
     left = j.withColumns({"x": F.coalesce(F.lag("cb").over(w), F.col("a")), "y": F.coalesce("ca", "b"), "last": F.lead("ca").over(w).isNull()})
     parts = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.when(F.col("last"), F.col("cb")).alias("a"), F.col("b").alias("b")))
