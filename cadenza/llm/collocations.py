@@ -155,7 +155,7 @@ def counted(docs: DataFrame, states: list, buffer_words: int) -> DataFrame:
                 buffer = held[lang]
                 for words in slices(text.as_buffer().to_pybytes()):
                     size += buffer.add(words)
-                    if len(buffer.number) > 300_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
+                    if len(buffer.number) > 800_000 or size > buffer_words:  # numbers stay below 2**21: a slice has at most half a million words
                         for each in held if size > buffer_words else (lang,):
                             yield from flush(each)
                         if size > buffer_words:
@@ -212,7 +212,7 @@ def failures(frequent: DataFrame, state: tuple[np.ndarray, np.ndarray], spark: S
     return frequent.where("words in (1, 2)").select("lang", "words", "phrase", "f").mapInArrow(run, COUNTS)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 1_000_000, seed: int = 11) -> tuple[DataFrame, int]:
+def frequent_phrases(docs: DataFrame, least: int = 10, sample_docs: int = 20_000, lowered: float = 0.8, buffer_words: int = 4_000_000, seed: int = 11) -> tuple[DataFrame, int]:
     """Exact COUNTS of all phrases of one to three words that occur `least` times or more in a lang, with a row of no words for all occurrences of words, and the full passes it took.
 
     The sample has about `sample_docs` documents; its threshold is `lowered` times what `least` comes to in it, and 2 at least.
