@@ -27,11 +27,13 @@ def spoken(c: str = "spoken_line") -> Column:
 
 
 def settled(config: DataFrame) -> DataFrame:
-    """Configurations with their defaults: brand, target, level, feed, angles without blanks, banned, proof_rules, platforms."""
+    """Configurations with their defaults: brand, target, level, feed, angles and hook_seeds without blanks, banned, proof_rules, platforms."""
+    if "hook_seeds" not in config.columns:
+        config = config.withColumn("hook_seeds", F.lit(None).cast("array<string>"))
     listed = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
     target = F.when(F.coalesce("reels_per_week", F.lit(0)) == 0, WEEKLY_TARGET).otherwise(F.col("reels_per_week"))
     level = F.when(F.col("autonomy").isin(list(GATED)), F.col("autonomy")).otherwise("supervised")
-    return config.select("brand", target.cast("int").alias("target"), level.alias("level"), F.coalesce("feed", F.lit(False)).alias("feed"), listed("angles").alias("angles"), listed("banned").alias("banned"), F.coalesce("proof_rules", F.lit(False)).alias("proof_rules"), listed("platforms").alias("cadence_platforms"))
+    return config.select("brand", target.cast("int").alias("target"), level.alias("level"), F.coalesce("feed", F.lit(False)).alias("feed"), listed("angles").alias("angles"), listed("banned").alias("banned"), F.coalesce("proof_rules", F.lit(False)).alias("proof_rules"), listed("platforms").alias("cadence_platforms"), listed("hook_seeds").alias("hook_seeds"))
 
 
 def one_of(values: list[str], c: str) -> Column:

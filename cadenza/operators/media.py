@@ -133,6 +133,20 @@ def object_position(center: Column, source_aspect: Column, target_aspect: float
     return F.when(r >= 1, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(center - r / 2, 1 - r))) * 100)
 
 
+def preview_center(track_center: Column, track_base: Column, center: Column, within: float = 1e-4) -> Column:
+    """Where a preview looks: where the track is, as long as nobody has moved the crop from where the track was stored; without a track the crop's own center."""
+    return F.when(track_center.isNotNull() & (F.abs(center - track_base) < within), track_center).otherwise(center)
+
+
+#: A caption style is big from this size on, with no more words in a line.
+BIG_SIZE, BIG_WORDS = 120, 3
+
+
+def big_captions(size: Column, max_words: Column) -> Column:
+    """Whether a caption style is the big one, by its shape; without a style it isn't."""
+    return F.coalesce((size >= BIG_SIZE) & (max_words <= BIG_WORDS), F.lit(False))
+
+
 def track_covers(start: Column, end: Column, lo: Column, hi: Column, slack: int = 50) -> Column:
     """Whether a track lies over a clip, give or take 50 ms; without a track it doesn't."""
     return F.coalesce((start <= lo + slack) & (end >= hi - slack), F.lit(False))

@@ -101,6 +101,20 @@ def strong(word: Column) -> Column:
     return word.rlike(r"\p{Nd}") | capitals | (F.length(F.regexp_replace(F.lower(word), "[^a-z]", "")) >= 8)
 
 
+#: How many scenes a prompt may ask for, and how many it asks for otherwise.
+LEAST_SCENES, MOST_SCENES, SCENES = 2, 12, 5
+
+
+def scenes_asked(n: Column) -> Column:
+    """A number of scenes within its bounds; halves round up, and what isn't a number is the usual one."""
+    return F.greatest(F.lit(LEAST_SCENES), F.least(F.lit(MOST_SCENES), F.floor(F.coalesce(F.nullif(n.try_cast("double"), F.lit(float("nan"))), F.lit(float(SCENES))) + 0.5))).cast("int")
+
+
+def effect_counts(effects: DataFrame) -> DataFrame:
+    """How many of each effect a project was given: project_id, emphasis, emoji, zoom, sfx."""
+    return effects.groupBy("project_id").agg(F.count_if("emphasis").alias("emphasis"), F.count("emoji").alias("emoji"), F.count("zoom").alias("zoom"), F.count("sfx").alias("sfx"))
+
+
 def suggested(words: DataFrame) -> DataFrame:
     """Effects of each project's words, without a language model: project_id, idx, emphasis, emoji, zoom struct(t, scale, duration) and
     sfx struct(t, name). The first strong words are emphasised, the first of these zoomed at and heard; known words get an emoji."""

@@ -110,6 +110,7 @@ QUERIES = {
     "wrap_title": wrap,
     "crop_window": crops,
     "effects_suggest": effects,
+    "effect_counts": lambda s, d: sc.effect_counts(sc.suggested(b.words(s, d))),
     "parse_script": parse,
 }
 TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9'' ]', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -155,6 +156,7 @@ sp AS (SELECT *, concat_ws(' ', nullif(spoken_line_, ''), nullif(plain, '')) AS
 cp AS (SELECT *, coalesce(nullif(caption_, ''), said) AS cap FROM sp)
 SELECT c.ticket_id, row_number() OVER (PARTITION BY c.ticket_id ORDER BY blk) - 1 AS order_index, said AS spoken_line, on_screen_text_ AS on_screen_text, cap AS caption, shot_cue_ AS shot_cue, coalesce(proof, regexp_matches(concat_ws(' ', said, cap, on_screen_text_), '\\p{{Nd}}')) AS is_proof_beat, hook FROM cp c LEFT JOIN hooks h ON h.ticket_id = c.ticket_id WHERE said <> '' OR on_screen_text_ <> '' OR cap <> '' OR shot_cue_ <> ''"""
 FACES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sc.EMOJI.items()) + "}"
+EFFECTS = with_ctes("words", f", st AS (SELECT *, {STRONG} AS strong, {FACES}[regexp_replace(lower(word), '[^a-z]', '', 'g')] AS face FROM words), n AS (SELECT *, sum(strong::INT) OVER w AS k, count(face) OVER w AS e FROM st WINDOW w AS (PARTITION BY project_id ORDER BY idx)) SELECT project_id, idx, strong AND k <= 12 AS emphasis, CASE WHEN e <= 6 THEN face END AS emoji, CASE WHEN strong AND k <= 4 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS zoom_t, CASE WHEN strong AND k <= 4 THEN greatest(400, end_ms - start_ms + 500) / 1000.0::DOUBLE END AS zoom_for, CASE WHEN strong AND k <= 3 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS sfx_t, CASE WHEN strong AND k <= 3 THEN 'whoosh' END AS sfx_name FROM n WHERE strong AND k <= 12 OR (e <= 6 AND face IS NOT NULL)")
 ORACLES = {
     "take_line_pairs": PAIRS + "SELECT * FROM sc WHERE bound >= 0.55",
     "vocab_containment": PAIRS + "SELECT take_id, line_id, containment FROM sc WHERE containment >= 0.5",
@@ -162,6 +164,7 @@ ORACLES = {
     "fit_layout": FIT,
     "wrap_title": WRAP,
     "crop_window": with_ctes("clips", ", g AS (SELECT id, CASE WHEN id % 2 = 0 THEN 1920 ELSE 1080 END AS sw, CASE WHEN id % 2 = 0 THEN 1080 ELSE 1920 END AS sh, [9, 1, 4][id % 3 + 1] AS a, [16, 1, 5][id % 3 + 1] AS z, (id % 11) / 10.0::DOUBLE AS c FROM clips), s AS (SELECT *, (CASE WHEN sw * z > sh * a THEN least(sw, round_even(sh * a / z::DOUBLE, 0)) ELSE sw END)::BIGINT AS w, (CASE WHEN sw * z > sh * a THEN sh ELSE least(sh, round_even(sw * z / a::DOUBLE, 0)) END)::BIGINT AS h FROM g) SELECT id, w, h, greatest(0, least(sw - w, round_even(c * sw - w / 2.0::DOUBLE, 0)))::BIGINT AS x, (sh - h) // 2 AS y FROM s"),
-    "effects_suggest": with_ctes("words", f", st AS (SELECT *, {STRONG} AS strong, {FACES}[regexp_replace(lower(word), '[^a-z]', '', 'g')] AS face FROM words), n AS (SELECT *, sum(strong::INT) OVER w AS k, count(face) OVER w AS e FROM st WINDOW w AS (PARTITION BY project_id ORDER BY idx)) SELECT project_id, idx, strong AND k <= 12 AS emphasis, CASE WHEN e <= 6 THEN face END AS emoji, CASE WHEN strong AND k <= 4 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS zoom_t, CASE WHEN strong AND k <= 4 THEN greatest(400, end_ms - start_ms + 500) / 1000.0::DOUBLE END AS zoom_for, CASE WHEN strong AND k <= 3 THEN round(start_ms / 1000.0::DOUBLE, 3) END AS sfx_t, CASE WHEN strong AND k <= 3 THEN 'whoosh' END AS sfx_name FROM n WHERE strong AND k <= 12 OR (e <= 6 AND face IS NOT NULL)"),
+    "effects_suggest": EFFECTS,
+    "effect_counts": f"SELECT project_id, count(*) FILTER (emphasis) AS emphasis, count(emoji) AS emoji, count(zoom_t) AS zoom, count(sfx_t) AS sfx FROM ({EFFECTS}) GROUP BY 1",
     "parse_script": with_ctes("beats", SCRIPTS + PARSED),
 }

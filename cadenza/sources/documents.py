@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = "array<struct<start:double,end:double,word:string>>"
-BRAND = "name string, autonomy string, feed boolean, cadence struct<reels_per_week:int,platforms:array<string>>, angle_library array<string>, voice struct<banned_phrases:array<string>>, proof_rules boolean"
+BRAND = "name string, autonomy string, feed boolean, cadence struct<reels_per_week:int,platforms:array<string>>, angle_library array<string>, hook_seeds array<string>, voice struct<banned_phrases:array<string>>, proof_rules boolean"
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +38,7 @@ def brand_files(spark: SparkSession, folder: str) -> DataFrame:
     fine = files.where("fine is not null and c is not null")
     return fine.select(
         "slug", F.coalesce("c.name", "slug").alias("brand"), F.col("c.cadence.reels_per_week").alias("reels_per_week"), F.col("c.autonomy").alias("autonomy"), F.col("c.feed").alias("feed"),
-        F.col("c.angle_library").alias("angles"), F.col("c.voice.banned_phrases").alias("banned"), F.col("c.proof_rules").alias("proof_rules"), F.col("c.cadence.platforms").alias("platforms"),
+        F.col("c.angle_library").alias("angles"), F.col("c.voice.banned_phrases").alias("banned"), F.col("c.proof_rules").alias("proof_rules"), F.col("c.cadence.platforms").alias("platforms"), F.col("c.hook_seeds").alias("hook_seeds"),
     ).orderBy("slug").drop("slug")
 
 

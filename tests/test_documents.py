@@ -23,12 +23,13 @@ def test_transcripts(spark, tmp_path):
 
 
 def test_brand_files(spark, tmp_path):
-    (tmp_path / "b-two.json").write_text(json.dumps({"name": "Two", "autonomy": "semi", "cadence": {"reels_per_week": 5, "platforms": ["tt"]}, "angle_library": ["a", " "], "voice": {"banned_phrases": ["Never"]}, "proof_rules": True, "feed": True, "more": 1}))
+    (tmp_path / "b-two.json").write_text(json.dumps({"name": "Two", "autonomy": "semi", "cadence": {"reels_per_week": 5, "platforms": ["tt"]}, "angle_library": ["a", " "], "hook_seeds": ["", "Why?", " "], "voice": {"banned_phrases": ["Never"]}, "proof_rules": True, "feed": True, "more": 1}))
     (tmp_path / "a-one.json").write_text("{}")
     (tmp_path / "broken.json").write_text('{"name": "x", ')
     config = documents.brand_files(spark, str(tmp_path))
     assert [r.brand for r in config.collect()] == ["a-one", "Two"]
     every = lifecycle.settled(documents.configured(spark.createDataFrame([("Two",), ("a-one",), ("other",)], "brand string"), config))
+    assert {r.brand: r.hook_seeds for r in every.collect()} == {"Two": ["Why?"], "a-one": [], "other": []}
     got = {r.brand: (r.target, r.level, r.feed, r.angles, r.banned, r.cadence_platforms) for r in every.collect()}
     assert got["Two"] == (5, "semi", True, ["a"], ["Never"], ["tt"])
     assert got["a-one"] == got["other"] == (3, "supervised", False, [], [], [])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import finders, intervals, lifecycle, matching, media, subtitles
+from cadenza.operators import finders, intervals, lifecycle, matching, media, scripts, subtitles
 from cadenza.sources.bridge import BRAND_SCHEMA
 
 WORDS = "project_id long, idx long, word string, start_ms long, end_ms long"
@@ -54,6 +54,16 @@ def test_expressions_of_shots_and_filters(spark):
     assert (one.p0, one.p1, one.p2) == (50, 100, 50) and (one.t0, one.t1, one.t2) == (True, False, False)
 
 
+def test_small_rules(spark):
+    d = F.lit
+    one = spark.range(1).select(
+        *[media.preview_center(*map(d, x)).alias(f"c{k}") for k, x in enumerate([(0.7, 0.5, 0.50005), (0.7, 0.5, 0.6), (None, 0.5, 0.5)])],
+        *[media.big_captions(*map(d, x)).alias(f"b{k}") for k, x in enumerate([(120, 3), (119, 3), (126, 4), (None, 2)])],
+        *[scripts.scenes_asked(d(x)).alias(f"s{k}") for k, x in enumerate(["1", "2.5", "7", "900", "x", "NaN", None])],
+    ).first()
+    assert list(one) == [0.7, 0.6, 0.5, True, False, False, False, 2, 3, 7, 12, 5, 5, 5]
+
+
 def test_timings_never_fall(spark):
     rows = [(1, 0, -1.0, 0.5), (1, 1, 2.0, 1.0), (1, 2, 1.0, 3.0), (1, 3, None, None), (1, 4, 9.0, 12.0), (2, 0, 1.23456, 1.24)]
     df = spark.createDataFrame([(*r, 10.0 if r[0] == 1 else 1.0) for r in rows], "id long, k long, start double, end double, duration double")
