@@ -33,7 +33,7 @@ class Encoder:
         self.p = pieces
         self.automaton = ahocorasick.Automaton()
         for piece in pieces.id:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.shorter: dict[str, str] = {}
         for piece in pieces.id:
@@ -41,9 +41,11 @@ class Encoder:
             if cut:
                 self.shorter[piece] = cut
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.stems = Memo(lambda part: " ".join(map(str, self.encode_pre_token(part))), 300_000)
-        self.encoded = Memo(lambda pre_token: " ".join(map(self.stems.__getitem__, pieces.smaller(pre_token))), 300_000)
-        self.decoded = Memo(lambda ids: self.decode_ids(map(int, ids.split())), 300_000, longest=200)
+        self.name = {piece: str(i) for piece, i in pieces.id.items()}
+        self.plain = {str(i): pieces.text[i].replace(MARK, " ") for i in pieces.id.values()}
+        self.stems = Memo(self.encode_stem, 100_000)
+        self.encoded = Memo(self.encode_word, 400_000)
+        self.decoded = Memo(self.decode_word, 400_000, longest=200)
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging a + b again gives a and b."""
@@ -58,19 +60,19 @@ class Encoder:
         """Pieces of a run of known characters, by backtracking."""
         n = len(run)
         longest = [""] * n
-        for end, piece in self.automaton.iter(run):
-            if len(piece) > len(longest[start := end + 1 - len(piece)]):
-                longest[start] = piece
+        for end, (size, piece) in self.automaton.iter(run):
+            longest[end + 1 - size] = piece  # matches come by their ends, so the last that begins here is the longest
         failed = bytearray(n // 8 + 1)  # bit k: position k has failed
+        pairs, compatible, shorter = self.pairs.get, self.compatible, self.shorter.get
         out: list[str] = []
         pos, token = 0, longest[0]
         while pos < n:
             last = out[-1] if out else None
             while token:
                 end = pos + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or (compatible(last, token) if (fits := pairs((last, token))) is None else fits)):
                     break
-                token = self.shorter.get(token)
+                token = shorter(token)
             if token:
                 out.append(token)
                 pos += len(token)
@@ -81,16 +83,30 @@ class Encoder:
                 pos -= len(token)
         return out
 
-    def encode_pre_token(self, pre_token: str) -> list[int]:
-        if pre_token in self.p.id and self.p.merge(pre_token) == [pre_token]:
-            return [self.p.id[pre_token]]
-        ids: list[int] = []
-        for known, part in self.p.parts(pre_token):
+    def encode_stem(self, stem: str) -> str:
+        """The ids of an independent part of a pre-token, as text."""
+        if stem in self.name and self.p.merge(stem) == [stem]:
+            return self.name[stem]
+        if self.p.runs.fullmatch(stem):
+            return " ".join(map(self.name.__getitem__, self.encode_run(stem)))
+        ids: list[str] = []
+        for known, part in self.p.parts(stem):
             if known:
-                ids += map(self.p.id.__getitem__, self.encode_run(part))
+                ids += map(self.name.__getitem__, self.encode_run(part))
             else:
-                ids += [self.p.byte_id.get(b, self.p.unknown) for b in part.encode()]
-        return ids
+                ids += [str(self.p.byte_id.get(b, self.p.unknown)) for b in part.encode()]
+        return " ".join(ids)
+
+    def encode_word(self, pre_token: str) -> str:
+        if pre_token[1:].isalpha():  # letters after a mark or another letter: nothing to take apart
+            return self.encode_stem(pre_token)
+        return " ".join(map(self.stems.__getitem__, self.p.smaller(pre_token)))
+
+    def decode_word(self, ids: str) -> str:
+        try:
+            return "".join(map(self.plain.__getitem__, ids.split(" ")))
+        except KeyError:  # bytes, or an id without a text of its own
+            return self.decode_ids(map(int, ids.split()))
 
     def decode_ids(self, ids) -> str:
         """Text of the ids, with the dummy prefix still in place; a broken byte becomes U+FFFD."""
