@@ -74,6 +74,7 @@ def exports(clips: DataFrame, tickets: DataFrame, projects: DataFrame) -> DataFr
     c = clips.where("status = 'rendered'").select(F.lit("clip").alias("kind"), "id", "project_id", "folder").join(names, "project_id", "left")
     t = tickets.where("clip_url is not null").select(F.lit("reel").alias("kind"), "id", "folder", F.lit(None).cast("string").alias("project"))
     j = c.drop("project_id").unionByName(t).join(told, ["kind", "id"])
+    # fixed values: names of groups and files without their own
     project = F.coalesce("project", F.lit("Clips"))
     grp = F.coalesce(blank_to_null(F.col("folder")), F.when(F.col("is_reel"), "Reels").otherwise(project))
     subgroup = F.when(F.col("is_reel"), F.coalesce(blank_to_null(F.col("brand")), F.lit("My videos"))).otherwise("Clips")
@@ -155,6 +156,7 @@ def script_gate(tickets: DataFrame, beats: DataFrame, config: DataFrame) -> Data
     j = tickets.join(per, F.col("id") == F.col("tid"), "left").join(settled(config).select("brand", "banned", "proof_rules"), "brand", "left")
     seconds = F.coalesce("tokens", F.lit(0)) / WORDS_PER_SECOND
     hit = F.get(F.filter(F.transform("banned", F.lower), lambda p: F.contains(F.col("blob"), p)), F.lit(0))
+    # fixed values: what the gate says
     why = (
         F.when(F.col("tokens").isNull(), "no scenes were written")
         .when(~spoken("hook_text"), "missing a hook (the first line)")
@@ -275,6 +277,7 @@ def post_gate(tickets: DataFrame) -> DataFrame:
     """Why a post can't go out: no platform, or the first platform without copy."""
     platforms = F.coalesce("platforms", F.array().cast("array<string>"))
     bare = F.get(F.filter(platforms, lambda p: ~has_copy(entry_of(p))), F.lit(0))
+    # fixed values: what the gate says
     why = F.when(F.size(platforms) == 0, "no target platforms are set").when(bare.isNotNull(), F.concat(F.lit("missing post copy for "), bare))
     return tickets.select("id", why.alias("reason"), why.isNull().alias("passed"))
 
