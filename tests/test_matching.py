@@ -95,3 +95,21 @@ def test_ties_as_the_greedy_choice(spark, monkeypatch, seed):
     rows = [(t, 100 + x, kinds[t % 5, x % 5], b) for b in (1, 2) for t in range(13) for x in range(11) if kinds[t % 5, x % 5] and (t + b) % 7]
     got, _ = rounds_of(spark, monkeypatch, rows)
     assert got == greedy([r for r in rows if r[2] >= 0.55])
+
+
+def test_no_row_is_shuffled_for_a_token_of_a_pair(spark):
+    """Every take shares common words with every line: what is shuffled are the takes' tokens, in one exchange by take."""
+    takes = spark.createDataFrame([(t, f"the and of w{t} W{t}") for t in range(30)], "take_id long, text string")
+    lines = spark.createDataFrame([(x, f"of, the and w{x}!") for x in range(30)], "line_id long, text string")
+    df = matching.bounded_pairs(takes, lines)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(take_id" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.take_id, r.line_id): round(r.containment, 2) for r in df.collect()} == {(t, x): 1.0 if t == x else 0.75 for t in range(30) for x in range(30)}
+
+
+def test_texts_are_compared_only_where_the_ratio_can_count(spark):
+    takes = spark.createDataFrame([(1, "a b c d " + "x " * 500), (2, "a b c d")], "take_id long, text string")
+    lines = spark.createDataFrame([(1, "a b c d")], "line_id long, text string")
+    bound = {r.take_id: r.ratio_bound > 0.9 * r.containment for r in matching.reachable(takes, lines, 0.55).collect()}
+    assert bound == {1: False, 2: True}
+    assert {r.take_id: r.score for r in matching.match_scores(takes, lines).collect()} == {1: 0.9, 2: 1.0}
