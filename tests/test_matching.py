@@ -113,3 +113,28 @@ def test_texts_are_compared_only_where_the_ratio_can_count(spark):
     bound = {r.take_id: r.ratio_bound > 0.9 * r.containment for r in matching.reachable(takes, lines, 0.55).collect()}
     assert bound == {1: False, 2: True}
     assert {r.take_id: r.score for r in matching.match_scores(takes, lines).collect()} == {1: 0.9, 2: 1.0}
+
+
+def least_moves(rows):
+    """Shots as the rule says them, one removal at a time."""
+    kept = []
+    for t, c in sorted(rows):
+        if not kept or abs(c - kept[-1][1]) >= matching.SAME_CENTER:
+            kept.append((t, c))
+    while len(kept) > matching.MOST_SHOTS:
+        k = min(range(1, len(kept)), key=lambda k: (abs(kept[k][1] - kept[k - 1][1]), k))
+        kept.pop(k)
+    return kept
+
+
+def test_shots_of_long_tracks(spark):
+    """Tracks of 400 shots by the rule, one of 60,000 that a fold with copies would not end."""
+    rng = random.Random(1)
+    rows = [(k, t * 750, rng.randrange(23) / 22) for k in (1, 2, None) for t in range(400 if k else 30)]
+    shots = spark.createDataFrame(rows, "track_id long, start_ms long, center double")
+    got = {}
+    for r in matching.folded_shots(shots).collect():
+        got.setdefault(r.track_id, []).append((r.start_ms, r.center))
+    assert {k: sorted(v) for k, v in got.items()} == {k: least_moves([(t, round(c, 4)) for i, t, c in rows if i == k]) for k in (1, 2, None)}
+    many = spark.range(60_000).selectExpr("7L AS track_id", "id * 750 AS start_ms", "(id * 7 % 23) / 22.0D AS center")
+    assert matching.folded_shots(many).count() == matching.MOST_SHOTS
