@@ -86,6 +86,8 @@ spans_of_fillers AS (SELECT * FROM filled WHERE t IN ('um', 'umm', 'uhm', 'uh',
 fillers AS (SELECT project_id, greatest(start_ms - 30, 0) AS a, least(end_ms + 30, last_ms) AS b FROM spans_of_fillers),
 cuts AS (SELECT * FROM pauses UNION ALL SELECT * FROM fillers)""",
 }
+#: `beats` of every conversation, with the first turns as they are.
+CTES["all_beats"] = CTES["beats"].replace(" WHERE conv_id % 13 <> 12", "").replace(" OR (turn = 0 AND conv_id % 14 = 0)", "")
 NEEDS = {"perf": ["perf_log"], "folders": ["tickets"], "sents": ["words"], "cuts": ["words"]}
 
 

@@ -55,12 +55,12 @@ def steps(s, d):
     return sents(s, d).select("project_id", F.col("start_ms").alias("start"), ((F.col("sid") % 7) / 10.0).alias("value"))
 
 
-def scene_markers(s, d):
+def scene_markers(s, d, beats=b.beats):
     """Scenes of a ticket's beats on one timeline: 400 ms a word, 0.8 s at least, 3 s without words."""
     from pyspark.sql import Window
 
     n = F.size(F.filter(F.split("spoken_line", "[ \t\r\n]+"), lambda x: x != ""))
-    x = b.beats(s, d).withColumn("ms", F.when(n == 0, 3000).otherwise(F.greatest(n * 400, F.lit(800))).cast("long"))
+    x = beats(s, d).withColumn("ms", F.when(n == 0, 3000).otherwise(F.greatest(n * 400, F.lit(800))).cast("long"))
     w = Window.partitionBy("ticket_id").orderBy("order_index")
     start = F.coalesce(F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return x.select("ticket_id", "order_index", start.alias("start_ms"), (start + F.col("ms")).alias("end_ms"), F.substring("spoken_line", 1, 40).alias("label"))
@@ -75,7 +75,7 @@ def clamp_markers(s, d):
 
 def title_spans(s, d):
     """A title shown from 2 s to 6 s, cut to each scene and rebased; 50 ms or less goes."""
-    m = scene_markers(s, d)
+    m = scene_markers(s, d, b.all_beats)
     a, z = F.greatest("start_ms", F.lit(2000)), F.least("end_ms", F.lit(6000))
     return m.where(z - a > 50).select("ticket_id", "order_index", (a - F.col("start_ms")).alias("at_ms"), (z - a).alias("for_ms"))
 
@@ -246,7 +246,7 @@ ORACLES = {
     "track_remap": with_ctes("sents cuts", KEPT + STEPS + ", pts AS (SELECT project_id, start AS t FROM steps WHERE project_id IN (SELECT project_id FROM steps GROUP BY 1 HAVING count(*) >= 2)) " + POINTS.format("pts")),
     "scene_markers": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, label FROM scenes"),
     "clamp_markers": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - 2000)::BIGINT AS start_ms, (least(end_ms, 12000) - 2000)::BIGINT AS end_ms FROM scenes WHERE least(end_ms, 12000) - greatest(start_ms, 2000) > 200"),
-    "title_spans": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - start_ms)::BIGINT AS at_ms, (least(end_ms, 6000) - greatest(start_ms, 2000))::BIGINT AS for_ms FROM scenes WHERE least(end_ms, 6000) - greatest(start_ms, 2000) > 50"),
+    "title_spans": with_ctes("all_beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - start_ms)::BIGINT AS at_ms, (least(end_ms, 6000) - greatest(start_ms, 2000))::BIGINT AS for_ms FROM scenes WHERE least(end_ms, 6000) - greatest(start_ms, 2000) > 50"),
     "even_split": with_ctes("beats", f", l AS (SELECT id, {BEAT_WORDS} AS ws FROM beats), k AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM l) SELECT id, k, word, floor(k * 10000 / n::DOUBLE)::BIGINT AS start_ms, floor((k + 1) * 10000 / n::DOUBLE)::BIGINT AS end_ms FROM k"),
     "moment_candidates": with_ctes("sents", CANDS + "SELECT * FROM cands"),
     "moment_features": with_ctes("sents", SCORED + "SELECT * FROM scored"),
