@@ -83,7 +83,7 @@ def title_spans(s, d):
 def even_split(s, d):
     """Each beat's words spread evenly over ten seconds."""
     toks = F.filter(F.split("spoken_line", "[ \t\r\n]+"), lambda x: x != "")
-    x = b.beats(s, d).select("id", F.posexplode(toks).alias("k", "word"), F.size(toks).alias("n"))
+    x = b.all_beats(s, d).select("id", F.posexplode(toks).alias("k", "word"), F.size(toks).alias("n"))
     return x.select("id", F.col("k").cast("long").alias("k"), "word", F.floor(F.col("k") * 10000 / F.col("n")).alias("start_ms"), F.floor((F.col("k") + 1) * 10000 / F.col("n")).alias("end_ms"))
 
 
@@ -247,7 +247,7 @@ ORACLES = {
     "scene_markers": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, label FROM scenes"),
     "clamp_markers": with_ctes("beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - 2000)::BIGINT AS start_ms, (least(end_ms, 12000) - 2000)::BIGINT AS end_ms FROM scenes WHERE least(end_ms, 12000) - greatest(start_ms, 2000) > 200"),
     "title_spans": with_ctes("all_beats", SCENES + "SELECT ticket_id, order_index, (greatest(start_ms, 2000) - start_ms)::BIGINT AS at_ms, (least(end_ms, 6000) - greatest(start_ms, 2000))::BIGINT AS for_ms FROM scenes WHERE least(end_ms, 6000) - greatest(start_ms, 2000) > 50"),
-    "even_split": with_ctes("beats", f", l AS (SELECT id, {BEAT_WORDS} AS ws FROM beats), k AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM l) SELECT id, k, word, floor(k * 10000 / n::DOUBLE)::BIGINT AS start_ms, floor((k + 1) * 10000 / n::DOUBLE)::BIGINT AS end_ms FROM k"),
+    "even_split": with_ctes("all_beats", f", l AS (SELECT id, {BEAT_WORDS} AS ws FROM beats), k AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM l) SELECT id, k, word, floor(k * 10000 / n::DOUBLE)::BIGINT AS start_ms, floor((k + 1) * 10000 / n::DOUBLE)::BIGINT AS end_ms FROM k"),
     "moment_candidates": with_ctes("sents", CANDS + "SELECT * FROM cands"),
     "moment_features": with_ctes("sents", SCORED + "SELECT * FROM scored"),
     "pick_moments": with_ctes("sents", SCORED + GREEDY.format(most=6, clash=f"{OVERLAP} * 4 > x[1].e - x[1].s")),
