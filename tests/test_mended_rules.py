@@ -87,3 +87,19 @@ def test_candidates_of_many_short_sentences(spark):
                 j = min(fits)[1]
                 want.add((1, i, j, i * 50, j * 50 + 50))
     assert {tuple(r) for r in transcript.candidates(s).collect()} == want | {(2, 0, 0, 0, 400)}
+
+
+def test_sentences_are_made_once(spark):
+    """Candidates and features each read the sentences that they are given once, whatever those cost."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        made.add(1)
+        return k
+
+    text = F.concat(F.lit("You said "), F.col("id"), F.lit("."))
+    sents = spark.range(100).select(F.lit(1).cast("long").alias("project_id"), seen("id").alias("sid"), (F.col("id") * 5000).alias("start_ms"), (F.col("id") * 5000 + 4900).alias("end_ms"), text.alias("text"), F.lit(3).cast("long").alias("n"))
+    found = transcript.candidates(sents)
+    assert found.count() > 100 and made.value == 100
+    assert transcript.features(sents, found).count() == found.count() and made.value == 200
