@@ -30,13 +30,21 @@ def char_class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "-\\]^[&" else c for c in chars) + "]"
 
 
+#: Each character's stand-in: the first of its width.
+STAND_IN = str.maketrans({c: chars[0] for chars in BY_WIDTH.values() for c in chars})
+
+
 def text_em(text: Column) -> Column:
-    """Width of a text: one sum over its characters' classes, without a lookup for each character."""
-    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """Width of a text: its characters are replaced by one for each width in a single step and these are counted, without a pattern or a lookup for each."""
+    chars = "".join(WIDTHS)
+    shown = F.translate(text, chars, chars.translate(STAND_IN))
+    count = lambda c: F.length(shown) - F.length(F.replace(shown, F.lit(c), F.lit("")))
     total = F.length(text) * OTHER_EM
-    for width, chars in BY_WIDTH.items():
-        total = total + count(char_class(chars)) * (width - OTHER_EM)
-    return total + count(EMOJI) * (EMOJI_EM - OTHER_EM)
+    for width, same in BY_WIDTH.items():
+        if width != OTHER_EM:
+            total = total + count(same[0]) * (width - OTHER_EM)
+    emoji = F.length(text) - F.length(F.regexp_replace(text, EMOJI, ""))
+    return total + F.when(F.octet_length(text) == F.length(text), 0).otherwise(emoji) * (EMOJI_EM - OTHER_EM)
 
 
 def word_em(word: Column, emphasis: Column, emoji: Column) -> Column:
@@ -56,11 +64,12 @@ def fit_layout(widths: Column, size: int = 126, outline: int = 10, canvas: int =
     gap = WIDTHS[" "]
     row = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, w: s + w) + gap * F.greatest(n - 1, F.lit(0))
     n = F.size(widths)
-    one = scale_for(row(widths, n), size, outline, canvas)
-    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.struct(scale_for(F.greatest(row(F.slice(widths, F.lit(1), k), k), row(F.slice(widths, k + 1, n), n - k)), size, outline, canvas).alias("scale"), k.alias("split")))
-    start = F.struct(one.alias("scale"), F.lit(None).cast("int").alias("split"))
-    best = F.aggregate(two, start, lambda b, x: F.when(x["scale"] > b["scale"] + 1e-9, x).otherwise(b))
-    return F.when((one >= SPLIT_BELOW) | (n < 2), start).otherwise(best)
+    # sums and scales are needed several times: arrays of one carry them
+    wider = lambda em: F.get(F.transform(F.array(em), lambda r: scale_for(r, size, outline, canvas)), F.lit(0))
+    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.struct(wider(F.greatest(row(F.slice(widths, F.lit(1), k), k), row(F.slice(widths, k + 1, n), n - k))).alias("scale"), k.alias("split")))
+    alone = lambda one: F.struct(one.alias("scale"), F.lit(None).cast("int").alias("split"))
+    best = lambda one: F.aggregate(two, alone(one), lambda b, x: F.when(x["scale"] > b["scale"] + 1e-9, x).otherwise(b))
+    return F.get(F.transform(F.array(wider(row(widths, n))), lambda one: F.when((one >= SPLIT_BELOW) | (n < 2), alone(one)).otherwise(best(one))), F.lit(0))
 
 
 #: What Unicode takes for white space, as a pattern's class; the line feed is the only one that ends a paragraph.
