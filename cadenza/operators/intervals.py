@@ -26,27 +26,41 @@ def total_ms(ranges: DataFrame, key: str = "project_id") -> DataFrame:
 
 
 def kept(cuts: DataFrame, spans: DataFrame, key: str = "project_id") -> DataFrame:
-    """What is left of each key's span [lo, hi) after its cuts, with `base`: where it begins on the edited timeline.
+    """What is left of each key's span [lo, hi) after its cuts, with `base`: where it begins on the edited timeline."""
+    no = [F.lit(None).cast("long").alias(c) for c in ("lo", "hi")]
+    ends = spans.select(key, F.col("hi").alias("a"), F.col("hi").alias("b"), "lo", "hi")
+    whole = Window.partitionBy(key)
+    bounds = {"lo": F.max("lo").over(whole), "hi": F.max("hi").over(whole)}
+    return gaps(cuts.select(key, "a", "b", *no).unionByName(ends).withColumns(bounds).where("lo is not null"), key)
 
-    The gap before each cut, and after the last one what remains, come out of one row: no branch is read twice.
+
+def gaps(cuts: DataFrame, key: str = "project_id") -> DataFrame:
+    """kept, of cuts (key, a, b, lo, hi) that carry their key's span and have among them one empty cut [hi, hi) at its end.
+
+    A gap lies before each cut that begins after all earlier ones have ended: a running maximum, without a join.
     """
-    inside = cuts.join(spans, key).select(key, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
-    w = Window.partitionBy(key).orderBy("a")
-    m = merged(inside, key, 0).join(spans, key, "right")
-    m = m.withColumns({"from": F.coalesce(F.lag("b").over(w), F.col("lo")), "last": F.lead("a").over(w).isNull()})
-    gap = F.struct(F.col("from").alias("a"), F.coalesce("a", "hi").alias("b"))
-    tail = F.struct(F.when(F.col("last"), F.col("b")).alias("a"), F.col("hi").alias("b"))
-    out = m.select(key, F.inline(F.array(gap, tail))).where("b > a")
-    base = F.coalesce(F.sum(F.col("b") - F.col("a")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = cuts.select(key, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"), "lo", "hi").where("b > a or a = hi")
+    upto = Window.unboundedPreceding, -1
+    before = F.max("b").over(Window.partitionBy(key).orderBy("a", "b").rowsBetween(*upto))
+    out = inside.select(key, F.greatest("lo", F.coalesce(before, "lo")).alias("from"), F.col("a").alias("to")).where("to > from").select(key, F.col("from").alias("a"), F.col("to").alias("b"))
+    base = F.coalesce(F.sum(F.col("b") - F.col("a")).over(Window.partitionBy(key).orderBy("a").rowsBetween(*upto)), F.lit(0))
     return out.withColumn("base", base)
 
 
 def subtract(ranges: DataFrame, cuts: DataFrame, key: str = "project_id") -> DataFrame:
-    """Each range without the cuts. Ranges and cuts meet in buckets of time, so a long key's aren't multiplied with each other."""
-    own = ranges.where("b > a").select(key, "a", "b").distinct()
-    met = words_in(own.select(key, F.col("a").alias("start_ms"), F.col("b").alias("end_ms")), merged(cuts, key), key)
-    j = own.join(met.select(key, F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b")), [key, "a", "b"], "left")
-    w = Window.partitionBy(key, "a", "b").orderBy("ca")
+    """Each range without the cuts. Ranges and cuts meet in buckets of time, so a long key's aren't multiplied with each other.
+
+    Both sides are read once: a range keeps a row without a cut for each bucket that has none, and only one of these counts, where no cut is met at all.
+    """
+    size = 60_000
+    buckets = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(z) - 1) / size))).alias("bucket")
+    own = ranges.where("b > a").select(key, "a", "b").distinct().select(key, "a", "b", buckets("a", "b"))
+    met = merged(cuts, key).select(F.col(key).alias("other"), F.col("a").alias("ca"), F.col("b").alias("cb"), buckets("a", "b")).withColumnRenamed("bucket", "at")
+    # a pair that shares several buckets is taken from the first
+    first = F.greatest(F.floor(F.col("a") / size), F.floor(F.col("ca") / size))
+    on = (F.col(key) == F.col("other")) & (F.col("bucket") == F.col("at")) & (F.col("ca") < F.col("b")) & (F.col("cb") > F.col("a")) & (F.col("bucket") == first)
+    w = Window.partitionBy(key, "a", "b").orderBy(F.asc_nulls_last("ca"))
+    j = own.join(met, on, "left").withColumn("nth", F.row_number().over(w)).where("ca is not null or nth = 1")
     left = j.withColumns({"x": F.coalesce(F.lag("cb").over(w), F.col("a")), "y": F.coalesce("ca", "b"), "last": F.lead("ca").over(w).isNull()})
     parts = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.when(F.col("last"), F.col("cb")).alias("a"), F.col("b").alias("b")))
     return left.select(key, F.inline(parts)).where("b > a")
@@ -57,12 +71,12 @@ def uncovered(ranges: DataFrame, covers: DataFrame, key: str = "project_id", sla
 
     Of the covers that begin in time the one that ends last is the one to ask: a running maximum over one sorted union.
     """
-    cols = ranges.columns
+    cols = [c for c in ranges.columns if c != key]
     mine = ranges.select(key, (F.col("a") + slack).alias("at"), F.lit(1).alias("is_range"), F.lit(None).cast("long").alias("until"), F.struct(*cols).alias("row"))
     theirs = covers.select(key, F.col("a").alias("at"), F.lit(0).alias("is_range"), F.col("b").cast("long").alias("until"), F.lit(None).cast(mine.schema["row"].dataType).alias("row"))
     w = Window.partitionBy(key).orderBy("at", "is_range").rowsBetween(Window.unboundedPreceding, 0)
     met = mine.unionByName(theirs).withColumn("last", F.max("until").over(w)).where("is_range = 1")
-    return met.where(F.col("last").isNull() | (F.col("last") < F.col("row.b") - slack)).select("row.*")
+    return met.where(F.col("last").isNull() | (F.col("last") < F.col("row.b") - slack)).select(*[c if c == key else f"row.{c}" for c in ranges.columns])
 
 
 def monotone(timings: DataFrame, key: str, order: str, duration: str) -> DataFrame:
