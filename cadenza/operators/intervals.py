@@ -151,6 +151,18 @@ def last_begun(points: DataFrame, ranges: DataFrame, key: str = "project_id") ->
     return r.unionByName(p).withColumn("hit", F.last("hit", ignorenulls=True).over(w)).where("is_point = 1").select(key, "t", "hit")
 
 
+def begun_at_ticks(ranges: DataFrame, every: int, key: str = "project_id") -> DataFrame:
+    """ranges with `t`: each multiple of `every` from 0 to the key's last end at which a range is the last to have begun, at equal starts the one with the largest idx.
+
+    last_begun for regular points: they follow from a range's start and the next one's, without a second table.
+    """
+    w = Window.partitionBy(key).orderBy("start_ms", "idx")
+    last = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    x = ranges.withColumn("upto", F.coalesce(F.lead("start_ms").over(w) - 1, last))
+    first, step = F.greatest(F.ceil(F.col("start_ms") / every), F.lit(0)) * every, F.lit(every).cast("long")
+    return x.withColumn("upto", F.least("upto", last)).select(*ranges.columns, F.explode(F.when(first <= F.col("upto"), F.sequence(first, "upto", step))).alias("t"))
+
+
 def nearest(t: Column, before: Column, after: Column) -> Column:
     """Of the edges at or before t and at or after it the nearer one, the earlier of equals; null without any."""
     return F.when(after.isNull() | (t - before <= after - t), before).otherwise(after)

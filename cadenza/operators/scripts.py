@@ -98,7 +98,9 @@ def parsed(texts: DataFrame) -> DataFrame:
 def strong(word: Column) -> Column:
     """Words worth a punch: with a digit, in capitals (three at least), or of eight letters or more."""
     capitals = (F.upper(word) == word) & (F.lower(word) != word) & (F.length(word) > 2)
-    return word.rlike(r"\p{Nd}") | capitals | (F.length(F.regexp_replace(F.lower(word), "[^a-z]", "")) >= 8)
+    # the pattern can only take characters away
+    long = (F.length(F.lower(word)) >= 8) & (F.length(F.regexp_replace(F.lower(word), "[^a-z]", "")) >= 8)
+    return word.rlike(r"\p{Nd}") | capitals | long
 
 
 #: How many scenes a prompt may ask for, and how many it asks for otherwise.

@@ -321,12 +321,26 @@ def stamped(words: DataFrame, every: int = 8) -> DataFrame:
 
 
 def lined(words: DataFrame, most: int = 4) -> DataFrame:
-    """Words with seg and part, which tell caption lines: of at most `most` words, ending also where a sentence does."""
+    """Words with seg and part, which tell caption lines: of at most `most` words, ending also where a sentence does.
+
+    Both windows have the one order, so words are sorted once.
+    """
+    w = by_project()
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends_sentence(F.col("word"))
+    seg = words.withColumns({"seg": F.coalesce(F.sum(ends.cast("int")).over(earlier), F.lit(0)), "place": F.row_number().over(w)})
+    rn = F.col("place") - F.coalesce(F.max(F.when(ends, F.col("place"))).over(earlier), F.lit(0)) - 1
+    return seg.withColumn("rn", rn).withColumn("part", F.floor(F.col("rn") / most)).drop("place", "rn")
+
+
+def line_values(words: DataFrame, value: str, most: int = 4) -> DataFrame:
+    """project_id, first_idx and the values of each caption line's words in order; a line's first word looks ahead, so nothing is grouped."""
     w = by_project()
-    ends = ends_sentence(F.col("word")).cast("int")
-    seg = words.withColumn("seg", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rn = F.row_number().over(Window.partitionBy("project_id", "seg").orderBy("idx")) - 1
-    return seg.withColumn("part", F.floor(rn / most))
+    x = lined(words, most)
+    begins = F.coalesce((F.lag("seg").over(w) != F.col("seg")) | (F.lag("part").over(w) != F.col("part")), F.lit(True))
+    # from a line's first word, the next ones of its segment are its own up to the most
+    own = [F.struct(F.col(value).alias("v")), *[F.when(F.lead("seg", k).over(w) == F.col("seg"), F.struct(F.lead(value, k).over(w).alias("v"))) for k in range(1, most)]]
+    return x.select("project_id", F.col("idx").alias("first_idx"), F.array(*own).alias("own"), begins.alias("begins")).where("begins").select("project_id", "first_idx", F.transform(F.array_compact("own"), lambda x: x["v"]).alias("values"))
 
 
 def caption_lines(words: DataFrame, most: int = 4) -> DataFrame:

@@ -109,10 +109,11 @@ def track_remap(s, d):
 
 def caption_at(s, d):
     """The caption line on screen at each tick, with a tail of 150 ms, and its active word: the last that has begun."""
-    lines = t.caption_lines(b.words(s, d)).withColumn("idx", F.col("first_idx"))
-    shown = iv.last_begun(ticks(s, d), lines.select("project_id", "idx", "start_ms", "end_ms")).where("t <= hit.end_ms + 150")
-    word = iv.last_begun(shown.select("project_id", "t"), b.words(s, d).select("project_id", "idx", "word", "start_ms", "end_ms"))
-    return word.select("project_id", "t", F.col("hit.idx").alias("active_idx"), F.col("hit.word").alias("word"))
+    # words begin in order, so the line of the last word to have begun is the last line to have begun
+    line = Window.partitionBy("project_id", "seg", "part")
+    w = t.lined(b.words(s, d)).select("project_id", "idx", "word", "start_ms", "end_ms", F.max("end_ms").over(line).alias("line_end"))
+    shown = iv.begun_at_ticks(w, 5000).where("t <= line_end + 150")
+    return shown.select("project_id", "t", F.col("idx").alias("active_idx"), "word")
 
 
 def normalised(s, d):

@@ -15,7 +15,7 @@ DIR = "/root/testdata/sf0.001"
 #: How often each query reads the texts.
 READS = {
     "sentences": 1, "moment_titles": 1, "fit_layout": 1, "merge_word_pieces": 1, "range_union": 1, "remap_words": 2, "remap_keyframes": 2, "block_edits": 2,
-    "snap_trim": 2, "scenes_left": 2, "track_remap": 2, "annotate_words": 2, "range_subtract": 2, "caption_at": 3,
+    "snap_trim": 2, "scenes_left": 2, "track_remap": 2, "annotate_words": 2, "range_subtract": 2, "caption_at": 1,
 }
 
 
@@ -139,3 +139,29 @@ def test_layout_is_worked_out_from_rows(spark):
                 if x > best + 1e-9:
                     best, split = x, k
         assert math.isclose(r.f.scale, best, rel_tol=1e-12) and r.f.split == split
+
+
+def test_lines_look_ahead_and_ticks_follow_from_starts(spark):
+    rnd = random.Random(4)
+    rows, at = [], {}
+    for p in range(4):
+        for i in range(70):
+            start = at.get(p, -300) + rnd.choice([0, 10, 130, 700])
+            rows.append((p, i, rnd.choice(["a", "b", "c.", "d"]), start, start + rnd.choice([0, 90, 300])))
+            at[p] = start
+    words = spark.createDataFrame(rows, "project_id long, idx long, word string, start_ms long, end_ms long")
+    for most in (1, 4):
+        want = []
+        for p in range(4):
+            now = []
+            for r in [r for r in rows if r[0] == p]:
+                if not now or len(now[-1]) == most or now[-1][-1][2] == "c.":
+                    now.append([])
+                now[-1].append(r)
+            want += [(p, x[0][1], [r[2] for r in x]) for x in now]
+        assert sorted(map(tuple, transcript.line_values(words, "word", most).collect())) == want
+        assert sorted((r.project_id, r.first_idx, r.n) for r in transcript.caption_lines(words, most).collect()) == [(p, i, len(x)) for p, i, x in want]
+    points = [(p, t) for p in range(4) for t in range(0, max(r[4] for r in rows if r[0] == p) + 1, 50)]
+    ranges = words.select("project_id", "idx", "start_ms", "end_ms")
+    hits = intervals.last_begun(spark.createDataFrame(points, "project_id long, t long"), ranges).where("hit is not null")
+    assert sorted((r.project_id, r.t, r.idx) for r in intervals.begun_at_ticks(ranges, 50).collect()) == sorted((r.project_id, r.t, r.hit.idx) for r in hits.collect())
