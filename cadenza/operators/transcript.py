@@ -48,11 +48,19 @@ def normal(word: Column) -> Column:
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
-    """A piece that begins with a hyphen joins the word before it, if there is one."""
-    own = (~F.col("word").startswith("-")).cast("int")
-    grouped = pieces.withColumn("g", F.sum(own).over(by_project().rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.sort_array(F.collect_list(F.struct("idx", "word")))
-    return grouped.groupBy("project_id", "g").agg(F.min("idx").alias("idx"), F.array_join(F.transform(parts, lambda x: x["word"]), "").alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("g")
+    """A piece that begins with a hyphen joins the word before it, if there is one.
+
+    A word's first piece looks over the pieces that have its number, few as a rule, so the many words of one piece aren't grouped.
+    """
+    w = by_project()
+    own = ~F.startswith("word", F.lit("-"))
+    begins = own | (F.row_number().over(w) == 1)
+    x = pieces.withColumns({"g": F.coalesce(F.sum(own.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)), "begins": begins})
+    same = Window.partitionBy("project_id").orderBy("g").rangeBetween(Window.currentRow, Window.currentRow)
+    seen = {"parts": F.collect_list(F.when(~F.col("begins"), F.struct("idx", "word"))), "from": F.min("start_ms"), "upto": F.max("end_ms")}
+    x = x.withColumns({k: v.over(same) for k, v in seen.items()}).where("begins")
+    word = F.concat(F.coalesce("word", F.lit("")), F.array_join(F.transform(F.sort_array("parts"), lambda x: x["word"]), ""))
+    return x.select("project_id", "idx", word.alias("word"), F.col("from").alias("start_ms"), F.col("upto").alias("end_ms"))
 
 
 def pause(longer: int = 1000, keep: int = 150, least: int = 200) -> Column:

@@ -3,6 +3,7 @@
 import random
 import re
 
+from cadenza.operators import transcript
 from cadenza.sources import bridge
 
 
@@ -33,3 +34,12 @@ def test_words_are_timed_by_parts_of_lines(spark, capsys, tmp_path):
     assert got == [(k, *row) for k, text in enumerate(texts) if text is not None for row in fold(text)]
     out = plan(words, capsys)
     assert out.index("posexplode(words") < out.index("Window")  # windows see parts of lines, words are cut from them afterwards
+
+
+def test_lone_pieces_are_not_grouped(spark, capsys):
+    rows = [(1, i, w, i * 10, i * 10 + (50 if w == "-long" else 5)) for i, w in enumerate(["-first", "-x", "a", "-long", "-b", "c", "-", "d"] + ["-"] * 300)]
+    rows += [(2, 0, "only", 3, 4), (3, 5, None, 1, 2), (3, 6, "-y", 2, 9)]
+    merged = transcript.merge_pieces(spark.createDataFrame(rows[::-1], "project_id long, idx long, word string, start_ms long, end_ms long"))
+    want = [(1, 0, "-first-x", 0, 15), (1, 2, "a-long-b", 20, 80), (1, 5, "c-", 50, 65), (1, 7, "d" + "-" * 300, 70, 3075), (2, 0, "only", 3, 4), (3, 5, "-y", 1, 9)]
+    assert sorted(map(tuple, merged.collect())) == want
+    assert "Aggregate" not in plan(merged, capsys)
