@@ -199,10 +199,13 @@ MARKS = "\"'.,!?;:()\\[\\]"
 
 def title_of(text: Column) -> Column:
     """A title from a sentence's first six words: marks at their ends stripped, small words kept low after the first."""
-    words = F.slice(F.filter(F.transform(F.split(text, r"\s+"), lambda x: F.regexp_replace(x, f"^[{MARKS}]+|[{MARKS}]+$", "")), lambda x: x != ""), 1, 6)
+    # one replacement for a text, not one for each word
+    bare = F.regexp_replace(text, rf"(?<!\S)[{MARKS}]+|[{MARKS}]+(?!\S)", "")
+    words = F.slice(F.filter(F.split(bare, r"\s+"), lambda x: x != ""), 1, 6)
     shouted = lambda x: (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x)
     cased = lambda x, k: F.when(shouted(x), x).when((k > 0) & F.lower(x).isin(SMALL_WORDS), F.lower(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
-    return F.when(F.size(words) == 0, "Untitled moment").otherwise(F.array_join(F.transform(words, cased), " "))
+    # a pattern fills an empty title, as a condition would work the title out twice
+    return F.regexp_replace(F.array_join(F.transform(words, cased), " "), "^$", "Untitled moment")
 
 
 def titles(sents: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cadenza.operators import transcript
 from cadenza.sources import bridge
 
@@ -43,3 +45,10 @@ def test_lone_pieces_are_not_grouped(spark, capsys):
     want = [(1, 0, "-first-x", 0, 15), (1, 2, "a-long-b", 20, 80), (1, 5, "c-", 50, 65), (1, 7, "d" + "-" * 300, 70, 3075), (2, 0, "only", 3, 4), (3, 5, "-y", 1, 9)]
     assert sorted(map(tuple, merged.collect())) == want
     assert "Aggregate" not in plan(merged, capsys)
+
+
+def test_a_title_is_worked_out_once(spark, capsys):
+    texts = {"": "Untitled moment", " ... (!) ": "Untitled moment", '"why," (the) END of: it. one more': "Why the END of It One", "a.b ..c.. -d' x": "A.b C -d X", "(the": "The", "\t[of] \n a ;": "Of a"}
+    titles = spark.createDataFrame([(t,) for t in texts], "t string").select("t", transcript.title_of(F.col("t")).alias("title"))
+    assert {r.t: r.title for r in titles.collect()} == texts
+    assert plan(titles, capsys).split("== Physical Plan ==")[1].count("split(") == 1
