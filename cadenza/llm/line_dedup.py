@@ -51,23 +51,35 @@ def rarity(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line) of texts with ids."""
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")  # before the lines, so once for each text
+    return keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def sets_of(docs: DataFrame, threshold: float) -> DataFrame:
-    """A row for each line with its place, its set's hash, size and parity (in two halves), and its prefix's keys."""
+    """A row for each line with its place, its set's hash, size and parity (of negative hashes and of others), and its prefix's keys.
+
+    What stands inside a call with a lambda is interpreted, so arrays that the next lambda reads are columns of their own;
+    a column that is used twice stays one.
+    """
     classes = F.col("classes")
     none = F.xxhash64(F.lit(""))  # of no word
     hashed = F.array_remove(F.array_distinct(F.transform(words_of("line"), lambda t: F.xxhash64(t))), none)
-    ranked = lambda h: F.shiftleft(classes[h.bitwiseAND(COUNTERS - 1).cast("int")].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rare = lambda h: F.coalesce(classes[h.bitwiseAND(COUNTERS - 1)], F.lit(0).cast("tinyint"))  # noqa: E731  never null: such arrays are sorted as plain numbers
+    ranked = lambda h: F.shiftleft(rare(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     counters = rarity(docs).scalar().alias("classes")  # a scalar subquery: evaluated once, and no part of the rows
-    keyed = lines_of(docs).select("*", counters).select(*PLACE, F.sort_array(F.transform(hashed, ranked)).alias("keys"))
-    n = F.size("keys")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    half = lambda of: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == of, a.bitwiseXOR(bit(k))).otherwise(a))
+    words = lines_of(docs).select(*PLACE, hashed.alias("hashed"))
+    marked = words.select(*PLACE, "hashed", F.sort_array(F.concat("hashed", F.array(F.lit(0).cast("long")))).alias("marked"))
+    zero = F.array_position("marked", 0).cast("int")
+    halves = marked.select(*PLACE, "hashed", F.slice("marked", 1, zero - 1).alias("low"), F.slice("marked", zero + 1, F.size("marked")).alias("high"))
+    sized = halves.select("*", (F.size("low") + F.size("high")).alias("size"), counters)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    parity = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    keyed = sized.select(*PLACE, "size", F.sort_array(F.transform("hashed", ranked)).alias("keys"), parity("low").alias("even"), parity("high").alias("odd"))
+    n = F.col("size")
     prefix = F.slice("keys", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    short = F.transform(prefix, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return keyed.select(*PLACE, F.xxhash64("keys").alias("sid"), n.alias("size"), half(0).alias("even"), half(64).alias("odd"), short.alias("prefix"))
+    found = keyed.select(*PLACE, F.xxhash64("keys").alias("sid"), "size", "even", "odd", prefix.alias("prefix"))
+    short = F.transform("prefix", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return found.select(*PLACE, *SET, F.when(F.size("prefix") > 0, short).otherwise(F.array().cast("array<int>")).alias("prefix"))
 
 
 def differing(x: str, y: str) -> Column:

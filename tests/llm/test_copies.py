@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from cadenza.llm import line_dedup, queries, simhash, substrings
+from cadenza.llm.shared import id_and_text
 
 from . import cases
 
@@ -118,6 +119,16 @@ def test_line_dedup_stays_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_sets_are_read_as_columns(spark):
+    """Lambdas read columns, as what stands inside their call is interpreted; a text is hashed once, not for each of its lines."""
+    sets = line_dedup.sets_of(id_and_text(spark.read.parquet(f"{cases.SF}/documents.parquet")), 0.8)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"(transform|aggregate)\((array_remove|array_distinct|sort_array|slice)\(", plan)
+    assert plan.index("Generate posexplode") < plan.index("xxhash64(text")
+    bits = sets.selectExpr("size", "bit_count(even) + bit_count(odd) AS bits").where("size > 0")
+    assert bits.count() and not bits.where("bits > size OR (size - bits) % 2 <> 0").count()
+
+
 def repeats_by_force(texts, window):
     first, rows = {}, [(i, WORD.findall((t or "").encode())) for i, t in texts]
     for i, w in rows:
