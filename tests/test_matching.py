@@ -115,6 +115,23 @@ def test_texts_are_compared_only_where_the_ratio_can_count(spark):
     assert {r.take_id: r.score for r in matching.match_scores(takes, lines).collect()} == {1: 0.9, 2: 1.0}
 
 
+def test_rows_that_repeat_an_id_or_have_none_are_scored(spark):
+    """Each row is a text of its own: one long take doesn't hide another of its id, equal rows don't add up."""
+    line = "a b c d e f g h"
+    takes = [(1, "x " * 1000), (1, "a b c d e y"), (None, line), (2, line), (2, line), (3, ""), (4, None)]
+    lines = [(1, line), (None, "h g f e d c b a i"), (7, "a b c"), (7, "e f g h")]
+
+    def score(x, y):
+        a, b = (x or "").split(), y.split()
+        return max(SequenceMatcher(None, a, b).ratio(), 0.9 * len(set(a) & set(b)) / len(set(b))) if a else 0.0
+
+    every = [(t, n, round(score(x, y), 9)) for t, x in takes for n, y in lines]
+    given = spark.createDataFrame(takes, "take_id long, text string"), spark.createDataFrame(lines, "line_id long, text string")
+    for least in (0.55, 0.0):
+        got = [(r.take_id, r.line_id, round(r.score, 9)) for r in matching.match_scores(*given, least).collect()]
+        assert sorted((r for r in got if r[2] >= least), key=str) == sorted((r for r in every if r[2] >= least), key=str)
+
+
 def least_moves(rows):
     """Shots as the rule says them, one removal at a time."""
     kept = []
