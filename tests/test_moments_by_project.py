@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza import storage
 from cadenza.operators import transcript
 from cadenza.plans import registry
+from cadenza.sources import bridge
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,12 @@ def test_moments_as_step_by_step(spark):
     cols = ["project_id", "start_ms", "end_ms", "score", "reason", "hook"]
     got = transcript.find_moments(pieces).select(cols).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(cols).collect())) and len({r.project_id for r in got}) >= 4
+
+
+def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id", "repeat(uuid(), 30) AS text").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    t = spark.read.parquet(f"{tmp_path}/t.parquet")
+    few = bridge.dealt(t, "id").rdd.getNumPartitions()
+    monkeypatch.setattr(bridge, "PART_BYTES", 1_000)
+    many = bridge.dealt(t, "id")
+    assert many.rdd.getNumPartitions() > 30 > few and many.count() == 1000
