@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import storage
-from cadenza.operators import transcript
+from cadenza.operators import finders, transcript
 from cadenza.plans import registry
 from cadenza.sources import bridge
 
@@ -60,6 +60,20 @@ def test_moments_as_step_by_step(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(cols).collect())) and len({r.project_id for r in got}) >= 4
 
 
+def test_finders_leave_words_where_they_lie(spark, monkeypatch):
+    """Of what a finder is asked about only the projects left are dealt out, also where they are too many to send to each task."""
+    plans = []
+    monkeypatch.setattr(finders, "stored", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.stored(df, what))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        finders.find(bridge.words(spark, SF), ["heuristic"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = plans[1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
 def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id", "repeat(uuid(), 30) AS text").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     t = spark.read.parquet(f"{tmp_path}/t.parquet")
